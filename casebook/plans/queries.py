@@ -196,3 +196,116 @@ def f6_both_ends_items(spark, sf):
     t = rates.rate_table(derived_cases(spark, sf), "item", "label", digits=None)
     return rates.both_ends(t, 5, "rate", "item").select(
         "side", "item", r6("rate").alias("rate"), "rank")
+
+
+# ============================================================ step 3: features, splits
+from casebook.operators import features as FE  # noqa: E402
+from casebook.operators import split as SP  # noqa: E402
+
+MODEL_NUMERIC = ["age", "units", "year"]
+MODEL_CATEGORICAL = ["grp_a", "age_category", "item_group", "region"]
+
+
+@register("b13_impute_mode")
+def b13_impute_mode(spark, sf):
+    df = FE.impute_mode(derived_cases(spark, sf), "item_group", "Unknown")
+    return df.select("record_id", "item_group")
+
+
+@register("b14_minmax_year")
+def b14_minmax_year(spark, sf):
+    df = FE.minmax(derived_cases(spark, sf), "year", "year_norm")
+    return df.select("record_id", r6("year_norm").alias("year_norm"))
+
+
+@register("b15_topk_bucket")
+def b15_topk_bucket(spark, sf):
+    df = derived_cases(spark, sf)
+    m = FE.fit_topk(df, ["region", "item"], k=15)
+    return m.apply(df, ["region", "item"]).select("record_id", "region", "item")
+
+
+@register("c3_semi_join_topk")
+def c3_semi_join_topk(spark, sf):
+    df = derived_cases(spark, sf)
+    m = FE.fit_topk(df, ["region"], k=15)
+    return FE.semi_join_topk(df, m, "region").groupBy("region").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@register("c1_target_encode")
+def c1_target_encode(spark, sf):
+    df = derived_cases(spark, sf)
+    m = FE.fit_target_encoder(df, "region", "label")
+    return m.apply(df).select("record_id", "region", r6("region_rate").alias("region_rate"))
+
+
+@register("b18_rate_fallback")
+def b18_rate_fallback(spark, sf):
+    df = derived_cases(spark, sf)
+    train = SP.stratified_split(df, ["record_id"], "label").where(F.col("split") == "train")
+    m = FE.fit_target_encoder(train, "item", "label")
+    return m.apply(df).select("record_id", "item", r6("item_rate").alias("item_rate"))
+
+
+@register("b25_exact_sample")
+def b25_exact_sample(spark, sf):
+    return SP.exact_sample(derived_cases(spark, sf), ["record_id"]).select("record_id", "label")
+
+
+@register("i4_stratified_split")
+def i4_stratified_split(spark, sf):
+    return SP.stratified_split(derived_cases(spark, sf), ["record_id"], "label").select(
+        "record_id", "label", "split")
+
+
+@register("i5_stratified_folds")
+def i5_stratified_folds(spark, sf):
+    return SP.stratified_folds(derived_cases(spark, sf), ["record_id"], "label").select(
+        "record_id", "label", "fold")
+
+
+@register("i6_class_weights")
+def i6_class_weights(spark, sf):
+    return SP.class_weights(derived_cases(spark, sf), "label").select(
+        "label", "n", r6("weight").alias("weight"))
+
+
+def _bucketed_labelled(spark, sf):
+    df = derived_cases(spark, sf).where(F.col("label").isNotNull())
+    m = FE.fit_topk(df, MODEL_CATEGORICAL, k=15)
+    return m.apply(df, MODEL_CATEGORICAL)
+
+
+@register("a8_vocab")
+def a8_vocab(spark, sf):
+    v = FE.fit_vocab(_bucketed_labelled(spark, sf), MODEL_NUMERIC, MODEL_CATEGORICAL)
+    return v.table(spark)
+
+
+@register("i2_onehot_drop_first")
+def i2_onehot_drop_first(spark, sf):
+    df = _bucketed_labelled(spark, sf)
+    v = FE.fit_vocab(df, MODEL_NUMERIC, MODEL_CATEGORICAL)
+    enc = v.apply(df, keep=["record_id"])
+    dummies = v.features[len(MODEL_NUMERIC):]
+    long = enc.select("record_id", *[F.col(f"`{d}`") for d in dummies]).unpivot(
+        ["record_id"], [f"`{d}`" for d in dummies], "feature", "value")
+    return long.groupBy("feature").agg(F.sum("value").cast("long").alias("n_ones"))
+
+
+@register("i1_onehot_keep_all")
+def i1_onehot_keep_all(spark, sf):
+    cols = ["item_group", "grp_b_simple", "grp_a", "age_cat", "region"]
+    v, enc = FE.onehot_all(open_cases(spark, sf), cols)
+    feats = [f"`{f}`" for f in v.features]
+    long = enc.unpivot([], feats, "feature", "value")
+    return long.groupBy("feature").agg(F.sum("value").cast("long").alias("n_ones"))
+
+
+@register("i3_label_codes")
+def i3_label_codes(spark, sf):
+    cols = ["grp_a", "age_cat", "item_group", "grp_b_simple", "region"]
+    df = open_cases(spark, sf)
+    codes = FE.fit_label_codes(df, cols)
+    return codes.apply(df).select("record_id", *[f"{c}_code" for c in cols])

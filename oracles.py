@@ -190,3 +190,111 @@ ORACLES: dict[str, str] = {
         SELECT 'bottom', item, round(rate, 6), {_rank('rate ASC NULLS LAST, item')}
           FROM (SELECT * FROM t ORDER BY rate ASC NULLS LAST, item LIMIT 5)"""),
 }
+
+
+def _topk_sql(src: str, cols, k: int = 15) -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT '{c}' AS col, CAST({c} AS VARCHAR) AS value, count(*) AS n FROM {src} "
+        f"WHERE {c} IS NOT NULL GROUP BY {c}" for c in cols)
+    return (f"SELECT col, value FROM (SELECT col, value, row_number() OVER "
+            f"(PARTITION BY col ORDER BY n DESC, value) AS rn FROM ({parts})) WHERE rn <= {k}")
+
+
+def _bucket_sql(c: str) -> str:
+    return (f"CASE WHEN CAST({c} AS VARCHAR) IN (SELECT value FROM topk WHERE col = '{c}') "
+            f"THEN CAST({c} AS VARCHAR) ELSE 'Other' END")
+
+
+def _hash(key: str = "record_id", seed: int = 42) -> str:
+    return f"md5(CAST({key} AS VARCHAR) || '|{seed}')"
+
+
+_SPLIT = f"""
+    split AS (
+      SELECT *, CASE WHEN rn <= ceil(cnt * 0.3 - 1e-9) THEN 'test' ELSE 'train' END AS split
+      FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_hash()}, record_id) AS rn,
+                   count(*) OVER (PARTITION BY label) AS cnt
+            FROM cases WHERE label IS NOT NULL))"""
+
+_MODEL_CAT = ["grp_a", "age_category", "item_group", "region"]
+_MODEL_NUM = ["age", "units", "year"]
+
+_LAB_BUCKETED = f"""
+    lab AS (SELECT * FROM cases WHERE label IS NOT NULL),
+    topk AS ({_topk_sql('lab', _MODEL_CAT)}),
+    bl AS (SELECT record_id, label, age, units, year,
+                  {', '.join(_bucket_sql(c) + ' AS ' + c for c in _MODEL_CAT)} FROM lab),
+    cats AS ({' UNION ALL '.join(f"SELECT DISTINCT '{c}' AS col, {c} AS category, {i} AS ci FROM bl WHERE {c} IS NOT NULL" for i, c in enumerate(_MODEL_CAT))}),
+    kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY col ORDER BY category) AS rn
+                            FROM cats) WHERE rn > 1),
+    vocab AS (
+      SELECT CAST(pos AS INTEGER) AS pos, feature, "column", category FROM (
+        SELECT {len(_MODEL_NUM)} - 1 + row_number() OVER (ORDER BY ci, category) AS pos,
+               col || '_' || category AS feature, col AS "column", category FROM kept
+        UNION ALL SELECT 0, 'age', 'age', NULL UNION ALL SELECT 1, 'units', 'units', NULL
+        UNION ALL SELECT 2, 'year', 'year', NULL))"""
+
+ORACLES.update({
+    "b13_impute_mode": with_cases("""
+        , m AS (SELECT item_group AS v FROM cases WHERE item_group IS NOT NULL
+                GROUP BY item_group ORDER BY count(*) DESC, item_group LIMIT 1)
+        SELECT record_id, CASE WHEN item_group = 'Unknown' THEN (SELECT v FROM m)
+                               ELSE item_group END AS item_group FROM cases"""),
+    "b14_minmax_year": with_cases("""
+        SELECT record_id, round(CAST(year - (SELECT min(year) FROM cases) AS DOUBLE)
+               / nullif((SELECT max(year) - min(year) FROM cases), 0), 6) AS year_norm
+        FROM cases"""),
+    "b15_topk_bucket": with_cases(f"""
+        , topk AS ({_topk_sql('cases', ['region', 'item'])})
+        SELECT record_id, {_bucket_sql('region')} AS region, {_bucket_sql('item')} AS item
+        FROM cases"""),
+    "c3_semi_join_topk": with_cases(f"""
+        , topk AS ({_topk_sql('cases', ['region'])})
+        SELECT region, count(*) AS n FROM cases
+        WHERE region IN (SELECT value FROM topk) GROUP BY region"""),
+    "c1_target_encode": with_cases("""
+        , r AS (SELECT region AS k, avg(label) AS rate FROM cases
+                WHERE region IS NOT NULL GROUP BY region HAVING avg(label) IS NOT NULL)
+        SELECT record_id, region,
+               round(coalesce(r.rate, (SELECT avg(label) FROM cases)), 6) AS region_rate
+        FROM cases LEFT JOIN r ON cases.region = r.k"""),
+    "b18_rate_fallback": with_cases(f""",{_SPLIT},
+        train AS (SELECT * FROM split WHERE split = 'train'),
+        r AS (SELECT item AS k, avg(label) AS rate FROM train
+              WHERE item IS NOT NULL GROUP BY item HAVING avg(label) IS NOT NULL)
+        SELECT record_id, item,
+               round(coalesce(r.rate, (SELECT avg(label) FROM train)), 6) AS item_rate
+        FROM cases LEFT JOIN r ON cases.item = r.k"""),
+    "b25_exact_sample": with_cases(f"""
+        SELECT record_id, label FROM (
+          SELECT record_id, label, row_number() OVER (ORDER BY {_hash()}, record_id) AS rn,
+                 count(*) OVER () AS cnt FROM cases)
+        WHERE rn <= round_even(cnt * 0.3, 0)"""),
+    "i4_stratified_split": with_cases(f",{_SPLIT} SELECT record_id, label, split FROM split"),
+    "i5_stratified_folds": with_cases(f"""
+        SELECT record_id, label,
+               CAST((row_number() OVER (PARTITION BY label ORDER BY {_hash()}, record_id) - 1) % 5
+                    AS INTEGER) AS fold
+        FROM cases WHERE label IS NOT NULL"""),
+    "i6_class_weights": with_cases("""
+        SELECT label, count(*) AS n,
+               round(CAST(sum(count(*)) OVER () AS DOUBLE) / (count(*) OVER () * count(*)), 6) AS weight
+        FROM cases WHERE label IS NOT NULL GROUP BY label"""),
+    "a8_vocab": with_cases(f",{_LAB_BUCKETED} SELECT * FROM vocab"),
+    "i2_onehot_drop_first": with_cases(f""",{_LAB_BUCKETED}
+        SELECT k.col || '_' || k.category AS feature, count(*) AS n_ones
+        FROM kept k JOIN ({' UNION ALL '.join(f"SELECT '{c}' AS col, {c} AS category FROM bl" for c in _MODEL_CAT)}) x
+          ON k.col = x.col AND k.category = x.category
+        GROUP BY k.col, k.category"""),
+    "i1_onehot_keep_all": with_cases("""
+        , o AS (SELECT * FROM cases WHERE label = 0),
+        x AS (""" + " UNION ALL ".join(
+            f"SELECT '{c}' AS col, CAST({c} AS VARCHAR) AS category FROM o WHERE {c} IS NOT NULL"
+            for c in ["item_group", "grp_b_simple", "grp_a", "age_cat", "region"]) + """)
+        SELECT col || '_' || category AS feature, count(*) AS n_ones FROM x GROUP BY col, category"""),
+    "i3_label_codes": with_cases("""
+        , o AS (SELECT * FROM cases WHERE label = 0)
+        SELECT record_id, """ + ", ".join(
+            f"CAST(dense_rank() OVER (ORDER BY coalesce(CAST({c} AS VARCHAR), 'nan')) - 1 AS INTEGER) AS {c}_code"
+            for c in ["grp_a", "age_cat", "item_group", "grp_b_simple", "region"]) + " FROM o"),
+})
