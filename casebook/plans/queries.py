@@ -309,3 +309,34 @@ def i3_label_codes(spark, sf):
     df = open_cases(spark, sf)
     codes = FE.fit_label_codes(df, cols)
     return codes.apply(df).select("record_id", *[f"{c}_code" for c in cols])
+
+
+# ============================================================ step 4: itemsets, rules
+from casebook.operators import itemsets as IS  # noqa: E402
+
+ASSOC_COLS = ["item_group", "grp_b_simple", "grp_a", "age_cat", "region"]
+
+
+def _itemsets(spark, sf):
+    return IS.frequent_itemsets(open_cases(spark, sf), ASSOC_COLS)
+
+
+@register("d12_itemsets")
+def d12_itemsets(spark, sf):
+    return _itemsets(spark, sf).select("items_text", "size", "n", r6("support").alias("support"))
+
+
+@register("d13_rules")
+def d13_rules(spark, sf):
+    r = IS.rules_for_csv(IS.association_rules(_itemsets(spark, sf)))
+    return r.select("antecedents", "consequents",
+                    *[r6(c).alias(c) for c in ["antecedent_support", "consequent_support",
+                                               "support", "confidence", "lift", "leverage",
+                                               "conviction"]])
+
+
+@register("d13_top10_rules")
+def d13_top10_rules(spark, sf):
+    t = IS.top_rules(IS.association_rules(_itemsets(spark, sf)), 10)
+    return t.select("rank", "antecedents_head", "consequents_head", r6("lift").alias("lift"),
+                    r6("support").alias("support"))

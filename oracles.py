@@ -298,3 +298,68 @@ ORACLES.update({
             f"CAST(dense_rank() OVER (ORDER BY coalesce(CAST({c} AS VARCHAR), 'nan')) - 1 AS INTEGER) AS {c}_code"
             for c in ["grp_a", "age_cat", "item_group", "grp_b_simple", "region"]) + " FROM o"),
 })
+
+_ASSOC = ["item_group", "grp_b_simple", "grp_a", "age_cat", "region"]
+
+
+def _itemsets_sql() -> str:
+    from itertools import combinations
+    sets = ", ".join("(" + ", ".join(s) + ")" for j in (1, 2, 3) for s in combinations(_ASSOC, j))
+    items = ", ".join(
+        f"CASE WHEN grouping({c}) = 0 THEN '{c}_' || {c} END" for c in _ASSOC)
+    nulls = " AND ".join(f"NOT (grouping({c}) = 0 AND {c} IS NULL)" for c in _ASSOC)
+    return f"""
+    , o AS (SELECT * FROM cases WHERE label = 0),
+    tot AS (SELECT count(*) AS total FROM o),
+    iset AS (
+      SELECT list_sort(list_distinct([{items}])) AS items, count(*) AS n
+      FROM o GROUP BY GROUPING SETS ({sets})
+      HAVING {nulls} AND count(*) >= 0.01 * (SELECT total FROM tot)),
+    its AS (SELECT items, array_to_string(items, ', ') AS items_text,
+                   CAST(len(items) AS INTEGER) AS size, n,
+                   n / (SELECT CAST(total AS DOUBLE) FROM tot) AS support FROM iset)"""
+
+
+def _rules_sql() -> str:
+    splits = []
+    # size 2: {1}->{2}, {2}->{1}
+    for a, c in (([1], [2]), ([2], [1])):
+        splits.append((a, c, 2))
+    # size 3: singletons and pairs
+    for a, c in (([1], [2, 3]), ([2], [1, 3]), ([3], [1, 2]),
+                 ([2, 3], [1]), ([1, 3], [2]), ([1, 2], [3])):
+        splits.append((a, c, 3))
+    parts = []
+    for a, c, k in splits:
+        at = " || ', ' || ".join(f"items[{i}]" for i in a)
+        ct = " || ', ' || ".join(f"items[{i}]" for i in c)
+        parts.append(f"SELECT {at} AS ant, {ct} AS con, support FROM its WHERE size = {k}")
+    return _itemsets_sql() + f""",
+    sp AS ({' UNION ALL '.join(parts)}),
+    rl AS (
+      SELECT sp.ant AS antecedents, sp.con AS consequents,
+             a.support AS antecedent_support, c.support AS consequent_support,
+             sp.support, sp.support / a.support AS confidence,
+             sp.support / a.support / c.support AS lift,
+             sp.support - a.support * c.support AS leverage,
+             CASE WHEN sp.support / a.support < 1
+                  THEN (1 - c.support) / (1 - sp.support / a.support) END AS conviction
+      FROM sp JOIN its a ON sp.ant = a.items_text JOIN its c ON sp.con = c.items_text
+      WHERE sp.support / a.support / c.support >= 1.2)"""
+
+
+ORACLES.update({
+    "d12_itemsets": with_cases(_itemsets_sql() + """
+        SELECT items_text, size, n, round(support, 6) AS support FROM its"""),
+    "d13_rules": with_cases(_rules_sql() + """
+        SELECT antecedents, consequents, round(antecedent_support, 6) AS antecedent_support,
+               round(consequent_support, 6) AS consequent_support, round(support, 6) AS support,
+               round(confidence, 6) AS confidence, round(lift, 6) AS lift,
+               round(leverage, 6) AS leverage, round(conviction, 6) AS conviction FROM rl"""),
+    "d13_top10_rules": with_cases(_rules_sql() + """
+        , t AS (SELECT * FROM rl ORDER BY lift DESC, antecedents, consequents LIMIT 10)
+        SELECT CAST(row_number() OVER (ORDER BY lift DESC, antecedents, consequents) AS INTEGER) AS rank,
+               array_to_string(string_split(antecedents, ', ')[1:2], ', ') AS antecedents_head,
+               array_to_string(string_split(consequents, ', ')[1:2], ', ') AS consequents_head,
+               round(lift, 6) AS lift, round(support, 6) AS support FROM t"""),
+})
