@@ -340,3 +340,75 @@ def d13_top10_rules(spark, sf):
     t = IS.top_rules(IS.association_rules(_itemsets(spark, sf)), 10)
     return t.select("rank", "antecedents_head", "consequents_head", r6("lift").alias("lift"),
                     r6("support").alias("support"))
+
+
+# ============================================================ step 5: evaluation
+from casebook.operators import evaluate as EV  # noqa: E402
+
+
+def _scored(spark, sf):
+    """Deterministic stand-in score for the evaluation operators:
+    price / max(price) (a scalar subquery), on the stratified split."""
+    df = SP.stratified_split(derived_cases(spark, sf), ["record_id"], "label")
+    mx = derived_cases(spark, sf).select(F.max("price")).scalar()
+    return df.withColumn("score", F.col("price") / mx)
+
+
+def _test(spark, sf):
+    return _scored(spark, sf).where(F.col("split") == "test")
+
+
+@register("d14_confusion")
+def d14_confusion(spark, sf):
+    return EV.confusion(_test(spark, sf), "label", "score")
+
+
+@register("d15_metrics")
+def d15_metrics(spark, sf):
+    m = EV.metrics(EV.confusion(_test(spark, sf), "label", "score"))
+    return m.select(*[r6(c).alias(c) for c in ["accuracy", "precision", "recall", "f1"]])
+
+
+@register("d16_class_report")
+def d16_class_report(spark, sf):
+    r = EV.class_report(_test(spark, sf), "label", "score")
+    return r.select("class", *[r6(c).alias(c) for c in ["precision", "recall", "f1"]], "support")
+
+
+@register("d17_threshold_table")
+def d17_threshold_table(spark, sf):
+    t = EV.threshold_table(_test(spark, sf), "label", "score")
+    return t.select("threshold", "level", "n_at", r6("pct").alias("pct"), "tp",
+                    r6("precision_at").alias("precision_at"),
+                    r6("recall_at_pct").alias("recall_at_pct"))
+
+
+@register("d18_score_histogram")
+def d18_score_histogram(spark, sf):
+    h = EV.score_histogram(_test(spark, sf), "label", "score")
+    return h.select("label", "bin", r6("bin_start").alias("bin_start"), "n",
+                    r6("density").alias("density"))
+
+
+@register("d19_auc")
+def d19_auc(spark, sf):
+    return EV.auc(_test(spark, sf), "label", "score").select(r6("auc").alias("auc"))
+
+
+@register("d20_overfit_gap")
+def d20_overfit_gap(spark, sf):
+    g = EV.overfit_gap(_scored(spark, sf), "label", "score")
+    return g.select(*[r6(c).alias(c) for c in ["train_auc", "test_auc", "gap"]])
+
+
+@register("e2_roc")
+def e2_roc(spark, sf):
+    r = EV.roc_curve(_test(spark, sf), "label", "score")
+    return r.select(r6("fpr").alias("fpr"), r6("tpr").alias("tpr"), "threshold")
+
+
+@register("d7_score_stats_open")
+def d7_score_stats_open(spark, sf):
+    s = _scored(spark, sf).where(F.col("label") == 0)
+    t = EV.distribution(s, "score")
+    return t.select(*[r6(c).alias(c) for c in ["mean", "median", "min", "max"]])

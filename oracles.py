@@ -363,3 +363,106 @@ ORACLES.update({
                array_to_string(string_split(consequents, ', ')[1:2], ', ') AS consequents_head,
                round(lift, 6) AS lift, round(support, 6) AS support FROM t"""),
 })
+
+_SCORED = _SPLIT + """,
+    scored AS (SELECT *, price / (SELECT max(price) FROM cases) AS score FROM split),
+    ev AS (SELECT * FROM scored WHERE split = 'test')"""
+
+_CONF = """
+    conf AS (SELECT count(*) FILTER (WHERE label = 0 AND score < 0.5) AS tn,
+                    count(*) FILTER (WHERE label = 0 AND score >= 0.5) AS fp,
+                    count(*) FILTER (WHERE label = 1 AND score < 0.5) AS fn,
+                    count(*) FILTER (WHERE label = 1 AND score >= 0.5) AS tp FROM ev)"""
+
+
+def _auc_sql(src: str, group: str | None = None) -> str:
+    g = f"{group}, " if group else ""
+    pb = f"PARTITION BY {group} " if group else ""
+    return f"""
+      SELECT {g}sum(pos * (coalesce(neg_below, 0) + neg / 2.0)) / (sum(pos) * sum(neg)) AS auc
+      FROM (SELECT *, sum(neg) OVER ({pb}ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING
+                                     AND 1 PRECEDING) AS neg_below
+            FROM (SELECT {g}score, sum(label) AS pos, sum(1 - label) AS neg FROM {src}
+                  GROUP BY {g}score))
+      {'GROUP BY ' + group if group else ''}"""
+
+
+ORACLES.update({
+    "d14_confusion": with_cases(f",{_SCORED},{_CONF} SELECT * FROM conf"),
+    "d15_metrics": with_cases(f""",{_SCORED},{_CONF},
+        pr AS (SELECT *, CAST(tp + tn AS DOUBLE) / (tp + tn + fp + fn) AS accuracy,
+                      CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / (tp + fp) ELSE 0.0 END AS precision,
+                      CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / (tp + fn) ELSE 0.0 END AS recall
+               FROM conf)
+        SELECT round(accuracy, 6) AS accuracy, round(precision, 6) AS precision,
+               round(recall, 6) AS recall,
+               round(CASE WHEN precision + recall > 0
+                          THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END, 6) AS f1
+        FROM pr"""),
+    "d16_class_report": with_cases(f""",{_SCORED},{_CONF},
+        c AS (SELECT '0' AS class, tn AS t, fn AS fpos, fp AS fneg, tn + fp AS support FROM conf
+              UNION ALL SELECT '1', tp, fp, fn, tp + fn FROM conf),
+        m AS (SELECT class, CASE WHEN t + fpos > 0 THEN CAST(t AS DOUBLE) / (t + fpos) ELSE 0.0 END AS p,
+                     CASE WHEN t + fneg > 0 THEN CAST(t AS DOUBLE) / (t + fneg) ELSE 0.0 END AS r,
+                     support FROM c),
+        f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f1 FROM m),
+        tot AS (SELECT sum(support) AS n FROM f)
+        SELECT class, round(p, 6) AS precision, round(r, 6) AS recall, round(f1, 6) AS f1,
+               CAST(support AS BIGINT) AS support FROM f
+        UNION ALL SELECT 'accuracy', NULL, NULL,
+               round((SELECT CAST(tp + tn AS DOUBLE) / (tp + tn + fp + fn) FROM conf), 6),
+               CAST((SELECT n FROM tot) AS BIGINT)
+        UNION ALL SELECT 'macro avg', round(avg(p), 6), round(avg(r), 6), round(avg(f1), 6),
+               CAST(sum(support) AS BIGINT) FROM f
+        UNION ALL SELECT 'weighted avg', round(sum(p * support) / sum(support), 6),
+               round(sum(r * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6),
+               CAST(sum(support) AS BIGINT) FROM f"""),
+    "d17_threshold_table": with_cases(f""",{_SCORED},
+        t AS (SELECT * FROM (VALUES (0.8, 'High Priority'), (0.7, 'Medium Priority'),
+                                    (0.6, 'Low Priority')) v(threshold, level)),
+        a AS (SELECT CAST(t.threshold AS DOUBLE) AS threshold, t.level,
+                     count(*) FILTER (WHERE ev.score >= t.threshold) AS n_at,
+                     count(*) FILTER (WHERE ev.score >= t.threshold AND ev.label = 1) AS tp,
+                     count(*) AS total, sum(ev.label) AS positives
+              FROM t, ev GROUP BY t.threshold, t.level)
+        SELECT threshold, level, n_at, round(n_at * 100.0 / total, 6) AS pct, tp,
+               round(CASE WHEN n_at > 0 THEN CAST(tp AS DOUBLE) / n_at ELSE 0.0 END, 6) AS precision_at,
+               round(tp * 100.0 / positives, 6) AS recall_at_pct FROM a"""),
+    "d18_score_histogram": with_cases(f""",{_SCORED},
+        st AS (SELECT label, min(score) AS lo, max(score) AS hi, count(*) AS n_class FROM ev
+               GROUP BY label),
+        b AS (SELECT ev.label, CAST(CASE WHEN hi > lo THEN least(floor((score - lo) * 50 / (hi - lo)), 49)
+                                         ELSE 0 END AS INTEGER) AS bin
+              FROM ev JOIN st ON ev.label = st.label),
+        cnt AS (SELECT label, bin, count(*) AS n FROM b GROUP BY label, bin),
+        grid AS (SELECT st.*, CAST(g.bin AS INTEGER) AS bin FROM st, range(50) g(bin))
+        SELECT grid.label, grid.bin, round(lo + grid.bin * ((hi - lo) / 50), 6) AS bin_start,
+               coalesce(cnt.n, 0) AS n,
+               round(CASE WHEN hi > lo THEN coalesce(cnt.n, 0) / (n_class * ((hi - lo) / 50)) END, 6) AS density
+        FROM grid LEFT JOIN cnt ON grid.label = cnt.label AND grid.bin = cnt.bin"""),
+    "d19_auc": with_cases(f",{_SCORED} SELECT round(auc, 6) AS auc FROM ({_auc_sql('ev')})"),
+    "d20_overfit_gap": with_cases(f""",{_SCORED},
+        a AS ({_auc_sql('scored', 'split')})
+        SELECT round((SELECT auc FROM a WHERE split = 'train'), 6) AS train_auc,
+               round((SELECT auc FROM a WHERE split = 'test'), 6) AS test_auc,
+               round((SELECT auc FROM a WHERE split = 'train') - (SELECT auc FROM a WHERE split = 'test'), 6) AS gap"""),
+    "e2_roc": with_cases(f""",{_SCORED},
+        g AS (SELECT score, sum(label) AS pos, sum(1 - label) AS neg FROM ev GROUP BY score),
+        c AS (SELECT score, sum(pos) OVER (ORDER BY score DESC) AS tps,
+                     sum(neg) OVER (ORDER BY score DESC) AS fps,
+                     row_number() OVER (ORDER BY score DESC) AS j, count(*) OVER () AS m FROM g),
+        k AS (SELECT *, lag(tps) OVER (ORDER BY j) AS tp_prev, lead(tps) OVER (ORDER BY j) AS tp_next,
+                        lag(fps) OVER (ORDER BY j) AS fp_prev, lead(fps) OVER (ORDER BY j) AS fp_next
+              FROM c),
+        pts AS (SELECT score AS threshold, tps, fps FROM k
+                WHERE j = 1 OR j = m OR fp_prev - 2 * fps + fp_next <> 0
+                      OR tp_prev - 2 * tps + tp_next <> 0
+                UNION ALL SELECT 'inf'::DOUBLE, 0, 0),
+        tot AS (SELECT sum(pos) AS P, sum(neg) AS N FROM g)
+        SELECT round(fps / (SELECT CAST(N AS DOUBLE) FROM tot), 6) AS fpr,
+               round(tps / (SELECT CAST(P AS DOUBLE) FROM tot), 6) AS tpr, threshold FROM pts"""),
+    "d7_score_stats_open": with_cases(f""",{_SCORED}
+        SELECT round(avg(score), 6) AS mean, round(quantile_cont(score, 0.5), 6) AS median,
+               round(min(score), 6) AS min, round(max(score), 6) AS max
+        FROM scored WHERE label = 0"""),
+})
