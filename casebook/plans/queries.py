@@ -412,3 +412,54 @@ def d7_score_stats_open(spark, sf):
     s = _scored(spark, sf).where(F.col("label") == 0)
     t = EV.distribution(s, "score")
     return t.select(*[r6(c).alias(c) for c in ["mean", "median", "min", "max"]])
+
+
+# ============================================================ step 6: k-modes
+from casebook import presets as P  # noqa: E402
+from casebook.operators import kmodes as KM  # noqa: E402
+
+CLUSTER_COLS = ["grp_a", "age_cat", "item_group", "grp_b_simple", "region"]
+K = 5
+
+
+def _seed_assignment(spark, sf):
+    o = open_cases(spark, sf)
+    modes = KM.init_frequent(KM.collapse(o, CLUSTER_COLS), CLUSTER_COLS, K)
+    return KM.assign(o, CLUSTER_COLS, modes, keep=["record_id"])
+
+
+@register("i10_kmodes_assign")
+def i10_kmodes_assign(spark, sf):
+    """Assignment to fixed modes (the k most frequent tuples)."""
+    return _seed_assignment(spark, sf).select("record_id", "cluster", "distance")
+
+
+@register("i12_cluster_profiles")
+def i12_cluster_profiles(spark, sf):
+    a = _seed_assignment(spark, sf)
+    notes = P.cluster_notes("grp_b_simple", "item_group", "grp_a", "age_cat")
+    p = KM.profiles(a, CLUSTER_COLS, K, notes)
+    return p.select("cluster", "size", r6("pct").alias("pct"),
+                    *[f"mode_{c}" for c in CLUSTER_COLS], "notes")
+
+
+@register("d10_cluster_share")
+def d10_cluster_share(spark, sf):
+    a = _seed_assignment(spark, sf)
+    keys = spark.range(K).select(F.col("id").cast("int").alias("cluster"))
+    t = rates.share_of_total(a, "cluster", all_keys=keys)
+    return t.select("cluster", "size", r6("pct").alias("pct"))
+
+
+@register("i10_kmodes_fit")
+def i10_kmodes_fit(spark, sf):
+    """Full fit (best of 10 starts) and the A6 assignment table."""
+    o = open_cases(spark, sf)
+    m = KM.fit(o, CLUSTER_COLS, K, n_init=10)
+    return m.assign(o, keep=["record_id"]).select("record_id", "cluster")
+
+
+@register("i11_elbow_costs")
+def i11_elbow_costs(spark, sf):
+    o = open_cases(spark, sf)
+    return KM.elbow(o, CLUSTER_COLS, KM.default_ks(o.count()), n_init=5)

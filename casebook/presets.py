@@ -134,3 +134,19 @@ SEGMENT_GROUPS = [
     ("Industry", ["MACHINERY", "BUILDING", "AUTOMOBILE"]),
     ("Home", ["HOUSEHOLD", "FURNITURE"]),
 ]
+
+
+def cluster_notes(relation: str, weapon: str, sex: str | None = None,
+                  age: str | None = None, region: str | None = None):
+    """Cluster note rules keyed to the caller's column names."""
+    from casebook.operators.kmodes import NoteRule
+    rules = [
+        NoteRule(relation, tuple(HARD_RELATIONS), "low relational density, hard to solve",
+                 "known offender likely, witness leads"),
+        NoteRule(weapon, ("Firearm",), "ballistic evidence may exist"),
+        NoteRule(weapon, ("Unknown",), "weapon missing: evidence gap"),
+    ]
+    if sex and age:
+        rules.append(NoteRule(sex, ("Female",), "vulnerable victim: social network may help",
+                              and_column=age, and_values=("Child", "Senior")))
+    return rules

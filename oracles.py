@@ -466,3 +466,56 @@ ORACLES.update({
                round(min(score), 6) AS min, round(max(score), 6) AS max
         FROM scored WHERE label = 0"""),
 })
+
+_CL = ["grp_a", "age_cat", "item_group", "grp_b_simple", "region"]
+_CL_SEED = f"""
+    , o AS (SELECT record_id, {', '.join(f"coalesce(CAST({c} AS VARCHAR), 'nan') AS {c}" for c in _CL)}
+            FROM cases WHERE label = 0),
+    t AS (SELECT {', '.join(_CL)}, count(*) AS w FROM o GROUP BY {', '.join(_CL)}),
+    m AS (SELECT *, CAST(row_number() OVER (ORDER BY w DESC, {', '.join(_CL)}) - 1 AS INTEGER) AS cluster
+          FROM (SELECT * FROM t ORDER BY w DESC, {', '.join(_CL)} LIMIT 5)),
+    d AS (SELECT o.record_id, m.cluster,
+                 CAST({' + '.join(f"CAST(o.{c} <> m.{c} AS INTEGER)" for c in _CL)} AS INTEGER) AS distance
+          FROM o, m),
+    asg AS (SELECT record_id, cluster, distance FROM (
+              SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY distance, cluster) AS rn
+              FROM d) WHERE rn = 1),
+    ao AS (SELECT o.*, asg.cluster FROM o JOIN asg USING (record_id))"""
+
+
+def _profile_sql() -> str:
+    modes = " UNION ALL ".join(
+        f"SELECT cluster, '{c}' AS col, {c} AS v, count(*) AS n FROM ao GROUP BY cluster, {c}"
+        for c in _CL)
+    pick = ", ".join(
+        f"coalesce(max(CASE WHEN col = '{c}' THEN v END), 'N/A') AS mode_{c}" for c in _CL)
+    return f""",
+    mc AS (SELECT cluster, col, v FROM (
+             SELECT *, row_number() OVER (PARTITION BY cluster, col ORDER BY n DESC, v) AS rn
+             FROM ({modes})) WHERE rn = 1),
+    mm AS (SELECT cluster, {pick} FROM mc GROUP BY cluster),
+    sz AS (SELECT cluster, count(*) AS size FROM ao GROUP BY cluster),
+    ks AS (SELECT CAST(range AS INTEGER) AS cluster FROM range(5)),
+    prof AS (
+      SELECT ks.cluster, coalesce(sz.size, 0) AS size,
+             round(coalesce(sz.size, 0) * 100.0 / (SELECT count(*) FROM ao), 6) AS pct,
+             {', '.join(f"coalesce(mm.mode_{c}, 'N/A') AS mode_{c}" for c in _CL)}
+      FROM ks LEFT JOIN sz ON ks.cluster = sz.cluster LEFT JOIN mm ON ks.cluster = mm.cluster)"""
+
+
+ORACLES.update({
+    "i10_kmodes_assign": with_cases(_CL_SEED + " SELECT * FROM asg"),
+    "i12_cluster_profiles": with_cases(_CL_SEED + _profile_sql() + """
+        SELECT *, concat_ws('; ',
+            CASE WHEN mode_grp_b_simple IN ('Stranger', 'Other', 'Unknown')
+                 THEN 'low relational density, hard to solve' END,
+            CASE WHEN NOT mode_grp_b_simple IN ('Stranger', 'Other', 'Unknown')
+                 THEN 'known offender likely, witness leads' END,
+            CASE WHEN mode_item_group = 'Firearm' THEN 'ballistic evidence may exist' END,
+            CASE WHEN mode_item_group = 'Unknown' THEN 'weapon missing: evidence gap' END,
+            CASE WHEN mode_grp_a = 'Female' AND mode_age_cat IN ('Child', 'Senior')
+                 THEN 'vulnerable victim: social network may help' END) AS notes
+        FROM prof"""),
+    "d10_cluster_share": with_cases(_CL_SEED + _profile_sql() + """
+        SELECT cluster, size, pct FROM prof"""),
+})
