@@ -56,7 +56,10 @@ def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     return counts.withColumn(out, F.lit(float(n or 0)) / (F.lit(n_classes) * F.col("n")))
 
 
-def with_class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    w = class_weights(df, label, out).select(label, out)
+def with_class_weights(df: DataFrame, label: str, out: str = "weight",
+                       basis: DataFrame | None = None) -> DataFrame:
+    """Attach balanced weights computed on ``basis`` (default: ``df``), e.g.
+    the training rows only."""
+    w = class_weights(basis if basis is not None else df, label, out).select(label, out)
     # bound: one row per class
     return df.join(F.broadcast(w), label, "left")

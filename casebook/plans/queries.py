@@ -463,3 +463,233 @@ def i10_kmodes_fit(spark, sf):
 def i11_elbow_costs(spark, sf):
     o = open_cases(spark, sf)
     return KM.elbow(o, CLUSTER_COLS, KM.default_ks(o.count()), n_init=5)
+
+
+# ============================================================ step 7: models (rows-only)
+from casebook.operators import models as MD  # noqa: E402
+from casebook.plans import training as TR  # noqa: E402
+
+LR_NUMERIC = ["age", "vulnerable"]
+LR_CATEGORICAL = ["grp_a", "item_group", "grp_b_simple", "region"]
+RF_NUMERIC = ["age", "units", "year"]
+RF_CATEGORICAL = ["grp_a", "age_category", "item_group", "region"]
+
+_PREP: dict = {}
+
+
+def _prepared(spark, sf, kind: str) -> TR.Prepared:
+    key = (spark.sparkContext.applicationId, sf, kind)
+    if key not in _PREP:
+        df = derived_cases(spark, sf)
+        if kind == "lr":
+            _PREP[key] = TR.prepare(df, LR_NUMERIC, LR_CATEGORICAL)
+        else:
+            _PREP[key] = TR.prepare(df, RF_NUMERIC, RF_CATEGORICAL, rate_key="region")
+    return _PREP[key]
+
+
+def _forest(spark, sf):
+    key = (spark.sparkContext.applicationId, sf, "rf_model")
+    if key not in _PREP:
+        p = _prepared(spark, sf, "rf")
+        _PREP[key] = MD.random_forest(p.frame.where(F.col("split") == "train"), MD.FOREST_B)
+    return _PREP[key]
+
+
+@register("i7_logreg_coefficients")
+def i7_logreg_coefficients(spark, sf):
+    p = _prepared(spark, sf, "lr")
+    m = MD.logistic_regression(p.frame.where(F.col("split") == "train"))
+    return MD.coefficient_table(m, p.features.vocab)
+
+
+@register("i9_tree_importance")
+def i9_tree_importance(spark, sf):
+    p = _prepared(spark, sf, "lr")
+    m = MD.decision_tree(p.frame.where(F.col("split") == "train"))
+    return MD.importance_table(m, p.features.vocab)
+
+
+@register("i16_forest_importance_top10")
+def i16_forest_importance_top10(spark, sf):
+    p = _prepared(spark, sf, "rf")
+    t = MD.importance_table(_forest(spark, sf), p.features.vocab)
+    return rates.head(t, 10, "importance", "feature")
+
+
+@register("i17_scored_test")
+def i17_scored_test(spark, sf):
+    """Held-out rows scored, with their case attributes fetched by id."""
+    p = _prepared(spark, sf, "rf")
+    s = MD.score(_forest(spark, sf), p.frame.where(F.col("split") == "test"))
+    attrs = derived_cases(spark, sf).select("record_id", "grp_a", "age", "item", "region",
+                                            "year", "units")
+    return (s.select("record_id", F.col("label").cast("int").alias("actual"),
+                     "probability_1", "predicted")
+             .join(attrs, "record_id", "left"))
+
+
+@register("d19_forest_auc")
+def d19_forest_auc(spark, sf):
+    p = _prepared(spark, sf, "rf")
+    s = MD.score(_forest(spark, sf), p.frame)
+    return EV.auc(s, "label", "probability_1", ["split"])
+
+
+@register("d14_forest_confusion")
+def d14_forest_confusion(spark, sf):
+    p = _prepared(spark, sf, "rf")
+    s = MD.score(_forest(spark, sf), p.frame.where(F.col("split") == "test"))
+    return EV.metrics(EV.confusion(s, "label", "probability_1"))
+
+
+@register("i18_rank_open")
+def i18_rank_open(spark, sf):
+    """Open cases scored by the forest, all case columns kept, sorted by
+    score (range-partitioned sort).  Scores rows seen in training, as the
+    analysis did."""
+    p = _prepared(spark, sf, "rf")
+    df = derived_cases(spark, sf).where(F.col("label") == 0)
+    enc = p.features.encode(df, keep=["record_id"])
+    s = MD.score(_forest(spark, sf), enc)
+    return (df.join(s.select("record_id", "probability_1"), "record_id", "inner")
+              .orderBy(F.col("probability_1").desc(), F.col("record_id")))
+
+
+@register("i19_high_potential")
+def i19_high_potential(spark, sf):
+    """Held-out open cases with score > 0.7, top 5 (C2 + B2 + B3 + F5)."""
+    t = i17_scored_test(spark, sf)
+    hp = t.where((F.col("actual") == 0) & (F.col("probability_1") > P.HIGH_POTENTIAL_CUT))
+    return rates.head(hp, 5, "probability_1", "record_id")
+
+
+@register("i5_cv_auc")
+def i5_cv_auc(spark, sf):
+    """5-fold stratified CV of the logistic regression, exact fold AUCs."""
+    p = _prepared(spark, sf, "lr")
+    # balanced weights recomputed on each fit's own training folds
+    oof = MD.out_of_fold(p.frame, lambda d: MD.logistic_regression(
+        SP.with_class_weights(d.drop("weight"), "label")))
+    return MD.cv_auc(oof)
+
+
+@register("i15_oof_accuracy")
+def i15_oof_accuracy(spark, sf):
+    p = _prepared(spark, sf, "rf")
+    oof = MD.out_of_fold(p.frame, lambda d: MD.random_forest(d, MD.FOREST_B))
+    return MD.oof_accuracy(oof)
+
+
+# ============================================================ step 8: scoring
+from casebook.plans import scoring as SC  # noqa: E402
+from casebook.functions import rules as R_  # noqa: E402
+from casebook.session import scratch_path  # noqa: E402
+
+
+def _requests(spark, sf):
+    return SC.requests_from_cases(derived_cases(spark, sf))
+
+
+@register("b16_b17_request_coercion")
+def b16_b17_request_coercion(spark, sf):
+    c = SC.coerce_requests(_requests(spark, sf))
+    return c.select("request_id", "v_age", "v_victims", "v_year", r6("v_rate").alias("v_rate"),
+                    "v_sex", "v_race", "v_weapon", "v_state", "error")
+
+
+def _standin(spark, sf):
+    """Request rows with the stand-in probability (price / max price)."""
+    df = derived_cases(spark, sf)
+    mx = df.select(F.max("price")).scalar()
+    return df.withColumn("p", F.col("price") / mx)
+
+
+@register("b20_score_tiers")
+def b20_score_tiers(spark, sf):
+    p = F.col("p")
+    return _standin(spark, sf).select(
+        "record_id", R_.PRIORITY.column(p).alias("priority_level"),
+        R_.RECOMMENDATION.column(p).alias("investigation_recommendation"),
+        R_.OUTCOME_TEXT.column(p).alias("predicted_outcome"),
+        R_.at_cut(p).alias("predicted_class"))
+
+
+@register("b21_decision_labels")
+def b21_decision_labels(spark, sf):
+    d = _standin(spark, sf)
+    resp = SC.decision_labels(F.col("p"), F.col("age"), F.col("weapon_group"),
+                              F.col("age_category"), F.col("region"), F.col("p"))
+    r = d.select("record_id", resp.alias("r"))
+    return r.select("record_id", F.col("r.verdict").alias("verdict"),
+                    F.col("r.vulnerability").alias("vulnerability"),
+                    F.col("r.vulnerability_label").alias("vulnerability_label"),
+                    F.col("r.forensic_insights.risk_profile").alias("risk_profile"),
+                    F.col("r.forensic_insights.investigation_advice").alias("advice"),
+                    F.col("r.key_factors")[3]["impact"].alias("locality_impact"),
+                    F.col("r.key_factors")[1]["impact"].alias("weapon_impact"))
+
+
+@register("b22_display_bands")
+def b22_display_bands(spark, sf):
+    return _standin(spark, sf).select("record_id", R_.BANDS5.column("p").alias("band"))
+
+
+@register("a13_feature_catalogue")
+def a13_feature_catalogue(spark, sf):
+    v = a8_vocab(spark, sf)
+    return v.agg(F.count(F.lit(1)).alias("features_count"),
+                 F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "feature"))),
+                                          lambda s: s["feature"]), ", ").alias("features"),
+                 F.lit("ready").alias("model_status"))
+
+
+def _bundle(spark, sf):
+    p = _prepared(spark, sf, "rf")
+    return p.features, _forest(spark, sf)
+
+
+@register("i21_score_requests")
+def i21_score_requests(spark, sf):
+    fm, m = _bundle(spark, sf)
+    return SC.score_requests(_requests(spark, sf), fm, m)
+
+
+@register("a12_response_json")
+def a12_response_json(spark, sf):
+    fm, m = _bundle(spark, sf)
+    return SC.response_json(SC.score_requests(_requests(spark, sf), fm, m))
+
+
+@register("i20_score_cases")
+def i20_score_cases(spark, sf):
+    fm, m = _bundle(spark, sf)
+    cases = derived_cases(spark, sf).withColumn("case_id", F.col("record_id").cast("string"))
+    return SC.score_cases(cases, fm, m, timestamp="2024-01-01T00:00:00")
+
+
+@register("a9_model_roundtrip")
+def a9_model_roundtrip(spark, sf):
+    """Save the feature model and forest to the shared checkpoint
+    folder, load both back, score the held-out rows with the loaded pair."""
+    from pyspark.ml.classification import RandomForestClassificationModel
+    fm, m = _bundle(spark, sf)
+    path = scratch_path(spark, "model")
+    fm.save(path + "/features")
+    m.write().overwrite().save(path + "/forest")
+    fm2 = TR.FeatureModel.load(path + "/features")
+    m2 = RandomForestClassificationModel.load(path + "/forest")
+    test = derived_cases(spark, sf).where(F.col("label").isNotNull())
+    return MD.score(m2, fm2.encode(test, keep=["record_id"])).select(
+        "record_id", "probability_1", "predicted")
+
+
+@register("k1_stream_requests")
+def k1_stream_requests(spark, sf):
+    """Requests written as JSON files, scored by a Structured Streaming job
+    (availableNow trigger), sink read back."""
+    from casebook.streaming.requests import score_folder
+    fm, m = _bundle(spark, sf)
+    src = scratch_path(spark, "requests")
+    _requests(spark, sf).write.json(src)
+    return score_folder(spark, src, fm, m)

@@ -150,3 +150,12 @@ def cluster_notes(relation: str, weapon: str, sex: str | None = None,
         rules.append(NoteRule(sex, ("Female",), "vulnerable victim: social network may help",
                               and_column=age, and_values=("Child", "Senior")))
     return rules
+
+# FIXED VALUES (response texts of the scoring service)
+FACTOR_LABELS = ("Fiabilité Modèle", "Facteur Arme", "Démographie", "Localisation")
+FACTOR_WEAPON_TEXT = "Impact "
+FACTOR_DEMOGRAPHY_TEXT = "Victime "
+FACTOR_LOCALITY_TEXT = "Zone "
+ANALYSIS_TEXT = ("Probabilité de résolution : ", "Profil victime ", " en ", " suggère priorité ",
+                 "Analyse balistique recommandée.")
+ERROR_BAD_NUMBER = "Données numériques invalides"

@@ -519,3 +519,63 @@ ORACLES.update({
     "d10_cluster_share": with_cases(_CL_SEED + _profile_sql() + """
         SELECT cluster, size, pct FROM prof"""),
 })
+
+_STANDIN = """
+    , sd AS (SELECT *, price / (SELECT max(price) FROM cases) AS p FROM cases)"""
+
+_REQ = """
+    , rq AS (SELECT CAST(record_id AS VARCHAR) AS request_id, grp_a AS sex,
+                    CAST(age AS VARCHAR) AS age, CAST(NULL AS VARCHAR) AS race, item AS weapon,
+                    region AS state, CAST(year AS VARCHAR) AS year,
+                    CAST(units AS VARCHAR) AS victims, CAST(NULL AS VARCHAR) AS historicalRate
+             FROM cases)"""
+
+
+def _num_sql(name: str, dtype: str, default) -> tuple[str, str]:
+    missing = (f"({name} IS NULL OR trim({name}) = '' OR "
+               f"coalesce(TRY_CAST({name} AS DOUBLE) = 0, FALSE))")
+    parsed = f"TRY_CAST(trim({name}) AS {dtype})"
+    return (f"CASE WHEN {missing} THEN CAST({default!r} AS {dtype}) ELSE {parsed} END",
+            f"(NOT {missing} AND {parsed} IS NULL)")
+
+
+def _coerce_sql() -> str:
+    age, bad_a = _num_sql("age", "DOUBLE", 25.0)
+    vic, bad_v = _num_sql("victims", "INTEGER", 1)
+    yr, bad_y = _num_sql("year", "INTEGER", 2023)
+    rblank = "(historicalRate IS NULL OR trim(historicalRate) = '')"
+    rparsed = "TRY_CAST(trim(historicalRate) AS DOUBLE)"
+    return f"""
+        SELECT request_id, {age} AS v_age, {vic} AS v_victims, {yr} AS v_year,
+               round(CASE WHEN {rblank} THEN 0.6 ELSE {rparsed} END, 6) AS v_rate,
+               coalesce(sex, 'Unknown') AS v_sex, coalesce(race, 'Unknown') AS v_race,
+               coalesce(weapon, 'Other') AS v_weapon, coalesce(state, 'Unknown') AS v_state,
+               CASE WHEN {bad_a} OR {bad_v} OR {bad_y} OR (NOT {rblank} AND {rparsed} IS NULL)
+                    THEN '{P.ERROR_BAD_NUMBER}' END AS error
+        FROM rq"""
+
+
+ORACLES.update({
+    "b16_b17_request_coercion": with_cases(_REQ + _coerce_sql()),
+    "b20_score_tiers": with_cases(_STANDIN + f"""
+        SELECT record_id, {R.PRIORITY.sql('p')} AS priority_level,
+               {R.RECOMMENDATION.sql('p')} AS investigation_recommendation,
+               {R.OUTCOME_TEXT.sql('p')} AS predicted_outcome,
+               CAST(p >= 0.5 AS INTEGER) AS predicted_class FROM sd"""),
+    "b21_decision_labels": with_cases(_STANDIN + f"""
+        SELECT record_id, {R.VERDICT.sql('p')} AS verdict,
+               ({R.OutOfRangeFlag().sql('age')}) = 1 AS vulnerability,
+               CASE WHEN ({R.OutOfRangeFlag().sql('age')}) = 1 THEN '{P.VULNERABLE_TEXT[0]}'
+                    ELSE '{P.VULNERABLE_TEXT[1]}' END AS vulnerability_label,
+               {R.PROFILE3.sql('p')} AS risk_profile,
+               CASE WHEN weapon_group = 'Firearm' THEN '{P.ADVICE_TEXT[0]}'
+                    ELSE '{P.ADVICE_TEXT[1]}' END AS advice,
+               CASE WHEN p > {P.LOCALITY_CUT} THEN 'positive' ELSE 'negative' END AS locality_impact,
+               CASE WHEN weapon_group = 'Other' THEN 'neutral' ELSE 'positive' END AS weapon_impact
+        FROM sd"""),
+    "b22_display_bands": with_cases(_STANDIN + f"""
+        SELECT record_id, {R.BANDS5.sql('p')} AS band FROM sd"""),
+    "a13_feature_catalogue": with_cases(f",{_LAB_BUCKETED}" + """
+        SELECT count(*) AS features_count, string_agg(feature, ', ' ORDER BY pos) AS features,
+               'ready' AS model_status FROM vocab"""),
+})
