@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from casebook import presets as P
 from casebook.operators.ranking import value_prefix_sums
+from casebook.session import cut_lineage
 
 
 def _pred(score: str, cut: float) -> Column:
@@ -120,11 +121,15 @@ def score_histogram(df: DataFrame, label: str, score: str, bins: int = 50) -> Da
 
 # ------------------------------------------------------------- D19 / D20
 def _by_score(df: DataFrame, label: str, score: str, groups: Sequence[str]) -> DataFrame:
+    """Positives and negatives per distinct score, checkpointed to the shared
+    checkpoint folder: the prefix-sum plan reads it three times (range,
+    bucket totals, main pass), and the upstream scoring is not recomputed."""
     y = F.col(label)
-    return (df.where(y.isNotNull() & F.col(score).isNotNull())
-              .groupBy(*groups, score)
-              .agg(F.sum(y).cast("long").alias("pos"),
-                   F.sum(1 - y).cast("long").alias("neg")))
+    g = (df.where(y.isNotNull() & F.col(score).isNotNull())
+           .groupBy(*groups, score)
+           .agg(F.sum(y).cast("long").alias("pos"),
+                F.sum(1 - y).cast("long").alias("neg")))
+    return cut_lineage(g)
 
 
 def auc(df: DataFrame, label: str, score: str, groups: Sequence[str] = ()) -> DataFrame:
