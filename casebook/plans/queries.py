@@ -703,3 +703,70 @@ def k1_stream_requests(spark, sf):
     src = scratch_path(spark, "requests")
     _requests(spark, sf).write.json(src)
     return score_folder(spark, src, fm, m)
+
+
+# ============================================================ sources, sinks, set ops
+from casebook.sources import sinks as SK  # noqa: E402
+from casebook.sources.cases import load_cases  # noqa: E402
+
+_CSV_NAMES = {"record_id": "Record ID", "outcome": "Crime Solved", "item": "Weapon",
+              "age": "Victim Age", "region": "State", "year": "Year"}
+
+
+@register("a1_csv_load")
+def a1_csv_load(spark, sf):
+    """A1-A3 + B1: the case table as the analysis's CSV shape (names with
+    spaces), written with Spark, read back with an explicit schema, names
+    normalised and the 0/1 label added."""
+    from casebook.plans.catalog import cases
+    src = cases(spark, sf).select(*[F.col(c).alias(n) for c, n in _CSV_NAMES.items()])
+    path = scratch_path(spark, "cases-csv")
+    SK.write_csv(src, path)
+    return load_cases(spark, path, schema=src.schema)
+
+
+@register("a5_rules_csv")
+def a5_rules_csv(spark, sf):
+    rules = IS.association_rules(_itemsets(spark, sf))
+    path = SK.write_rules_csv(rules, scratch_path(spark, "rules-csv"))
+    schema = ("antecedents string, consequents string, antecedent_support double, "
+              "consequent_support double, support double, confidence double, lift double, "
+              "leverage double, conviction double")
+    back = SK.read_csv(spark, path, schema)
+    return back.select("antecedents", "consequents",
+                       *[r6(c).alias(c) for c in ["antecedent_support", "consequent_support",
+                                                  "support", "confidence", "lift", "leverage",
+                                                  "conviction"]])
+
+
+@register("a6_cluster_csv")
+def a6_cluster_csv(spark, sf):
+    path = SK.write_assignments_csv(_seed_assignment(spark, sf), scratch_path(spark, "clusters"))
+    return SK.read_csv(spark, path, "record_id bigint, cluster int")
+
+
+@register("a7_ranked_open_csv")
+def a7_ranked_open_csv(spark, sf):
+    s = _scored(spark, sf).where(F.col("label") == 0).select("record_id", "price", "score")
+    path = SK.write_ranked_csv(s, scratch_path(spark, "ranked"), "score")
+    back = SK.read_csv(spark, path, "record_id bigint, price double, score double")
+    return back.select("record_id", "price", r6("score").alias("score"))
+
+
+@register("g1_vocab_drift")
+def g1_vocab_drift(spark, sf):
+    """G1: features the model expects that a scoring batch never produces
+    (expected EXCEPT ALL present).  Batch: the '1-URGENT' cases."""
+    lab = _bucketed_labelled(spark, sf)
+    v = FE.fit_vocab(lab, MODEL_NUMERIC, MODEL_CATEGORICAL)
+    expected = v.table(spark).select("feature")
+    df = derived_cases(spark, sf).where(F.col("label").isNotNull())
+    topk = FE.fit_topk(df, MODEL_CATEGORICAL, k=15)
+    batch = topk.apply(derived_cases(spark, sf).where(F.col("grp_a") == "1-URGENT"),
+                       MODEL_CATEGORICAL)
+    present = (batch.select(*MODEL_CATEGORICAL)
+                    .unpivot([], MODEL_CATEGORICAL, "column", "value")
+                    .where(F.col("value").isNotNull())
+                    .select(F.concat_ws("_", "column", "value").alias("feature")).distinct()
+                    .unionByName(spark.createDataFrame([(c,) for c in MODEL_NUMERIC], "feature string")))
+    return expected.exceptAll(present)

@@ -579,3 +579,22 @@ ORACLES.update({
         SELECT count(*) AS features_count, string_agg(feature, ', ' ORDER BY pos) AS features,
                'ready' AS model_status FROM vocab"""),
 })
+
+ORACLES.update({
+    "a1_csv_load": with_cases("""
+        SELECT record_id AS "Record_ID", outcome AS "Crime_Solved", item AS "Weapon",
+               age AS "Victim_Age", region AS "State", year AS "Year", label AS "Solved"
+        FROM cases"""),
+    "a5_rules_csv": ORACLES["d13_rules"],
+    "a6_cluster_csv": with_cases(_CL_SEED + " SELECT record_id, cluster FROM asg"),
+    "a7_ranked_open_csv": with_cases(f""",{_SCORED}
+        SELECT record_id, price, round(score, 6) AS score FROM scored WHERE label = 0"""),
+    "g1_vocab_drift": with_cases(f""",{_LAB_BUCKETED},
+        tk AS ({_topk_sql('lab', _MODEL_CAT)}),
+        batch AS (SELECT {', '.join(f"CASE WHEN CAST({c} AS VARCHAR) IN (SELECT value FROM tk WHERE col = '{c}') THEN CAST({c} AS VARCHAR) ELSE 'Other' END AS {c}" for c in _MODEL_CAT)}
+                  FROM cases WHERE grp_a = '1-URGENT'),
+        present AS (SELECT DISTINCT feature FROM (
+            {' UNION ALL '.join(f"SELECT '{c}_' || {c} AS feature FROM batch WHERE {c} IS NOT NULL" for c in _MODEL_CAT)}
+            UNION ALL SELECT 'age' UNION ALL SELECT 'units' UNION ALL SELECT 'year'))
+        SELECT feature FROM vocab EXCEPT ALL SELECT feature FROM present"""),
+})
