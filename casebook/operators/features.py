@@ -167,18 +167,31 @@ class Vocab:
         return cls(numeric, cats)
 
 
+class TooManyCategories(ValueError):
+    """The vocabulary would exceed its bound: bucket the column first."""
+
+
+def _bounded_collect(df: DataFrame, max_rows: int, what: str):
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise TooManyCategories(f"{what}: more than {max_rows} distinct values; "
+                                f"bucket with fit_topk first")
+    return rows
+
+
 def fit_vocab(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
-              drop_first: bool = True, sep: str = "_") -> Vocab:
+              drop_first: bool = True, sep: str = "_", max_categories: int = 100_000) -> Vocab:
     """Distinct non-null categories per column (one aggregate).  Bucket
-    high-cardinality columns first (``fit_topk``) so the vocabulary stays
-    bounded."""
+    high-cardinality columns first (``fit_topk``): the vocabulary is a
+    driver-side model, so its size is checked against ``max_categories``
+    before it is collected."""
     cats: dict = {c: [] for c in categorical}
     if categorical:
         long = (df.select(*[F.col(c).cast("string").alias(c) for c in categorical])
                   .unpivot([], list(categorical), "column", "value")
                   .where(F.col("value").isNotNull())
                   .distinct())
-        for r in long.orderBy("column", "value").collect():
+        for r in _bounded_collect(long.orderBy("column", "value"), max_categories, "vocabulary"):
             cats[r["column"]].append(r["value"])
     if drop_first:
         cats = {c: v[1:] for c, v in cats.items()}
@@ -207,10 +220,10 @@ class LabelCodes:
         return df.withColumns({f"{c}{suffix}": self.column(c) for c in self.values})
 
 
-def fit_label_codes(df: DataFrame, cols: Sequence[str]) -> LabelCodes:
+def fit_label_codes(df: DataFrame, cols: Sequence[str], max_categories: int = 100_000) -> LabelCodes:
     long = (df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias(c) for c in cols])
               .unpivot([], list(cols), "column", "value").distinct())
     vals: dict = {c: [] for c in cols}
-    for r in long.orderBy("column", "value").collect():
+    for r in _bounded_collect(long.orderBy("column", "value"), max_categories, "label codes"):
         vals[r["column"]].append(r["value"])
     return LabelCodes(vals)

@@ -285,9 +285,9 @@ def profiles(assigned: DataFrame, cols: Sequence[str], k: int,
     (ties -> smallest, 'N/A' when empty) and rule notes; clusters without
     rows are listed with size 0."""
     spark = assigned.sparkSession
-    agg = assigned.groupBy("cluster").agg(
-        F.count(F.lit(1)).alias("size"),
-        *[F.mode(c, True).alias(f"mode_{c}") for c in cols])
+    from casebook.operators.rates import modes as _modes
+    sizes = assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    agg = sizes.join(_modes(assigned, cols, by=["cluster"]), "cluster", "left")
     all_k = spark.range(k).select(F.col("id").cast("int").alias("cluster"))
     total = assigned.select(F.count(F.lit(1))).scalar()
     out = (all_k.join(agg, "cluster", "left")

@@ -51,12 +51,17 @@ def rate_tables_long(df: DataFrame, cols: Sequence[str], label: str, top: int =
               .where(F.col("category").isNotNull()))
     agg = (long.groupBy("feature", "category")
                .agg(F.avg(label).alias("rate"), F.count(F.lit(1)).alias("cases")))
+    # category count per feature: a second small aggregate (one row per
+    # feature) instead of a count window, so the ranking window below is a
+    # plain row_number <= top that Spark limits per partition before the
+    # shuffle (WindowGroupLimit) -- a feature with millions of categories
+    # never lands whole in one task.
+    n_cat = agg.groupBy("feature").agg(
+        F.greatest(F.count(F.lit(1)) - top, F.lit(0)).alias("other_categories"))
     w = Window.partitionBy("feature").orderBy(F.col("rate").desc_nulls_last(), F.col("category"))
-    wf = Window.partitionBy("feature")
-    ranked = (agg.withColumn("rank", F.row_number().over(w))
-                 .withColumn("other_categories",
-                             F.greatest(F.count(F.lit(1)).over(wf) - top, F.lit(0))))
-    return ranked.where(F.col("rank") <= top)
+    ranked = agg.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    # bound: one row per listed column
+    return ranked.join(F.broadcast(n_cat), "feature", "inner")
 
 
 # ------------------------------------------------------------------- D3
@@ -88,10 +93,30 @@ def value_counts(df: DataFrame, col: str, name: str = "n") -> DataFrame:
 def modes(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (),
           empty: str = "N/A") -> DataFrame:
     """Most frequent non-null value per column (ties -> smallest, N10);
-    a group without any value gets ``empty``."""
-    aggs = [F.coalesce(F.mode(c, True).cast("string"), F.lit(empty)).alias(f"mode_{c}")
-            for c in cols]
-    return df.groupBy(*by).agg(*aggs)
+    a group without any value gets ``empty``.
+
+    Two aggregates instead of a per-group value->count map: counts per
+    (group, column, value) with map-side combine, then the top value per
+    (group, column) by ``min(struct(-n, value))``; a hot group with many
+    distinct values never builds one large in-memory map."""
+    by = list(by)
+    long = (df.select(*by, *[F.col(c).cast("string").alias(c) for c in cols])
+              .unpivot(by or [], list(cols), "_column", "_value")
+              .where(F.col("_value").isNotNull()))
+    counts = long.groupBy(*by, "_column", "_value").agg(F.count(F.lit(1)).alias("_n"))
+    best = (counts.groupBy(*by, "_column")
+                  .agg(F.min(F.struct((-F.col("_n")).alias("k"), F.col("_value").alias("v")))
+                        ["v"].alias("_mode")))
+    wide = best.groupBy(*by).pivot("_column", list(cols)).agg(F.first("_mode"))
+    if by:
+        # groups whose columns are all NULL still get a row ('N/A')
+        groups = df.select(*by).distinct()
+        w2 = wide.select(*[F.col(b).alias(f"_g{i}") for i, b in enumerate(by)], *cols)
+        out = (groups.join(w2, [groups[b].eqNullSafe(w2[f"_g{i}"]) for i, b in enumerate(by)],
+                           "left").select(*by, *cols))
+    else:
+        out = wide
+    return out.select(*by, *[F.coalesce(F.col(c), F.lit(empty)).alias(f"mode_{c}") for c in cols])
 
 
 # ------------------------------------------------------------------- D7

@@ -104,3 +104,12 @@ def test_class_weights(spark):
     df = spark.createDataFrame([(1,), (0,), (0,), (0,), (None,)], "y int")
     w = {r["y"]: r["weight"] for r in SP.class_weights(df, "y").collect()}
     assert w == {1: 4 / 2, 0: 4 / 6}
+
+
+def test_vocab_size_is_checked(spark):
+    import pytest
+    df = spark.range(50).selectExpr("cast(id as string) as v")
+    with pytest.raises(FE.TooManyCategories):
+        FE.fit_vocab(df, [], ["v"], max_categories=10)
+    m = FE.fit_topk(df, ["v"], k=5)
+    assert len(FE.fit_vocab(m.apply(df), [], ["v"], max_categories=10).features) == 5
