@@ -23,7 +23,8 @@ from casebook.plans.joins import broadcast_if_small
 def impute_mode(df: DataFrame, col: str, token: str = "Unknown") -> DataFrame:
     """Replace the value ``token`` by the column's mode (ties -> smallest);
     NULLs stay NULL; a no-op when the mode is ``token`` itself."""
-    mode = df.select(F.mode(col, True)).first()[0]
+    from casebook.operators.rates import modes
+    mode = modes(df, [col], empty=None).first()[0]  # two-stage, no value map
     if mode is None:
         return df
     return df.withColumn(col, F.when(F.col(col) == token, F.lit(mode)).otherwise(F.col(col)))

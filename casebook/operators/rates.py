@@ -116,7 +116,8 @@ def modes(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (),
                            "left").select(*by, *cols))
     else:
         out = wide
-    return out.select(*by, *[F.coalesce(F.col(c), F.lit(empty)).alias(f"mode_{c}") for c in cols])
+    fill = (lambda c: F.col(c)) if empty is None else (lambda c: F.coalesce(F.col(c), F.lit(empty)))
+    return out.select(*by, *[fill(c).alias(f"mode_{c}") for c in cols])
 
 
 # ------------------------------------------------------------------- D7
