@@ -79,7 +79,8 @@ def random_forest(train: DataFrame, params: ForestParams = FOREST_B, label: str
                                 minInstancesPerNode=params.min_leaf,
                                 featureSubsetStrategy=params.feature_subset,
                                 bootstrap=params.bootstrap, seed=params.seed,
-                                impurity="gini")
+                                impurity="gini", cacheNodeIds=True, maxMemoryInMB=512,
+                                checkpointInterval=10)
     if params.weighted:
         rf = rf.setWeightCol(weight)
     return rf.fit(train)

@@ -48,6 +48,18 @@ def stratified_folds(df: DataFrame, key: Sequence[str], label: str, k: int = P.C
              .drop("rank", "stratum_size"))
 
 
+def split_and_folds(df: DataFrame, key: Sequence[str], label: str,
+                    test_fraction: float = P.SPLIT_TEST_FRACTION, k: int = P.CV_FOLDS,
+                    seed=P.SPLIT_SEED) -> DataFrame:
+    """I4 + I5 from one ranking pass: same ``split`` and ``fold`` columns as
+    ``stratified_split`` and ``stratified_folds``."""
+    r = hash_rank(df.where(F.col(label).isNotNull()), key, seed, strata=[label])
+    n_test = F.ceil(F.col("stratum_size") * test_fraction - EPS)
+    return (r.withColumn("split", F.when(F.col("rank") <= n_test, "test").otherwise("train"))
+             .withColumn("fold", ((F.col("rank") - 1) % k).cast("int"))
+             .drop("rank", "stratum_size"))
+
+
 def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """Balanced weights ``n / (n_classes * n_c)`` (one small aggregate)."""
     counts = (df.where(F.col(label).isNotNull()).groupBy(label)

@@ -770,3 +770,45 @@ def g1_vocab_drift(spark, sf):
                     .select(F.concat_ws("_", "column", "value").alias("feature")).distinct()
                     .unionByName(spark.createDataFrame([(c,) for c in MODEL_NUMERIC], "feature string")))
     return expected.exceptAll(present)
+
+
+@register("i13_forest_a_importance")
+def i13_forest_a_importance(spark, sf):
+    """The first forest of the analysis (100 trees, depth 15, min leaf
+    10, sqrt features, balanced weights), importance table and test AUC."""
+    p = _prepared(spark, sf, "rf")
+    m = MD.random_forest(p.frame.where(F.col("split") == "train"), MD.FOREST_A)
+    imp = MD.importance_table(m, p.features.vocab)
+    a = EV.auc(MD.score(m, p.frame.where(F.col("split") == "test")), "label", "probability_1")
+    return rates.head(imp, 10, "importance", "feature").withColumn(
+        "test_auc", F.lit(a.first()["auc"]))
+
+
+# ============================================================ second binding: documents
+DOC_COLS = ["lang", "source", "toxic"]
+
+
+@register("d2_documents_rates")
+def d2_documents_rates(spark, sf):
+    t = rates.rate_tables_long(documents(spark, sf), ["lang", "source"], "quality", top=5)
+    return t.select("feature", "category", r6("rate").alias("rate"), "cases", "rank",
+                    "other_categories")
+
+
+def _doc_itemsets(spark, sf):
+    return IS.frequent_itemsets(documents(spark, sf).where(F.col("quality") == 0), DOC_COLS)
+
+
+@register("d12_documents_itemsets")
+def d12_documents_itemsets(spark, sf):
+    return _doc_itemsets(spark, sf).select("items_text", "size", "n",
+                                           r6("support").alias("support"))
+
+
+@register("d13_documents_rules")
+def d13_documents_rules(spark, sf):
+    r = IS.rules_for_csv(IS.association_rules(_doc_itemsets(spark, sf)))
+    return r.select("antecedents", "consequents",
+                    *[r6(c).alias(c) for c in ["antecedent_support", "consequent_support",
+                                               "support", "confidence", "lift", "leverage",
+                                               "conviction"]])

@@ -117,12 +117,13 @@ def prepare(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
             seed: int = P.SPLIT_SEED) -> Prepared:
     """Labelled rows -> exact stratified split + folds -> feature model fitted
     on train -> encoded frame with balanced weights, cached once."""
-    lab = df.where(F.col(label).isNotNull())
-    s = SP.stratified_split(lab, [key], label, seed=seed)
-    s = SP.stratified_folds(s, [key], label, seed=seed)
+    from pyspark import StorageLevel
+    s = SP.split_and_folds(df, [key], label, seed=seed).persist(StorageLevel.MEMORY_AND_DISK)
     train = s.where(F.col("split") == "train")
     fm = fit_features(train, numeric, categorical, label, rate_key)
     enc = fm.encode(s, keep=[key, label, "split", "fold"])
     enc = SP.with_class_weights(enc, label, basis=train).withColumn(
-        label, F.col(label).cast("double"))
-    return Prepared(fm, enc.cache())
+        label, F.col(label).cast("double")).persist(StorageLevel.MEMORY_AND_DISK)
+    enc.count()          # materialise, then release the split frame
+    s.unpersist()
+    return Prepared(fm, enc)

@@ -302,30 +302,30 @@ ORACLES.update({
 _ASSOC = ["item_group", "grp_b_simple", "grp_a", "age_cat", "region"]
 
 
-def _itemsets_sql() -> str:
+def _itemsets_sql(src: str = "SELECT * FROM cases WHERE label = 0", cols=None,
+                  min_support: float = 0.01) -> str:
     from itertools import combinations
-    sets = ", ".join("(" + ", ".join(s) + ")" for j in (1, 2, 3) for s in combinations(_ASSOC, j))
+    cols = cols or _ASSOC
+    sets = ", ".join("(" + ", ".join(s) + ")" for j in (1, 2, 3) for s in combinations(cols, j))
     items = ", ".join(
-        f"CASE WHEN grouping({c}) = 0 THEN '{c}_' || {c} END" for c in _ASSOC)
-    nulls = " AND ".join(f"NOT (grouping({c}) = 0 AND {c} IS NULL)" for c in _ASSOC)
+        f"CASE WHEN grouping({c}) = 0 THEN '{c}_' || CAST({c} AS VARCHAR) END" for c in cols)
+    nulls = " AND ".join(f"NOT (grouping({c}) = 0 AND {c} IS NULL)" for c in cols)
     return f"""
-    , o AS (SELECT * FROM cases WHERE label = 0),
+    , o AS ({src}),
     tot AS (SELECT count(*) AS total FROM o),
     iset AS (
       SELECT list_sort(list_distinct([{items}])) AS items, count(*) AS n
       FROM o GROUP BY GROUPING SETS ({sets})
-      HAVING {nulls} AND count(*) >= 0.01 * (SELECT total FROM tot)),
+      HAVING {nulls} AND count(*) >= {min_support} * (SELECT total FROM tot)),
     its AS (SELECT items, array_to_string(items, ', ') AS items_text,
                    CAST(len(items) AS INTEGER) AS size, n,
                    n / (SELECT CAST(total AS DOUBLE) FROM tot) AS support FROM iset)"""
 
 
-def _rules_sql() -> str:
+def _rules_sql(src: str = "SELECT * FROM cases WHERE label = 0", cols=None) -> str:
     splits = []
-    # size 2: {1}->{2}, {2}->{1}
     for a, c in (([1], [2]), ([2], [1])):
         splits.append((a, c, 2))
-    # size 3: singletons and pairs
     for a, c in (([1], [2, 3]), ([2], [1, 3]), ([3], [1, 2]),
                  ([2, 3], [1]), ([1, 3], [2]), ([1, 2], [3])):
         splits.append((a, c, 3))
@@ -334,7 +334,7 @@ def _rules_sql() -> str:
         at = " || ', ' || ".join(f"items[{i}]" for i in a)
         ct = " || ', ' || ".join(f"items[{i}]" for i in c)
         parts.append(f"SELECT {at} AS ant, {ct} AS con, support FROM its WHERE size = {k}")
-    return _itemsets_sql() + f""",
+    return _itemsets_sql(src, cols) + f""",
     sp AS ({' UNION ALL '.join(parts)}),
     rl AS (
       SELECT sp.ant AS antecedents, sp.con AS consequents,
@@ -348,14 +348,19 @@ def _rules_sql() -> str:
       WHERE sp.support / a.support / c.support >= 1.2)"""
 
 
-ORACLES.update({
-    "d12_itemsets": with_cases(_itemsets_sql() + """
-        SELECT items_text, size, n, round(support, 6) AS support FROM its"""),
-    "d13_rules": with_cases(_rules_sql() + """
+_RULES_OUT = """
         SELECT antecedents, consequents, round(antecedent_support, 6) AS antecedent_support,
                round(consequent_support, 6) AS consequent_support, round(support, 6) AS support,
                round(confidence, 6) AS confidence, round(lift, 6) AS lift,
-               round(leverage, 6) AS leverage, round(conviction, 6) AS conviction FROM rl"""),
+               round(leverage, 6) AS leverage, round(conviction, 6) AS conviction FROM rl"""
+
+_DOCS = "SELECT d.doc_id, d.lang, d.source, l.quality, l.toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id"
+_DOC_COLS = ["lang", "source", "toxic"]
+
+ORACLES.update({
+    "d12_itemsets": with_cases(_itemsets_sql() + """
+        SELECT items_text, size, n, round(support, 6) AS support FROM its"""),
+    "d13_rules": with_cases(_rules_sql() + _RULES_OUT),
     "d13_top10_rules": with_cases(_rules_sql() + """
         , t AS (SELECT * FROM rl ORDER BY lift DESC, antecedents, consequents LIMIT 10)
         SELECT CAST(row_number() OVER (ORDER BY lift DESC, antecedents, consequents) AS INTEGER) AS rank,
@@ -598,3 +603,22 @@ ORACLES.update({
             UNION ALL SELECT 'age' UNION ALL SELECT 'units' UNION ALL SELECT 'year'))
         SELECT feature FROM vocab EXCEPT ALL SELECT feature FROM present"""),
 })
+
+ORACLES.update({
+    "d2_documents_rates": f"""
+        WITH docs AS ({_DOCS}),
+        long AS (SELECT 'lang' AS feature, CAST(lang AS VARCHAR) AS category, quality FROM docs
+                 UNION ALL SELECT 'source', CAST(source AS VARCHAR), quality FROM docs),
+        agg AS (SELECT feature, category, avg(quality) AS rate, count(*) AS cases
+                FROM long WHERE category IS NOT NULL GROUP BY feature, category),
+        ranked AS (SELECT *, {_rank('rate DESC NULLS LAST, category', 'feature')} AS rank,
+                          greatest(count(*) OVER (PARTITION BY feature) - 5, 0) AS other_categories
+                   FROM agg)
+        SELECT feature, category, round(rate, 6) AS rate, cases, rank, other_categories
+        FROM ranked WHERE rank <= 5""",
+    "d12_documents_itemsets": "WITH base AS (SELECT 1)" + _itemsets_sql(
+        _DOCS + " WHERE l.quality = 0", _DOC_COLS) + """
+        SELECT items_text, size, n, round(support, 6) AS support FROM its""",
+    "d13_documents_rules": "WITH base AS (SELECT 1)" + _rules_sql(
+        _DOCS + " WHERE l.quality = 0", _DOC_COLS) + _RULES_OUT,
+})

@@ -113,3 +113,12 @@ def test_vocab_size_is_checked(spark):
         FE.fit_vocab(df, [], ["v"], max_categories=10)
     m = FE.fit_topk(df, ["v"], k=5)
     assert len(FE.fit_vocab(m.apply(df), [], ["v"], max_categories=10).features) == 5
+
+
+def test_split_and_folds_agree_with_separate_passes(spark):
+    rows = [(i, 1 if i % 5 == 0 else 0) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, y int")
+    both = {r["id"]: (r["split"], r["fold"]) for r in SP.split_and_folds(df, ["id"], "y").collect()}
+    s = {r["id"]: r["split"] for r in SP.stratified_split(df, ["id"], "y").collect()}
+    f = {r["id"]: r["fold"] for r in SP.stratified_folds(df, ["id"], "y").collect()}
+    assert both == {i: (s[i], f[i]) for i in s}
