@@ -49,11 +49,46 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="casebook-ckpt-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError(
+                "spark.checkpoint.dir is not set: name a folder every executor can reach "
+                "(a machine-local folder does not survive the loss of that machine)")
+        configured = tempfile.mkdtemp(prefix="casebook-ckpt-")  # local mode / tests only
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
 
+def size_for_input(spark: SparkSession, input_bytes: int, partition_bytes: int = 256 << 20,
+                   max_partitions: int = 200_000) -> dict:
+    """Size scan splits and shuffles for an input of ``input_bytes``.
+
+    Scan tasks read ``partition_bytes`` of files each; the first shuffle
+    starts with about one partition per ``partition_bytes`` of input
+    (bounded), and AQE coalesces small partitions towards the same advisory
+    size and splits skewed ones, so tasks stay in executor memory at any
+    scale.  Runtime SQL settings only: safe to call on a live session."""
+    n = max(spark.sparkContext.defaultParallelism * 2,
+            min(max_partitions, -(-input_bytes // partition_bytes)))
+    conf = {
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(n),
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(partition_bytes * 4),
+    }
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    return conf
+
+
+def folder_bytes(path: str) -> int:
+    """Size of a local folder (for ``size_for_input`` in local runs)."""
+    total = 0
+    for root, _, files in os.walk(path):
+        total += sum(os.path.getsize(os.path.join(root, f)) for f in files)
+    return total
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder (never machine-local
     on a cluster)."""

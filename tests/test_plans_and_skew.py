@@ -82,3 +82,18 @@ def test_itemsets_with_hot_tuple(spark):
     df = spark.createDataFrame(rows, "c1 string, c2 string")
     its = {r["items_text"]: r["n"] for r in IS.frequent_itemsets(df, ["c1", "c2"], 0.01).collect()}
     assert its["c1_a, c2_x"] == 1000 and its["c1_a"] == 1000
+
+
+def test_size_for_input_bounds(spark):
+    from casebook.session import size_for_input
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions",
+                                          "spark.sql.files.maxPartitionBytes")}
+    try:
+        big = size_for_input(spark, 100 * 1024 ** 4)
+        assert int(big["spark.sql.shuffle.partitions"]) == 200_000
+        small = size_for_input(spark, 10 << 20)
+        assert int(small["spark.sql.shuffle.partitions"]) == spark.sparkContext.defaultParallelism * 2
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
