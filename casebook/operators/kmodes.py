@@ -305,3 +305,15 @@ def profiles(assigned: DataFrame, cols: Sequence[str], k: int,
                 arms.append(F.when(~hit, F.lit(r.negate_note)))
         out = out.withColumn("notes", F.array_join(F.array_compact(F.array(*arms)), "; "))
     return out
+
+
+def enough_rows(df: DataFrame, min_rows: int = 10) -> bool:
+    """Clustering needs at least ``min_rows`` rows; one bounded
+    ``limit(min_rows).count()`` job answers it without a full count."""
+    return df.limit(min_rows).count() >= min_rows
+
+
+def fit_if_enough(df: DataFrame, cols: Sequence[str], k: int, min_rows: int = 10,
+                  **kw) -> KModesModel | None:
+    """``fit`` guarded by ``enough_rows``; None when the input is too small."""
+    return fit(df, cols, k, **kw) if enough_rows(df, min_rows) else None

@@ -812,3 +812,12 @@ def d13_documents_rules(spark, sf):
                     *[r6(c).alias(c) for c in ["antecedent_support", "consequent_support",
                                                "support", "confidence", "lift", "leverage",
                                                "conviction"]])
+
+
+@register("i10_kmodes_cost")
+def i10_kmodes_cost(spark, sf):
+    """Cost (summed matching distance) of the open cases under the fixed
+    modes, and the rows assigned."""
+    a = _seed_assignment(spark, sf)
+    return a.agg(F.sum("distance").cast("long").alias("cost"),
+                 F.count(F.lit(1)).alias("n_rows"))

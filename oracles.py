@@ -622,3 +622,8 @@ ORACLES.update({
     "d13_documents_rules": "WITH base AS (SELECT 1)" + _rules_sql(
         _DOCS + " WHERE l.quality = 0", _DOC_COLS) + _RULES_OUT,
 })
+
+ORACLES.update({
+    "i10_kmodes_cost": with_cases(_CL_SEED + """
+        SELECT CAST(sum(distance) AS BIGINT) AS cost, count(*) AS n_rows FROM asg"""),
+})

@@ -92,3 +92,10 @@ def test_out_of_fold_covers_every_row(spark):
     assert oof.count() == p.frame.count()
     cv = MD.cv_auc(oof).first()
     assert cv["folds"] == 5 and 0 <= cv["mean_auc"] <= 1
+
+
+def test_minimum_rows_guard(spark):
+    small = spark.createDataFrame([("x", "p", "u")] * 9, "a string, b string, c string")
+    assert KM.fit_if_enough(small, COLS, 2) is None
+    ok = spark.createDataFrame([("x", "p", "u")] * 10, "a string, b string, c string")
+    assert KM.fit_if_enough(ok, COLS, 2, n_init=1).cost == 0
