@@ -584,11 +584,30 @@ def i5_cv_auc(spark, sf):
     return MD.cv_auc(oof)
 
 
+def _oof_forest(spark, sf):
+    """Out-of-fold forest predictions of every labelled row (5 fits), cached
+    once per session and shared by I15 and the out-of-fold ranking."""
+    key = (spark.sparkContext.applicationId, sf, "rf_oof")
+    if key not in _PREP:
+        p = _prepared(spark, sf, "rf")
+        oof = MD.out_of_fold(p.frame, lambda d: MD.random_forest(d, MD.FOREST_B))
+        _PREP[key] = oof.select("record_id", "label", "fold", "probability_1", "predicted").cache()
+    return _PREP[key]
+
+
 @register("i15_oof_accuracy")
 def i15_oof_accuracy(spark, sf):
-    p = _prepared(spark, sf, "rf")
-    oof = MD.out_of_fold(p.frame, lambda d: MD.random_forest(d, MD.FOREST_B))
-    return MD.oof_accuracy(oof)
+    return MD.oof_accuracy(_oof_forest(spark, sf))
+
+
+@register("i18_rank_open_oof")
+def i18_rank_open_oof(spark, sf):
+    """I18 with ``out_of_fold=True``: each open case is scored by the forest
+    trained on the folds that do not contain it."""
+    oof = _oof_forest(spark, sf).where(F.col("label") == 0).select("record_id", "probability_1")
+    df = derived_cases(spark, sf).where(F.col("label") == 0)
+    return (df.join(oof, "record_id", "inner")
+              .orderBy(F.col("probability_1").desc(), F.col("record_id")))
 
 
 # ============================================================ step 8: scoring

@@ -47,3 +47,9 @@ def test_csv_loader_normalises_and_labels(spark):
     assert "Crime_Solved" in got[0].asDict()
     with pytest.raises(MissingSourceError):
         load_cases(spark, path + "-absent")
+
+
+def test_optional_column_probing_and_rows_source(spark):
+    from casebook.sources.cases import available, cases_from_rows
+    df = cases_from_rows(spark, [(1, "x")], "id int, Weapon string")
+    assert available(df, ["Weapon", "State", "id"]) == ["Weapon", "id"]

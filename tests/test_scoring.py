@@ -100,3 +100,14 @@ def test_score_cases_tiers(spark):
     out = SC.score_cases(cases, fm, m, timestamp="t0").collect()
     assert len(out) == 2 and all(r["priority_level"] for r in out)
     assert all(r["prediction_timestamp"] == "t0" for r in out)
+
+
+def test_documented_ranges_are_optional_errors(spark):
+    rows = [("a", "35", "2020", "1"), ("b", "101", "2020", "1"), ("c", "30", "1975", "1"),
+            ("d", "30", "2020", "-2")]
+    df = spark.createDataFrame(
+        [(r, None, a, None, None, None, y, v, None) for r, a, y, v in rows], SC.REQUEST_SCHEMA)
+    loose = {r["request_id"]: r["error"] for r in SC.coerce_requests(df).collect()}
+    assert all(e is None for e in loose.values())
+    strict = {r["request_id"]: r["error"] for r in SC.coerce_requests(df, check_ranges=True).collect()}
+    assert strict["a"] is None and all(strict[k] for k in "bcd")
