@@ -19,6 +19,7 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from casebook.plans.joins import broadcast_bounded
 
@@ -157,3 +158,72 @@ def exact_quantile(df: DataFrame, col: str, q: float) -> float | None:
     vals = kth_values(df, col, [lo_k, hi_k])
     frac = pos - int(pos)
     return vals[lo_k] + (vals[hi_k] - vals[lo_k]) * frac
+
+
+def _lex_le(cols, values, types) -> Column:
+    """(c1, c2, ...) <= (v1, v2, ...) in lexicographic order."""
+    c, v, t = F.col(cols[-1]), values[-1], types[-1]
+    out = c <= F.lit(v).cast(t)
+    for c_name, val, typ in reversed(list(zip(cols[:-1], values[:-1], types[:-1]))):
+        col, lit = F.col(c_name), F.lit(val).cast(typ)
+        out = (col < lit) | ((col == lit) & out)
+    return out
+
+
+def first_by_hash(df: DataFrame, key_cols: Sequence[str], seed, strata: Sequence[str],
+                  how_many, out: str = "_first", prefix_hex: int = 4) -> DataFrame:
+    """Flag the first ``how_many(stratum_size)`` rows of each stratum in
+    ``md5(key|seed)`` order (ties by key) -- without ranking every row.
+
+    ``how_many`` maps the stratum-size Column to the wanted count (e.g.
+    ``ceil(0.3 * n)``).  Plan: one partial aggregate of bucket counts (at
+    most strata x 16**prefix_hex rows), the boundary bucket of each stratum
+    from running sums over that small table, a rank inside the boundary
+    buckets only (about n / 16**prefix_hex rows), then a map-only
+    comparison against one threshold per stratum.  Same rows as
+    ``hash_rank(...)['rank'] <= how_many(size)``; strata must be few.
+    """
+    strata = list(strata)
+    keys = list(key_cols)
+    d = (df.withColumn("_h", hash_text(keys, seed))
+           .withColumn("_b", F.conv(F.substring("_h", 1, prefix_hex), 16, 10).cast("int")))
+    counts = d.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    wcum = Window.partitionBy(*strata).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    c = (counts.withColumn("_cum", F.sum("_n").over(wcum))
+               .withColumn("_need", how_many(F.sum("_n").over(Window.partitionBy(*strata)))))
+    bounds = (c.where((F.col("_cum") >= F.col("_need")) & (F.col("_cum") - F.col("_n") < F.col("_need")))
+               .select(*strata, "_b", (F.col("_need") - F.col("_cum") + F.col("_n")).alias("_take"))
+               .collect())                                   # one row per stratum
+    if not bounds:
+        return d.withColumn(out, F.lit(False)).drop("_h", "_b")
+
+    def in_stratum(r) -> Column:
+        cond = F.lit(True)
+        for s in strata:
+            cond = cond & (F.col(s) == F.lit(r[s]))
+        return cond
+
+    in_boundary = None
+    for r in bounds:
+        t = in_stratum(r) & (F.col("_b") == F.lit(r["_b"]))
+        in_boundary = t if in_boundary is None else (in_boundary | t)
+    wb = Window.partitionBy(*strata).orderBy("_h", *keys)
+    take = {tuple(r[s] for s in strata): r["_take"] for r in bounds}
+    ranked = (d.where(in_boundary).select(*strata, "_h", *keys)
+               .withColumn("_rn", F.row_number().over(wb)))
+    cut_rows = None
+    for r in bounds:
+        t = in_stratum(r) & (F.col("_rn") == F.lit(r["_take"]))
+        cut_rows = t if cut_rows is None else (cut_rows | t)
+    cuts = {tuple(r[s] for s in strata): r for r in ranked.where(cut_rows).collect()}
+
+    flag = F.lit(False)
+    for r in bounds:
+        sk = tuple(r[s] for s in strata)
+        cut = cuts[sk]
+        le_cut = _lex_le(["_h"] + keys, [cut["_h"]] + [cut[k] for k in keys],
+                         [T.StringType()] + [d.schema[k].dataType for k in keys])
+        hit = in_stratum(r) & ((F.col("_b") < F.lit(r["_b"]))
+                               | ((F.col("_b") == F.lit(r["_b"])) & le_cut))
+        flag = flag | hit
+    return d.withColumn(out, flag).drop("_h", "_b")

@@ -1,8 +1,11 @@
 """Exact, reproducible sampling and splits.
 
-Row order is ``md5(key | seed)`` (identical bytes in any SQL engine), and
-ranks come from ``ranking.hash_rank`` — bucketed by hash prefix, so no step
-sorts a whole class in one task.
+Row order is ``md5(key | seed)`` (identical bytes in any SQL engine).
+Samples and splits only need "the first n rows of each class", which
+``ranking.first_by_hash`` answers with one threshold per class (a map-only
+pass over the data after two small jobs); folds need every row's rank and
+use ``ranking.hash_rank`` (bucketed by hash prefix, so no step sorts a whole
+class in one task).
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casebook import presets as P
-from casebook.operators.ranking import hash_rank
+from casebook.operators.ranking import first_by_hash, hash_rank
 
 EPS = 1e-9  # guards ceil(0.3 * n) against 0.3 * 10 = 3.0000000000000004
 
@@ -23,9 +26,8 @@ def exact_sample(df: DataFrame, key: Sequence[str], fraction: float = P.SAMPLE_F
     """Exactly ``round_half_even(fraction * n)`` rows, without
     replacement, chosen by hash order.  (``df.sample`` is Bernoulli: only
     approximately ``fraction``.)"""
-    r = hash_rank(df, key, seed)
-    n_keep = F.bround(F.col("stratum_size") * fraction, 0)
-    return r.where(F.col("rank") <= n_keep).drop("rank", "stratum_size")
+    f = first_by_hash(df, key, seed, [], lambda n: F.bround(n * fraction, 0), out="_keep")
+    return f.where(F.col("_keep")).drop("_keep")
 
 
 def stratified_split(df: DataFrame, key: Sequence[str], label: str,
@@ -34,10 +36,10 @@ def stratified_split(df: DataFrame, key: Sequence[str], label: str,
     """I4: per class, the first ``ceil(test_fraction * n_class)`` rows in
     hash order are 'test', the rest 'train' (exact class proportions).
     Rows with a NULL label are left out."""
-    r = hash_rank(df.where(F.col(label).isNotNull()), key, seed, strata=[label])
-    n_test = F.ceil(F.col("stratum_size") * test_fraction - EPS)
-    return (r.withColumn(out, F.when(F.col("rank") <= n_test, "test").otherwise("train"))
-             .drop("rank", "stratum_size"))
+    f = first_by_hash(df.where(F.col(label).isNotNull()), key, seed, [label],
+                      lambda n: F.ceil(n * test_fraction - EPS), out="_test")
+    return (f.withColumn(out, F.when(F.col("_test"), "test").otherwise("train"))
+             .drop("_test"))
 
 
 def stratified_folds(df: DataFrame, key: Sequence[str], label: str, k: int = P.CV_FOLDS,

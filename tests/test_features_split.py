@@ -122,3 +122,17 @@ def test_split_and_folds_agree_with_separate_passes(spark):
     s = {r["id"]: r["split"] for r in SP.stratified_split(df, ["id"], "y").collect()}
     f = {r["id"]: r["fold"] for r in SP.stratified_folds(df, ["id"], "y").collect()}
     assert both == {i: (s[i], f[i]) for i in s}
+
+
+def test_first_by_hash_matches_rank_cut(spark):
+    from casebook.operators.ranking import first_by_hash
+    rows = [(i * 7919, i % 3) for i in range(600)]
+    df = spark.createDataFrame(rows, "id bigint, g int")
+    want = _brute_rank(pd.DataFrame(rows, columns=["id", "g"]), 5, ["g"])
+    for frac in (0.0, 0.37, 1.0):
+        got = {r["id"]: r["_first"] for r in first_by_hash(
+            df, ["id"], 5, ["g"], lambda n: F.ceil(n * frac - 1e-9), prefix_hex=2).collect()}
+        n_by_g = {g: sum(1 for _, x in rows if x == g) for g in range(3)}
+        import math
+        exp = {i: want[i] <= math.ceil(n_by_g[g] * frac - 1e-9) for i, g in rows}
+        assert got == exp
