@@ -647,9 +647,8 @@ def b20_score_tiers(spark, sf):
 @register("b21_decision_labels")
 def b21_decision_labels(spark, sf):
     d = _standin(spark, sf)
-    resp = SC.decision_labels(F.col("p"), F.col("age"), F.col("weapon_group"),
-                              F.col("age_category"), F.col("region"), F.col("p"))
-    r = d.select("record_id", resp.alias("r"))
+    r = SC.with_decision_labels(d, "p", "age", "weapon_group", "age_category", "region", "p",
+                                out="r").select("record_id", "r")
     return r.select("record_id", F.col("r.verdict").alias("verdict"),
                     F.col("r.vulnerability").alias("vulnerability"),
                     F.col("r.vulnerability_label").alias("vulnerability_label"),

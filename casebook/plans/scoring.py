@@ -106,46 +106,59 @@ def coerce_requests(df: DataFrame, defaults: dict = P.REQUEST_DEFAULTS,
 
 
 # ------------------------------------------------------------------ B21
-def decision_labels(prob: Column, age: Column, weapon_group: Column, age_group: Column,
-                    state: Column, rate: Column) -> Column:
-    """A12 response struct from a probability and the request fields."""
-    vuln = R.OutOfRangeFlag().column(age) == 1
-    vlabel = F.when(vuln, F.lit(P.VULNERABLE_TEXT[0])).otherwise(F.lit(P.VULNERABLE_TEXT[1]))
-    firearm = weapon_group == F.lit("Firearm")
-    pct = F.format_string("%.1f%%", prob * 100)
+def with_decision_labels(df: DataFrame, prob: str, age: str, weapon_group: str,
+                         age_group: str, state: str, rate: str, out: str = "response") -> DataFrame:
+    """Add the A12 response struct.  The parts used several times (flag,
+    labels, percent text) are computed once as columns first; the struct is
+    then assembled from column references, which keeps the generated code
+    small enough for the JIT."""
+    a = P.ANALYSIS_TEXT
+    p = F.col(prob)
+    d = df.withColumns({
+        "_vuln": R.OutOfRangeFlag().column(age) == 1,
+        "_firearm": F.col(weapon_group) == F.lit("Firearm"),
+        "_pct": F.format_string("%.1f%%", p * 100),
+        "_state": F.coalesce(F.col(state), F.lit("None")),
+    })
+    d = d.withColumns({
+        "_vlabel": F.when(F.col("_vuln"), F.lit(P.VULNERABLE_TEXT[0]))
+                    .otherwise(F.lit(P.VULNERABLE_TEXT[1])),
+        "_urgent": F.col("_vuln") | (p > P.URGENCY_CUT),
+    })
+    vuln, firearm, vlabel = F.col("_vuln"), F.col("_firearm"), F.col("_vlabel")
     factors = F.array(
         F.struct(F.lit(P.FACTOR_LABELS[0]).alias("label"), F.lit(P.MODEL_NOTE).alias("value"),
                  F.lit("positive").alias("impact")),
         F.struct(F.lit(P.FACTOR_LABELS[1]).alias("label"),
-                 F.concat(F.lit(P.FACTOR_WEAPON_TEXT), weapon_group).alias("value"),
-                 F.when(weapon_group == "Other", "neutral").otherwise("positive").alias("impact")),
+                 F.concat(F.lit(P.FACTOR_WEAPON_TEXT), F.col(weapon_group)).alias("value"),
+                 F.when(F.col(weapon_group) == "Other", "neutral").otherwise("positive")
+                  .alias("impact")),
         F.struct(F.lit(P.FACTOR_LABELS[2]).alias("label"),
-                 F.concat(F.lit(P.FACTOR_DEMOGRAPHY_TEXT), age_group, F.lit(" ("), vlabel,
+                 F.concat(F.lit(P.FACTOR_DEMOGRAPHY_TEXT), F.col(age_group), F.lit(" ("), vlabel,
                           F.lit(")")).alias("value"),
                  F.when(vuln, "positive").otherwise("neutral").alias("impact")),
         F.struct(F.lit(P.FACTOR_LABELS[3]).alias("label"),
-                 F.concat(F.lit(P.FACTOR_LOCALITY_TEXT), F.coalesce(state, F.lit("None")))
-                  .alias("value"),
-                 F.when(rate > P.LOCALITY_CUT, "positive").otherwise("negative").alias("impact")))
+                 F.concat(F.lit(P.FACTOR_LOCALITY_TEXT), F.col("_state")).alias("value"),
+                 F.when(F.col(rate) > P.LOCALITY_CUT, "positive").otherwise("negative")
+                  .alias("impact")))
     insights = F.struct(
         F.when(vuln, F.lit(P.VULNERABILITY_SCORE_TEXT[0]))
          .otherwise(F.lit(P.VULNERABILITY_SCORE_TEXT[1])).alias("vulnerability_score"),
-        R.PROFILE3.column(prob).alias("risk_profile"),
+        R.PROFILE3.column(p).alias("risk_profile"),
         F.when(firearm, F.lit(P.ADVICE_TEXT[0])).otherwise(F.lit(P.ADVICE_TEXT[1]))
          .alias("investigation_advice"))
-    urgent = vuln | (prob > P.URGENCY_CUT)
-    a = P.ANALYSIS_TEXT
     analysis = F.concat(
-        F.lit(a[0]), F.format_string("%.1f%%", prob * 100), F.lit(". "),
-        F.lit(a[1]), F.lit("("), vlabel, F.lit(")"), F.lit(a[2]),
-        F.coalesce(state, F.lit("None")), F.lit(a[3]),
-        F.when(urgent, F.lit(P.URGENCY_TEXT[0])).otherwise(F.lit(P.URGENCY_TEXT[1])),
+        F.lit(a[0]), F.col("_pct"), F.lit(". "), F.lit(a[1]), F.lit("("), vlabel, F.lit(")"),
+        F.lit(a[2]), F.col("_state"), F.lit(a[3]),
+        F.when(F.col("_urgent"), F.lit(P.URGENCY_TEXT[0])).otherwise(F.lit(P.URGENCY_TEXT[1])),
         F.lit(". "), F.when(firearm, F.lit(a[4])).otherwise(F.lit("")))
-    return F.struct(
-        prob.alias("probability"), pct.alias("probability_percent"),
-        R.VERDICT.column(prob).alias("verdict"), vuln.alias("vulnerability"),
+    resp = F.struct(
+        p.alias("probability"), F.col("_pct").alias("probability_percent"),
+        R.VERDICT.column(p).alias("verdict"), vuln.alias("vulnerability"),
         vlabel.alias("vulnerability_label"), factors.alias("key_factors"),
         insights.alias("forensic_insights"), analysis.alias("analysis"))
+    return d.withColumn(out, resp).drop("_vuln", "_firearm", "_pct", "_state", "_vlabel",
+                                        "_urgent")
 
 
 @dataclass
@@ -184,10 +197,9 @@ def score_requests(requests: DataFrame, fm: FeatureModel, model,
     enc = fm.encode(good, keep=["request_id", "v_state", "v_age", "v_rate", b.weapon_group,
                                 b.age_group], use_given_rate=True)
     s = MD.score(model, enc)
-    resp = decision_labels(F.col("probability_1"), F.col("v_age"), F.col(b.weapon_group),
-                           F.col(b.age_group), F.col("v_state"), F.col("v_rate"))
-    ok = s.select("request_id", F.lit(None).cast("string").alias("error"),
-                  resp.alias("response"))
+    r = with_decision_labels(s, "probability_1", "v_age", b.weapon_group, b.age_group,
+                             "v_state", "v_rate")
+    ok = r.select("request_id", F.lit(None).cast("string").alias("error"), "response")
     bad = case.where(F.col("error").isNotNull()).select(
         "request_id", "error", F.lit(None).cast(RESPONSE_TYPE).alias("response"))
     return ok.unionByName(bad)
