@@ -112,3 +112,27 @@ def rules_for_csv(rules: DataFrame) -> DataFrame:
     """A5: arrays as joined text so the table can be written as CSV."""
     return (rules.withColumn("antecedents", F.array_join("antecedents", ", "))
                  .withColumn("consequents", F.array_join("consequents", ", ")))
+
+
+def basket_itemsets(baskets: DataFrame, items_col: str = "items",
+                    min_support: float = P.ITEMSET_MIN_SUPPORT,
+                    max_len: int | None = P.ITEMSET_MAX_LEN, num_partitions: int | None = None) -> DataFrame:
+    """D12 for generic baskets (an array column of any length): Spark ML's
+    parallel FP-growth, then the length cap.  Items are de-duplicated per
+    basket; support is ``n / number of baskets`` (inclusive threshold, as
+    FP-growth's ``ceil(minSupport * count)``)."""
+    from pyspark.ml.fpm import FPGrowth
+    # empty baskets stay in: they count in N for FP-growth's threshold too
+    b = baskets.select(F.array_distinct(F.coalesce(
+        F.col(items_col), F.array().cast("array<string>"))).alias("items"))
+    total = b.count()
+    fp = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=1.0)
+    if num_partitions:
+        fp = fp.setNumPartitions(num_partitions)
+    f = fp.fit(b).freqItemsets
+    if max_len:
+        f = f.where(F.size("items") <= max_len)
+    items = F.sort_array("items")
+    return f.select(items.alias("items"), F.col("freq").cast("long").alias("n")).select(
+        "items", F.array_join("items", ", ").alias("items_text"), F.size("items").alias("size"),
+        "n", (F.col("n") / F.lit(float(total))).alias("support"))

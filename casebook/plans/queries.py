@@ -839,3 +839,15 @@ def i10_kmodes_cost(spark, sf):
     a = _seed_assignment(spark, sf)
     return a.agg(F.sum("distance").cast("long").alias("cost"),
                  F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("d12_basket_itemsets")
+def d12_basket_itemsets(spark, sf):
+    """D12 on generic baskets: the part names of each order's lines."""
+    from casebook.sources.cases import read_table
+    li = read_table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
+    part = read_table(spark, sf, "part").select("p_partkey", "p_name")
+    baskets = (li.join(part, li.l_partkey == part.p_partkey, "inner")
+                 .groupBy("l_orderkey").agg(F.collect_set("p_name").alias("items")))
+    t = IS.basket_itemsets(baskets, "items", min_support=0.01, max_len=3)
+    return t.select("items_text", "size", "n", r6("support").alias("support"))

@@ -627,3 +627,20 @@ ORACLES.update({
     "i10_kmodes_cost": with_cases(_CL_SEED + """
         SELECT CAST(sum(distance) AS BIGINT) AS cost, count(*) AS n_rows FROM asg"""),
 })
+
+ORACLES.update({
+    "d12_basket_itemsets": """
+        WITH b AS (SELECT DISTINCT l.l_orderkey AS o, p.p_name AS i
+                   FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey),
+        tot AS (SELECT count(DISTINCT o) AS n FROM b),
+        s1 AS (SELECT i AS items_text, 1 AS size, count(*) AS n FROM b GROUP BY i),
+        s2 AS (SELECT x.i || ', ' || y.i AS items_text, 2 AS size, count(*) AS n
+               FROM b x JOIN b y ON x.o = y.o AND x.i < y.i GROUP BY x.i, y.i),
+        s3 AS (SELECT x.i || ', ' || y.i || ', ' || z.i AS items_text, 3 AS size, count(*) AS n
+               FROM b x JOIN b y ON x.o = y.o AND x.i < y.i JOIN b z ON y.o = z.o AND y.i < z.i
+               GROUP BY x.i, y.i, z.i),
+        a AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3)
+        SELECT items_text, CAST(size AS INTEGER) AS size, n,
+               round(n / (SELECT CAST(n AS DOUBLE) FROM tot), 6) AS support
+        FROM a WHERE n >= 0.01 * (SELECT n FROM tot)""",
+})

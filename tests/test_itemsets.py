@@ -68,3 +68,13 @@ def test_itemset_bound():
 def test_empty_input(spark):
     df = spark.createDataFrame([], "a string, b string, c string")
     assert IS.frequent_itemsets(df, COLS).count() == 0
+
+
+def test_basket_itemsets_equal_column_itemsets(spark):
+    df = spark.createDataFrame(ROWS + [(None, None, None)], "a string, b string, c string")
+    baskets = df.select(F.array_compact(F.array(*[
+        F.when(F.col(c).isNotNull(), F.concat(F.lit(c + "_"), F.col(c))) for c in COLS]))
+        .alias("items"))
+    a = {r["items_text"]: (r["n"], r["support"]) for r in IS.frequent_itemsets(df, COLS, 0.25).collect()}
+    b = {r["items_text"]: (r["n"], r["support"]) for r in IS.basket_itemsets(baskets, "items", 0.25).collect()}
+    assert a == b
