@@ -112,8 +112,9 @@ def kth_values(df: DataFrame, col: str, ks: Sequence[int], buckets: int = 4096,
     v = F.col(col).cast("double")
     base = df.select(v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     out: dict[int, float] = {}
+    lo0, hi0 = base.agg(F.min("_v"), F.max("_v")).first()
     for k in sorted(set(ks)):
-        lo, hi = base.agg(F.min("_v"), F.max("_v")).first()
+        lo, hi = lo0, hi0
         kk = k
         cur = base
         for _ in range(max_rounds):

@@ -10,8 +10,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casebook import presets as P
+from casebook.functions import rules as R_
+from casebook.operators import evaluate as EV
+from casebook.operators import features as FE
+from casebook.operators import itemsets as IS
+from casebook.operators import kmodes as KM
+from casebook.operators import models as MD
 from casebook.operators import rates
+from casebook.operators import split as SP
+from casebook.plans import scoring as SC
+from casebook.plans import training as TR
 from casebook.plans.catalog import derived_cases, documents, open_cases
+from casebook.session import scratch_path
+from casebook.sources import sinks as SK
+from casebook.sources.cases import load_cases
 
 QUERIES: dict = {}
 
@@ -58,9 +71,8 @@ def b7_keyword_rules(spark, sf):
 
 @register("b8_keyword_narrow")
 def b8_keyword_narrow(spark, sf):
-    from casebook.functions import rules as R
     return derived_cases(spark, sf).select(
-        "record_id", R.WEAPON5_NARROW.column("item").alias("weapon_narrow"))
+        "record_id", R_.WEAPON5_NARROW.column("item").alias("weapon_narrow"))
 
 
 @register("b9_keyword3")
@@ -199,8 +211,6 @@ def f6_both_ends_items(spark, sf):
 
 
 # ============================================================ step 3: features, splits
-from casebook.operators import features as FE  # noqa: E402
-from casebook.operators import split as SP  # noqa: E402
 
 MODEL_NUMERIC = ["age", "units", "year"]
 MODEL_CATEGORICAL = ["grp_a", "age_category", "item_group", "region"]
@@ -312,7 +322,6 @@ def i3_label_codes(spark, sf):
 
 
 # ============================================================ step 4: itemsets, rules
-from casebook.operators import itemsets as IS  # noqa: E402
 
 ASSOC_COLS = ["item_group", "grp_b_simple", "grp_a", "age_cat", "region"]
 
@@ -343,7 +352,6 @@ def d13_top10_rules(spark, sf):
 
 
 # ============================================================ step 5: evaluation
-from casebook.operators import evaluate as EV  # noqa: E402
 
 
 _SCORED: dict = {}
@@ -425,8 +433,6 @@ def d7_score_stats_open(spark, sf):
 
 
 # ============================================================ step 6: k-modes
-from casebook import presets as P  # noqa: E402
-from casebook.operators import kmodes as KM  # noqa: E402
 
 CLUSTER_COLS = ["grp_a", "age_cat", "item_group", "grp_b_simple", "region"]
 K = 5
@@ -476,8 +482,6 @@ def i11_elbow_costs(spark, sf):
 
 
 # ============================================================ step 7: models (rows-only)
-from casebook.operators import models as MD  # noqa: E402
-from casebook.plans import training as TR  # noqa: E402
 
 LR_NUMERIC = ["age", "vulnerable"]
 LR_CATEGORICAL = ["grp_a", "item_group", "grp_b_simple", "region"]
@@ -611,9 +615,6 @@ def i18_rank_open_oof(spark, sf):
 
 
 # ============================================================ step 8: scoring
-from casebook.plans import scoring as SC  # noqa: E402
-from casebook.functions import rules as R_  # noqa: E402
-from casebook.session import scratch_path  # noqa: E402
 
 
 def _requests(spark, sf):
@@ -724,8 +725,6 @@ def k1_stream_requests(spark, sf):
 
 
 # ============================================================ sources, sinks, set ops
-from casebook.sources import sinks as SK  # noqa: E402
-from casebook.sources.cases import load_cases  # noqa: E402
 
 _CSV_NAMES = {"record_id": "Record ID", "outcome": "Crime Solved", "item": "Weapon",
               "age": "Victim Age", "region": "State", "year": "Year"}
