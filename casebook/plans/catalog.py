@@ -26,10 +26,24 @@ def _key(spark: SparkSession, sf_dir: str, name: str):
     return (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name)
 
 
-def cases(spark: SparkSession, sf_dir: str, materialize: str = "cache") -> DataFrame:
+CHECKPOINT_ABOVE_BYTES = 50 << 30   # inputs above ~50 GiB are written, not cached
+
+
+def cases(spark: SparkSession, sf_dir: str, materialize: str = "auto") -> DataFrame:
+    """The shared case table.  ``materialize``: 'cache' (MEMORY_AND_DISK),
+    'checkpoint' (written once to the shared checkpoint folder: lineage
+    cut, survives executor loss without recomputing three joins), 'none', or
+    'auto' = cache small inputs, checkpoint large ones."""
     k = _key(spark, sf_dir, "cases")
     df = _CACHE.get(k)
     if df is None:
+        if materialize == "auto":
+            from casebook.session import input_bytes
+            try:
+                size = input_bytes(spark, sf_dir)
+            except Exception:
+                size = 0
+            materialize = "checkpoint" if size > CHECKPOINT_ABOVE_BYTES else "cache"
         df = tpch_cases(spark, sf_dir)
         if materialize == "checkpoint":
             df = cut_lineage(df)

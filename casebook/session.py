@@ -81,12 +81,13 @@ def size_for_input(spark: SparkSession, input_bytes: int, partition_bytes: int =
     return conf
 
 
-def folder_bytes(path: str) -> int:
-    """Size of a local folder (for ``size_for_input`` in local runs)."""
-    total = 0
-    for root, _, files in os.walk(path):
-        total += sum(os.path.getsize(os.path.join(root, f)) for f in files)
-    return total
+def input_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes under ``path`` from the Hadoop FileSystem of that path (local,
+    HDFS or object store alike); a metadata call, no data is read."""
+    jvm = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return int(p.getFileSystem(conf).getContentSummary(p).getLength())
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -97,3 +97,10 @@ def test_size_for_input_bounds(spark):
         for k, v in old.items():
             spark.conf.set(k, v)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+
+
+def test_input_bytes_reads_filesystem_metadata(spark):
+    import os
+    from casebook.session import input_bytes
+    want = sum(os.path.getsize(os.path.join(SF, f)) for f in os.listdir(SF))
+    assert input_bytes(spark, SF) == want
