@@ -160,7 +160,7 @@ class Vocab:
     @classmethod
     def from_table(cls, table: DataFrame) -> "Vocab":
         numeric, cats = [], {}
-        for r in table.orderBy("pos").collect():
+        for r in table.orderBy("pos").collect():  # a stored (bounded) vocabulary
             if r["category"] is None:
                 numeric.append(r["feature"])
             else:

@@ -58,14 +58,14 @@ def assign(df: DataFrame, cols: Sequence[str], modes, keep: Sequence[str] = ())
 
 def init_frequent(tuples: DataFrame, cols: Sequence[str], k: int) -> list[list[str]]:
     """The k most frequent distinct tuples (ties by tuple text)."""
-    rows = tuples.orderBy(F.col("w").desc(), *cols).limit(k).collect()
+    rows = tuples.orderBy(F.col("w").desc(), *cols).limit(k).collect()  # k rows
     return [[r[c] for c in cols] for r in rows]
 
 
 def init_hashed(tuples: DataFrame, cols: Sequence[str], k: int, seed: int) -> list[list[str]]:
     """k distinct tuples in seeded hash order (a reproducible random pick)."""
     h = F.md5(F.concat_ws("|", *[F.col(c) for c in cols], F.lit(str(seed))))
-    rows = tuples.orderBy(h).limit(k).collect()
+    rows = tuples.orderBy(h).limit(k).collect()  # k rows
     return [[r[c] for c in cols] for r in rows]
 
 
@@ -115,7 +115,7 @@ def _update_many(tuples: DataFrame, cols: Sequence[str], starts: dict) -> dict:
                .select("start", "cluster", "column", F.col("b.value").alias("value"), "size"))
     out = {sid: ([list(x) for x in m], [0] * len(m)) for sid, m in starts.items()}
     idx = {c: i for i, c in enumerate(cols)}
-    for r in best.collect():
+    for r in best.collect():  # starts x k x columns rows
         modes, sizes = out[sids[r["start"]]]
         modes[r["cluster"]][idx[r["column"]]] = r["value"]
         sizes[r["cluster"]] = r["size"]

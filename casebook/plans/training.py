@@ -76,7 +76,7 @@ class FeatureModel:
             "pos int, feature string, column string, category string").json(os.path.join(path, "vocab")))
         keep: dict = {c: [] for c in meta["categorical"]}
         for r in (spark.read.schema("column string, value string, rank int")
-                  .json(os.path.join(path, "topk")).orderBy("column", "rank").collect()):
+                  .json(os.path.join(path, "topk")).orderBy("column", "rank").collect()):  # <= k x columns
             keep[r["column"]].append(r["value"])
         rates = (spark.read.parquet(os.path.join(path, "rates")) if meta["rate_key"] else None)
         return cls(meta["numeric"], meta["categorical"], meta["rate_key"], meta["rate_out"],
