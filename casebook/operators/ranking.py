@@ -59,28 +59,41 @@ def hash_rank(df: DataFrame, key_cols: Sequence[str], seed, strata: Sequence[str
 
 def value_prefix_sums(df: DataFrame, value: str, sums: Sequence[str],
                       groups: Sequence[str] = (), buckets: int = 4096,
-                      position: str = "position") -> DataFrame:
+                      position: str = "position", bucketing: str = "quantile") -> DataFrame:
     """Inclusive running sums of ``sums`` in ascending ``value`` order inside
     each group, plus the 1-based ``position``.
 
     ``value`` must be unique within a group (aggregate first, e.g. one row
-    per distinct score).  Buckets are equal-width value ranges between the
-    group's min and max.
+    per distinct score).  ``bucketing='quantile'`` cuts the value axis at
+    approximate quantiles of the values (one small aggregate; boundaries
+    shared by all groups), so buckets hold similar numbers of rows even when
+    values crowd into a narrow range; ``'width'`` uses equal-width ranges
+    per group.  Any monotone bucketing gives the same exact result: offsets
+    come from the real bucket totals.
     """
     groups = list(groups)
-    rng = df.groupBy(*groups).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    width = F.col("_hi") - F.col("_lo")
-    bucket = F.when(width > 0, F.least(
-        F.floor((F.col(value) - F.col("_lo")) / width * buckets).cast("int"),
-        F.lit(buckets - 1))).otherwise(F.lit(0))
-    if groups:
-        # bound: one row per group (groups must be few)
-        d = df.join(broadcast_bounded(rng), groups, "inner")
+    if bucketing == "quantile":
+        from pyspark.ml.feature import Bucketizer
+        probs = [i / buckets for i in range(1, buckets)]
+        qs = df.select(F.percentile_approx(value, probs, 10 * buckets)).first()[0] or []
+        splits = [float("-inf")] + sorted({float(q) for q in qs}) + [float("inf")]
+        d = Bucketizer(splits=splits, inputCol=value, outputCol="_bd",
+                       handleInvalid="keep").transform(df)
+        d = d.withColumn("_b", F.col("_bd").cast("int")).drop("_bd")
     else:
-        lo, hi = rng.first()
-        d = df.withColumn("_lo", F.lit(lo).cast("double")).withColumn(
-            "_hi", F.lit(hi).cast("double"))
-    d = d.withColumn("_b", bucket).drop("_lo", "_hi")
+        rng = df.groupBy(*groups).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+        width = F.col("_hi") - F.col("_lo")
+        bucket = F.when(width > 0, F.least(
+            F.floor((F.col(value) - F.col("_lo")) / width * buckets).cast("int"),
+            F.lit(buckets - 1))).otherwise(F.lit(0))
+        if groups:
+            # bound: one row per group (groups must be few)
+            d = df.join(broadcast_bounded(rng), groups, "inner")
+        else:
+            lo, hi = rng.first()
+            d = df.withColumn("_lo", F.lit(lo).cast("double")).withColumn(
+                "_hi", F.lit(hi).cast("double"))
+        d = d.withColumn("_b", bucket).drop("_lo", "_hi")
     tot = d.groupBy(*groups, "_b").agg(
         F.count(F.lit(1)).alias("_n"), *[F.sum(s).alias(f"_t_{s}") for s in sums])
     wcum = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

@@ -104,3 +104,14 @@ def test_input_bytes_reads_filesystem_metadata(spark):
     from casebook.session import input_bytes
     want = sum(os.path.getsize(os.path.join(SF, f)) for f in os.listdir(SF))
     assert input_bytes(spark, SF) == want
+
+
+def test_auc_with_crowded_scores(spark):
+    rng = np.random.default_rng(9)
+    n = 2000
+    y = rng.integers(0, 2, n)
+    s = np.where(rng.random(n) < 0.9, 0.5 + rng.random(n) * 1e-7, rng.random(n)) + y * 1e-8
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, s)], "y int, s double")
+    pos, neg = s[y == 1], s[y == 0]
+    want = (np.sum(pos[:, None] > neg[None, :]) + 0.5 * np.sum(pos[:, None] == neg[None, :])) / (len(pos) * len(neg))
+    assert abs(EV.auc(df, "y", "s").first()["auc"] - want) < 1e-12
