@@ -18,9 +18,8 @@ the exact rank-sum AUC of ``evaluate.auc`` (Spark's evaluator bins scores).
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
-from typing import Callable, Sequence
+from typing import Callable
 
 from pyspark.ml.classification import (DecisionTreeClassifier, LogisticRegression,
                                         RandomForestClassifier)

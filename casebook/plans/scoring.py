@@ -10,8 +10,6 @@ good/bad rows are split with ``where``.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from typing import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
