@@ -31,3 +31,14 @@ def test_value_prefix_sums_grouped(spark):
         want = {r[1]: (i + 1, c) for i, (r, c) in enumerate(zip(part, np.cumsum([r[2] for r in part])))}
         got = {r["v"]: (r["position"], r["cum_w"]) for r in out if r["g"] == g}
         assert got == want
+
+
+def test_value_prefix_sums_quantile_buckets(spark):
+    rng = np.random.default_rng(5)
+    vals = sorted(set(float(v) for v in np.r_[0.5 + rng.random(300) * 1e-7, rng.random(100)]))
+    rows = [(v, int(i % 3)) for i, v in enumerate(vals)]
+    df = spark.createDataFrame(rows, "v double, w int")
+    out = {r["v"]: (r["position"], r["cum_w"]) for r in
+           value_prefix_sums(df, "v", ["w"], buckets=32, bucketing="quantile").collect()}
+    want = {v: (i + 1, c) for i, (v, c) in enumerate(zip(vals, np.cumsum([w for _, w in rows])))}
+    assert out == want
