@@ -62,13 +62,6 @@ def init_frequent(tuples: DataFrame, cols: Sequence[str], k: int) -> list[list[s
     return [[r[c] for c in cols] for r in rows]
 
 
-def init_hashed(tuples: DataFrame, cols: Sequence[str], k: int, seed: int) -> list[list[str]]:
-    """k distinct tuples in seeded hash order (a reproducible random pick)."""
-    h = F.md5(F.concat_ws("|", *[F.col(c) for c in cols], F.lit(str(seed))))
-    rows = tuples.orderBy(h).limit(k).collect()  # k rows
-    return [[r[c] for c in cols] for r in rows]
-
-
 def _modes_literal(starts: list) -> Column:
     """All starts' modes as one constant ``array<array<array<string>>>``
     (start, cluster, column).  Constant folding turns it into a single
@@ -155,14 +148,11 @@ class KModesModel:
     modes: list
     cost: float
     n_iter: int
+    converged: bool = True
 
     def assign(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         return assign(df, self.cols, self.modes, keep)
 
-    def modes_table(self, spark) -> DataFrame:
-        rows = [(i, *m) for i, m in enumerate(self.modes)]
-        return spark.createDataFrame(rows, ["cluster"] + [f"mode_{c}" for c in self.cols])
-
 
 def _initial_many(tuples: DataFrame, cols: Sequence[str], k: int, n_init: int,
                   seed: int) -> list[list]:
@@ -190,10 +180,16 @@ def _initial_many(tuples: DataFrame, cols: Sequence[str], k: int, n_init: int,
     return out
 
 
+class NotConverged(RuntimeError):
+    """A start still moved after ``max_iter`` steps."""
+
+
 def fit_many(tuples: DataFrame, cols: Sequence[str], ks: Sequence[int], n_init: int,
-             max_iter: int = 20, seed: int = 42) -> dict:
+             max_iter: int = 100, seed: int = 42, allow_unconverged: bool = False) -> dict:
     """Fit every (k, start) pair together: one job per iteration for all
-    starts still moving.  Returns {k: best KModesModel}."""
+    starts still moving.  Returns {k: best KModesModel}.  Steps go on until no
+    mode moves; a fit that hasn't ended after ``max_iter`` steps raises, or is
+    flagged with ``allow_unconverged``."""
     cols = list(cols)
     starts = {}
     kmax = max(ks)
@@ -219,16 +215,18 @@ def fit_many(tuples: DataFrame, cols: Sequence[str], ks: Sequence[int], n_init:
             if new == modes[sid]:
                 moving.discard(sid)
             modes[sid] = new
+    if moving and not allow_unconverged:
+        raise NotConverged(f"{len(moving)} of {len(starts)} starts still move after {max_iter} steps")
     costs = costs_of(tuples, cols, modes)
     best: dict = {}
     for sid, (k, _) in starts.items():
-        m = KModesModel(cols, modes[sid], costs[sid], iters[sid])
+        m = KModesModel(cols, modes[sid], costs[sid], iters[sid], sid not in moving)
         if k not in best or m.cost < best[k].cost:
             best[k] = m
     return best
 
 
-def fit(df: DataFrame, cols: Sequence[str], k: int, n_init: int = 5, max_iter: int = 20,
+def fit(df: DataFrame, cols: Sequence[str], k: int, n_init: int = 5, max_iter: int = 100,
         seed: int = 42, tuples: DataFrame | None = None) -> KModesModel:
     cols = list(cols)
     own = tuples is None
@@ -267,7 +265,7 @@ def default_k(n_rows: int, cap: int = 5) -> int:
 
 @dataclass(frozen=True)
 class NoteRule:
-    """``note`` when the cluster's mode of ``column`` is in ``values`` (and,
+    """``note`` when ``always`` (formatted with the mode) or when the cluster's mode of ``column`` is in ``values`` (and,
     if given, the mode of ``and_column`` is in ``and_values``);
     ``negate_note`` otherwise."""
 
@@ -277,6 +275,7 @@ class NoteRule:
     negate_note: str | None = None
     and_column: str | None = None
     and_values: tuple = ()
+    always: bool = False
 
 
 def profiles(assigned: DataFrame, cols: Sequence[str], k: int,
@@ -297,6 +296,9 @@ def profiles(assigned: DataFrame, cols: Sequence[str], k: int,
     if notes:
         arms = []
         for r in notes:
+            if r.always:
+                arms.append(F.format_string(r.note, F.col(f"mode_{r.column}")))
+                continue
             hit = F.col(f"mode_{r.column}").isin(*r.values)
             if r.and_column:
                 hit = hit & F.col(f"mode_{r.and_column}").isin(*r.and_values)

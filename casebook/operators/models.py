@@ -51,12 +51,12 @@ FOREST_B = ForestParams(num_trees=50, max_depth=8, min_leaf=50, feature_subset="
 
 
 def logistic_regression(train: DataFrame, label: str = "label", features: str = "features",
-                        weight: str | None = "weight", C: float = 1.0, max_iter: int = 1000):
+                        weight: str | None = "weight", C: float = 1.0, max_iter: int = 1000, tol: float = 1e-9):
     sw = (train.select(F.sum(weight)).first()[0] if weight
           else train.count())
     lr = LogisticRegression(featuresCol=features, labelCol=label, maxIter=max_iter,
                             regParam=1.0 / (C * float(sw)), elasticNetParam=0.0,
-                            standardization=False, fitIntercept=True, tol=1e-4)
+                            standardization=False, fitIntercept=True, tol=tol)
     if weight:
         lr = lr.setWeightCol(weight)
     return lr.fit(train)
@@ -85,12 +85,29 @@ def random_forest(train: DataFrame, params: ForestParams = FOREST_B, label: str
     return rf.fit(train)
 
 
+@dataclass
+class LinearScorer:
+    """A logistic score from a given coefficient table (I8's shape): features of
+    the vocabulary that it doesn't name count as 0.  Scores rows that hold the
+    encoded vector, as a trained model does."""
+
+    features: list
+    coefficients: dict
+    intercept: float = 0.0
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        weights = F.array(*[F.lit(float(self.coefficients.get(f, 0.0))) for f in self.features])
+        products = F.zip_with(vector_to_array("features"), weights, lambda x, w: x * w)
+        z = F.aggregate(products, F.lit(float(self.intercept)), lambda acc, x: acc + x)
+        return df.withColumn("_p1", 1 / (1 + F.exp(-z)))
+
+
 def score(model, df: DataFrame, out: str = "probability_1", cut: float = P.OUTCOME_CUT) -> DataFrame:
     """Positive-class probability and the class at ``>= cut`` (B19);
     Spark's own ``prediction`` column (``>``) is dropped."""
     s = model.transform(df)
-    s = s.withColumn(out, vector_to_array("probability")[1])
-    drop = [c for c in ("rawPrediction", "probability", "prediction") if c in s.columns]
+    s = s.withColumn(out, F.col("_p1") if isinstance(model, LinearScorer) else vector_to_array("probability")[1])
+    drop = [c for c in ("rawPrediction", "probability", "prediction", "_p1") if c in s.columns]
     return s.drop(*drop).withColumn("predicted", (F.col(out) >= cut).cast("int"))
 
 
@@ -102,6 +119,27 @@ def coefficient_table(model, vocab: Vocab) -> DataFrame:
     return df.withColumn("odds_ratio", F.exp("coef"))
 
 
+def coefficient_ends(model, vocab: Vocab, n: int = 5) -> DataFrame:
+    """The ``n`` largest and the ``n`` smallest coefficients, each ranked."""
+    from casebook.operators.rates import both_ends
+    return both_ends(coefficient_table(model, vocab), n, "coef", "feature")
+
+
+def logistic_gradient(model, train: DataFrame, vocab: Vocab, label: str = "label", weight: str = "weight",
+                      C: float = 1.0) -> DataFrame:
+    """Per feature, the gradient of the weighted, regularised log-loss at the model's
+    coefficients, from the rows: 0 at the optimum."""
+    z = F.aggregate(F.zip_with(F.col("_x"), F.array(*[F.lit(float(c)) for c in model.coefficients.toArray()]),
+                               lambda x, b: x * b), F.lit(float(model.intercept)), lambda acc, x: acc + x)
+    rows = train.select(vector_to_array("features").alias("_x"), F.col(label).cast("double").alias("_y"),
+                        F.col(weight).alias("_w")).withColumn("_e", F.col("_w") * (1 / (1 + F.exp(-z)) - F.col("_y")))
+    sums = rows.select("_e", F.posexplode("_x").alias("pos", "x")).groupBy("pos").agg(F.sum(F.col("_e") * F.col("x")).alias("g"))
+    total = float(train.agg(F.sum(weight)).first()[0])
+    coefs = _spark().createDataFrame([(i, f, float(c)) for i, (f, c) in enumerate(zip(vocab.features, model.coefficients.toArray()))],
+                                     "pos int, feature string, coef double")
+    return sums.join(coefs, "pos").select("feature", ((F.col("g") + F.col("coef") / C) / total).alias("gradient"))
+
+
 def importance_table(model, vocab: Vocab) -> DataFrame:
     """I16: feature, importance (all features, model order)."""
     spark = _spark()

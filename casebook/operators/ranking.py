@@ -24,6 +24,16 @@ from pyspark.sql import types as T
 from casebook.plans.joins import broadcast_bounded
 
 
+def _join_offsets(d: DataFrame, offsets: DataFrame, groups: Sequence[str], bucket: str) -> DataFrame:
+    """Join a bounded offsets table on groups (NULL equals NULL) and bucket."""
+    names = {g: f"_o{i}_{g}" for i, g in enumerate(groups)}
+    side = offsets.withColumnsRenamed({**names, bucket: "_ob"})
+    same = F.col(bucket) == F.col("_ob")
+    for g, o in names.items():
+        same = same & F.col(g).eqNullSafe(F.col(o))
+    return d.join(broadcast_bounded(side), same, "inner").drop("_ob", *names.values())
+
+
 def hash_text(key_cols: Sequence[str], seed) -> Column:
     """md5 of ``key || '|' || seed`` (same bytes in Spark and DuckDB)."""
     parts = [F.col(c).cast("string") for c in key_cols] + [F.lit(str(seed))]
@@ -51,50 +61,34 @@ def hash_rank(df: DataFrame, key_cols: Sequence[str], seed, strata: Sequence[str
                .withColumn(size, F.sum("_n").over(wall))
                .drop("_n"))
     # bound: n_strata * 16**prefix_hex rows
-    joined = d.join(broadcast_bounded(offsets), strata + ["_b"], "inner")
+    joined = _join_offsets(d, offsets, strata, "_b")
     w = Window.partitionBy(*strata, "_b").orderBy("_h", *key_cols)
     return (joined.withColumn(rank, F.row_number().over(w) + F.col("_off"))
                   .drop("_off", "_b", "_h"))
 
 
 def value_prefix_sums(df: DataFrame, value: str, sums: Sequence[str],
-                      groups: Sequence[str] = (), buckets: int = 4096,
-                      position: str = "position", bucketing: str = "width") -> DataFrame:
+                      groups: Sequence[str] = (), buckets: int | None = None,
+                      position: str = "position") -> DataFrame:
     """Inclusive running sums of ``sums`` in ascending ``value`` order inside
     each group, plus the 1-based ``position``.
 
     ``value`` must be unique within a group (aggregate first, e.g. one row
-    per distinct score).  ``bucketing='width'`` (default) uses equal-width
-    ranges per group; ``'quantile'`` cuts the value axis at approximate
-    quantiles (an extra aggregate; boundaries shared by all groups), so
-    buckets stay even when values crowd into a narrow range -- slower on
-    small inputs (about 5x at sf0.1), for very skewed score distributions.
-    Any monotone bucketing gives the same exact result: offsets come from
-    the real bucket totals.
+    per distinct score).  The value axis is cut at its approximate quantiles
+    (one sketch aggregate; ``buckets`` of them, four per shuffle partition by
+    default), so that crowded values spread over the buckets; offsets come
+    from the real bucket totals, so the result is exact for any cut.
     """
+    from pyspark.ml.feature import Bucketizer
     groups = list(groups)
-    if bucketing == "quantile":
-        from pyspark.ml.feature import Bucketizer
-        probs = [i / buckets for i in range(1, buckets)]
-        qs = df.select(F.percentile_approx(value, probs, 10 * buckets)).first()[0] or []
-        splits = [float("-inf")] + sorted({float(q) for q in qs}) + [float("inf")]
-        d = Bucketizer(splits=splits, inputCol=value, outputCol="_bd",
-                       handleInvalid="keep").transform(df)
-        d = d.withColumn("_b", F.col("_bd").cast("int")).drop("_bd")
+    n = buckets or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = df.approxQuantile(value, [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
+    splits = [float("-inf"), *sorted({float(q) for q in cuts} - {float("-inf"), float("inf")}), float("inf")]
+    if len(splits) < 3:
+        d = df.withColumn("_b", F.lit(0))
     else:
-        rng = df.groupBy(*groups).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-        width = F.col("_hi") - F.col("_lo")
-        bucket = F.when(width > 0, F.least(
-            F.floor((F.col(value) - F.col("_lo")) / width * buckets).cast("int"),
-            F.lit(buckets - 1))).otherwise(F.lit(0))
-        if groups:
-            # bound: one row per group (groups must be few)
-            d = df.join(broadcast_bounded(rng), groups, "inner")
-        else:
-            lo, hi = rng.first()
-            d = df.withColumn("_lo", F.lit(lo).cast("double")).withColumn(
-                "_hi", F.lit(hi).cast("double"))
-        d = d.withColumn("_b", bucket).drop("_lo", "_hi")
+        d = Bucketizer(splits=splits, inputCol=value, outputCol="_bd", handleInvalid="keep").transform(df)
+        d = d.withColumn("_b", F.col("_bd").cast("int")).drop("_bd")
     tot = d.groupBy(*groups, "_b").agg(
         F.count(F.lit(1)).alias("_n"), *[F.sum(s).alias(f"_t_{s}") for s in sums])
     wcum = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -103,7 +97,7 @@ def value_prefix_sums(df: DataFrame, value: str, sums: Sequence[str],
                       *[F.coalesce(F.sum(f"_t_{s}").over(wcum), F.lit(0)).alias(f"_o_{s}")
                         for s in sums])
     # bound: n_groups * buckets rows
-    j = d.join(broadcast_bounded(offs), groups + ["_b"], "inner")
+    j = _join_offsets(d, offs, groups, "_b")
     w = (Window.partitionBy(*groups, "_b").orderBy(value)
          .rowsBetween(Window.unboundedPreceding, 0))
     out = j.withColumn(position, F.row_number().over(
@@ -113,52 +107,50 @@ def value_prefix_sums(df: DataFrame, value: str, sums: Sequence[str],
     return out.drop("_b", "_o_n", *[f"_o_{s}" for s in sums])
 
 
-def kth_values(df: DataFrame, col: str, ks: Sequence[int], buckets: int = 4096,
-               finish_at: int = 50_000, max_rounds: int = 12) -> dict[int, float]:
+def kth_values(df: DataFrame, col: str, ks: Sequence[int], pivots: int = 256) -> dict[int, float]:
     """Values at 1-based ascending ranks ``ks`` among non-null, non-NaN values.
 
-    Each round is one bucketed count over the rows still in play (partial
-    aggregation: at most ``buckets`` rows leave a task); the driver only sees
-    bucket totals.  A bucket whose min equals its max answers directly (a hot
-    value costs one round); a bucket with few rows is finished by a bounded
-    ordered ``take``.
+    A round cuts the rows that can still hold an answer at ``pivots`` of their own
+    values (approximate quantiles, with the smallest and the largest) and counts
+    exactly what lies below, at and between the pivots.  A rank that falls on a
+    pivot is answered; the others go on between two pivots.  Every round answers
+    or leaves out the smallest and the largest value and keeps about 1/pivots of
+    the rows, whatever their distribution, so the search always ends; infinite
+    values are values like others.  At most ``2 * pivots`` counts reach the driver.
     """
-    v = F.col(col).cast("double")
-    base = df.select(v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    from pyspark.ml.feature import Bucketizer
+    base = df.select(F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     out: dict[int, float] = {}
-    lo0, hi0 = base.agg(F.min("_v"), F.max("_v")).first()
-    for k in sorted(set(ks)):
-        lo, hi = lo0, hi0
-        kk = k
+    # (rows strictly between these bounds, ranks among them, their first rank less one)
+    todo = [(None, None, sorted(set(ks)), 0)]
+    while todo:
+        lo, hi, wanted, before = todo.pop()
         cur = base
-        for _ in range(max_rounds):
-            if lo is None:
-                break
-            if lo == hi:
-                out[k] = lo
-                break
-            width = hi - lo
-            b = F.least(F.floor((F.col("_v") - F.lit(lo)) / F.lit(width) * buckets).cast("int"),
-                        F.lit(buckets - 1))
-            rows = (cur.groupBy(b.alias("_b"))
-                       .agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("mn"),
-                            F.max("_v").alias("mx"))
-                       .orderBy("_b").collect())  # <= buckets rows
-            acc = 0
-            for r in rows:
-                if acc + r["n"] >= kk:
-                    break
-                acc += r["n"]
-            kk -= acc
-            lo, hi = r["mn"], r["mx"]
-            cur = cur.where((F.col("_v") >= F.lit(lo)) & (F.col("_v") <= F.lit(hi)))
-            if lo == hi:
-                out[k] = lo
-                break
-            if r["n"] <= finish_at:
-                vals = [x[0] for x in cur.orderBy("_v").take(r["n"])]
-                out[k] = vals[kk - 1]
-                break
+        if lo is not None:
+            cur = cur.where(F.col("_v") > F.lit(lo))
+        if hi is not None:
+            cur = cur.where(F.col("_v") < F.lit(hi))
+        least, most = cur.agg(F.min("_v"), F.max("_v")).first()
+        if least is None:
+            continue
+        cuts = {least, most, *cur.approxQuantile("_v", [i / pivots for i in range(1, pivots)], 0.25 / pivots)}
+        finite = sorted(cuts - {float("-inf"), float("inf")})
+        ends = [float("-inf"), *finite, float("inf")]
+        if finite:
+            placed = Bucketizer(splits=ends, inputCol="_v", outputCol="_b").transform(cur)
+        else:
+            placed = cur.withColumn("_b", F.lit(0.0))
+        start = F.element_at(F.array(*[F.lit(e) for e in ends]), (F.col("_b") + 1).cast("int"))
+        # what equals the lower bound of its bucket, what is +inf, and what lies between
+        at = F.when(F.col("_v") == start, 0).when(F.col("_v") == float("inf"), 2).otherwise(1)
+        rows = placed.groupBy(F.col("_b").cast("int").alias("b"), at.alias("at")).agg(F.count(F.lit(1)).alias("n")).collect()
+        for r in sorted(rows, key=lambda r: (r["b"], r["at"])):
+            hit = [k for k in wanted if before < k <= before + r["n"]]
+            if hit and r["at"] != 1:
+                out.update({k: ends[r["b"]] if r["at"] == 0 else float("inf") for k in hit})
+            elif hit:
+                todo.append((ends[r["b"]], ends[r["b"] + 1], hit, before))
+            before += r["n"]
     return out
 
 
@@ -172,6 +164,8 @@ def exact_quantile(df: DataFrame, col: str, q: float) -> float | None:
     hi_k = min(lo_k + 1, n)
     vals = kth_values(df, col, [lo_k, hi_k])
     frac = pos - int(pos)
+    if frac == 0 or vals[lo_k] == vals[hi_k]:
+        return vals[lo_k]
     return vals[lo_k] + (vals[hi_k] - vals[lo_k]) * frac
 
 
@@ -215,7 +209,7 @@ def first_by_hash(df: DataFrame, key_cols: Sequence[str], seed, strata: Sequence
     def in_stratum(r) -> Column:
         cond = F.lit(True)
         for s in strata:
-            cond = cond & (F.col(s) == F.lit(r[s]))
+            cond = cond & F.col(s).eqNullSafe(F.lit(r[s]))
         return cond
 
     in_boundary = None

@@ -115,16 +115,39 @@ SPLIT_SEED = 42
 CV_FOLDS = 5
 SAMPLE_FRACTION = 0.3
 
-# Cluster note rules.
+# Cluster note rules: (relations that are hard to solve) and the note texts.
 HARD_RELATIONS = ["Stranger", "Other", "Unknown"]
+NOTE_HARD_RELATION = "High anonymity, low relational density → difficult to solve"
+NOTE_KNOWN_RELATION = "Known offender – potential for witness leads"
+NOTE_FIREARM = "Firearm used – ballistic evidence may exist"
+NOTE_NO_WEAPON = "Missing weapon information – critical evidence gap"
+NOTE_VULNERABLE = "Vulnerable victim – social network may have information"
+NOTE_STATE = "Common state: %s – consider jurisdictional practices"
+
+# Response texts of the scoring service.
+FACTOR_LABELS = ("Fiabilité Modèle", "Facteur Arme", "Démographie", "Localisation")
+FACTOR_WEAPON_TEXT = "Impact "
+FACTOR_DEMOGRAPHY_TEXT = "Victime "
+FACTOR_LOCALITY_TEXT = "Zone "
+ANALYSIS_TEXT = "Probabilité de résolution : %s. Profil victime (%s) en %s suggère priorité %s. %s"
+BALLISTIC_TEXT = "Analyse balistique recommandée."
+ERROR_BAD_NUMBER = "Données numériques invalides"
+
+# Texts that a CSV cell counts as missing.
+NA_TEXTS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+            "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES (end)
 # ---------------------------------------------------------------------------
 
-# Binding presets for the TPC-H test tables (ours, not the reference's): the
-# part names there are "<adjective> <noun>", so the reference's weapon words
-# never match.  These groups make the same operators produce several groups.
+# Binding presets for the TPC-H test tables (ours): keys of the given tables pick
+# words of the case domain, so that every arm of every rule occurs, and part
+# names fall into groups of their own.
+BIND_WEAPONS = ["Handgun", "Rifle", "Shotgun", "FIREARM", "Gun", "Knife", "stab wound", "Cutting tool", "Blunt Object",
+                "Strangulation", "Poison", "Unknown", None]
+BIND_RELATIONS = [r for _, group in RELATION_GROUPS for r in group] + ["spouse", "Employer", "Unknown", None]
+BIND_SEXES = ["Male", "Female", "Unknown"]
 ITEM_GROUPS = [
     ("Fastener", ["bolt", "rod"]),
     ("Machine", ["gear", "gizmo", "widget"]),
@@ -141,21 +164,12 @@ def cluster_notes(relation: str, weapon: str, sex: str | None = None,
     """Cluster note rules keyed to the caller's column names."""
     from casebook.operators.kmodes import NoteRule
     rules = [
-        NoteRule(relation, tuple(HARD_RELATIONS), "low relational density, hard to solve",
-                 "known offender likely, witness leads"),
-        NoteRule(weapon, ("Firearm",), "ballistic evidence may exist"),
-        NoteRule(weapon, ("Unknown",), "weapon missing: evidence gap"),
+        NoteRule(relation, tuple(HARD_RELATIONS), NOTE_HARD_RELATION, NOTE_KNOWN_RELATION),
+        NoteRule(weapon, ("Firearm",), NOTE_FIREARM),
+        NoteRule(weapon, ("Unknown",), NOTE_NO_WEAPON),
     ]
     if sex and age:
-        rules.append(NoteRule(sex, ("Female",), "vulnerable victim: social network may help",
-                              and_column=age, and_values=("Child", "Senior")))
+        rules.append(NoteRule(sex, ("Female",), NOTE_VULNERABLE, and_column=age, and_values=("Child", "Senior")))
+    if region:
+        rules.append(NoteRule(region, (), NOTE_STATE, always=True))
     return rules
-
-# FIXED VALUES (response texts of the scoring service)
-FACTOR_LABELS = ("Fiabilité Modèle", "Facteur Arme", "Démographie", "Localisation")
-FACTOR_WEAPON_TEXT = "Impact "
-FACTOR_DEMOGRAPHY_TEXT = "Victime "
-FACTOR_LOCALITY_TEXT = "Zone "
-ANALYSIS_TEXT = ("Probabilité de résolution : ", "Profil victime ", " en ", " suggère priorité ",
-                 "Analyse balistique recommandée.")
-ERROR_BAD_NUMBER = "Données numériques invalides"

@@ -1,7 +1,7 @@
 """K1: request scoring as a Structured Streaming job.
 
 Scoring is stateless (no aggregation, no watermark): JSON request files
-arriving in a folder are read with a fixed text schema, scored with the same
+arriving in a folder (one JSON document a line) are parsed, scored with the same
 ``score_requests`` plan as the batch job, and appended to a sink.  The
 checkpoint location lives in the shared checkpoint folder, so a restarted
 driver resumes where it stopped.
@@ -11,15 +11,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casebook.plans.scoring import REQUEST_SCHEMA, score_requests
+from casebook.plans.scoring import parse_requests, score_requests
 from casebook.session import scratch_path
 
 
 def request_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    r = spark.readStream.schema(REQUEST_SCHEMA)
+    r = spark.readStream
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.json(source_dir)
+    return parse_requests(r.text(source_dir))
 
 
 def start_scoring(spark: SparkSession, source_dir: str, sink_dir: str, fm, model,
@@ -37,14 +37,10 @@ def start_scoring(spark: SparkSession, source_dir: str, sink_dir: str, fm, model
     return w.start()
 
 
-def score_folder(spark: SparkSession, source_dir: str, fm, model, timeout_s: int = 600) -> DataFrame:
-    """Run the stream over everything in ``source_dir`` (availableNow) and
-    return the sink as a batch DataFrame."""
+def score_folder(spark: SparkSession, source_dir: str, fm, model) -> DataFrame:
+    """Run the stream over everything in ``source_dir`` (availableNow), to its end
+    however long that takes, and return the sink as a batch DataFrame.  A failed
+    query raises."""
     sink = scratch_path(spark, "stream-out")
-    q = start_scoring(spark, source_dir, sink, fm, model)
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-    if q.exception():
-        raise q.exception()
+    start_scoring(spark, source_dir, sink, fm, model).awaitTermination()
     return spark.read.parquet(sink)

@@ -99,3 +99,31 @@ def test_minimum_rows_guard(spark):
     assert KM.fit_if_enough(small, COLS, 2) is None
     ok = spark.createDataFrame([("x", "p", "u")] * 10, "a string, b string, c string")
     assert KM.fit_if_enough(ok, COLS, 2, n_init=1).cost == 0
+
+
+def test_a_fit_that_still_moves_raises(spark):
+    import pytest
+    df = _planted(spark)
+    with pytest.raises(KM.NotConverged):
+        KM.fit(df, COLS, 2, n_init=3, max_iter=0)
+    assert KM.fit(df, COLS, 3, n_init=3).converged
+
+
+def test_all_categories_without_top_k(spark):
+    """k=None keeps rare categories apart, and NULL is the baseline."""
+    rows = [(i, f"r{i % 30:02d}" if i % 31 else None, i % 2) for i in range(600)]
+    df = spark.createDataFrame(rows, "record_id int, r string, label int")
+    p = TR.prepare(df, [], ["r"], k=None)
+    assert len(p.features.vocab.features) == 29 and "r_Other" not in p.features.vocab.features
+    null = p.features.encode(df.where("r is null"), keep=["record_id"]).first()["features"]
+    assert sum(null.toArray()) == 0
+    path = scratch_path(spark, "test-nok")
+    p.features.save(path)
+    assert TR.FeatureModel.load(path).topk is None
+
+
+def test_logistic_fit_is_optimal(spark):
+    p = TR.prepare(_frame(spark), ["age"], ["g", "r"], k=None)
+    train = p.frame.where(F.col("split") == "train")
+    g = MD.logistic_gradient(MD.logistic_regression(train), train, p.features.vocab).collect()
+    assert len(g) == len(p.features.vocab.features) and all(abs(r["gradient"]) < 1e-5 for r in g)
