@@ -1,56 +1,43 @@
 """Shared inputs for the registered queries.
 
 The ``cases`` table is three joins and one aggregate away from the raw
-tables; every query starts from it, so it is built once per session and
-cached (``MEMORY_AND_DISK``: lost blocks are recomputed from lineage if an
-executor dies).  ``materialize="checkpoint"`` writes it to the shared
-checkpoint folder instead, which cuts the lineage for long training runs.
+tables.  It is built once per session and input, written as Parquet into the
+shared checkpoint folder, and every query reads only the columns it uses from
+there - the same way for inputs of any size.  The key of a stored table holds the
+names, sizes and times of the input files, so changed files are never served from
+an old copy; ``clear`` deletes the stored tables.
 """
 
 from __future__ import annotations
 
-import os
-
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casebook.functions import rules as R
-from casebook.session import cut_lineage
+from casebook.session import drop_path, input_signature, scratch_path
 from casebook.sources.cases import documents_cases, tpch_cases
 
-_CACHE: dict = {}
+_STORED: dict = {}
 
 
-def _key(spark: SparkSession, sf_dir: str, name: str):
-    return (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name)
+def input_key(spark: SparkSession, sf_dir: str, *more) -> tuple:
+    """Identifies a result of this session over the files that ``sf_dir`` holds now."""
+    return (spark.sparkContext.applicationId, sf_dir, input_signature(spark, sf_dir), *more)
 
 
-CHECKPOINT_ABOVE_BYTES = 50 << 30   # inputs above ~50 GiB are written, not cached
+def stored(spark: SparkSession, sf_dir: str, name: str, build, *more) -> DataFrame:
+    """The table ``build()`` gives, written once per session, input and name."""
+    key = input_key(spark, sf_dir, name, *more)
+    if key not in _STORED:
+        path = scratch_path(spark, name)
+        build().write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
 
 
-def cases(spark: SparkSession, sf_dir: str, materialize: str = "auto") -> DataFrame:
-    """The shared case table.  ``materialize``: 'cache' (MEMORY_AND_DISK),
-    'checkpoint' (written once to the shared checkpoint folder: lineage
-    cut, survives executor loss without recomputing three joins), 'none', or
-    'auto' = cache small inputs, checkpoint large ones."""
-    k = _key(spark, sf_dir, "cases")
-    df = _CACHE.get(k)
-    if df is None:
-        if materialize == "auto":
-            from casebook.session import input_bytes
-            try:
-                size = input_bytes(spark, sf_dir)
-            except Exception:
-                size = 0
-            materialize = "checkpoint" if size > CHECKPOINT_ABOVE_BYTES else "cache"
-        df = tpch_cases(spark, sf_dir)
-        if materialize == "checkpoint":
-            df = cut_lineage(df)
-        elif materialize == "cache":
-            df = df.persist(StorageLevel.MEMORY_AND_DISK)
-        _CACHE[k] = df
-    return df
+def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shared case table."""
+    return stored(spark, sf_dir, "cases", lambda: tpch_cases(spark, sf_dir))
 
 
 def derive(df: DataFrame) -> DataFrame:
@@ -62,10 +49,12 @@ def derive(df: DataFrame) -> DataFrame:
         "age_cat": R.AGE_PROFILING.column("age"),
         "age_category": R.AGE_MODEL.column("age"),
         "item_group": R.ITEM_GROUPS.column("item"),
-        "weapon_group": R.WEAPON5.column("item"),
-        "weapon_category": R.WEAPON3.column("item"),
+        "weapon_group": R.WEAPON5.column("weapon"),
+        "weapon_model": R.WEAPON5_MODEL.column("weapon"),
+        "weapon_service": R.WEAPON5_SERVICE.column("weapon"),
+        "weapon_category": R.WEAPON3.column("weapon"),
         "grp_b_simple": R.SEGMENTS.column("grp_b"),
-        "relation_simple": R.RELATION.column("grp_b"),
+        "relation_simple": R.RELATION.column("relation"),
         "month_num": R.MONTH_NUMBER.column("month"),
     }).withColumn("month_flag", R.MONTH_FLAG.column("month_num"))
 
@@ -83,10 +72,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_cases(spark, sf_dir)
 
 
-def clear() -> None:
-    for df in _CACHE.values():
-        try:
-            df.unpersist()
-        except Exception:
-            pass
-    _CACHE.clear()
+def clear(spark: SparkSession) -> None:
+    """Delete the tables stored by this session."""
+    for path in _STORED.values():
+        drop_path(spark, path)
+    _STORED.clear()

@@ -21,7 +21,8 @@ from casebook.operators import rates
 from casebook.operators import split as SP
 from casebook.plans import scoring as SC
 from casebook.plans import training as TR
-from casebook.plans.catalog import derived_cases, documents, open_cases
+from casebook.plans.catalog import cases as all_cases
+from casebook.plans.catalog import derived_cases, documents, input_key, open_cases, stored
 from casebook.session import scratch_path
 from casebook.sources import sinks as SK
 from casebook.sources.cases import load_cases
@@ -66,13 +67,14 @@ def b6_age_bins(spark, sf):
 
 @register("b7_keyword_rules")
 def b7_keyword_rules(spark, sf):
-    return derived_cases(spark, sf).select("record_id", "item", "weapon_group", "item_group")
+    return derived_cases(spark, sf).select("record_id", "item", "weapon", "weapon_group", "weapon_model",
+                                           "weapon_service", "item_group")
 
 
 @register("b8_keyword_narrow")
 def b8_keyword_narrow(spark, sf):
     return derived_cases(spark, sf).select(
-        "record_id", R_.WEAPON5_NARROW.column("item").alias("weapon_narrow"))
+        "record_id", R_.WEAPON5_NARROW.column("weapon").alias("weapon_narrow"))
 
 
 @register("b9_keyword3")
@@ -82,7 +84,7 @@ def b9_keyword3(spark, sf):
 
 @register("b10_recode")
 def b10_recode(spark, sf):
-    return derived_cases(spark, sf).select("record_id", "grp_b", "grp_b_simple",
+    return derived_cases(spark, sf).select("record_id", "grp_b", "relation", "grp_b_simple",
                                            "relation_simple")
 
 
@@ -172,8 +174,7 @@ def d10_share_by_priority(spark, sf):
 
 @register("d11_shape")
 def d11_shape(spark, sf):
-    from casebook.plans.catalog import cases
-    return rates.shape(cases(spark, sf))
+    return rates.shape(all_cases(spark, sf))
 
 
 @register("f2_top5_regions")
@@ -354,22 +355,16 @@ def d13_top10_rules(spark, sf):
 # ============================================================ step 5: evaluation
 
 
-_SCORED: dict = {}
-
-
 def _scored(spark, sf):
     """Deterministic stand-in score for the evaluation operators:
-    price / max(price) (a scalar subquery), on the stratified split.  Built
-    once per session and cached, as a scored evaluation set would be."""
-    from pyspark import StorageLevel
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _SCORED:
-        df = SP.stratified_split(derived_cases(spark, sf), ["record_id"], "label")
+    price / max(price) (a scalar subquery), on the stratified split.  Stored
+    once per session, as a scored evaluation set would be."""
+    def build():
+        df = SP.stratified_split(derived_cases(spark, sf).select("record_id", "label", "price"), ["record_id"], "label")
         mx = derived_cases(spark, sf).select(F.max("price")).scalar()
-        _SCORED[key] = (df.withColumn("score", F.col("price") / mx)
-                          .select("record_id", "label", "split", "price", "score")
-                          .persist(StorageLevel.MEMORY_AND_DISK))
-    return _SCORED[key]
+        return (df.withColumn("score", F.col("price") / mx)
+                  .select("record_id", "label", "split", "price", "score"))
+    return stored(spark, sf, "scored", build)
 
 
 def _test(spark, sf):
@@ -434,7 +429,7 @@ def d7_score_stats_open(spark, sf):
 
 # ============================================================ step 6: k-modes
 
-CLUSTER_COLS = ["grp_a", "age_cat", "item_group", "grp_b_simple", "region"]
+CLUSTER_COLS = ["sex", "age_cat", "weapon_group", "relation_simple", "region"]
 K = 5
 
 
@@ -453,7 +448,7 @@ def i10_kmodes_assign(spark, sf):
 @register("i12_cluster_profiles")
 def i12_cluster_profiles(spark, sf):
     a = _seed_assignment(spark, sf)
-    notes = P.cluster_notes("grp_b_simple", "item_group", "grp_a", "age_cat")
+    notes = P.cluster_notes("relation_simple", "weapon_group", "sex", "age_cat", "region")
     p = KM.profiles(a, CLUSTER_COLS, K, notes)
     return p.select("cluster", "size", r6("pct").alias("pct"),
                     *[f"mode_{c}" for c in CLUSTER_COLS], "notes")
@@ -475,6 +470,29 @@ def i10_kmodes_fit(spark, sf):
     return m.assign(o, keep=["record_id"]).select("record_id", "cluster")
 
 
+@register("i10_kmodes_step")
+def i10_kmodes_step(spark, sf):
+    """One batch step from the most frequent tuples: the weighted mode of each
+    column in each cluster that has rows."""
+    tuples = KM.collapse(open_cases(spark, sf), CLUSTER_COLS)
+    modes = KM.init_frequent(tuples, CLUSTER_COLS, K)
+    new, sizes = KM._update_many(tuples, CLUSTER_COLS, {0: modes})[0]
+    rows = [(i, int(n), *m) for i, (m, n) in enumerate(zip(new, sizes)) if n]
+    return spark.createDataFrame(rows, "cluster int, size bigint, " + ", ".join(f"mode_{c} string" for c in CLUSTER_COLS))
+
+
+@register("i10_kmodes_fit_converged")
+def i10_kmodes_fit_converged(spark, sf):
+    """A fit's modes are those of its own assignment: modes, modes that another
+    step would move, and rows assigned."""
+    o = open_cases(spark, sf)
+    tuples = KM.collapse(o, CLUSTER_COLS)
+    m = KM.fit(o, CLUSTER_COLS, K, n_init=4)
+    new, sizes = KM._update_many(tuples, CLUSTER_COLS, {0: m.modes})[0]
+    moved = sum(a != b for x, y, n in zip(m.modes, new, sizes) if n for a, b in zip(x, y))
+    return m.assign(o).agg(F.lit(len(m.modes)).alias("n_modes"), F.lit(moved).alias("n_moved"), F.count(F.lit(1)).alias("n_rows"))
+
+
 @register("i11_elbow_costs")
 def i11_elbow_costs(spark, sf):
     o = open_cases(spark, sf)
@@ -484,32 +502,90 @@ def i11_elbow_costs(spark, sf):
 # ============================================================ step 7: models (rows-only)
 
 LR_NUMERIC = ["age", "vulnerable"]
-LR_CATEGORICAL = ["grp_a", "item_group", "grp_b_simple", "region"]
+LR_CATEGORICAL = ["sex", "grp_a", "weapon_group", "relation_simple", "region"]
 RF_NUMERIC = ["age", "units", "year"]
-RF_CATEGORICAL = ["grp_a", "age_category", "item_group", "region"]
+RF_CATEGORICAL = ["sex", "age_category", "weapon_service", "region"]
+
+#: A coefficient table whose scores SQL can recompute; names not listed count as 0.
+FIXED_INTERCEPT = -1.5
+FIXED_COEFFICIENTS = {
+    "age": 0.01, "units": 0.05, "region_rate": 2.0, "sex_Male": 0.4, "sex_Unknown": -0.3,
+    "age_category_Child": 0.6, "age_category_Senior": -0.4, "weapon_service_Firearm": 0.8,
+    "weapon_service_Knife": -0.5, "weapon_service_Other": 0.2, "weapon_service_Strangulation": -0.9}
 
 _PREP: dict = {}
 
 
 def _prepared(spark, sf, kind: str) -> TR.Prepared:
-    key = (spark.sparkContext.applicationId, sf, kind)
+    key = input_key(spark, sf, kind)
     if key not in _PREP:
         df = derived_cases(spark, sf)
         if kind == "lr":
-            _PREP[key] = TR.prepare(df, LR_NUMERIC, LR_CATEGORICAL)
+            # the analysis encodes all categories of these columns; NULL is the baseline
+            _PREP[key] = TR.prepare(df, LR_NUMERIC, LR_CATEGORICAL, k=None)
         else:
             _PREP[key] = TR.prepare(df, RF_NUMERIC, RF_CATEGORICAL, rate_key="region")
     return _PREP[key]
 
 
 def _forest(spark, sf):
-    key = (spark.sparkContext.applicationId, sf, "rf_model")
+    key = input_key(spark, sf, "rf_model")
     if key not in _PREP:
         p = _prepared(spark, sf, "rf")
         _PREP[key] = MD.random_forest(p.frame.where(F.col("split") == "train"), MD.FOREST_B)
     return _PREP[key]
 
 
+def release() -> None:
+    """Free what the model queries keep cached."""
+    for v in _PREP.values():
+        frame = v.frame if isinstance(v, TR.Prepared) else v
+        if isinstance(frame, DataFrame):
+            frame.unpersist()
+    _PREP.clear()
+
+
+def _logreg(spark, sf):
+    p = _prepared(spark, sf, "lr")
+    return p, MD.logistic_regression(p.frame.where(F.col("split") == "train"))
+
+
+@register("i7_encoded_sums")
+def i7_encoded_sums(spark, sf):
+    """The logistic regression's matrix over all labelled rows, summed by feature
+    and split."""
+    p = _prepared(spark, sf, "lr")
+    names = spark.createDataFrame(list(enumerate(p.features.vocab.features)), "pos int, feature string")
+    from pyspark.ml.functions import vector_to_array
+    long = p.frame.select("split", F.posexplode(vector_to_array("features")).alias("pos", "x"))
+    return (long.groupBy("split", "pos").agg(F.sum("x").alias("total")).join(names, "pos")
+            .select("split", "feature", F.round("total", 3).alias("total")))
+
+
+@register("i7_optimality")
+def i7_optimality(spark, sf):
+    """The gradient of the weighted, regularised loss at the fitted coefficients."""
+    p, m = _logreg(spark, sf)
+    g = MD.logistic_gradient(m, p.frame.where(F.col("split") == "train"), p.features.vocab)
+    return g.select("feature", F.abs(F.round("gradient", 4)).alias("gradient"))
+
+
+@register("i8_coefficient_ends")
+def i8_coefficient_ends(spark, sf):
+    """The five largest and the five smallest coefficients."""
+    p, m = _logreg(spark, sf)
+    return MD.coefficient_ends(m, p.features.vocab)
+
+
+@register("i7_test_report")
+def i7_test_report(spark, sf):
+    """Class report of the logistic regression on its own test rows, with their AUC."""
+    p, m = _logreg(spark, sf)
+    s = MD.score(m, p.frame.where(F.col("split") == "test"))
+    auc = EV.auc(s, "label", "probability_1").first()["auc"]
+    return EV.class_report(s, "label", "probability_1").withColumn("auc", F.lit(auc))
+
+
 @register("i7_logreg_coefficients")
 def i7_logreg_coefficients(spark, sf):
     p = _prepared(spark, sf, "lr")
@@ -557,6 +633,14 @@ def d14_forest_confusion(spark, sf):
     return EV.metrics(EV.confusion(s, "label", "probability_1"))
 
 
+def _score_keeping(fm, model, df):
+    """All columns of ``df`` with its score, in one pass (C5: no join back)."""
+    kept = {c: f"_k{i}" for i, c in enumerate(df.columns)}
+    wide = df.select("*", *[F.col(c).alias(k) for c, k in kept.items()])
+    s = MD.score(model, fm.encode(wide, keep=list(kept.values())))
+    return s.select(*[F.col(k).alias(c) for c, k in kept.items()], "probability_1", "predicted")
+
+
 @register("i18_rank_open")
 def i18_rank_open(spark, sf):
     """Open cases scored by the forest, all case columns kept, sorted by
@@ -564,10 +648,8 @@ def i18_rank_open(spark, sf):
     analysis did."""
     p = _prepared(spark, sf, "rf")
     df = derived_cases(spark, sf).where(F.col("label") == 0)
-    enc = p.features.encode(df, keep=["record_id"])
-    s = MD.score(_forest(spark, sf), enc)
-    return (df.join(s.select("record_id", "probability_1"), "record_id", "inner")
-              .orderBy(F.col("probability_1").desc(), F.col("record_id")))
+    s = _score_keeping(p.features, _forest(spark, sf), df).drop("predicted")
+    return s.orderBy(F.col("probability_1").desc(), F.col("record_id"))
 
 
 @register("i19_high_potential")
@@ -591,7 +673,7 @@ def i5_cv_auc(spark, sf):
 def _oof_forest(spark, sf):
     """Out-of-fold forest predictions of every labelled row (5 fits), cached
     once per session and shared by I15 and the out-of-fold ranking."""
-    key = (spark.sparkContext.applicationId, sf, "rf_oof")
+    key = input_key(spark, sf, "rf_oof")
     if key not in _PREP:
         p = _prepared(spark, sf, "rf")
         oof = MD.out_of_fold(p.frame, lambda d: MD.random_forest(d, MD.FOREST_B))
@@ -618,14 +700,14 @@ def i18_rank_open_oof(spark, sf):
 
 
 def _requests(spark, sf):
-    return SC.requests_from_cases(derived_cases(spark, sf))
+    return SC.parse_requests(SC.requests_from_cases(all_cases(spark, sf)))
 
 
 @register("b16_b17_request_coercion")
 def b16_b17_request_coercion(spark, sf):
     c = SC.coerce_requests(_requests(spark, sf))
     return c.select("request_id", "v_age", "v_victims", "v_year", r6("v_rate").alias("v_rate"),
-                    "v_sex", "v_race", "v_weapon", "v_state", "error")
+                    "v_sex", "v_race", "v_weapon", "v_state", "state_text", "error")
 
 
 def _standin(spark, sf):
@@ -648,7 +730,7 @@ def b20_score_tiers(spark, sf):
 @register("b21_decision_labels")
 def b21_decision_labels(spark, sf):
     d = _standin(spark, sf)
-    r = SC.with_decision_labels(d, "p", "age", "weapon_group", "age_category", "region", "p",
+    r = SC.with_decision_labels(d, "p", "age", "weapon_service", "age_category", "region", "p",
                                 out="r").select("record_id", "r")
     return r.select("record_id", F.col("r.verdict").alias("verdict"),
                     F.col("r.vulnerability").alias("vulnerability"),
@@ -656,7 +738,10 @@ def b21_decision_labels(spark, sf):
                     F.col("r.forensic_insights.risk_profile").alias("risk_profile"),
                     F.col("r.forensic_insights.investigation_advice").alias("advice"),
                     F.col("r.key_factors")[3]["impact"].alias("locality_impact"),
-                    F.col("r.key_factors")[1]["impact"].alias("weapon_impact"))
+                    F.col("r.key_factors")[1]["impact"].alias("weapon_impact"),
+                    F.col("r.key_factors")[1]["value"].alias("weapon_value"),
+                    F.col("r.key_factors")[2]["value"].alias("demography_value"),
+                    F.col("r.analysis").alias("analysis"))
 
 
 @register("b22_display_bands")
@@ -690,17 +775,26 @@ def a12_response_json(spark, sf):
     return SC.response_json(SC.score_requests(_requests(spark, sf), fm, m))
 
 
+def _raw_cases(spark, sf):
+    """Raw case rows: text ages (some not a number), some without an id, no derived
+    columns."""
+    rid = F.col("record_id")
+    return all_cases(spark, sf).select(
+        F.when(rid % 5 != 0, rid.cast("string")).alias("case_id"), "sex", "weapon", "region", "year", "units",
+        F.when(rid % 7 == 0, "abc").otherwise(F.col("age").cast("int").cast("string")).alias("age"))
+
+
 @register("i20_score_cases")
 def i20_score_cases(spark, sf):
     fm, m = _bundle(spark, sf)
-    cases = derived_cases(spark, sf).withColumn("case_id", F.col("record_id").cast("string"))
-    return SC.score_cases(cases, fm, m, timestamp="2024-01-01T00:00:00")
+    return SC.score_cases(_raw_cases(spark, sf), fm, m, timestamp="2024-01-01T00:00:00")
 
 
 @register("a9_model_roundtrip")
 def a9_model_roundtrip(spark, sf):
-    """Save the feature model and forest to the shared checkpoint
-    folder, load both back, score the held-out rows with the loaded pair."""
+    """Save the feature model and forest to the shared checkpoint folder,
+    load both back, and score all labelled rows with both pairs: rows, and rows
+    whose score or class differs."""
     from pyspark.ml.classification import RandomForestClassificationModel
     fm, m = _bundle(spark, sf)
     path = scratch_path(spark, "model")
@@ -708,37 +802,174 @@ def a9_model_roundtrip(spark, sf):
     m.write().overwrite().save(path + "/forest")
     fm2 = TR.FeatureModel.load(path + "/features")
     m2 = RandomForestClassificationModel.load(path + "/forest")
-    test = derived_cases(spark, sf).where(F.col("label").isNotNull())
-    return MD.score(m2, fm2.encode(test, keep=["record_id"])).select(
-        "record_id", "probability_1", "predicted")
+    rows = derived_cases(spark, sf).where(F.col("label").isNotNull())
+    a = MD.score(m, fm.encode(rows, keep=["record_id"])).select("record_id", "probability_1", "predicted")
+    b = MD.score(m2, fm2.encode(rows, keep=["record_id"])).select(
+        "record_id", F.col("probability_1").alias("p2"), F.col("predicted").alias("c2"))
+    same = F.col("probability_1").eqNullSafe(F.col("p2")) & F.col("predicted").eqNullSafe(F.col("c2"))
+    return a.join(b, "record_id", "full").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~same).alias("n_different"))
 
 
-@register("k1_stream_requests")
-def k1_stream_requests(spark, sf):
-    """Requests written as JSON files, scored by a Structured Streaming job
-    (availableNow trigger), sink read back."""
+def _streamed(spark, sf, fm, m):
     from casebook.streaming.requests import score_folder
-    fm, m = _bundle(spark, sf)
     src = scratch_path(spark, "requests")
-    _requests(spark, sf).write.json(src)
+    SC.requests_from_cases(all_cases(spark, sf)).write.text(src)
     return score_folder(spark, src, fm, m)
 
 
+@register("k1_stream_requests")
+def k1_stream_requests(spark, sf):
+    """Requests written as JSON lines, scored by a Structured Streaming job
+    (availableNow trigger), sink read back."""
+    return _streamed(spark, sf, *_bundle(spark, sf))
+
+
+# ------------------------------------------------------------ the same with a given coefficient table
+
+
+def _fixed(spark, sf):
+    fm = _prepared(spark, sf, "rf").features
+    return fm, MD.LinearScorer(fm.vocab.features, FIXED_COEFFICIENTS, FIXED_INTERCEPT)
+
+
+def _flat(r):
+    """Every field of the response, doubles rounded."""
+    f = F.col("response.key_factors")
+    return r.select(
+        "request_id", "error", r6("response.probability").alias("probability"),
+        F.col("response.probability_percent").alias("percent"), F.col("response.verdict").alias("verdict"),
+        F.col("response.vulnerability").alias("vulnerability"), F.col("response.vulnerability_label").alias("vulnerability_label"),
+        *[F.get(f, F.lit(i))[k].alias(f"factor{i}_{k}") for i in range(4) for k in ("label", "value", "impact")],
+        *[F.col(f"response.forensic_insights.{k}").alias(k) for k in ("vulnerability_score", "risk_profile", "investigation_advice")],
+        F.col("response.analysis").alias("analysis"))
+
+
+@register("i21_requests_fixed")
+def i21_requests_fixed(spark, sf):
+    """Every response field of every request form, by a given coefficient table."""
+    return _flat(SC.score_requests(_requests(spark, sf), *_fixed(spark, sf)))
+
+
+@register("a12_response_json_fixed")
+def a12_response_json_fixed(spark, sf):
+    """The JSON documents, parsed back."""
+    js = SC.response_json(SC.score_requests(_requests(spark, sf), *_fixed(spark, sf)))
+    body = F.from_json("json", SC.RESPONSE_TYPE.add("error", "string"))
+    r = js.select("request_id", body.alias("b")).select(
+        "request_id", F.col("b.error").alias("error"), F.when(F.col("b.error").isNull(), F.col("b")).alias("response"))
+    return _flat(r)
+
+
+@register("k1_stream_requests_fixed")
+def k1_stream_requests_fixed(spark, sf):
+    """What the streaming job appended, every field."""
+    return _flat(_streamed(spark, sf, *_fixed(spark, sf)))
+
+
+@register("i20_cases_fixed")
+def i20_cases_fixed(spark, sf):
+    r = SC.score_cases(_raw_cases(spark, sf), *_fixed(spark, sf), timestamp="2024-01-01T00:00:00")
+    return r.withColumn("solvability_probability", r6("solvability_probability"))
+
+
+def _fixed_scores(spark, sf):
+    """All labelled rows scored, to 6 places: equal scores are equal in any engine."""
+    fm, m = _fixed(spark, sf)
+    return MD.score(m, _prepared(spark, sf, "rf").frame).withColumn("probability_1", r6("probability_1"))
+
+
+def _fixed_test(spark, sf):
+    return _fixed_scores(spark, sf).where(F.col("split") == "test")
+
+
+@register("i17_scored_test_fixed")
+def i17_scored_test_fixed(spark, sf):
+    """Held-out rows scored, with their case attributes fetched by id."""
+    attrs = derived_cases(spark, sf).select("record_id", "sex", "age", "weapon", "region", "year", "units")
+    return (_fixed_test(spark, sf).select("record_id", F.col("label").cast("int").alias("actual"),
+                                          r6("probability_1").alias("probability"), "predicted")
+            .join(attrs, "record_id", "left"))
+
+
+@register("i19_high_potential_fixed")
+def i19_high_potential_fixed(spark, sf):
+    """Held-out open cases above the cut, the best five."""
+    t = i17_scored_test_fixed(spark, sf)
+    hp = t.where((F.col("actual") == 0) & (F.col("probability") > P.HIGH_POTENTIAL_CUT))
+    return rates.head(hp, 5, "probability", "record_id").select("record_id", "probability", "sex", "region", "rank")
+
+
+@register("d14_d19_fixed")
+def d14_d19_fixed(spark, sf):
+    """Confusion, metrics and AUC of model scores on the held-out rows."""
+    s = _fixed_test(spark, sf)
+    auc = EV.auc(s, "label", "probability_1").select(r6("auc").alias("auc"))
+    m = EV.metrics(EV.confusion(s, "label", "probability_1"))
+    return m.select("tn", "fp", "fn", "tp", *[r6(c).alias(c) for c in ("accuracy", "precision", "recall", "f1")]).crossJoin(auc)
+
+
+@register("d17_d20_fixed")
+def d17_d20_fixed(spark, sf):
+    """Threshold table of model scores, with the AUC gap between train and test rows."""
+    s = _fixed_scores(spark, sf)
+    gap = EV.overfit_gap(s, "label", "probability_1")
+    t = EV.threshold_table(s.where("split = 'test'"), "label", "probability_1")
+    return t.select("threshold", "n_at", "tp", r6("precision_at").alias("precision_at")).crossJoin(
+        gap.select(*[r6(c).alias(c) for c in ("train_auc", "test_auc", "gap")]))
+
+
+@register("d7_model_score_stats")
+def d7_model_score_stats(spark, sf):
+    """Mean, median and range of the open cases' model scores."""
+    fm, m = _fixed(spark, sf)
+    s = MD.score(m, fm.encode(open_cases(spark, sf), keep=["record_id"]))
+    return EV.distribution(s, "probability_1").select(*[r6(c).alias(c) for c in ["mean", "median", "min", "max"]])
+
+
+@register("i5_i15_fold_scores")
+def i5_i15_fold_scores(spark, sf):
+    """Mean and deviation of the exact AUC over five stratified folds, and the
+    accuracy over all, of given scores."""
+    s = _fixed_scores(spark, sf)
+    return MD.cv_auc(s).select(r6("mean_auc").alias("mean_auc"), r6("std_auc").alias("std_auc"), "folds").crossJoin(
+        MD.oof_accuracy(s).select(r6("oof_accuracy").alias("accuracy")))
+
+
+@register("i9_i16_importance_sums")
+def i9_i16_importance_sums(spark, sf):
+    """Invariants of the importance tables: a row per feature of the vocabulary, none
+    below 0, sum 1."""
+    lr, rf = _prepared(spark, sf, "lr"), _prepared(spark, sf, "rf")
+    tree = MD.decision_tree(lr.frame.where(F.col("split") == "train"))
+    out = None
+    for name, model, p in (("tree", tree, lr), ("forest", _forest(spark, sf), rf)):
+        t = MD.importance_table(model, p.features.vocab).agg(
+            F.lit(name).alias("model"), F.count(F.lit(1)).alias("n_features"), F.count_if(F.col("importance") < 0).alias("n_negative"),
+            r6(F.sum("importance")).alias("total"))
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
 # ============================================================ sources, sinks, set ops
 
-_CSV_NAMES = {"record_id": "Record ID", "outcome": "Crime Solved", "item": "Weapon",
-              "age": "Victim Age", "region": "State", "year": "Year"}
+_CSV_NAMES = {"record_id": "Record ID", "outcome": "Crime Solved", "item": "Item", "age": "Victim Age", "grp_a": "Group A",
+              "grp_b": "Group B", "region": "State", "units": "Victim Count", "year": "Year", "month": "Month",
+              "price": "Price", "weapon": "Weapon", "relation": "Relationship", "sex": "Victim Sex"}
 
 
 @register("a1_csv_load")
 def a1_csv_load(spark, sf):
     """A1-A3 + B1: the case table as the analysis's CSV shape (names with
-    spaces), written with Spark, read back with an explicit schema, names
-    normalised and the 0/1 label added."""
-    from casebook.plans.catalog import cases
-    src = cases(spark, sf).select(*[F.col(c).alias(n) for c, n in _CSV_NAMES.items()])
+    spaces; cells with missing-value texts and with quotes in them), written with
+    Spark, read back with an explicit schema, names normalised and the 0/1 label
+    added."""
+    src = all_cases(spark, sf).select(*[F.col(c).alias(n) for c, n in _CSV_NAMES.items()])
+    texts = src.withColumns({
+        "Victim Age": F.when(F.col("Record ID") % 9 == 0, "NaN").otherwise(F.col("Victim Age").cast("string")),
+        "Weapon": F.when(F.col("Record ID") % 8 == 0, "NA").when(F.col("Record ID") % 8 == 1, "None")
+                   .when(F.col("Record ID") % 8 == 2, 'a "gun", loaded').otherwise(F.col("Weapon"))})
     path = scratch_path(spark, "cases-csv")
-    SK.write_csv(src, path)
+    SK.write_csv(texts, path)
     return load_cases(spark, path, schema=src.schema)
 
 
@@ -764,10 +995,13 @@ def a6_cluster_csv(spark, sf):
 
 @register("a7_ranked_open_csv")
 def a7_ranked_open_csv(spark, sf):
-    s = _scored(spark, sf).where(F.col("label") == 0).select("record_id", "price", "score")
+    """Open cases with all case columns and the model score, written in score order
+    and read back with each row's place in the files."""
+    fm, m = _fixed(spark, sf)
+    df = derived_cases(spark, sf).where(F.col("label") == 0)
+    s = _score_keeping(fm, m, df).select(*all_cases(spark, sf).columns, F.round("probability_1", 9).alias("score"))
     path = SK.write_ranked_csv(s, scratch_path(spark, "ranked"), "score")
-    back = SK.read_csv(spark, path, "record_id bigint, price double, score double")
-    return back.select("record_id", "price", r6("score").alias("score"))
+    return SK.read_ranked(spark, path, s.schema).withColumn("score", r6("score"))
 
 
 @register("g1_vocab_drift")

@@ -3,8 +3,8 @@ B16, B17, B20-B22, B27).
 
 Both are batch jobs over any number of rows: parse/coerce -> derive ->
 encode with the stored ``FeatureModel`` -> model transform -> label columns.
-Bad input never raises per row: it lands in an ``error`` column and the
-good/bad rows are split with ``where``.
+Bad input never raises per row: it lands in an ``error`` column, and the row's
+result is NULL.
 """
 
 from __future__ import annotations
@@ -18,20 +18,10 @@ from casebook import presets as P
 from casebook.functions import rules as R
 from casebook.operators import models as MD
 from casebook.plans.training import FeatureModel
+from casebook.sources.cases import available
 
-# Every field optional; numbers arrive as text or JSON numbers, so
-# they are read as strings and parsed with try_cast.
-REQUEST_SCHEMA = T.StructType([
-    T.StructField("request_id", T.StringType()),
-    T.StructField("sex", T.StringType()),
-    T.StructField("age", T.StringType()),
-    T.StructField("race", T.StringType()),
-    T.StructField("weapon", T.StringType()),
-    T.StructField("state", T.StringType()),
-    T.StructField("year", T.StringType()),
-    T.StructField("victims", T.StringType()),
-    T.StructField("historicalRate", T.StringType()),
-])
+# The fields of a request; every one optional, numbers as JSON numbers or text.
+REQUEST_FIELDS = ("sex", "age", "race", "weapon", "state", "year", "victims", "historicalRate")
 
 RESPONSE_TYPE = T.StructType([
     T.StructField("probability", T.DoubleType()),
@@ -50,67 +40,100 @@ RESPONSE_TYPE = T.StructType([
 ])
 
 
-def _blank(c: Column) -> Column:
-    return c.isNull() | (F.trim(c) == "")
+# Texts that parse as a number, blanks around them allowed.
+_REAL = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)\s*$"
+_WHOLE = r"^\s*[+-]?\d+\s*$"
+
+
+def parse_requests(lines: DataFrame, json_col: str = "value", id_field: str = "request_id") -> DataFrame:
+    """JSON documents (one a row) as (request_id, body VARIANT).  Text that
+    isn't a JSON document has a NULL body."""
+    body = F.try_parse_json(F.col(json_col))
+    return lines.select(body.alias("body")).select(
+        F.expr(f"try_variant_get(body, '$.{id_field}', 'string')").alias("request_id"), "body")
+
+
+class _Field:
+    """A field of the VARIANT column ``body``: absent (SQL NULL), null (type VOID) or a value."""
+
+    def __init__(self, name: str):
+        get = lambda kind: F.expr(f"try_variant_get(body, '$.{name}', '{kind}')")
+        self.kind = F.expr(f"schema_of_variant(variant_get(body, '$.{name}', 'variant'))")
+        self.text, self.number = get("string"), get("double")
+        self.absent = self.kind.isNull()
+        self.null = self.kind == "VOID"
+        self.is_text = self.kind == "STRING"
+        self.is_truth = self.kind == "BOOLEAN"
+        # truthiness of the JSON value: absent, null, "", 0, false, [] and {} are false; any other text, also "0", is true
+        self.falsy = F.coalesce(self.absent | self.null | (self.is_text & (self.text == "")) | (self.is_truth & (self.text == "false"))
+                                | (~self.is_text & (self.number == 0)) | self.text.isin("[]", "{}") & ~self.is_text, F.lit(False))
 
+    def real(self) -> Column:
+        return (F.when(self.is_text, F.when(self.text.rlike(_REAL), F.btrim(self.text, F.lit(" \t\n\r\f\v")).try_cast("double")))
+                .when(self.is_truth, (self.text == "true").cast("double")).otherwise(self.number))
 
-def _falsy_number(c: Column) -> Column:
-    # Python truthiness of a JSON number: 0 and 0.0 are false
-    return F.coalesce(c.try_cast("double") == 0, F.lit(False))
+    def whole(self) -> Column:
+        """Text must be a whole number; a JSON number loses its fraction."""
+        cut = F.when(self.number >= 0, F.floor(self.number)).otherwise(F.ceil(self.number))
+        return (F.when(self.is_text, F.when(self.text.rlike(_WHOLE), F.btrim(self.text, F.lit(" \t\n\r\f\v")).try_cast("int")))
+                .when(self.is_truth, (self.text == "true").cast("int")).otherwise(cut.try_cast("int")))
 
 
 # ------------------------------------------------------------- B16 / B17
-def coerce_requests(df: DataFrame, defaults: dict = P.REQUEST_DEFAULTS,
+def coerce_requests(requests: DataFrame, defaults: dict = P.REQUEST_DEFAULTS,
                     falsy_as_missing: bool = True, check_ranges: bool = False) -> DataFrame:
-    """Typed request columns with defaults, plus ``error`` (NULL when good).
-
-    * age/victims/year: missing or blank -> default; with ``falsy_as_missing``
-      a numeric zero is missing too (the service's ``0 -> 25`` rule, Q5);
-      text that does not parse -> error (B17).  Counts and years parse as
-      whole numbers (``int('2.5')`` fails in the service too).
-    * historicalRate: missing -> default (JSON null too: the service crashed
-      on it, Q6); bad text -> error.
-    * text fields: missing -> default.
-    * ``check_ranges`` adds the documented (unenforced) ranges as errors
-      (B27): age 0-100, year 1980-2025, victims >= 1.
-    """
-    def num(name, dtype):
-        raw = F.col(name)
-        missing = _blank(raw)
-        if falsy_as_missing:
-            missing = missing | _falsy_number(raw)
-        parsed = F.trim(raw).try_cast(dtype)
-        value = F.when(missing, F.lit(defaults[name]).cast(dtype)).otherwise(parsed)
-        bad = ~missing & parsed.isNull()
-        return value, bad
-
-    age, bad_age = num("age", "double")
-    victims, bad_v = num("victims", "int")
-    year, bad_y = num("year", "int")
-    rate_raw = F.col("historicalRate")
-    rate_parsed = F.trim(rate_raw).try_cast("double")
-    rate = F.when(_blank(rate_raw), F.lit(defaults["historicalRate"])).otherwise(rate_parsed)
-    bad_rate = ~_blank(rate_raw) & rate_parsed.isNull()
-    bad = bad_age | bad_v | bad_y | bad_rate
-    if check_ranges:
-        bad = bad | ~age.between(0, 100) | ~year.between(1980, 2025) | (victims < 1)
-    return df.select(
-        "*",
-        age.alias("v_age"), victims.alias("v_victims"), year.alias("v_year"),
-        rate.alias("v_rate"),
-        *[F.coalesce(F.col(c), F.lit(defaults[c])).alias(f"v_{c}")
-          for c in ("sex", "race", "weapon", "state")],
-        F.when(bad, F.lit(P.ERROR_BAD_NUMBER)).alias("error"))
+    """(request_id, body) -> typed request columns with defaults, plus ``error``
+    (NULL when good).
+
+    * age/victims/year: a false JSON value (absent, null, "", 0) -> default; with
+      ``falsy_as_missing=False`` the number 0 is a value; text must parse (counts
+      and years as whole numbers), JSON numbers are taken as they are, counts and
+      years without their fraction; all else -> error (B17).
+    * historicalRate: absent -> default (null too: the service failed on it, Q6);
+      "" and other text that doesn't parse -> error.
+    * text fields: absent -> default; null stays NULL.  ``state_text`` is the state
+      as the service prints it: NULL when absent or null.
+    * a body that isn't a JSON object -> error.
+    * ``check_ranges`` adds the documented (unenforced) ranges as errors (B27):
+      age 0-100, year 1980-2025, victims >= 1.
+
+    Number columns of error rows hold the defaults, so later steps can run."""
+    not_object = ~F.coalesce(F.expr("schema_of_variant(body)").startswith("OBJECT"), F.lit(False))
+    bad, values = not_object, {}
+    for name, out, kind in (("age", "v_age", "double"), ("victims", "v_victims", "int"), ("year", "v_year", "int"),
+                            ("historicalRate", "v_rate", "double")):
+        f = _Field(name)
+        parsed = f.real() if kind == "double" else f.whole()
+        if name == "historicalRate":
+            missing = F.coalesce(f.absent | f.null, F.lit(True))
+        elif falsy_as_missing:
+            missing = f.falsy
+        else:
+            missing = f.falsy & ~F.coalesce(~f.is_text & (f.number == 0), F.lit(False))
+        wrong = ~missing & parsed.isNull()
+        if check_ranges and name != "historicalRate":
+            lo, hi = {"age": (0, 100), "year": (1980, 2025), "victims": (1, None)}[name]
+            wrong = wrong | (~missing & (parsed < lo)) | ((~missing & (parsed > hi)) if hi is not None else F.lit(False))
+        bad = bad | F.coalesce(wrong, F.lit(False))
+        values[out] = F.coalesce(F.when(~missing, parsed), F.lit(defaults[name])).cast(kind)
+    for name in ("sex", "race", "weapon", "state"):
+        f = _Field(name)
+        values[f"v_{name}"] = F.when(f.absent, F.lit(defaults[name])).otherwise(f.text)
+    values["state_text"] = _Field("state").text
+    return requests.select("*", *[c.alias(n) for n, c in values.items()],
+                           F.when(bad, F.lit(P.ERROR_BAD_NUMBER)).alias("error"))
 
 
 # ------------------------------------------------------------------ B21
 def with_decision_labels(df: DataFrame, prob: str, age: str, weapon_group: str,
-                         age_group: str, state: str, rate: str, out: str = "response") -> DataFrame:
-    """Add the A12 response struct.  The parts used several times (flag,
-    labels, percent text) are computed once as columns first; the struct is
-    then assembled from column references, which keeps the generated code
-    small enough for the JIT."""
-    a = P.ANALYSIS_TEXT
+                         age_group: str, state: str, rate: str, out: str = "response",
+                         model_note: str = P.MODEL_NOTE) -> DataFrame:
+    """Add the A12 response struct.  ``weapon_group`` holds the service's groups
+    (``R.WEAPON5_SERVICE``: a missing weapon is 'Other'); a NULL ``state`` prints
+    as None.  ``model_note`` is what the response says of the model.  The parts
+    used several times (flag, labels, percent text) are computed once as columns
+    first; the struct is then assembled from column references, which keeps the
+    generated code small enough for the JIT."""
     p = F.col(prob)
     d = df.withColumns({
         "_vuln": R.OutOfRangeFlag().column(age) == 1,
@@ -125,7 +148,7 @@ def with_decision_labels(df: DataFrame, prob: str, age: str, weapon_group: str,
     })
     vuln, firearm, vlabel = F.col("_vuln"), F.col("_firearm"), F.col("_vlabel")
     factors = F.array(
-        F.struct(F.lit(P.FACTOR_LABELS[0]).alias("label"), F.lit(P.MODEL_NOTE).alias("value"),
+        F.struct(F.lit(P.FACTOR_LABELS[0]).alias("label"), F.lit(model_note).alias("value"),
                  F.lit("positive").alias("impact")),
         F.struct(F.lit(P.FACTOR_LABELS[1]).alias("label"),
                  F.concat(F.lit(P.FACTOR_WEAPON_TEXT), F.col(weapon_group)).alias("value"),
@@ -145,11 +168,10 @@ def with_decision_labels(df: DataFrame, prob: str, age: str, weapon_group: str,
         R.PROFILE3.column(p).alias("risk_profile"),
         F.when(firearm, F.lit(P.ADVICE_TEXT[0])).otherwise(F.lit(P.ADVICE_TEXT[1]))
          .alias("investigation_advice"))
-    analysis = F.concat(
-        F.lit(a[0]), F.col("_pct"), F.lit(". "), F.lit(a[1]), F.lit("("), vlabel, F.lit(")"),
-        F.lit(a[2]), F.col("_state"), F.lit(a[3]),
+    analysis = F.format_string(
+        P.ANALYSIS_TEXT, F.col("_pct"), vlabel, F.col("_state"),
         F.when(F.col("_urgent"), F.lit(P.URGENCY_TEXT[0])).otherwise(F.lit(P.URGENCY_TEXT[1])),
-        F.lit(". "), F.when(firearm, F.lit(a[4])).otherwise(F.lit("")))
+        F.when(firearm, F.lit(P.BALLISTIC_TEXT)).otherwise(F.lit("")))
     resp = F.struct(
         p.alias("probability"), F.col("_pct").alias("probability_percent"),
         R.VERDICT.column(p).alias("verdict"), vuln.alias("vulnerability"),
@@ -163,27 +185,28 @@ def with_decision_labels(df: DataFrame, prob: str, age: str, weapon_group: str,
 class RequestBinding:
     """How request fields map onto the model's case columns."""
 
-    sex: str = "grp_a"
+    sex: str = "sex"
     age: str = "age"
-    weapon: str = "item"
+    weapon: str = "weapon"
     state: str = "region"
     year: str = "year"
     victims: str = "units"
-    weapon_rule: R.KeywordRules = R.ITEM_GROUPS
-    weapon_group: str = "item_group"
+    weapon_rule: R.KeywordRules = R.WEAPON5_SERVICE
+    weapon_group: str = "weapon_service"
     age_rule: R.Bins = R.AGE_MODEL
     age_group: str = "age_category"
 
 
 def score_requests(requests: DataFrame, fm: FeatureModel, model,
                    binding: RequestBinding = RequestBinding(),
-                   falsy_as_missing: bool = True) -> DataFrame:
-    """Requests -> (request_id, error, response struct).  The request's
-    own rate replaces the stored rate lookup."""
+                   falsy_as_missing: bool = True, model_note: str = P.MODEL_NOTE) -> DataFrame:
+    """Requests (request_id, body) -> (request_id, error, response struct),
+    in one pass: every row is scored, and the response of a row with an error is
+    NULL.  The request's own rate replaces the stored rate lookup."""
     c = coerce_requests(requests, falsy_as_missing=falsy_as_missing)
     b = binding
     case = c.select(
-        "request_id", "error", "v_state", "v_age", "v_rate",
+        "request_id", "error", "state_text", "v_age", "v_rate",
         F.col("v_sex").alias(b.sex), F.col("v_age").alias(b.age),
         F.col("v_weapon").alias(b.weapon), F.col("v_state").alias(b.state),
         F.col("v_year").alias(b.year), F.col("v_victims").alias(b.victims),
@@ -191,16 +214,11 @@ def score_requests(requests: DataFrame, fm: FeatureModel, model,
     case = case.withColumns({
         b.weapon_group: b.weapon_rule.column(b.weapon),
         b.age_group: b.age_rule.column(b.age)})
-    good = case.where(F.col("error").isNull())
-    enc = fm.encode(good, keep=["request_id", "v_state", "v_age", "v_rate", b.weapon_group,
-                                b.age_group], use_given_rate=True)
-    s = MD.score(model, enc)
+    keep = ["request_id", "error", "state_text", "v_age", "v_rate", b.weapon_group, b.age_group]
+    s = MD.score(model, fm.encode(case, keep=keep, use_given_rate=True))
     r = with_decision_labels(s, "probability_1", "v_age", b.weapon_group, b.age_group,
-                             "v_state", "v_rate")
-    ok = r.select("request_id", F.lit(None).cast("string").alias("error"), "response")
-    bad = case.where(F.col("error").isNotNull()).select(
-        "request_id", "error", F.lit(None).cast(RESPONSE_TYPE).alias("response"))
-    return ok.unionByName(bad)
+                             "state_text", "v_rate", model_note=model_note)
+    return r.select("request_id", "error", F.when(F.col("error").isNull(), F.col("response")).alias("response"))
 
 
 def response_json(scored: DataFrame) -> DataFrame:
@@ -211,33 +229,96 @@ def response_json(scored: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ I20
+@dataclass
+class CaseBinding:
+    """Columns of raw cases, and the derived ones the model was trained on."""
+
+    age: str = "age"
+    age_group: str = "age_category"
+    age_rule: R.Bins = R.AGE_MODEL
+    weapon: str = "weapon"
+    weapon_group: str = "weapon_service"
+    weapon_rule: R.KeywordRules = R.WEAPON5_SERVICE
+
+
 def score_cases(cases: DataFrame, fm: FeatureModel, model, key: str = "case_id",
-                timestamp: str | None = None) -> DataFrame:
-    """Case rows (case columns as in training, before encoding) ->
-    probability, percentage text, priority tier, outcome text,
-    recommendation and a caller-given timestamp text (deterministic)."""
-    enc = fm.encode(cases, keep=[key])
-    s = MD.score(model, enc)
-    p = F.col("probability_1")
-    return s.select(
-        key, p.alias("solvability_probability"),
-        F.format_string("%.1f%%", p * 100).alias("solvability_percentage"),
-        R.PRIORITY.column(p).alias("priority_level"),
-        R.OUTCOME_TEXT.column(p).alias("predicted_outcome"),
-        R.RECOMMENDATION.column(p).alias("investigation_recommendation"),
-        F.lit(timestamp).cast("string").alias("prediction_timestamp"))
+                timestamp: str | None = None, binding: CaseBinding = CaseBinding()) -> DataFrame:
+    """Raw case rows -> probability, percentage text, priority tier, outcome
+    text, recommendation, a caller-given timestamp text (deterministic) and
+    ``error``.
+
+    The age group is derived, and the weapon group unless the cases bring it
+    (A4); categories that the cases have no column for are NULL.  Numeric columns
+    may be text; a value that doesn't parse is the row's error and its results
+    are NULL.  A missing or NULL key is 'Unknown'."""
+    b = binding
+    d = cases
+    have = lambda *names: available(d, names)
+    if not have(key):
+        d = d.withColumn(key, F.lit(None).cast("string"))
+    d = d.withColumn(key, F.coalesce(F.col(key).cast("string"), F.lit("Unknown")))
+    bad: list[Column] = []
+    for c in fm.numeric:
+        if not have(c):
+            d = d.withColumn(c, F.lit(None).cast("double"))
+            continue
+        given = F.col(c).cast("string")
+        bad.append(given.isNotNull() & given.try_cast("double").isNull())
+        d = d.withColumn(f"_n_{c}", given.try_cast("double"))
+    error = F.array_join(F.array_compact(F.array(*[F.when(x, F.lit(c)) for x, c in zip(bad, have(*fm.numeric))])), ", ")
+    d = d.withColumn("error", F.when(error != "", F.concat(F.lit("not a number: "), error)))
+    for c in fm.numeric:
+        if have(f"_n_{c}"):
+            d = d.withColumn(c, F.col(f"_n_{c}")).drop(f"_n_{c}")
+    if have(b.age):
+        d = d.withColumn(b.age_group, b.age_rule.column(b.age))
+    if not have(b.weapon_group) and have(b.weapon):
+        d = d.withColumn(b.weapon_group, b.weapon_rule.column(b.weapon))
+    for c in [*fm.categorical, *([fm.rate_key] if fm.rate_key else [])]:
+        if not have(c):
+            d = d.withColumn(c, F.lit(None).cast("string"))
+    s = MD.score(model, fm.encode(d, keep=[key, "error"]))
+    p, good = F.col("probability_1"), F.col("error").isNull()
+    columns = {
+        "solvability_probability": p, "solvability_percentage": F.format_string("%.1f%%", p * 100),
+        "priority_level": R.PRIORITY.column(p), "predicted_outcome": R.OUTCOME_TEXT.column(p),
+        "investigation_recommendation": R.RECOMMENDATION.column(p)}
+    return s.select(key, *[F.when(good, c).alias(n) for n, c in columns.items()],
+                    F.lit(timestamp).cast("string").alias("prediction_timestamp"), "error")
+
+
+def _json_value(column: str, quoted: bool) -> Column:
+    text = F.col(column).cast("string")
+    return F.concat(F.lit('"'), text, F.lit('"')) if quoted else text
 
 
 def requests_from_cases(cases: DataFrame) -> DataFrame:
-    """Request rows derived from a case table (every field as text, as a
-    JSON client would send it); NULL fields become absent keys in JSON."""
-    return cases.select(
-        F.col("record_id").cast("string").alias("request_id"),
-        F.col("grp_a").alias("sex"),
-        F.col("age").cast("string").alias("age"),
-        F.lit(None).cast("string").alias("race"),
-        F.col("item").alias("weapon"),
-        F.col("region").alias("state"),
-        F.col("year").cast("string").alias("year"),
-        F.col("units").cast("string").alias("victims"),
-        F.lit(None).cast("string").alias("historicalRate"))
+    """Request documents derived from a case table, as JSON lines (column
+    ``value``): each number field takes, by the case's key, one of the forms that
+    clients send - absent, null, "", " ", "0", 0, 2.5, "2.5", "abc", the number,
+    the number as text - and each text field is absent, null or given."""
+    rid = F.col("record_id")
+    d = cases.select("record_id", "sex", "weapon", "region", F.col("age").cast("int").alias("age"), "year", "units",
+                     F.format_string("%.2f", F.lit(0.54) + (rid % 30) / 100).alias("rate"))
+
+    def number(field: str, column: str, code: Column) -> Column:
+        name = f'"{field}":'
+        forms = [None, "null", '""', '" "', '"0"', "0", "2.5", '"2.5"', '"abc"']
+        out = F.lit(None).cast("string")
+        for i, form in enumerate(forms):
+            if form is not None:
+                out = F.when(code == i, F.lit(name + form)).otherwise(out)
+        out = F.when(code == 9, F.concat(F.lit(name), _json_value(column, False))).otherwise(out)
+        return F.when(code == 10, F.concat(F.lit(name), _json_value(column, True))).otherwise(out)
+
+    def text(field: str, column: str, code: Column) -> Column:
+        name = f'"{field}":'
+        return (F.when(code == 0, F.lit(None)).when(code == 1, F.lit(name + "null"))
+                .otherwise(F.concat(F.lit(name), _json_value(column, True))))
+
+    step = lambda by, n: F.floor(rid / by).cast("long") % n
+    parts = [F.concat(F.lit('"request_id":"'), rid.cast("string"), F.lit('"')),
+             number("age", "age", step(1, 11)), number("victims", "units", step(11, 11)), number("year", "year", step(3, 11)),
+             number("historicalRate", "rate", step(5, 11)),
+             text("sex", "sex", step(1, 4)), text("state", "region", step(2, 4)), text("weapon", "weapon", step(4, 4))]
+    return d.select(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("value"))

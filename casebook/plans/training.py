@@ -29,7 +29,7 @@ class FeatureModel:
     categorical: list
     rate_key: str | None
     rate_out: str | None
-    topk: FE.TopKModel
+    topk: FE.TopKModel | None     # None: no bucketing
     vocab: FE.Vocab
     fill: dict                    # numeric column -> train mean
     rates: DataFrame | None = None
@@ -45,12 +45,13 @@ class FeatureModel:
         if self.rate_key and not use_given_rate:
             te = FE.TargetEncoderModel(self.rate_key, self.rates, self.global_rate, self.rate_out)
             d = te.apply(d)
-        d = self.topk.apply(d, self.categorical)
+        if self.topk:
+            d = self.topk.apply(d, self.categorical)
         d = d.fillna({c: v for c, v in self.fill.items() if v is not None})
         # positional names: category text may hold characters that column
         # name parsing treats specially
         cols = [c.alias(f"_v{i}") for i, c in enumerate(self.vocab.columns())]
-        enc = d.select(*keep, *cols)
+        enc = d.select(*dict.fromkeys(keep), *cols)
         va = VectorAssembler(inputCols=[f"_v{i}" for i in range(len(cols))],
                              outputCol="features")
         return va.transform(enc).select(*keep, "features")
@@ -59,12 +60,13 @@ class FeatureModel:
     def save(self, path: str) -> None:
         spark = SparkSession.getActiveSession()
         self.vocab.table(spark).coalesce(1).write.mode("overwrite").json(os.path.join(path, "vocab"))
-        self.topk.table(spark).coalesce(1).write.mode("overwrite").json(os.path.join(path, "topk"))
+        if self.topk:
+            self.topk.table(spark).coalesce(1).write.mode("overwrite").json(os.path.join(path, "topk"))
         if self.rates is not None:
             self.rates.write.mode("overwrite").parquet(os.path.join(path, "rates"))
         meta = {"numeric": self.numeric, "categorical": self.categorical,
                 "rate_key": self.rate_key, "rate_out": self.rate_out, "fill": self.fill,
-                "global_rate": self.global_rate, "other": self.topk.other}
+                "global_rate": self.global_rate, "other": self.topk.other if self.topk else None}
         spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode(
             "overwrite").text(os.path.join(path, "meta"))
 
@@ -75,20 +77,25 @@ class FeatureModel:
         vocab = FE.Vocab.from_table(spark.read.schema(
             "pos int, feature string, column string, category string").json(os.path.join(path, "vocab")))
         keep: dict = {c: [] for c in meta["categorical"]}
-        for r in (spark.read.schema("column string, value string, rank int")
+        for r in () if meta["other"] is None else (spark.read.schema("column string, value string, rank int")
                   .json(os.path.join(path, "topk")).orderBy("column", "rank").collect()):  # <= k x columns
             keep[r["column"]].append(r["value"])
         rates = (spark.read.parquet(os.path.join(path, "rates")) if meta["rate_key"] else None)
         return cls(meta["numeric"], meta["categorical"], meta["rate_key"], meta["rate_out"],
-                   FE.TopKModel(keep, meta["other"]), vocab, meta["fill"], rates,
+                   FE.TopKModel(keep, meta["other"]) if meta["other"] is not None else None, vocab, meta["fill"], rates,
                    meta["global_rate"])
 
 
 def fit_features(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
-                 label: str = "label", rate_key: str | None = None, k: int = P.TOP_K_CATEGORIES,
-                 drop_first: bool = True) -> FeatureModel:
+                 label: str = "label", rate_key: str | None = None, k: int | None = P.TOP_K_CATEGORIES,
+                 drop_first: bool = True, fill_numeric: bool = True) -> FeatureModel:
     """Fit on the training rows only (the analysis fitted the target rate on
-    all rows incl. the test rows, a leak this avoids)."""
+    all rows incl. the test rows, a leak this avoids).
+
+    ``k``: categories kept per column, the others and NULL being one category;
+    None keeps all, and NULL is the baseline (all indicators 0).
+    ``fill_numeric``: NULLs of numeric columns become the mean of the training
+    rows (our rule: the estimators take no NULLs)."""
     d = train
     rates, gm, rate_out = None, None, None
     nums = list(numeric)
@@ -97,10 +104,13 @@ def fit_features(train: DataFrame, numeric: Sequence[str], categorical: Sequence
         rates, gm, rate_out = te.rates.cache(), te.global_mean, te.out
         d = te.apply(d)
         nums = nums + [rate_out]
-    topk = FE.fit_topk(d, categorical, k)
-    d = topk.apply(d, categorical)
-    fill_row = d.agg(*[F.avg(c).alias(c) for c in nums]).first()
-    fill = {c: (float(fill_row[c]) if fill_row[c] is not None else None) for c in nums}
+    topk = FE.fit_topk(d, categorical, k) if k is not None else None
+    if topk:
+        d = topk.apply(d, categorical)
+    fill = {}
+    if fill_numeric and nums:
+        fill_row = d.agg(*[F.avg(c).alias(c) for c in nums]).first()
+        fill = {c: (float(fill_row[c]) if fill_row[c] is not None else None) for c in nums}
     vocab = FE.fit_vocab(d, nums, categorical, drop_first=drop_first)
     return FeatureModel(list(numeric), list(categorical), rate_key, rate_out, topk, vocab, fill,
                         rates, gm)
@@ -114,13 +124,14 @@ class Prepared:
 
 def prepare(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
             label: str = "label", key: str = "record_id", rate_key: str | None = None,
-            seed: int = P.SPLIT_SEED) -> Prepared:
+            seed: int = P.SPLIT_SEED, k: int | None = P.TOP_K_CATEGORIES) -> Prepared:
     """Labelled rows -> exact stratified split + folds -> feature model fitted
     on train -> encoded frame with balanced weights, cached once."""
     from pyspark import StorageLevel
-    s = SP.split_and_folds(df, [key], label, seed=seed).persist(StorageLevel.MEMORY_AND_DISK)
+    kept = [key, label, *numeric, *categorical, *([rate_key] if rate_key else [])]
+    s = SP.split_and_folds(df.select(*dict.fromkeys(kept)), [key], label, seed=seed).persist(StorageLevel.MEMORY_AND_DISK)
     train = s.where(F.col("split") == "train")
-    fm = fit_features(train, numeric, categorical, label, rate_key)
+    fm = fit_features(train, numeric, categorical, label, rate_key, k)
     enc = fm.encode(s, keep=[key, label, "split", "fold"])
     enc = SP.with_class_weights(enc, label, basis=train).withColumn(
         label, F.col(label).cast("double")).persist(StorageLevel.MEMORY_AND_DISK)

@@ -90,6 +90,24 @@ def input_bytes(spark: SparkSession, path: str) -> int:
     return int(p.getFileSystem(conf).getContentSummary(p).getLength())
 
 
+def input_signature(spark: SparkSession, path: str) -> int:
+    """A hash of the names, sizes and modification times of the files under
+    ``path`` (metadata calls only)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(p, True)
+    files = []
+    while found.hasNext():
+        f = found.next()
+        files.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hash(tuple(sorted(files)))
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder (never machine-local
     on a cluster)."""

@@ -36,25 +36,35 @@ def available(df: DataFrame, wanted) -> list[str]:
     return [c for c in wanted if c in have]
 
 
+def _is_missing_path(e: AnalysisException) -> bool:
+    return "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e)
+
+
 def load_cases(spark: SparkSession, path: str, fmt: str = "csv",
                schema: T.StructType | None = None, normalise: bool = True,
-               outcome_col: str = "Crime_Solved", label_col: str = "Solved") -> DataFrame:
+               outcome_col: str = "Crime_Solved", label_col: str = "Solved",
+               na_texts=tuple(P.NA_TEXTS)) -> DataFrame:
     """A1-A3 + B1: read a case table, normalise names and add the 0/1 label.
 
-    CSV is read with a header and, when given, an explicit schema (no
-    inference pass over the data).  A missing path raises
-    ``MissingSourceError`` instead of a generic analysis error.
+    CSV cells are read as text (header, doubled quotes), a cell that holds one of
+    ``na_texts`` is NULL, and the rest is cast to the type that ``schema`` gives
+    its column; text that doesn't parse is NULL, and no cell becomes NaN.  Without
+    a schema all columns stay text.  A missing path raises ``MissingSourceError``.
     """
-    reader = spark.read
-    if schema is not None:
-        reader = reader.schema(schema)
     try:
         if fmt == "csv":
-            df = reader.option("header", True).csv(path)
+            reader = spark.read.option("header", True).option("escape", '"').option("multiLine", True).option("nullValue", None)
+            if schema is not None:
+                reader = reader.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields]))
+            df = reader.csv(path)
+            kinds = {f.name: f.dataType for f in schema.fields} if schema is not None else {}
+            cell = lambda c: F.when(~F.col(f"`{c}`").isin(*na_texts), F.col(f"`{c}`"))
+            df = df.select(*[(cell(c).try_cast(kinds[c]) if c in kinds else cell(c)).alias(c) for c in df.columns])
         else:
+            reader = spark.read if schema is None else spark.read.schema(schema)
             df = reader.format(fmt).load(path)
-    except AnalysisException as e:  # PATH_NOT_FOUND
-        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
+    except AnalysisException as e:
+        if _is_missing_path(e):
             raise MissingSourceError(path) from e
         raise
     if normalise:
@@ -75,11 +85,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     try:
         return spark.read.parquet(path)
     except AnalysisException as e:
-        raise MissingSourceError(path) from e
+        if _is_missing_path(e):
+            raise MissingSourceError(path) from e
+        raise
 
 
 CASES_COLUMNS = ["record_id", "outcome", "item", "age", "grp_a", "grp_b", "region",
-                 "units", "year", "month", "price"]
+                 "units", "year", "month", "price", "weapon", "relation", "sex"]
+
+
+def _word(words, key: str):
+    """The word that a key picks (NULL words and keys give NULL)."""
+    texts = F.array(*[F.lit(w).cast("string") for w in words])
+    return F.get(texts, (F.col(key) % len(words)).cast("int"))
 
 
 def tpch_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,13 +140,15 @@ def tpch_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
                F.year("o_orderdate").cast("int").alias("year"),
                F.element_at(month_names, F.month("o_orderdate")).alias("month"),
                F.col("o_totalprice").alias("price"),
+               _word(P.BIND_WEAPONS, "pk").alias("weapon"),
+               _word(P.BIND_RELATIONS, "o_custkey").alias("relation"),
+               _word(P.BIND_SEXES, "o_orderkey").alias("sex"),
            ))
     return out
 
 
 def documents_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Second binding: documents with a 0/1 quality label (inner join on the
-    labelled subset)."""
+    """Second binding: all documents, with a 0/1 quality label where there is one."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    return docs.join(labels, "doc_id", "inner")
+    return docs.join(labels, "doc_id", "left")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
     return path
 
 
@@ -35,4 +35,19 @@ def write_ranked_csv(scored: DataFrame, path: str, score: str, key: str = "recor
 
 
 def read_csv(spark, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).csv(path)
+    return spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
+
+
+def read_ranked(spark, path: str, schema, place: str = "place") -> DataFrame:
+    """A written table with each row's ``place``, from 1, in the order of the files'
+    names and of the rows in them."""
+    from pyspark.sql import Window
+    rows = (spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
+            .select("*", F.col("_metadata.file_name").alias("_file"), F.monotonically_increasing_id().alias("_at")))
+    inside = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_file").orderBy("_at")))
+    # one row for each file
+    before = (inside.groupBy("_file").agg(F.count(F.lit(1)).alias("_rows"))
+              .withColumn("_before", F.coalesce(F.sum("_rows").over(
+                  Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_rows"))
+    return (inside.join(before, "_file").withColumn(place, (F.col("_n") + F.col("_before")).cast("long"))
+            .drop("_file", "_at", "_n", "_before"))

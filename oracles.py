@@ -2,15 +2,13 @@
 
 Tables ``orders customer nation lineitem part documents labels`` are views
 in the checker.  ``CASES`` is the shared case view (FIXTURES.md F5);
-``DERIVED`` adds the rule columns, rendered from the same rule objects the
-Spark side uses, so a change of preset changes both sides.
+``DERIVED`` adds the rule columns.  The rules - bins, keywords, recodes, cuts and
+texts - are written out here as SQL, independent of the library's presets and
+rule objects, so a wrong value there shows as a difference.
 """
 
 from __future__ import annotations
 
-from casebook import presets as P
-from casebook.functions import rules as R
-
 CASES = """
 SELECT o.o_orderkey AS record_id,
        CASE o.o_orderstatus WHEN 'F' THEN 'Yes' WHEN 'O' THEN 'No' END AS outcome,
@@ -22,7 +20,13 @@ SELECT o.o_orderkey AS record_id,
        CAST(coalesce(l.n_lines, 0) AS INTEGER) AS units,
        CAST(year(o.o_orderdate) AS INTEGER) AS year,
        strftime(o.o_orderdate, '%B') AS month,
-       o.o_totalprice AS price
+       o.o_totalprice AS price,
+       ['Handgun', 'Rifle', 'Shotgun', 'FIREARM', 'Gun', 'Knife', 'stab wound', 'Cutting tool', 'Blunt Object',
+        'Strangulation', 'Poison', 'Unknown', NULL][CAST(l.pk % 13 + 1 AS INTEGER)] AS weapon,
+       ['Spouse', 'Common-law spouse', 'Parent', 'Child', 'Sibling', 'In-law', 'Friend', 'Acquaintance', 'Neighbor',
+        'Boyfriend/Girlfriend', 'Ex-spouse', 'Stranger', 'spouse', 'Employer', 'Unknown',
+        NULL][CAST(o.o_custkey % 16 + 1 AS INTEGER)] AS relation,
+       ['Male', 'Female', 'Unknown'][CAST(o.o_orderkey % 3 + 1 AS INTEGER)] AS sex
 FROM orders o
 JOIN customer c ON o.o_custkey = c.c_custkey
 JOIN nation n ON c.c_nationkey = n.n_nationkey
@@ -31,23 +35,46 @@ LEFT JOIN (SELECT l_orderkey, min(l_partkey) AS pk, count(*) AS n_lines
 LEFT JOIN part p ON l.pk = p.p_partkey
 """
 
+def _weapon_sql(null: str, blunt: str = "Blunt", words=("handgun", "shotgun", "rifle"), more=("stab",), five: bool = True) -> str:
+    """Weapon groups by lower-cased substrings, the first that matches."""
+    has = lambda *ws: " OR ".join(f"contains(lower(weapon), '{w}')" for w in ws)
+    tail = (f"WHEN contains(lower(weapon), 'blunt') THEN '{blunt}' "
+            f"WHEN contains(lower(weapon), 'strangulation') THEN 'Strangulation'") if five else ""
+    cut = ("cut",) if five else ()
+    return (f"CASE WHEN weapon IS NULL THEN '{null}' WHEN {has('firearm', 'gun', *words)} THEN 'Firearm' "
+            f"WHEN {has('knife', *cut, *more)} THEN 'Knife' {tail} ELSE 'Other' END")
+
+
 _D1 = f"""
 SELECT *,
-       {R.OUTCOME.sql('outcome')} AS label,
-       {R.OutOfRangeFlag().sql('age')} AS vulnerable,
-       {R.AGE_PROFILING.sql('age')} AS age_cat,
-       {R.AGE_MODEL.sql('age')} AS age_category,
-       {R.ITEM_GROUPS.sql('item')} AS item_group,
-       {R.WEAPON5.sql('item')} AS weapon_group,
-       {R.WEAPON3.sql('item')} AS weapon_category,
-       {R.SEGMENTS.sql('grp_b')} AS grp_b_simple,
-       {R.RELATION.sql('grp_b')} AS relation_simple,
-       {R.MONTH_NUMBER.sql('month')} AS month_num
+       CASE outcome WHEN 'Yes' THEN 1 WHEN 'No' THEN 0 END AS label,
+       CASE WHEN age < 18 OR age > 65 THEN 1 ELSE 0 END AS vulnerable,
+       CASE WHEN age IS NULL THEN 'Unknown' WHEN age < 18 THEN 'Child' WHEN age < 30 THEN 'Young Adult'
+            WHEN age < 50 THEN 'Adult' WHEN age < 65 THEN 'Middle Age' ELSE 'Senior' END AS age_cat,
+       CASE WHEN age IS NULL THEN 'Unknown' WHEN age < 18 THEN 'Child' WHEN age < 30 THEN 'Young Adult'
+            WHEN age < 50 THEN 'Adult' WHEN age < 65 THEN 'Middle Aged' ELSE 'Senior' END AS age_category,
+       CASE WHEN item IS NULL THEN 'Unknown'
+            WHEN contains(lower(item), 'bolt') OR contains(lower(item), 'rod') THEN 'Fastener'
+            WHEN contains(lower(item), 'gear') OR contains(lower(item), 'gizmo') OR contains(lower(item), 'widget') THEN 'Machine'
+            WHEN contains(lower(item), 'plate') OR contains(lower(item), 'ring') THEN 'Plate' ELSE 'Other' END AS item_group,
+       {_weapon_sql('Unknown')} AS weapon_group,
+       {_weapon_sql('Unknown', 'Blunt Object')} AS weapon_model,
+       {_weapon_sql('Other', 'Blunt Object')} AS weapon_service,
+       {_weapon_sql('Unknown', words=(), more=(), five=False)} AS weapon_category,
+       CASE WHEN grp_b IS NULL THEN 'Unknown' WHEN grp_b IN ('MACHINERY', 'BUILDING', 'AUTOMOBILE') THEN 'Industry'
+            WHEN grp_b IN ('HOUSEHOLD', 'FURNITURE') THEN 'Home' ELSE 'Other' END AS grp_b_simple,
+       CASE WHEN relation IS NULL THEN 'Unknown'
+            WHEN relation IN ('Spouse', 'Common-law spouse', 'Parent', 'Child', 'Sibling', 'In-law') THEN 'Family'
+            WHEN relation IN ('Friend', 'Acquaintance', 'Neighbor', 'Boyfriend/Girlfriend', 'Ex-spouse') THEN 'Acquaintance'
+            WHEN relation = 'Stranger' THEN 'Stranger' ELSE 'Other' END AS relation_simple,
+       CASE month WHEN 'January' THEN 1 WHEN 'February' THEN 2 WHEN 'March' THEN 3 WHEN 'April' THEN 4 WHEN 'May' THEN 5
+            WHEN 'June' THEN 6 WHEN 'July' THEN 7 WHEN 'August' THEN 8 WHEN 'September' THEN 9 WHEN 'October' THEN 10
+            WHEN 'November' THEN 11 WHEN 'December' THEN 12 END AS month_num
 FROM base_cases
 """
 
 DERIVED = f"""
-SELECT *, {R.MONTH_FLAG.sql('month_num')} AS month_flag FROM ({_D1})
+SELECT *, CASE WHEN month_num IN (1, 7, 12) THEN 1 ELSE 0 END AS month_flag FROM ({_D1})
 """
 
 
@@ -73,12 +100,12 @@ ORACLES: dict[str, str] = {
     "b5_out_of_range_flag": with_cases("SELECT record_id, age, vulnerable FROM cases"),
     "b6_age_bins": with_cases("SELECT record_id, age, age_cat, age_category FROM cases"),
     "b7_keyword_rules": with_cases(
-        "SELECT record_id, item, weapon_group, item_group FROM cases"),
+        "SELECT record_id, item, weapon, weapon_group, weapon_model, weapon_service, item_group FROM cases"),
     "b8_keyword_narrow": with_cases(
-        f"SELECT record_id, {R.WEAPON5_NARROW.sql('item')} AS weapon_narrow FROM cases"),
+        f"SELECT record_id, {_weapon_sql('Unknown', 'Blunt Object', words=(), more=())} AS weapon_narrow FROM cases"),
     "b9_keyword3": with_cases("SELECT record_id, weapon_category FROM cases"),
     "b10_recode": with_cases(
-        "SELECT record_id, grp_b, grp_b_simple, relation_simple FROM cases"),
+        "SELECT record_id, grp_b, relation, grp_b_simple, relation_simple FROM cases"),
     "b11_b12_month": with_cases("SELECT record_id, month, month_num, month_flag FROM cases"),
     "d1_rate_by_region": with_cases("""
         SELECT region, count(label) AS cases, round_even(avg(label), 3) AS rate
@@ -92,7 +119,7 @@ ORACLES: dict[str, str] = {
         FROM cases WHERE grp_b_simple IS NOT NULL GROUP BY grp_b_simple"""),
     "d1_quality_by_source": """
         SELECT d.source, count(l.quality) AS cases, round_even(avg(l.quality), 3) AS rate
-        FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+        FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
         WHERE d.source IS NOT NULL GROUP BY d.source""",
     "d2_rate_top5_long": with_cases(f"""
         , long AS (
@@ -160,7 +187,7 @@ ORACLES: dict[str, str] = {
         SELECT grp_a, count(*) AS size,
                round(CAST(count(*) AS DOUBLE) * 100 / sum(count(*)) OVER (), 6) AS pct
         FROM cases WHERE label = 0 GROUP BY grp_a"""),
-    "d11_shape": with_cases("SELECT count(*) AS n_rows, 11 AS n_cols FROM base_cases"),
+    "d11_shape": with_cases("SELECT count(*) AS n_rows, 14 AS n_cols FROM base_cases"),
     "f2_top5_regions": with_cases(f"""
         SELECT region, round(rate, 6) AS rate, cases, {_rank('rate DESC NULLS LAST, region')} AS rank
         FROM (SELECT region, avg(label) AS rate, count(label) AS cases FROM cases
@@ -354,7 +381,7 @@ _RULES_OUT = """
                round(confidence, 6) AS confidence, round(lift, 6) AS lift,
                round(leverage, 6) AS leverage, round(conviction, 6) AS conviction FROM rl"""
 
-_DOCS = "SELECT d.doc_id, d.lang, d.source, l.quality, l.toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id"
+_DOCS = "SELECT d.doc_id, d.lang, d.source, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
 _DOC_COLS = ["lang", "source", "toxic"]
 
 ORACLES.update({
@@ -472,7 +499,7 @@ ORACLES.update({
         FROM scored WHERE label = 0"""),
 })
 
-_CL = ["grp_a", "age_cat", "item_group", "grp_b_simple", "region"]
+_CL = ["sex", "age_cat", "weapon_group", "relation_simple", "region"]
 _CL_SEED = f"""
     , o AS (SELECT record_id, {', '.join(f"coalesce(CAST({c} AS VARCHAR), 'nan') AS {c}" for c in _CL)}
             FROM cases WHERE label = 0),
@@ -512,15 +539,20 @@ ORACLES.update({
     "i10_kmodes_assign": with_cases(_CL_SEED + " SELECT * FROM asg"),
     "i12_cluster_profiles": with_cases(_CL_SEED + _profile_sql() + """
         SELECT *, concat_ws('; ',
-            CASE WHEN mode_grp_b_simple IN ('Stranger', 'Other', 'Unknown')
-                 THEN 'low relational density, hard to solve' END,
-            CASE WHEN NOT mode_grp_b_simple IN ('Stranger', 'Other', 'Unknown')
-                 THEN 'known offender likely, witness leads' END,
-            CASE WHEN mode_item_group = 'Firearm' THEN 'ballistic evidence may exist' END,
-            CASE WHEN mode_item_group = 'Unknown' THEN 'weapon missing: evidence gap' END,
-            CASE WHEN mode_grp_a = 'Female' AND mode_age_cat IN ('Child', 'Senior')
-                 THEN 'vulnerable victim: social network may help' END) AS notes
+            CASE WHEN mode_relation_simple IN ('Stranger', 'Other', 'Unknown')
+                 THEN 'High anonymity, low relational density → difficult to solve' END,
+            CASE WHEN NOT mode_relation_simple IN ('Stranger', 'Other', 'Unknown')
+                 THEN 'Known offender – potential for witness leads' END,
+            CASE WHEN mode_weapon_group = 'Firearm' THEN 'Firearm used – ballistic evidence may exist' END,
+            CASE WHEN mode_weapon_group = 'Unknown' THEN 'Missing weapon information – critical evidence gap' END,
+            CASE WHEN mode_sex = 'Female' AND mode_age_cat IN ('Child', 'Senior')
+                 THEN 'Vulnerable victim – social network may have information' END,
+            'Common state: ' || mode_region || ' – consider jurisdictional practices') AS notes
         FROM prof"""),
+    "i10_kmodes_step": with_cases(_CL_SEED + _profile_sql() + f"""
+        SELECT cluster, size, {', '.join('mode_' + c for c in _CL)} FROM prof WHERE size > 0"""),
+    "i10_kmodes_fit_converged": with_cases("""
+        SELECT 5 AS n_modes, 0 AS n_moved, count(*) AS n_rows FROM cases WHERE label = 0"""),
     "d10_cluster_share": with_cases(_CL_SEED + _profile_sql() + """
         SELECT cluster, size, pct FROM prof"""),
 })
@@ -528,58 +560,112 @@ ORACLES.update({
 _STANDIN = """
     , sd AS (SELECT *, price / (SELECT max(price) FROM cases) AS p FROM cases)"""
 
+# A request's number fields by their form (code): absent, null, "", " ", "0", 0, 2.5, "2.5", "abc", number, text.
 _REQ = """
-    , rq AS (SELECT CAST(record_id AS VARCHAR) AS request_id, grp_a AS sex,
-                    CAST(age AS VARCHAR) AS age, CAST(NULL AS VARCHAR) AS race, item AS weapon,
-                    region AS state, CAST(year AS VARCHAR) AS year,
-                    CAST(units AS VARCHAR) AS victims, CAST(NULL AS VARCHAR) AS historicalRate
-             FROM cases)"""
-
-
-def _num_sql(name: str, dtype: str, default) -> tuple[str, str]:
-    missing = (f"({name} IS NULL OR trim({name}) = '' OR "
-               f"coalesce(TRY_CAST({name} AS DOUBLE) = 0, FALSE))")
-    parsed = f"TRY_CAST(trim({name}) AS {dtype})"
-    return (f"CASE WHEN {missing} THEN CAST({default!r} AS {dtype}) ELSE {parsed} END",
-            f"(NOT {missing} AND {parsed} IS NULL)")
-
-
-def _coerce_sql() -> str:
-    age, bad_a = _num_sql("age", "DOUBLE", 25.0)
-    vic, bad_v = _num_sql("victims", "INTEGER", 1)
-    yr, bad_y = _num_sql("year", "INTEGER", 2023)
-    rblank = "(historicalRate IS NULL OR trim(historicalRate) = '')"
-    rparsed = "TRY_CAST(trim(historicalRate) AS DOUBLE)"
-    return f"""
-        SELECT request_id, {age} AS v_age, {vic} AS v_victims, {yr} AS v_year,
-               round(CASE WHEN {rblank} THEN 0.6 ELSE {rparsed} END, 6) AS v_rate,
-               coalesce(sex, 'Unknown') AS v_sex, coalesce(race, 'Unknown') AS v_race,
-               coalesce(weapon, 'Other') AS v_weapon, coalesce(state, 'Unknown') AS v_state,
-               CASE WHEN {bad_a} OR {bad_v} OR {bad_y} OR (NOT {rblank} AND {rparsed} IS NULL)
-                    THEN '{P.ERROR_BAD_NUMBER}' END AS error
-        FROM rq"""
+    , codes AS (SELECT *, CAST(record_id AS VARCHAR) AS request_id, record_id % 11 AS ca, record_id // 11 % 11 AS cv,
+                  record_id // 3 % 11 AS cy, record_id // 5 % 11 AS cr, record_id % 4 AS cs, record_id // 2 % 4 AS ct,
+                  record_id // 4 % 4 AS cw, round(0.54 + (record_id % 30) / 100.0, 2) AS given_rate FROM cases),
+    rq AS (SELECT request_id, record_id,
+      CASE WHEN ca = 4 THEN 0.0 WHEN ca IN (6, 7) THEN 2.5 WHEN ca IN (9, 10) THEN coalesce(trunc(age), 25.0) ELSE 25.0 END AS v_age,
+      CAST(CASE WHEN cv = 4 THEN 0 WHEN cv = 6 THEN 2 WHEN cv IN (9, 10) THEN CASE WHEN units = 0 AND cv = 9 THEN 1 ELSE units END
+           ELSE 1 END AS INTEGER) AS v_victims,
+      CAST(CASE WHEN cy = 4 THEN 0 WHEN cy = 6 THEN 2 WHEN cy IN (9, 10) THEN coalesce(year, 2023) ELSE 2023 END AS INTEGER) AS v_year,
+      CASE WHEN cr IN (4, 5) THEN 0.0 WHEN cr IN (6, 7) THEN 2.5 WHEN cr IN (9, 10) THEN given_rate ELSE 0.6 END AS v_rate,
+      CASE WHEN cs = 0 THEN 'Unknown' WHEN cs = 1 THEN NULL ELSE coalesce(sex, 'Unknown') END AS v_sex,
+      'Unknown' AS v_race,
+      CASE WHEN cw = 0 THEN 'Other' WHEN cw = 1 THEN NULL ELSE coalesce(weapon, 'Other') END AS v_weapon,
+      CASE WHEN ct = 0 THEN 'Unknown' WHEN ct = 1 THEN NULL ELSE coalesce(region, 'Unknown') END AS v_state,
+      CASE WHEN ct IN (2, 3) THEN region END AS state_text,
+      CASE WHEN ca IN (3, 8) OR cv IN (3, 7, 8) OR cy IN (3, 7, 8) OR cr IN (2, 3, 8)
+           THEN 'Données numériques invalides' END AS error
+      FROM codes)"""
+
+# What the model sees: the rates and the mean age of the training rows.
+_TRAIN = _SPLIT + """,
+    tr AS (SELECT * FROM split WHERE split = 'train'),
+    rates AS (SELECT region AS r_region, avg(label) AS r_rate FROM tr WHERE region IS NOT NULL GROUP BY region),
+    means AS (SELECT avg(label) AS g_rate, avg(age) AS g_age FROM tr)"""
+
+
+def _score_sql(age: str, units: str, rate: str, sex: str, age_category: str, weapon: str) -> str:
+    return (f"1 / (1 + exp(-(-1.5 + 0.01 * coalesce({age}, (SELECT g_age FROM means)) + 0.05 * {units} + 2.0 * {rate} "
+            f"+ CASE {sex} WHEN 'Male' THEN 0.4 WHEN 'Unknown' THEN -0.3 ELSE 0 END "
+            f"+ CASE {age_category} WHEN 'Child' THEN 0.6 WHEN 'Senior' THEN -0.4 ELSE 0 END "
+            f"+ CASE {weapon} WHEN 'Firearm' THEN 0.8 WHEN 'Knife' THEN -0.5 WHEN 'Other' THEN 0.2 "
+            f"WHEN 'Strangulation' THEN -0.9 ELSE 0 END)))")
+
+
+_FIXED = _TRAIN + f""",
+    fx AS (SELECT c.*, {_score_sql('age', 'units', 'coalesce(r_rate, (SELECT g_rate FROM means))', 'sex', 'age_category', 'weapon_service')} AS p
+           FROM cases c LEFT JOIN rates ON c.region = r_region),
+    fs AS (SELECT fx.*, split.split, split.rn, round(fx.p, 6) AS score FROM fx JOIN split ON fx.record_id = split.record_id),
+    ev AS (SELECT * FROM fs WHERE split = 'test')"""
+
+_TIERS = """CASE WHEN p >= 0.8 THEN 'HIGH PRIORITY' WHEN p >= 0.7 THEN 'MEDIUM-HIGH PRIORITY'
+                 WHEN p >= 0.6 THEN 'MEDIUM PRIORITY' WHEN p >= 0.5 THEN 'LOW-MEDIUM PRIORITY' ELSE 'LOW PRIORITY' END"""
+_ADVISED = """CASE WHEN p >= 0.8 THEN 'Assign experienced investigators immediately' WHEN p >= 0.7 THEN 'Assign dedicated investigator'
+                   WHEN p >= 0.6 THEN 'Standard investigation' WHEN p >= 0.5 THEN 'Basic investigation'
+                   ELSE 'Minimal resources, revisit if new evidence emerges' END"""
+_LIKELY = "CASE WHEN p >= 0.5 THEN 'Likely Solvable' ELSE 'Likely Unsolvable' END"
+_PROFILE = "CASE WHEN p > 0.75 THEN 'Cas Prioritaire' WHEN p > 0.4 THEN 'Cas Standard' ELSE 'Cold Case Potentiel' END"
+_FLAG = "(coalesce({0} < 18 OR {0} > 65, FALSE))"
+_LABEL = "CASE WHEN {0} THEN 'Vulnérable' ELSE 'Adulte Standard' END"
+
+
+def _analysis_sql(p: str, vuln: str, state: str, firearm: str) -> str:
+    return (f"'Probabilité de résolution : ' || printf('%.1f%%', {p} * 100) || '. Profil victime (' || {_LABEL.format(vuln)} "
+            f"|| ') en ' || coalesce({state}, 'None') || ' suggère priorité ' "
+            f"|| CASE WHEN {vuln} OR {p} > 0.7 THEN 'ÉLEVÉE' ELSE 'NORMALE' END || '. ' "
+            f"|| CASE WHEN {firearm} THEN 'Analyse balistique recommandée.' ELSE '' END")
+
+
+def _responses_sql() -> str:
+    good = lambda x: f"CASE WHEN error IS NULL THEN {x} END"
+    weapon = _weapon_sql("Other", "Blunt Object").replace("weapon", "v_weapon")
+    vuln = _FLAG.format("v_age")
+    fields = {
+        "probability": "round(p, 6)", "percent": "printf('%.1f%%', p * 100)",
+        "verdict": "CASE WHEN p >= 0.55 THEN 'Resolved' ELSE 'Unresolved' END", "vulnerability": "vuln",
+        "vulnerability_label": _LABEL.format("vuln"),
+        "factor0_label": "'Fiabilité Modèle'", "factor0_value": "'Random Forest Optimisé (AUC ~0.82)'", "factor0_impact": "'positive'",
+        "factor1_label": "'Facteur Arme'", "factor1_value": "'Impact ' || wg",
+        "factor1_impact": "CASE WHEN wg = 'Other' THEN 'neutral' ELSE 'positive' END",
+        "factor2_label": "'Démographie'", "factor2_value": f"'Victime ' || ag || ' (' || {_LABEL.format('vuln')} || ')'",
+        "factor2_impact": "CASE WHEN vuln THEN 'positive' ELSE 'neutral' END",
+        "factor3_label": "'Localisation'", "factor3_value": "'Zone ' || coalesce(state_text, 'None')",
+        "factor3_impact": "CASE WHEN v_rate > 0.65 THEN 'positive' ELSE 'negative' END",
+        "vulnerability_score": "CASE WHEN vuln THEN 'ÉLEVÉ' ELSE 'MODÉRÉ' END", "risk_profile": _PROFILE,
+        "investigation_advice": "CASE WHEN wg = 'Firearm' THEN 'Focus sur preuves balistiques' ELSE 'Recherche de témoins' END",
+        "analysis": _analysis_sql("p", "vuln", "state_text", "wg = 'Firearm'")}
+    return f"""{_REQ},{_TRAIN.strip().removeprefix(',')},
+    dv AS (SELECT *, {weapon} AS wg, {vuln} AS vuln,
+             CASE WHEN v_age < 18 THEN 'Child' WHEN v_age < 30 THEN 'Young Adult' WHEN v_age < 50 THEN 'Adult'
+                  WHEN v_age < 65 THEN 'Middle Aged' ELSE 'Senior' END AS ag FROM rq),
+    sc AS (SELECT *, {_score_sql('v_age', 'v_victims', 'v_rate', 'v_sex', 'ag', 'wg')} AS p FROM dv)
+    SELECT request_id, error, {', '.join(f"{good(x)} AS {n}" for n, x in fields.items())} FROM sc"""
 
 
 ORACLES.update({
-    "b16_b17_request_coercion": with_cases(_REQ + _coerce_sql()),
+    "b16_b17_request_coercion": with_cases(_REQ + """
+        SELECT request_id, v_age, v_victims, v_year, round(v_rate, 6) AS v_rate, v_sex, v_race, v_weapon, v_state,
+               state_text, error FROM rq"""),
     "b20_score_tiers": with_cases(_STANDIN + f"""
-        SELECT record_id, {R.PRIORITY.sql('p')} AS priority_level,
-               {R.RECOMMENDATION.sql('p')} AS investigation_recommendation,
-               {R.OUTCOME_TEXT.sql('p')} AS predicted_outcome,
-               CAST(p >= 0.5 AS INTEGER) AS predicted_class FROM sd"""),
+        SELECT record_id, {_TIERS} AS priority_level, {_ADVISED} AS investigation_recommendation,
+               {_LIKELY} AS predicted_outcome, CAST(p >= 0.5 AS INTEGER) AS predicted_class FROM sd"""),
     "b21_decision_labels": with_cases(_STANDIN + f"""
-        SELECT record_id, {R.VERDICT.sql('p')} AS verdict,
-               ({R.OutOfRangeFlag().sql('age')}) = 1 AS vulnerability,
-               CASE WHEN ({R.OutOfRangeFlag().sql('age')}) = 1 THEN '{P.VULNERABLE_TEXT[0]}'
-                    ELSE '{P.VULNERABLE_TEXT[1]}' END AS vulnerability_label,
-               {R.PROFILE3.sql('p')} AS risk_profile,
-               CASE WHEN weapon_group = 'Firearm' THEN '{P.ADVICE_TEXT[0]}'
-                    ELSE '{P.ADVICE_TEXT[1]}' END AS advice,
-               CASE WHEN p > {P.LOCALITY_CUT} THEN 'positive' ELSE 'negative' END AS locality_impact,
-               CASE WHEN weapon_group = 'Other' THEN 'neutral' ELSE 'positive' END AS weapon_impact
+        SELECT record_id, CASE WHEN p >= 0.55 THEN 'Resolved' ELSE 'Unresolved' END AS verdict,
+               {_FLAG.format('age')} AS vulnerability, {_LABEL.format(_FLAG.format('age'))} AS vulnerability_label,
+               {_PROFILE} AS risk_profile,
+               CASE WHEN weapon_service = 'Firearm' THEN 'Focus sur preuves balistiques' ELSE 'Recherche de témoins' END AS advice,
+               CASE WHEN p > 0.65 THEN 'positive' ELSE 'negative' END AS locality_impact,
+               CASE WHEN weapon_service = 'Other' THEN 'neutral' ELSE 'positive' END AS weapon_impact,
+               'Impact ' || weapon_service AS weapon_value,
+               'Victime ' || age_category || ' (' || {_LABEL.format(_FLAG.format('age'))} || ')' AS demography_value,
+               {_analysis_sql('p', _FLAG.format('age'), 'region', "weapon_service = 'Firearm'")} AS analysis
         FROM sd"""),
-    "b22_display_bands": with_cases(_STANDIN + f"""
-        SELECT record_id, {R.BANDS5.sql('p')} AS band FROM sd"""),
+    "b22_display_bands": with_cases(_STANDIN + """
+        SELECT record_id, CASE WHEN p >= 0.8 THEN '80-100%' WHEN p >= 0.6 THEN '60-80%' WHEN p >= 0.4 THEN '40-60%'
+               WHEN p >= 0.2 THEN '20-40%' ELSE '0-20%' END AS band FROM sd"""),
     "a13_feature_catalogue": with_cases(f",{_LAB_BUCKETED}" + """
         SELECT count(*) AS features_count, string_agg(feature, ', ' ORDER BY pos) AS features,
                'ready' AS model_status FROM vocab"""),
@@ -587,13 +673,18 @@ ORACLES.update({
 
 ORACLES.update({
     "a1_csv_load": with_cases("""
-        SELECT record_id AS "Record_ID", outcome AS "Crime_Solved", item AS "Weapon",
-               age AS "Victim_Age", region AS "State", year AS "Year", label AS "Solved"
+        SELECT record_id AS "Record_ID", outcome AS "Crime_Solved", item AS "Item",
+               CASE WHEN record_id % 9 <> 0 THEN age END AS "Victim_Age", grp_a AS "Group_A", grp_b AS "Group_B",
+               region AS "State", units AS "Victim_Count", year AS "Year", month AS "Month", price AS "Price",
+               CASE WHEN record_id % 8 IN (0, 1) THEN NULL WHEN record_id % 8 = 2 THEN 'a "gun", loaded' ELSE weapon END AS "Weapon",
+               relation AS "Relationship", sex AS "Victim_Sex", label AS "Solved"
         FROM cases"""),
     "a5_rules_csv": ORACLES["d13_rules"],
     "a6_cluster_csv": with_cases(_CL_SEED + " SELECT record_id, cluster FROM asg"),
-    "a7_ranked_open_csv": with_cases(f""",{_SCORED}
-        SELECT record_id, price, round(score, 6) AS score FROM scored WHERE label = 0"""),
+    "a7_ranked_open_csv": with_cases(f""",{_FIXED}
+        SELECT record_id, outcome, item, age, grp_a, grp_b, region, units, year, month, price, weapon, relation, sex,
+               round(round(p, 9), 6) AS score, row_number() OVER (ORDER BY round(p, 9) DESC, record_id) AS place
+        FROM fx WHERE label = 0"""),
     "g1_vocab_drift": with_cases(f""",{_LAB_BUCKETED},
         tk AS ({_topk_sql('lab', _MODEL_CAT)}),
         batch AS (SELECT {', '.join(f"CASE WHEN CAST({c} AS VARCHAR) IN (SELECT value FROM tk WHERE col = '{c}') THEN CAST({c} AS VARCHAR) ELSE 'Other' END AS {c}" for c in _MODEL_CAT)}
@@ -644,3 +735,69 @@ ORACLES.update({
                round(n / (SELECT CAST(n AS DOUBLE) FROM tot), 6) AS support
         FROM a WHERE n >= 0.01 * (SELECT n FROM tot)""",
 })
+
+
+# ------------------------------------------------------------ the logistic regression
+_LR_CAT = ["sex", "grp_a", "weapon_group", "relation_simple", "region"]
+_LR_VOCAB = _SPLIT + f""",
+    lr_cats AS ({' UNION ALL '.join(f"SELECT DISTINCT '{c}' AS col, {c} AS category FROM split WHERE split = 'train' AND {c} IS NOT NULL" for c in _LR_CAT)}),
+    lr_kept AS (SELECT col, category FROM (SELECT *, row_number() OVER (PARTITION BY col ORDER BY category) AS rn FROM lr_cats) WHERE rn > 1),
+    lr_rows AS (SELECT split, 'age' AS feature, coalesce(age, (SELECT avg(age) FROM split WHERE split = 'train')) AS x FROM split
+                UNION ALL SELECT split, 'vulnerable', vulnerable FROM split
+                {' '.join(f"UNION ALL SELECT split, col || '_' || category, CASE WHEN {c} = category THEN 1 ELSE 0 END FROM split, lr_kept WHERE col = '{c}'" for c in _LR_CAT)})"""
+
+ORACLES.update({
+    "i7_encoded_sums": with_cases(f""",{_LR_VOCAB}
+        SELECT split, feature, round(sum(x), 3) AS total FROM lr_rows GROUP BY split, feature"""),
+    "i7_optimality": with_cases(f""",{_LR_VOCAB}
+        SELECT DISTINCT feature, 0.0::DOUBLE AS gradient FROM lr_rows"""),
+    "i9_i16_importance_sums": with_cases(f""",{_LR_VOCAB},
+        rf_cats AS ({' UNION ALL '.join(f"SELECT least(count(DISTINCT {c}), 15 + 1) - 1 AS n FROM split WHERE split = 'train'" for c in ("sex", "age_category", "weapon_service"))}
+                    UNION ALL SELECT 16 - 1)
+        SELECT 'tree' AS model, count(DISTINCT feature) AS n_features, CAST(0 AS BIGINT) AS n_negative, 1.0::DOUBLE AS total FROM lr_rows
+        UNION ALL SELECT 'forest', CAST(4 + sum(n) AS BIGINT), 0, 1.0 FROM rf_cats"""),
+})
+
+# ------------------------------------------------------------ scores of a given coefficient table
+ORACLES.update({
+    "i21_requests_fixed": with_cases(_responses_sql()),
+    "a12_response_json_fixed": with_cases(_responses_sql()),
+    "k1_stream_requests_fixed": with_cases(_responses_sql()),
+    "a9_model_roundtrip": with_cases("SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_different FROM cases WHERE label IS NOT NULL"),
+    "i20_cases_fixed": with_cases(f""",{_FIXED},
+        raw AS (SELECT *, record_id % 7 = 0 AS bad FROM fx)
+        SELECT CASE WHEN record_id % 5 <> 0 THEN CAST(record_id AS VARCHAR) ELSE 'Unknown' END AS case_id,
+               CASE WHEN NOT bad THEN round(p, 6) END AS solvability_probability,
+               CASE WHEN NOT bad THEN printf('%.1f%%', p * 100) END AS solvability_percentage,
+               CASE WHEN NOT bad THEN {_TIERS} END AS priority_level, CASE WHEN NOT bad THEN {_LIKELY} END AS predicted_outcome,
+               CASE WHEN NOT bad THEN {_ADVISED} END AS investigation_recommendation,
+               '2024-01-01T00:00:00' AS prediction_timestamp, CASE WHEN bad THEN 'not a number: age' END AS error FROM raw"""),
+    "i17_scored_test_fixed": with_cases(f""",{_FIXED}
+        SELECT record_id, label AS actual, round(p, 6) AS probability, CAST(p >= 0.5 AS INTEGER) AS predicted, sex, age, weapon,
+               region, year, units FROM ev"""),
+    "i19_high_potential_fixed": with_cases(f""",{_FIXED}
+        SELECT record_id, round(p, 6) AS probability, sex, region, {_rank('round(p, 6) DESC, record_id')} AS rank
+        FROM ev WHERE label = 0 AND round(p, 6) > 0.7 ORDER BY round(p, 6) DESC, record_id LIMIT 5"""),
+    "d14_d19_fixed": with_cases(f""",{_FIXED},{_CONF},
+        pr AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS pp,
+                      CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS rr FROM conf)
+        SELECT tn, fp, fn, tp, round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy, round(pp, 6) AS precision, round(rr, 6) AS recall,
+               round(CASE WHEN pp + rr > 0 THEN 2 * pp * rr / (pp + rr) ELSE 0 END, 6) AS f1,
+               (SELECT round(auc, 6) FROM ({_auc_sql('ev')})) AS auc FROM pr"""),
+    "d17_d20_fixed": with_cases(f""",{_FIXED},
+        au AS ({_auc_sql('fs', 'split')}),
+        gp AS (SELECT max(CASE WHEN split = 'train' THEN auc END) AS a, max(CASE WHEN split = 'test' THEN auc END) AS b FROM au),
+        th AS (SELECT t.threshold, count(*) FILTER (WHERE score >= t.threshold) AS n_at,
+                      count(*) FILTER (WHERE score >= t.threshold AND label = 1) AS tp
+               FROM ev, (VALUES (0.8::DOUBLE), (0.7), (0.6)) t(threshold) GROUP BY t.threshold)
+        SELECT threshold, n_at, tp, round(CASE WHEN n_at > 0 THEN tp / n_at ELSE 0 END, 6) AS precision_at,
+               round(a, 6) AS train_auc, round(b, 6) AS test_auc, round(a - b, 6) AS gap FROM th, gp"""),
+    "d7_model_score_stats": with_cases(f""",{_FIXED}
+        SELECT round(avg(p), 6) AS mean, round(quantile_cont(p, 0.5), 6) AS median, round(min(p), 6) AS min, round(max(p), 6) AS max
+        FROM fx WHERE label = 0"""),
+    "i5_i15_fold_scores": with_cases(f""",{_FIXED},
+        fo AS (SELECT *, CAST((rn - 1) % 5 AS INTEGER) AS fold FROM fs),
+        fa AS ({_auc_sql('fo', 'fold')})
+        SELECT round(avg(auc), 6) AS mean_auc, round(stddev_pop(auc), 6) AS std_auc, count(*) AS folds,
+               (SELECT round(avg(CASE WHEN label = CAST(p >= 0.5 AS INTEGER) THEN 1.0 ELSE 0.0 END), 6) FROM fo) AS accuracy FROM fa"""),
+})

@@ -53,3 +53,28 @@ def test_optional_column_probing_and_rows_source(spark):
     from casebook.sources.cases import available, cases_from_rows
     df = cases_from_rows(spark, [(1, "x")], "id int, Weapon string")
     assert available(df, ["Weapon", "State", "id"]) == ["Weapon", "id"]
+
+
+def test_csv_cells_that_are_missing_or_quoted(spark):
+    path = scratch_path(spark, "csv-na")
+    lines = ['Record ID,Victim Age,Weapon,Crime Solved', '1,NaN,"say ""gun"" x",Yes', "2,41,NA,No", "3,abc,None,No", "4,,Rifle,"]
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(path)
+    schema = spark.createDataFrame([], "`Record ID` int, `Victim Age` double, Weapon string, `Crime Solved` string").schema
+    got = {r["Record_ID"]: r for r in load_cases(spark, path, schema=schema).collect()}
+    assert [got[i]["Victim_Age"] for i in (1, 2, 3, 4)] == [None, 41.0, None, None]
+    assert [got[i]["Weapon"] for i in (1, 2, 3, 4)] == ['say "gun" x', None, None, "Rifle"]
+    assert [got[i]["Solved"] for i in (1, 2, 3, 4)] == [1, 0, 0, None]
+
+
+def test_changed_input_is_read_anew(spark):
+    """A stored table is keyed by the files it was made from."""
+    import shutil
+    from casebook.plans import catalog
+    sf = scratch_path(spark, "sf")
+    shutil.copytree(SF, sf)
+    n = catalog.cases(spark, sf).count()
+    half = spark.read.parquet(f"{SF}/orders.parquet").limit(100)
+    half.coalesce(1).write.parquet(f"{sf}/orders-new")
+    part = [f for f in os.listdir(f"{sf}/orders-new") if f.endswith(".parquet")][0]
+    shutil.copy(f"{sf}/orders-new/{part}", f"{sf}/orders.parquet")
+    assert catalog.cases(spark, sf).count() == 100 < n

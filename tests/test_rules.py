@@ -100,3 +100,21 @@ def test_tiers(spark):
 def test_spark_and_sql_render_the_same_rule(spark, duck, rule, values):
     got, want = _spark_vs_sql(spark, duck, rule, values)
     assert got == want
+
+
+def test_every_rule_arm_occurs_in_the_bound_data(spark):
+    """The gate's data reaches every label of every rule."""
+    from casebook import presets as P
+    from casebook.plans.catalog import derived_cases
+    df = derived_cases(spark, "/root/testdata/sf0.01")
+    labels = lambda groups: {g for g, _ in groups}
+    ages = {x for _, x in P.AGE_EDGES_MODEL} | {P.AGE_TOP, P.AGE_UNKNOWN}
+    want = {
+        "weapon_group": labels(P.KEYWORD5) | {"Other", "Unknown"}, "weapon_model": labels(P.KEYWORD5_MODEL) | {"Other", "Unknown"},
+        "weapon_service": labels(P.KEYWORD5_MODEL) | {"Other"}, "weapon_category": labels(P.KEYWORD3) | {"Other", "Unknown"},
+        "relation_simple": labels(P.RELATION_GROUPS) | {"Other", "Unknown"}, "age_category": ages,
+        "item_group": labels(P.ITEM_GROUPS) | {"Unknown", "Other"}, "month_num": set(range(1, 13)), "vulnerable": {0, 1},
+        "label": {0, 1, None}}
+    for column, values in want.items():
+        got = {r[0] for r in df.select(column).distinct().collect()}
+        assert values - got <= ({"Other"} if column == "item_group" else set()), (column, values - got)

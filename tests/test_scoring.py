@@ -10,11 +10,12 @@ from casebook.plans import scoring as SC
 from casebook.plans import training as TR
 from casebook.session import scratch_path
 
+FULL = {"sex": "Male", "age": "35", "race": "White", "weapon": "Handgun", "state": "FRANCE", "year": "2020",
+        "victims": "1", "historicalRate": "0.54"}
 REQ = [
-    {"request_id": "full", "sex": "Male", "age": "35", "race": "White", "weapon": "red bolt",
-     "state": "FRANCE", "year": "2020", "victims": "1", "historicalRate": "0.54"},
+    {"request_id": "full", **FULL},
     {"request_id": "empty"},
-    {"request_id": "age0", "age": "0", "victims": "0"},
+    {"request_id": "age0", "age": 0, "victims": 0},
     {"request_id": "blank", "age": "  "},
     {"request_id": "bad", "age": "abc"},
     {"request_id": "badyear", "year": "2020.5x"},
@@ -23,9 +24,9 @@ REQ = [
 ]
 
 
-def _requests(spark):
-    rows = [tuple(r.get(f.name) for f in SC.REQUEST_SCHEMA.fields) for r in REQ]
-    return spark.createDataFrame(rows, SC.REQUEST_SCHEMA)
+def _requests(spark, rows=None):
+    lines = spark.createDataFrame([(json.dumps(r),) for r in rows or REQ], "value string")
+    return SC.parse_requests(lines)
 
 
 def test_coercion_defaults_and_rejects(spark):
@@ -34,25 +35,60 @@ def test_coercion_defaults_and_rejects(spark):
     e = c["empty"]
     assert (e["v_age"], e["v_victims"], e["v_year"], e["v_rate"]) == (25.0, 1, 2023, 0.6)
     assert (e["v_sex"], e["v_race"], e["v_state"], e["v_weapon"]) == ("Unknown", "Unknown", "Unknown", "Other")
+    assert e["state_text"] is None
     assert c["age0"]["v_age"] == 25.0 and c["age0"]["v_victims"] == 1      # Q5
-    assert c["blank"]["v_age"] == 25.0
+    assert c["blank"]["error"] is not None
     assert c["bad"]["error"] is not None and c["badyear"]["error"] is not None
     assert c["ratenull"]["v_rate"] == 0.6 and c["ratenull"]["error"] is None  # Q6
     strict = {r["request_id"]: r for r in
               SC.coerce_requests(_requests(spark), falsy_as_missing=False).collect()}
-    assert strict["age0"]["v_age"] == 0.0
+    assert strict["age0"]["v_age"] == 0.0 and strict["empty"]["v_age"] == 25.0
+
+
+NOTHING = object()
+
+
+def _service(field, value):
+    """What the service makes of one number field: a value, or None for its 400."""
+    default, kind = {"age": (25.0, float), "victims": (1, int), "year": (2023, int), "historicalRate": (0.6, float)}[field]
+    try:
+        if field == "historicalRate":
+            return default if value is NOTHING or value is None else float(value)
+        return default if value is NOTHING or not value else kind(value)
+    except (ValueError, TypeError):
+        return None
+
+
+def test_every_form_of_every_number_field(spark):
+    forms = [NOTHING, None, "", " ", "0", 0, 0.0, 2.5, -2.5, "2.5", "abc", 7, "7", " 8 ", "+9", "1e2", "-.5", True, False, [], [1], {}, "1d", "٣x"]
+    rows, want = [], {}
+    for f, name in (("age", "v_age"), ("victims", "v_victims"), ("year", "v_year"), ("historicalRate", "v_rate")):
+        for i, v in enumerate(forms):
+            rid = f"{f}-{i}"
+            rows.append({"request_id": rid, **({} if v is NOTHING else {f: v})})
+            want[rid] = (name, _service(f, v))
+    for r in SC.coerce_requests(_requests(spark, rows)).collect():
+        name, value = want[r["request_id"]]
+        assert (r["error"] is not None) == (value is None), r
+        if value is not None:
+            assert r[name] == value, r
+
+
+def test_bodies_that_are_no_objects(spark):
+    lines = spark.createDataFrame([("{",), ("[1]",), ("3",), ("null",), (None,), ('{"request_id": "x"}',)], "value string")
+    got = SC.coerce_requests(SC.parse_requests(lines)).collect()
+    assert sorted(r["error"] is None for r in got) == [False] * 5 + [True]
 
 
 def _bundle(spark):
-    rows = [(i, float(10 + i % 70), "1-URGENT" if i % 2 else "2-HIGH", "red bolt" if i % 3 else "hot gear",
+    rows = [(i, float(10 + i % 70), "Male" if i % 2 else "Female", "Handgun" if i % 3 else "Knife",
              "FRANCE" if i % 4 else "PERU", 1995 + i % 5, 1 + i % 3, i % 2) for i in range(300)]
-    df = spark.createDataFrame(rows, "record_id int, age double, grp_a string, item string, "
+    df = spark.createDataFrame(rows, "record_id int, age double, sex string, weapon string, "
                                      "region string, year int, units int, label int")
-    from casebook.plans.catalog import derive  # noqa: F401  (derive needs full cases)
     from casebook.functions import rules as R
     df = df.withColumns({"age_category": R.AGE_MODEL.column("age"),
-                         "item_group": R.ITEM_GROUPS.column("item")})
-    p = TR.prepare(df, ["age", "units", "year"], ["grp_a", "age_category", "item_group", "region"],
+                         "weapon_service": R.WEAPON5_SERVICE.column("weapon")})
+    p = TR.prepare(df, ["age", "units", "year"], ["sex", "age_category", "weapon_service", "region"],
                    rate_key="region")
     m = MD.random_forest(p.frame.where(F.col("split") == "train"),
                          MD.ForestParams(5, 3, 5, "sqrt", False))
@@ -69,6 +105,11 @@ def test_score_requests_good_and_bad_rows(spark):
     assert len(full["key_factors"]) == 4 and full["vulnerability"] is False
     assert out["old"]["response"]["vulnerability"] is True
     assert out["full"]["response"]["key_factors"][3]["impact"] == "negative"  # 0.54 <= 0.65
+    assert full["key_factors"][1] == ("Facteur Arme", "Impact Firearm", "positive")
+    assert full["forensic_insights"]["investigation_advice"] == "Focus sur preuves balistiques"
+    empty = out["empty"]["response"]
+    assert empty["key_factors"][1]["value"] == "Impact Other" and empty["key_factors"][3]["value"] == "Zone None"
+    assert empty["analysis"].startswith(f"Probabilité de résolution : {empty['probability_percent']}. Profil victime (Adulte Standard) en None ")
     js = {r["request_id"]: json.loads(r["json"]) for r in
           SC.response_json(SC.score_requests(_requests(spark), fm, m)).collect()}
     assert "forensic_insights" in js["full"] and "error" in js["bad"]
@@ -78,7 +119,7 @@ def test_stream_scoring_matches_batch(spark):
     from casebook.streaming.requests import score_folder
     fm, m = _bundle(spark)
     src = scratch_path(spark, "test-req")
-    _requests(spark).write.json(src)
+    spark.createDataFrame([(json.dumps(r),) for r in REQ], "value string").write.text(src)
     streamed = {r["request_id"]: r["response"] for r in score_folder(spark, src, fm, m).collect()}
     batch = {r["request_id"]: r["response"] for r in SC.score_requests(_requests(spark), fm, m).collect()}
     assert streamed.keys() == batch.keys()
@@ -88,26 +129,47 @@ def test_stream_scoring_matches_batch(spark):
             assert abs(streamed[k]["probability"] - batch[k]["probability"]) < 1e-12
 
 
-def test_score_cases_tiers(spark):
+def test_score_cases_from_raw_rows(spark):
+    """The two sample cases of the analysis and a bad one, nothing derived by hand."""
     fm, m = _bundle(spark)
     cases = spark.createDataFrame(
-        [("TEST-001", "1-URGENT", 35.0, "red bolt", "FRANCE", 2000, 1),
-         ("TEST-002", "2-HIGH", 25.0, None, "ATLANTIS", 1999, 1)],
-        "case_id string, grp_a string, age double, item string, region string, year int, units int")
-    from casebook.functions import rules as R
-    cases = cases.withColumns({"age_category": R.AGE_MODEL.column("age"),
-                               "item_group": R.ITEM_GROUPS.column("item")})
-    out = SC.score_cases(cases, fm, m, timestamp="t0").collect()
-    assert len(out) == 2 and all(r["priority_level"] for r in out)
-    assert all(r["prediction_timestamp"] == "t0" for r in out)
+        [("TEST-001", "Male", "35", "Handgun", "FRANCE", 2000, 1),
+         ("TEST-002", "Female", "25", "Unknown", "ATLANTIS", 1999, 1),
+         (None, "Female", "abc", "Knife", "PERU", 1999, 1)],
+        "case_id string, sex string, age string, weapon string, region string, year int, units int")
+    out = {r["case_id"]: r for r in SC.score_cases(cases, fm, m, timestamp="t0").collect()}
+    assert set(out) == {"TEST-001", "TEST-002", "Unknown"}
+    assert all(r["prediction_timestamp"] == "t0" for r in out.values())
+    assert out["TEST-001"]["priority_level"] and out["TEST-001"]["error"] is None
+    assert out["TEST-001"]["solvability_percentage"] == f"{out['TEST-001']['solvability_probability']:.1%}"
+    assert out["Unknown"]["error"] == "not a number: age" and out["Unknown"]["solvability_probability"] is None
+    # a weapon group that the cases bring is used; columns they lack are missing values
+    brought = cases.withColumn("weapon_service", F.lit("Firearm")).drop("case_id", "year")
+    again = SC.score_cases(brought, fm, m).collect()
+    assert [r["case_id"] for r in again] == ["Unknown"] * 3 and sum(r["error"] is None for r in again) == 2
 
 
 def test_documented_ranges_are_optional_errors(spark):
-    rows = [("a", "35", "2020", "1"), ("b", "101", "2020", "1"), ("c", "30", "1975", "1"),
-            ("d", "30", "2020", "-2")]
-    df = spark.createDataFrame(
-        [(r, None, a, None, None, None, y, v, None) for r, a, y, v in rows], SC.REQUEST_SCHEMA)
-    loose = {r["request_id"]: r["error"] for r in SC.coerce_requests(df).collect()}
+    rows = [{"request_id": i, "age": a, "year": y, "victims": v} for i, a, y, v in
+            (("a", "35", "2020", "1"), ("b", "101", "2020", "1"), ("c", "30", "1975", "1"), ("d", "30", "2020", "-2"))]
+    loose = {r["request_id"]: r["error"] for r in SC.coerce_requests(_requests(spark, rows)).collect()}
     assert all(e is None for e in loose.values())
-    strict = {r["request_id"]: r["error"] for r in SC.coerce_requests(df, check_ranges=True).collect()}
+    strict = {r["request_id"]: r["error"] for r in SC.coerce_requests(_requests(spark, rows), check_ranges=True).collect()}
     assert strict["a"] is None and all(strict[k] for k in "bcd")
+
+
+def test_linear_scorer_is_the_logistic_function(spark):
+    import math
+    fm, _ = _bundle(spark)
+    m = MD.LinearScorer(fm.vocab.features, {"age": 0.02, "sex_Male": 0.5}, -1.0)
+    df = spark.createDataFrame([(1, 40.0, "Male", "Knife", "PERU", 2000, 1), (2, None, "Female", None, "PERU", 2000, 1)],
+                               "record_id int, age double, sex string, weapon string, region string, year int, units int")
+    df = df.withColumns({"age_category": F.lit("Adult"), "weapon_service": F.lit("Knife")})
+    p = {r["record_id"]: r["probability_1"] for r in MD.score(m, fm.encode(df, keep=["record_id"])).collect()}
+    assert abs(p[1] - 1 / (1 + math.exp(-0.3))) < 1e-12 and abs(p[2] - 1 / (1 + math.exp(1 - 0.02 * fm.fill["age"]))) < 1e-12
+
+
+def test_stream_waits_for_the_end(spark):
+    import inspect
+    from casebook.streaming.requests import score_folder
+    assert "timeout" not in " ".join(inspect.signature(score_folder).parameters)
