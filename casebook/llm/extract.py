@@ -33,6 +33,7 @@ NAME_WORD = re.compile(r"[a-z]+")
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption
     figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section summary table tbody td tfoot
     th thead tr ul""".split())
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that are never part of an article's text.
 NEVER = frozenset("aside button datalist dialog footer form head menu nav noscript object select".split())
@@ -46,14 +47,16 @@ CONTENT = frozenset(("article", "main"))
 
 @dataclass
 class Weights:
-    """Score of a word, and of a tag: of its name with its classes, of its name, or of any tag."""
+    """Score of a word, and of a tag: of its name with its classes, of its name, or,
+    if it wasn't met, of any block tag (an inline tag costs a quarter)."""
 
     word: float = 1.0
     tags: dict[str, float] = field(default_factory=dict)
     other: float = -2.0
 
     def tag(self, name: str, marks: tuple[str, ...]) -> float:
-        return min([self.tags.get(f"{name}.{m}", 0.0) for m in marks] + [self.tags.get(name, self.other)])
+        other = self.other if name in BLOCKS else self.other / 4
+        return min([self.tags.get(f"{name}.{m}", 0.0) for m in marks] + [self.tags.get(name, other)])
 
 
 def events(html: str):
@@ -87,6 +90,7 @@ class Piece:
     text: str
     content: int   # the <article> or <main> it is in, 0 without
     never: bool
+    heading: bool = False
 
 
 def pieces(html: str, weights: Weights) -> list[Piece]:
@@ -98,7 +102,8 @@ def pieces(html: str, weights: Weights) -> list[Piece]:
         if kind == "text":
             n = len(text.split())
             # parts that are never article text are no reason to stay in or to leave
-            out.append(Piece(0.0 if never else weights.word * n, block, text, content, never))
+            out.append(Piece(0.0 if never else weights.word * n, block, text, content, never,
+                             any(x[0] in HEADINGS for x in stack[-3:])))
             continue
         if name in BLOCKS:
             block += 1
@@ -112,7 +117,7 @@ def pieces(html: str, weights: Weights) -> list[Piece]:
             if name in CONTENT:
                 contents += 1
                 content = content or contents
-            score = 0.0 if never else weights.tag(name, marks)
+            score = 0.0 if never or own else weights.tag(name, marks)
             if name not in VOID:
                 stack.append((name, content, never or own))
             out.append(Piece(score, block, " " if name == "br" else "", 0 if name in CONTENT else content, never or own))
@@ -154,7 +159,7 @@ def blocks_text(parts: list[Piece]) -> str:
 
 def main_text(html: str, weights: Weights) -> str:
     """The main text of a page; a region that lies in one <article> or <main> is
-    widened to all of it, else to whole blocks."""
+    widened to all of it, else to whole blocks and the headings right before it."""
     parts = pieces(html, weights)
     lo, hi = best_region([p.score for p in parts])
     if lo == hi:
@@ -166,6 +171,13 @@ def main_text(html: str, weights: Weights) -> str:
     content = inside.most_common(1)[0][0] if inside else 0
     if content:
         return blocks_text([p for p in parts if p.content == content])
+    while lo and parts[lo - 1].block == parts[lo].block:
+        lo -= 1
+    for i in range(lo - 1, -1, -1):
+        if parts[i].text.strip() and not parts[i].never:
+            if not parts[i].heading:
+                break
+            lo = i
     first, last = parts[lo].block, parts[hi - 1].block
     return blocks_text([p for p in parts if first <= p.block <= last])
 
