@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casebook import presets as P
+from casebook.plans.joins import broadcast_if_small
+from casebook.session import cut_lineage
 
 
 def itemset_bound(n_cols: int, max_len: int, min_support: float) -> int:
@@ -57,13 +59,14 @@ def frequent_itemsets(df: DataFrame, cols: Sequence[str],
 
 
 def association_rules(itemsets: DataFrame, min_lift: float = P.RULE_MIN_LIFT,
-                      bound: int | None = None) -> DataFrame:
+                      broadcast_rows: int = 100_000) -> DataFrame:
     """Every split of every itemset of size >= 2 into antecedent and
     consequent (multi-item consequents; Spark ML's FPGrowth only gives single
     items), with the support of both sides joined from ``itemsets``; keeps
-    ``lift >= min_lift``.  ``itemsets`` is bounded (see module doc), so both
-    lookups are broadcast joins.
+    ``lift >= min_lift``.  The lookups are broadcast joins if the itemsets are at
+    most ``broadcast_rows`` (checked), else the planner's.
     """
+    itemsets = cut_lineage(itemsets)  # read by three branches
     sup = itemsets.select("items_text", "support")
     multi = itemsets.where(F.col("size") >= 2)
     # one row per non-empty proper subset: bit i of _mask puts item i on the left
@@ -75,10 +78,9 @@ def association_rules(itemsets: DataFrame, min_lift: float = P.RULE_MIN_LIFT,
         "support")
     splits = (splits.withColumn("_a", F.array_join("antecedents", ", "))
                     .withColumn("_c", F.array_join("consequents", ", ")))
-    a = F.broadcast(sup.select(F.col("items_text").alias("_a"),
-                               F.col("support").alias("antecedent_support")))
-    c = F.broadcast(sup.select(F.col("items_text").alias("_c"),
-                               F.col("support").alias("consequent_support")))
+    sup = broadcast_if_small(sup, broadcast_rows)
+    a = sup.select(F.col("items_text").alias("_a"), F.col("support").alias("antecedent_support"))
+    c = sup.select(F.col("items_text").alias("_c"), F.col("support").alias("consequent_support"))
     r = splits.join(a, "_a", "inner").join(c, "_c", "inner")
     conf = F.col("support") / F.col("antecedent_support")
     r = (r.withColumn("confidence", conf)

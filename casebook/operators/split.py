@@ -10,6 +10,7 @@ class in one task).
 
 from __future__ import annotations
 
+from decimal import Decimal
 from typing import Sequence
 
 from pyspark.sql import DataFrame
@@ -18,7 +19,11 @@ from pyspark.sql import functions as F
 from casebook import presets as P
 from casebook.operators.ranking import first_by_hash, hash_rank
 
-EPS = 1e-9  # guards ceil(0.3 * n) against 0.3 * 10 = 3.0000000000000004
+
+def share_of(n, fraction: float):
+    """``fraction * n`` in decimal arithmetic: exact for any row count, where a
+    double would put 0.3 * 10 just above 3."""
+    return n.cast("decimal(20,0)") * F.lit(Decimal(str(fraction)))
 
 
 def exact_sample(df: DataFrame, key: Sequence[str], fraction: float = P.SAMPLE_FRACTION,
@@ -26,7 +31,7 @@ def exact_sample(df: DataFrame, key: Sequence[str], fraction: float = P.SAMPLE_F
     """Exactly ``round_half_even(fraction * n)`` rows, without
     replacement, chosen by hash order.  (``df.sample`` is Bernoulli: only
     approximately ``fraction``.)"""
-    f = first_by_hash(df, key, seed, [], lambda n: F.bround(n * fraction, 0), out="_keep")
+    f = first_by_hash(df, key, seed, [], lambda n: F.bround(share_of(n, fraction), 0).cast("long"), out="_keep")
     return f.where(F.col("_keep")).drop("_keep")
 
 
@@ -37,7 +42,7 @@ def stratified_split(df: DataFrame, key: Sequence[str], label: str,
     hash order are 'test', the rest 'train' (exact class proportions).
     Rows with a NULL label are left out."""
     f = first_by_hash(df.where(F.col(label).isNotNull()), key, seed, [label],
-                      lambda n: F.ceil(n * test_fraction - EPS), out="_test")
+                      lambda n: F.ceil(share_of(n, test_fraction)).cast("long"), out="_test")
     return (f.withColumn(out, F.when(F.col("_test"), "test").otherwise("train"))
              .drop("_test"))
 
@@ -56,7 +61,7 @@ def split_and_folds(df: DataFrame, key: Sequence[str], label: str,
     """I4 + I5 from one ranking pass: same ``split`` and ``fold`` columns as
     ``stratified_split`` and ``stratified_folds``."""
     r = hash_rank(df.where(F.col(label).isNotNull()), key, seed, strata=[label])
-    n_test = F.ceil(F.col("stratum_size") * test_fraction - EPS)
+    n_test = F.ceil(share_of(F.col("stratum_size"), test_fraction)).cast("long")
     return (r.withColumn("split", F.when(F.col("rank") <= n_test, "test").otherwise("train"))
              .withColumn("fold", ((F.col("rank") - 1) % k).cast("int"))
              .drop("rank", "stratum_size"))

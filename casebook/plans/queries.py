@@ -975,16 +975,25 @@ def a1_csv_load(spark, sf):
 
 @register("a5_rules_csv")
 def a5_rules_csv(spark, sf):
+    """The rules table as written, with each row's place in the files."""
     rules = IS.association_rules(_itemsets(spark, sf))
     path = SK.write_rules_csv(rules, scratch_path(spark, "rules-csv"))
     schema = ("antecedents string, consequents string, antecedent_support double, "
               "consequent_support double, support double, confidence double, lift double, "
               "leverage double, conviction double")
-    back = SK.read_csv(spark, path, schema)
+    back = SK.read_ranked(spark, path, schema)
     return back.select("antecedents", "consequents",
                        *[r6(c).alias(c) for c in ["antecedent_support", "consequent_support",
                                                   "support", "confidence", "lift", "leverage",
-                                                  "conviction"]])
+                                                  "conviction"]], "place")
+
+
+@register("f1_sorted_rates")
+def f1_sorted_rates(spark, sf):
+    """A rate table in rate order, as written: each row's place."""
+    t = rates.sort_rates(rates.rate_table(derived_cases(spark, sf), "region", "label"), key="region")
+    path = SK.write_csv(t, scratch_path(spark, "rates-csv"))
+    return SK.read_ranked(spark, path, t.schema)
 
 
 @register("a6_cluster_csv")

@@ -238,7 +238,7 @@ def _hash(key: str = "record_id", seed: int = 42) -> str:
 
 _SPLIT = f"""
     split AS (
-      SELECT *, CASE WHEN rn <= ceil(cnt * 0.3 - 1e-9) THEN 'test' ELSE 'train' END AS split
+      SELECT *, CASE WHEN rn <= ceil(cnt * 3 / 10) THEN 'test' ELSE 'train' END AS split
       FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_hash()}, record_id) AS rn,
                    count(*) OVER (PARTITION BY label) AS cnt
             FROM cases WHERE label IS NOT NULL))"""
@@ -679,7 +679,12 @@ ORACLES.update({
                CASE WHEN record_id % 8 IN (0, 1) THEN NULL WHEN record_id % 8 = 2 THEN 'a "gun", loaded' ELSE weapon END AS "Weapon",
                relation AS "Relationship", sex AS "Victim_Sex", label AS "Solved"
         FROM cases"""),
-    "a5_rules_csv": ORACLES["d13_rules"],
+    "a5_rules_csv": with_cases(_rules_sql() + _RULES_OUT.replace(
+        " FROM rl", ", row_number() OVER (ORDER BY round(lift, 9) DESC, antecedents, consequents) AS place FROM rl")),
+    "f1_sorted_rates": with_cases("""
+        SELECT *, row_number() OVER (ORDER BY rate DESC, region) AS place FROM (
+          SELECT region, count(label) AS cases, round_even(avg(label), 3) AS rate
+          FROM cases WHERE region IS NOT NULL GROUP BY region)"""),
     "a6_cluster_csv": with_cases(_CL_SEED + " SELECT record_id, cluster FROM asg"),
     "a7_ranked_open_csv": with_cases(f""",{_FIXED}
         SELECT record_id, outcome, item, age, grp_a, grp_b, region, units, year, month, price, weapon, relation, sex,
