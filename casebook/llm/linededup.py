@@ -32,10 +32,11 @@ def _segments(k: int, n: str) -> list[tuple[str, str]]:
 
 
 def _keys(k: int) -> tuple[str, str]:
-    """SQL arrays of hashes: a line's own segments, and its probes."""
+    """SQL arrays of (hash, how much shorter the partner is): a line's own segments,
+    for which that is -1, and its probes."""
     own, probes = [], []
     for s, (at, size) in enumerate(_segments(k, "n")):
-        own.append(f"xxhash64(n, {s}, substring(line, {at} + 1, {size}))")
+        own.append(f"struct(xxhash64(n, {s}, substring(line, {at} + 1, {size})) as sig, -1 as less)")
     for less in range(k + 1):  # the partner's length is n - less
         for s, (at, size) in enumerate(_segments(k, f"(n - {less})")):
             for shift in range(-k, k + 1):
@@ -43,7 +44,8 @@ def _keys(k: int) -> tuple[str, str]:
                 # so many edits at least; of the first equal segment, s edits at most stand before it
                 if abs(shift) + abs(less - shift) <= k and abs(shift) <= s and abs(less - shift) <= k - s:
                     probes.append(f"if({at} + {shift} >= 0 and {at} + {shift} + {size} <= n, "
-                                  f"xxhash64(n - {less}, {s}, substring(line, {at} + {shift} + 1, {size})), null)")
+                                  f"struct(xxhash64(n - {less}, {s}, substring(line, {at} + {shift} + 1, {size})) as sig, "
+                                  f"{less} as less), null)")
     return f"array({', '.join(own)})", f"array_compact(array({', '.join(probes)}))"
 
 
@@ -92,16 +94,15 @@ def links(docs: DataFrame, k: int, least_chars: int, id_col: str, text_col: str)
     """(a, b): keys of different lines within ``k`` edits."""
     own, probes = _keys(k)
     lines = lines_of(docs, id_col, text_col).where(F.col("n") >= least_chars)
-    entries = (lines.select("key", F.expr(own).alias("own"), F.expr(probes).alias("probes"))
-               .select("key", F.explode(F.expr("concat(transform(own, x -> struct(x as sig, true as own)), "
-                                               "transform(probes, x -> struct(x as sig, false as own)))")).alias("e"))
-               .select("key", "e.sig", "e.own"))
+    entries = (lines.select("key", F.explode(F.expr(f"concat({own}, {probes})")).alias("e")).select("key", "e.sig", "e.less"))
     # signatures at which two different lines meet
-    met = (entries.groupBy("sig").agg(F.min("key").alias("x"), F.max("key").alias("y"), F.max("own").alias("o"), F.min("own").alias("p"))
-           .where("x < y and o and not p").select("sig"))
+    met = (entries.groupBy("sig").agg(F.min("key").alias("x"), F.max("key").alias("y"), F.max("less").alias("o"), F.min("less").alias("p"))
+           .where("x < y and p = -1 and o >= 0").select("sig"))
     left = store(entries.join(met, "sig").distinct(), "lines-met")
-    pairs = (left.where("own").select("sig", F.col("key").alias("a")).join(left.where("not own").select("sig", F.col("key").alias("b")), "sig")
-             .where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    # lines of one length meet both ways: once is enough
+    pairs = (left.where("less = -1").select("sig", F.col("key").alias("a"))
+             .join(left.where("less >= 0").select("sig", "less", F.col("key").alias("b")), "sig")
+             .where("a <> b and (less > 0 or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     pairs = store(pairs, "lines-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     texts = store(lines.join(wanted, "key").groupBy("key").agg(F.min("line").alias("line")), "lines-texts")
