@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casebook.llm.common import LOWER_AZ, components, pick, store, text_or_empty
+from casebook.llm.common import LOWER_AZ, bits_for, components, drop_folder, likely, pick, scratch, store, text_or_empty
 
 GROUP_ROWS, GROUP_TOKENS = 48, 400_000
 MIN_HASHES = 2
@@ -82,31 +82,44 @@ def shingles(text: str, size: int = 5) -> np.ndarray:
     return np.unique(_mix((sums[last] - sums[first]) * down[first]).view(np.int64))
 
 
-def prefix_sizes(n: int, threshold: int) -> tuple[int, int]:
+#: One more shared token is asked for per so many of a set: first of all sets, then
+#: of those that are left, whose prefixes are longer.
+SLACK, WHOLE_SLACK = 25, 5
+
+
+def prefix_sizes(n: int, threshold: int, slack: int = SLACK) -> tuple[int, int]:
     """(tokens of the prefix, how many of them a linked set has at least).
 
     A linked set shares at least a = ceil(threshold % of n) tokens, so at least c
     of any n - a + c of them.  Both c and the number that meets a linked set's own
     prefix grow with the size of the set."""
     a = -(-threshold * n // 100)
-    return n - a + n // 25 + 1, -(-threshold * n // 100) // 25 + 1
+    return n - a + n // slack + 1, a // slack + 1
 
 
 SETS = "doc_id long, n long, d1 long, d2 long, need long, prefix array<long>"
+WHOLE = SETS + ", tokens array<long>, mins array<long>"
 
 
-def sets(docs: DataFrame, size: int, threshold: int, whole: bool) -> DataFrame:
-    """docs(doc_id, text) with set size, digest of the set, prefix and, if ``whole``,
-    all tokens and the min-hashes."""
+def sets(docs: DataFrame, size: int, threshold: int) -> DataFrame:
+    """docs(doc_id, text) with set size, digest of the set and prefix.  If ``docs``
+    also has a digest (d1, d2), only the rows that have that digest, with all
+    tokens and the min-hashes."""
+    whole = "d1" in docs.columns
+    names = [x.split()[0] for x in (WHOLE if whole else SETS).split(", ")]
 
     def run(batches):
+        frame = lambda rows: pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
         for pdf in batches:
             out = []
-            for d, text in zip(pdf["doc_id"], pdf["text"]):
+            wanted = zip(pdf["d1"], pdf["d2"]) if whole else [None] * len(pdf)
+            for d, text, want in zip(pdf["doc_id"], pdf["text"], wanted):
                 t = shingles(text, size)
                 n = len(t)
                 d1, d2 = np.frombuffer(hashlib.blake2b(t.tobytes(), digest_size=16).digest(), "<i8").tolist()
-                p, need = prefix_sizes(n, threshold) if n else (0, 0)
+                if whole and (d1, d2) != want:
+                    continue
+                p, need = prefix_sizes(n, threshold, WHOLE_SLACK if whole else SLACK) if n else (0, 0)
                 row = (None if pd.isna(d) else int(d), n, d1, d2, need, t[:p])
                 if whole:
                     mins = [int(_mix(t.view(np.uint64) ^ np.uint64(_BASE * j & _MASK)).view(np.int64).min())
@@ -118,19 +131,27 @@ def sets(docs: DataFrame, size: int, threshold: int, whole: bool) -> DataFrame:
                     out = []
             yield frame(out)
 
-    names = [x.split()[0] for x in (SETS + whole * ", tokens array<long>, mins array<long>").split(", ")]
-    frame = lambda rows: pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(
-        run, SETS + whole * ", tokens array<long>, mins array<long>")
+    base = docs.withColumn("text", text_or_empty())
+    return base.mapInPandas(run, WHOLE if whole else SETS)
 
 
 def _alive(found: DataFrame) -> DataFrame:
-    """(doc_id, d1, d2) of the sets that may link with another set."""
-    entries = found.where("n > 0 and doc_id is not null").select("doc_id", "d1", "d2", "need", F.explode("prefix").alias("token"))
-    shared = (entries.groupBy("token").agg(F.min("d1").alias("a"), F.max("d1").alias("b")).where("a < b")
-              .select("token"))
-    return (entries.join(shared, "token").groupBy("doc_id", "d1", "d2", "need").agg(F.count("*").alias("met"))
-            .where("met >= need").select("doc_id", "d1", "d2"))
+    """(doc_id, d1, d2, family) of the sets that may link with a set of another
+    document: their prefixes hold enough tokens that others' prefixes hold.  The
+    family is the one of those tokens that most documents have, with their number.
+
+    Tokens are compared by as many bits as keep chance meetings rare among so many
+    (12 bits more than the count has); a chance meeting only keeps a set."""
+    prefixes = found.where("n > 0 and doc_id is not null")
+    total = prefixes.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
+    entries = prefixes.select("doc_id", F.explode("prefix").alias("token")).select(
+        "doc_id", F.shiftrightunsigned("token", 64 - min(64, bits_for(int(total)) + 12)).alias("token"))
+    shared = (entries.groupBy("token").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("docs"))
+              .where("a < b").select("token", "docs"))
+    met = entries.join(shared, "token").groupBy("doc_id").agg(
+        F.count("*").alias("met"), F.max(F.struct("docs", "token")).alias("family"))
+    return (prefixes.select("doc_id", "d1", "d2", "need").join(met, "doc_id").where("met >= need")
+            .select("doc_id", "d1", "d2", "family"))
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -162,17 +183,8 @@ def _chunk(count: str, tokens: str) -> Column:
     return F.greatest(F.ceil(F.col(count) / GROUP_ROWS), F.ceil(F.col(tokens) / GROUP_TOKENS)).cast("long")
 
 
-def _in_groups(found: DataFrame, threshold: int) -> DataFrame:
-    """Links among the rows of a group, and with the leader of their min-hash."""
-    keyed = found.select("doc_id", "n", "tokens", F.posexplode("mins").alias("j", "key"))
-    stats = keyed.groupBy("j", "key").agg(F.min("doc_id").alias("leader"), F.count("*").alias("rows"), F.sum("n").alias("all")) \
-        .where("rows > 1").withColumn("groups", _chunk("rows", "all")).drop("rows", "all")
-    members = keyed.join(stats, ["j", "key"]).select(
-        "j", "key", F.pmod(F.xxhash64("doc_id"), F.col("groups")).alias("g"), "doc_id", "tokens", F.lit(False).alias("guest"))
-    guests = (stats.where("groups > 1").select("j", "key", F.col("leader").alias("doc_id"),
-                                               F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("g"))
-              .join(found.select("doc_id", "tokens"), "doc_id")
-              .select("j", "key", "g", "doc_id", "tokens", F.lit(True).alias("guest")))
+def _group_links(threshold: int):
+    """A function that gives the links among a group's rows (doc_id, tokens, guest)."""
 
     def run(pdf):
         pdf = pdf.sort_values(["guest", "doc_id"], ascending=[False, True])
@@ -195,44 +207,90 @@ def _in_groups(found: DataFrame, threshold: int) -> DataFrame:
                     out.append((int(ids[x]), int(ids[y])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return members.unionAll(guests).groupBy("j", "key", "g").applyInPandas(run, LINKS)
+    return run
+
+
+def _in_groups(found: DataFrame, threshold: int) -> DataFrame:
+    """Links among the rows of a group, and with the leader of their min-hash."""
+    keyed = found.select("doc_id", "n", F.posexplode("mins").alias("j", "key"))
+    stats = keyed.groupBy("j", "key").agg(F.min("doc_id").alias("leader"), F.count("*").alias("rows"), F.sum("n").alias("all")) \
+        .where("rows > 1").withColumn("groups", _chunk("rows", "all")).drop("rows", "all")
+    own = keyed.join(stats, ["j", "key"]).select(
+        "j", "key", F.pmod(F.xxhash64("doc_id"), F.col("groups")).alias("g"), "doc_id", F.lit(False).alias("guest"))
+    guests = stats.where("groups > 1").select(
+        "j", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("g"),
+        F.col("leader").alias("doc_id"), F.lit(True).alias("guest"))
+    members = own.unionAll(guests).join(found.select("doc_id", "tokens"), "doc_id")
+
+    return members.groupBy("j", "key", "g").applyInPandas(_group_links(threshold), LINKS)
 
 
 def _across(found: DataFrame, linked: DataFrame, threshold: int) -> DataFrame:
-    """Links between components so far: queries against the token-group matrix."""
+    """Links between units: a unit is a large component so far, or a group of
+    documents and small components of one family and size.
+
+    The matrix holds, for each group of a unit, the union of the members' prefixes;
+    a query whose prefix meets a group's in fewer tokens than a linked set's would
+    is through with it.  The others are bounded by the union of all the members'
+    tokens, and the members of a group are compared only with queries that pass.
+    The rows of a family's group are compared with one another as well."""
     comp = components(linked, "jaccard-a")
-    placed = found.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
-        "component", F.coalesce("component", "doc_id"))
-    sizes = placed.groupBy("component").agg(F.count("*").alias("rows"), F.sum("n").alias("all"))
-    placed = store(placed.join(sizes, "component").withColumn(
-        "g", F.pmod(F.xxhash64("doc_id"), _chunk("rows", "all"))).drop("all"), "jaccard-placed")
-    # the matrix: tokens of each group, once; tokens of one component only can't join two
-    cells = store(placed.select("component", "rows", "g", F.explode("tokens").alias("token")).distinct(), "jaccard-matrix")
-    crossing = cells.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
+    placed = (found.select("doc_id", "n", "need", "prefix", "family").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+              .withColumn("component", F.coalesce("component", "doc_id")))
+    sizes = placed.groupBy("component").agg(F.count("*").alias("rows"), F.sum("n").alias("all"), F.max("family").alias("kin"))
+    families = sizes.where(F.col("rows") <= GROUP_ROWS).groupBy("kin").agg(F.sum("rows").alias("kin_rows"), F.sum("all").alias("kin_all"))
+    units = (sizes.join(families, "kin", "left").withColumn("loose", F.col("rows") <= GROUP_ROWS)
+             .withColumn("share", F.pmod(F.xxhash64("component"), _chunk("kin_rows", "kin_all")))
+             .select("component", "rows", "all", "loose", F.when(F.col("loose"), F.concat(
+                 F.lit("f"), F.col("kin.token"), F.lit("-"), "share")).otherwise(F.concat(F.lit("c"), "component")).alias("unit")))
+    g = F.when(F.col("loose"), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("doc_id"), _chunk("rows", "all")))
+    rows = F.when(F.col("loose"), F.lit(1).cast("long")).otherwise(F.col("rows"))
+    placed = store(placed.join(units, "component").select("doc_id", "n", "need", "prefix", "unit", rows.alias("rows"), g.alias("g"), "loose"),
+                   "jaccard-placed")
+    # tokens of one unit only can't join two
+    crossing = (placed.select("unit", F.explode("prefix").alias("token")).groupBy("token")
+                .agg(F.min("unit").alias("x"), F.max("unit").alias("y")).where("x < y").select("token"))
+    cells = placed.select("unit", "rows", "g", F.explode("prefix").alias("token")).distinct()
     matrix = cells.join(crossing, "token").select(
-        "token", F.col("component").alias("to"), F.col("rows").alias("to_rows"), "g")
-    asks = placed.select("doc_id", "n", "component", "rows", F.explode("prefix").alias("token"))
-    # the smaller component asks; its prefix holds at least n / 25 + 1 tokens of a linked set
-    smaller = F.struct("rows", "component") < F.struct("to_rows", "to")
-    opened = (asks.join(matrix, "token").where(smaller).groupBy("doc_id", "n", "to", "g").agg(F.count("*").alias("bound"))
-              .where("bound >= floor(n / 25) + 1").select("doc_id", "to", "g"))
+        "token", F.col("unit").alias("to"), F.col("rows").alias("to_rows"), "g")
+    asks = placed.select("doc_id", "need", "unit", "rows", F.explode("prefix").alias("token"))
+    # the smaller unit asks
+    fits = F.struct("rows", "unit") < F.struct("to_rows", "to")
+    opened = (asks.join(matrix, "token").where(fits).groupBy("doc_id", "need", "to", "g").agg(F.count("*").alias("bound"))
+              .where("bound >= need").select("doc_id", "to", "g"))
+    opened = store(opened, "jaccard-asked")
     per_group = opened.groupBy("to", "g").agg(F.count("*").alias("asked"))
     opened = store(opened.join(per_group, ["to", "g"]).withColumn("parts", F.ceil(F.col("asked") / GROUP_ROWS).cast("long"))
                    .withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).drop("asked"), "jaccard-opened")
     queries = opened.select("doc_id", "to", "g", "part").join(found.select("doc_id", "tokens"), "doc_id")
+    tokens = found.select(F.col("doc_id").alias("m_id"), F.col("tokens").alias("m_tokens"))
     members = (opened.select("to", "g", "part").distinct()
-               .join(placed.select(F.col("component").alias("to"), "g", "doc_id", "tokens"), ["to", "g"])
-               .toDF("m_to", "m_g", "m_part", "doc_id", "tokens"))
+               .join(placed.select(F.col("unit").alias("to"), "g", F.col("doc_id").alias("m_id")), ["to", "g"])
+               .join(tokens, "m_id")
+               .select(F.col("to").alias("m_to"), F.col("g").alias("m_g"), F.col("part").alias("m_part"), "m_id", "m_tokens"))
+    inside = (placed.where("loose").select("unit", "doc_id").join(found.select("doc_id", "tokens"), "doc_id")
+              .withColumn("guest", F.lit(False)).groupBy("unit").applyInPandas(_group_links(threshold), LINKS))
 
     def run(left, right):
         out = []
         if len(left) and len(right):
-            x, y = left["doc_id"].to_numpy(), right["doc_id"].to_numpy()
-            a, b = np.nonzero(_linked(list(left["tokens"]), list(right["tokens"]), threshold))
-            out = list(zip(x[a].tolist(), y[b].tolist()))
+            union = np.unique(np.concatenate(list(right["m_tokens"])))
+            held = [_count_in(t, union) for t in left["tokens"]]
+            left = left[[100 * h >= threshold * len(t) for h, t in zip(held, left["tokens"])]]
+            if len(left):
+                x, y = left["doc_id"].to_numpy(), right["m_id"].to_numpy()
+                a, b = np.nonzero(_linked(list(left["tokens"]), list(right["m_tokens"]), threshold))
+                out = list(zip(x[a].tolist(), y[b].tolist()))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return queries.groupBy("to", "g", "part").cogroup(members.groupBy("m_to", "m_g", "m_part")).applyInPandas(run, LINKS)
+    across = queries.groupBy("to", "g", "part").cogroup(members.groupBy("m_to", "m_g", "m_part")).applyInPandas(run, LINKS)
+    return inside.unionAll(across)
+
+
+def _count_in(tokens: np.ndarray, union: np.ndarray) -> int:
+    """How many of ``tokens`` are in the sorted ``union``."""
+    at = np.searchsorted(union, tokens)
+    return int((union[np.minimum(at, len(union) - 1)] == tokens).sum())
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -246,20 +304,28 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     one document.  An empty table gives an empty result.
     """
     base = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    found = store(sets(base, size, threshold, whole=False), "jaccard-sets")
-    classes = (found.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("node")))
-    alive = store(_alive(found).groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id")), "jaccard-alive")
-    texts = base.join(alive.select("doc_id").distinct(), "doc_id")
-    again = sets(texts, size, threshold, whole=True)
-    again = store(again.join(alive.select("d1", "d2", F.col("doc_id").alias("rep")), ["d1", "d2"])
-                  .where("doc_id = rep").drop("rep").dropDuplicates(["d1", "d2"]), "jaccard-whole")
-    again = store(again.join(_alive(again).select("d1", "d2"), ["d1", "d2"]), "jaccard-kept")
-    near = store(_in_groups(again, threshold), "jaccard-near")
-    far = store(_across(again, near, threshold), "jaccard-far")
+    spark = docs.sparkSession
+    path = scratch(spark, "jaccard-sets")
+    sets(base, size, threshold).write.option("compression", "zstd").parquet(path)
+    found = spark.read.schema(SETS).parquet(path)
+    plain = store(found.drop("prefix"), "jaccard-plain")
+    classes = plain.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"))
+    # one document of each class goes on; without the copies, fewer sets may still link
+    one = lambda alive: alive.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"))
+    alive = store(one(_alive(found)), "jaccard-alive")
+    again = store(likely(found, alive.select("doc_id"), "doc_id").join(alive, ["doc_id", "d1", "d2"]), "jaccard-again")
+    alive = store(one(_alive(again)), "jaccard-twice")
+    drop_folder(spark, path)
+    texts = (likely(base, alive.select("doc_id"), "doc_id").join(alive, "doc_id").dropDuplicates())
+    whole = store(sets(texts.select("doc_id", "text", "d1", "d2"), size, threshold), "jaccard-whole")
+    # once more, by longer prefixes
+    whole = store(whole.join(_alive(whole).select("doc_id", "family").distinct(), "doc_id"), "jaccard-kept")
+    near = store(_in_groups(whole, threshold), "jaccard-near")
+    far = store(_across(whole, near, threshold), "jaccard-far")
     comp = components(near.unionAll(far), "jaccard-all")
     nodes = classes.join(comp, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))
     key = lambda c: F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col(c))
-    return (found.select("doc_id", "n", key("d1").alias("d1"), key("d2").alias("d2")).join(nodes, ["d1", "d2"], "left")
+    return (plain.select("doc_id", "n", key("d1").alias("d1"), key("d2").alias("d2")).join(nodes, ["d1", "d2"], "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")))
 
 

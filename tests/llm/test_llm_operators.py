@@ -172,14 +172,15 @@ def test_jaccard_links_that_no_min_hash_shows(spark, monkeypatch):
     assert got == brute_components(texts)
 
 
-def test_prefix_sizes_are_sound():
+@pytest.mark.parametrize("slack", [jaccard.SLACK, jaccard.WHOLE_SLACK])
+def test_prefix_sizes_are_sound(slack):
     """Any set that links with one of n tokens meets its prefix as promised."""
     for n in range(1, 400):
-        p, need = jaccard.prefix_sizes(n, 80)
+        p, need = jaccard.prefix_sizes(n, 80, slack)
         a = -(-80 * n // 100)
         assert 1 <= p <= n and need >= 1
         for m in range(a, n + 1):  # the sizes of linked sets of at most n tokens
-            q, other = jaccard.prefix_sizes(m, 80)
+            q, other = jaccard.prefix_sizes(m, 80, slack)
             overlap = -(-80 * (n + m) // 180)
             if overlap <= m:
                 least = min(p - (n - overlap), q - (m - overlap))
