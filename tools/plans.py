@@ -11,7 +11,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-KEY = ["d1_rate_by_item_group", "d2_rate_top5_long", "d6_mode_by_region", "b15_topk_bucket",
+KEY = ["d1_rate_by_item_group", "d3_mean_by_year", "d4_summary", "d5_value_counts", "d2_rate_top5_long", "d6_mode_by_region", "b15_topk_bucket",
        "c1_target_encode", "i4_stratified_split", "d12_itemsets", "d13_rules", "d19_auc",
        "e2_roc", "i10_kmodes_assign", "i21_score_requests"]
 
