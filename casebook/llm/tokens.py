@@ -26,8 +26,8 @@ from casebook.llm.common import drop_folder, pick, scratch, shuffle_width, text_
 
 #: Ids in a block at least, but for a shard's last; a block holds whole documents.
 BLOCK_IDS = 1 << 16
-#: Entries a worker's word tables hold before they are emptied.
-CACHE_WORDS, CACHE_PIECES = 200_000, 400_000
+#: New entries after which a worker's word tables lose their older half.
+CACHE_WORDS, CACHE_PIECES = 150_000, 200_000
 
 #: FIXED VALUES: the pre-token rule of the tokenizer file's Split step.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -39,14 +39,50 @@ BLOCK_SCHEMA = ("shard long, block long, n_ids long, doc_id array<long>, doc_ids
                 "control binary, data binary")
 
 
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable
+    Latin-1 for itself, the others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
+class _Recent(dict):
+    """A table of bounded size: when ``limit`` new entries have come, the oldest half goes."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.old = limit, {}
+
+    def __missing__(self, key):
+        self[key] = value = self.old[key]
+        return value
+
+    def lacks(self, keys) -> list:
+        """The keys without an entry; entries of the older half are renewed."""
+        out = []
+        for k in keys:
+            if k not in self:
+                if k in self.old:
+                    self[k] = self.old[k]
+                else:
+                    out.append(k)
+        return out
+
+    def age(self) -> None:
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+
+
 class WordEncoder:
     """Ids of whole texts, the same as the tokenizer's own, with each distinct word
     encoded once.
 
     A text is cut at white space (no pre-token of this kind of tokenizer holds
     any); a word is normalised and cut into pre-tokens, and pre-tokens not met
-    before go to the tokenizer in one call.  A word-end piece closes each.  For
-    tokenizers that don't have this form (a word end, white space dropped) and
+    before go to the tokenizer's model in one call; a word-end piece closes each.
+    For tokenizers that don't have this form (a word end, white space dropped) and
     for texts with their special tokens, whole texts go to the tokenizer."""
 
     def __init__(self, path: str):
@@ -55,14 +91,18 @@ class WordEncoder:
         spec = json.loads(self.tk.to_str())
         model, pre = spec["model"], json.dumps(spec.get("pre_tokenizer"), ensure_ascii=False)
         suffix = model.get("end_of_word_suffix")
-        self.wordwise = bool(suffix) and json.dumps(PIECE, ensure_ascii=False) in pre and not model.get("unk_token")
+        self.wordwise = (bool(suffix) and json.dumps(PIECE, ensure_ascii=False) in pre and '"ByteLevel"' in pre
+                         and not model.get("unk_token"))
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.dtype = "<u2" if self.tk.get_vocab_size() <= 1 << 16 else "<u4"
         self.ends = np.zeros(self.tk.get_vocab_size(), bool)
         for token, i in self.tk.get_vocab().items():
             self.ends[i] = bool(suffix) and token.endswith(suffix)
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        # the model alone: pre-tokens come normalised, cut and in byte letters
+        self.model = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"},
+                                                           "added_tokens": []}))
+        self.letters = _byte_letters()
+        self.words, self.pieces = _Recent(CACHE_WORDS), _Recent(CACHE_PIECES)
         self.ascii, self.any = (f.compile(x.replace(r"\s", WHITE)) for f, x in ((re, ASCII_PIECE), (regex, PIECE)))
         self.word = re.compile(f"[^{WHITE}]+")
         self.odd = re.compile("[\x1c-\x1f]")  # str.split() takes these for white space
@@ -74,42 +114,41 @@ class WordEncoder:
             return self.any.findall(unicodedata.normalize("NFC", word).lower())
         return self.any.findall(self.tk.normalizer.normalize_str(word))
 
+    def _spell(self, piece: str) -> str:
+        if piece.isascii() and piece.isprintable():
+            return piece
+        return "".join([self.letters[b] for b in piece.encode("utf-8", "surrogatepass")])
+
     def _learn(self, words: list[str]) -> None:
-        if len(self.words) + len(words) > CACHE_WORDS:
-            self.words.clear()
-        if len(self.pieces) > CACHE_PIECES:
-            self.pieces.clear()
         cut = [self._cut(w) for w in words]
-        new = list(dict.fromkeys(p for ps in cut for p in ps if p not in self.pieces))
-        for i in range(0, len(new), 512):
-            part = new[i:i + 512]
-            ids = np.array(self.tk.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=self.dtype)
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(part):  # a pre-token that the tokenizer cuts again
-                for p in part:
-                    self.pieces[p] = np.array(self.tk.encode(p, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
-                continue
-            for p, x in zip(part, np.split(ids, stops[:-1])):
-                self.pieces[p] = x.tobytes()
+        new = self.pieces.lacks(dict.fromkeys(p for ps in cut for p in ps))
+        for i in range(0, len(new), 2048):
+            part = new[i:i + 2048]
+            spelt = " ".join([self._spell(p) for p in part])
+            ids = np.array(self.model.encode_batch_fast([spelt], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
+            if len(stops) != len(part):
+                raise ValueError("a pre-token without exactly one word end")
+            raw, at = ids.tobytes(), 0
+            for p, to in zip(part, stops.tolist()):
+                self.pieces[p] = raw[at:to]
+                at = to
         for w, ps in zip(words, cut):
             self.words[w] = b"".join([self.pieces[p] for p in ps])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            if not self.wordwise or any(s in text for s in self.special):
-                ids = self.tk.encode(text, add_special_tokens=False).ids
-                out.append(np.array(ids, dtype=self.dtype).tobytes())
-                continue
-            words = self.word.findall(text) if self.odd.search(text) else text.split()
-            known = self.words
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            if len(new) + len(known) > CACHE_WORDS:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            if new:
-                self._learn(new)
-            out.append(b"".join([known[w] for w in words]))
+        plain = [self.wordwise and not any(s in t for s in self.special) for t in texts]
+        cut = [(self.word.findall(t) if self.odd.search(t) else t.split()) if ok else [] for t, ok in zip(texts, plain)]
+        known = self.words
+        new = known.lacks({w for ws in cut for w in ws if w not in known})
+        if new:
+            self._learn(new)
+        out = [b"".join([known[w] for w in ws]) for ws in cut]
+        for i, ok in enumerate(plain):
+            if not ok:
+                out[i] = np.array(self.tk.encode(texts[i], add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        known.age()
+        self.pieces.age()
         return out
 
 
