@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casebook.llm.common import components, pick, store
+from casebook.llm.common import components, likely, pick, store
 
 #: Lines of fewer characters are compared for equality only: within a few
 #: characters almost any two short lines are alike.
@@ -105,7 +105,7 @@ def links(docs: DataFrame, k: int, least_chars: int, id_col: str, text_col: str)
              .where("a <> b and (less > 0 or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     pairs = store(pairs, "lines-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    texts = store(lines.join(wanted, "key").groupBy("key").agg(F.min("line").alias("line")), "lines-texts")
+    texts = store(likely(lines, wanted, "key").join(wanted, "key").groupBy("key").agg(F.min("line").alias("line")), "lines-texts")
     both = (pairs.join(texts.select(F.col("key").alias("a"), F.col("line").alias("la")), "a")
             .join(texts.select(F.col("key").alias("b"), F.col("line").alias("lb")), "b"))
     return both.where(within("la", "lb", k)).select("a", "b")
