@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from casebook.llm.common import LOWER_AZ, bits_for, components, drop_folder, likely, pick, scratch, store, text_or_empty
 
-GROUP_ROWS, GROUP_TOKENS = 48, 400_000
+GROUP_ROWS, GROUP_TOKENS = 128, 400_000
 MIN_HASHES = 2
 
 _BASE = 0x9E3779B97F4A7C15
@@ -155,15 +155,15 @@ def _alive(found: DataFrame) -> DataFrame:
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Intersection sizes of every left with every right set, 65,536 tokens at a time."""
+    """Intersection sizes of every left with every right set, 16,384 tokens at a time."""
     universe, inverse = np.unique(np.concatenate(left + right), return_inverse=True)
     owner = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in left + right])
     out = np.zeros((len(left), len(right)))
     order = np.argsort(inverse, kind="stable")
     inverse, owner = inverse[order], owner[order]
-    for at in range(0, len(universe), 1 << 16):
-        a, b = np.searchsorted(inverse, [at, at + (1 << 16)])
-        part = np.zeros((len(left) + len(right), min(1 << 16, len(universe) - at)), np.float32)
+    for at in range(0, len(universe), 1 << 14):
+        a, b = np.searchsorted(inverse, [at, at + (1 << 14)])
+        part = np.zeros((len(left) + len(right), min(1 << 14, len(universe) - at)), np.float32)
         part[owner[a:b], inverse[a:b] - at] = 1
         out += part[:len(left)] @ part[len(left):].T
     return out
@@ -225,6 +225,11 @@ def _in_groups(found: DataFrame, threshold: int) -> DataFrame:
     return members.groupBy("j", "key", "g").applyInPandas(_group_links(threshold), LINKS)
 
 
+def _band(n: Column) -> Column:
+    """Sizes by powers of 1.25: linked sets are in one band or in two that touch."""
+    return F.floor(F.log(n) / F.log(F.lit(1.25))).cast("long")
+
+
 def _across(found: DataFrame, linked: DataFrame, threshold: int) -> DataFrame:
     """Links between units: a unit is a large component so far, or a group of
     documents and small components of one family and size.
@@ -237,12 +242,13 @@ def _across(found: DataFrame, linked: DataFrame, threshold: int) -> DataFrame:
     comp = components(linked, "jaccard-a")
     placed = (found.select("doc_id", "n", "need", "prefix", "family").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
               .withColumn("component", F.coalesce("component", "doc_id")))
-    sizes = placed.groupBy("component").agg(F.count("*").alias("rows"), F.sum("n").alias("all"), F.max("family").alias("kin"))
+    sizes = placed.groupBy("component").agg(F.count("*").alias("rows"), F.sum("n").alias("all"),
+                                              F.struct(F.max("family").alias("family"), _band(F.max("n")).alias("band")).alias("kin"))
     families = sizes.where(F.col("rows") <= GROUP_ROWS).groupBy("kin").agg(F.sum("rows").alias("kin_rows"), F.sum("all").alias("kin_all"))
     units = (sizes.join(families, "kin", "left").withColumn("loose", F.col("rows") <= GROUP_ROWS)
              .withColumn("share", F.pmod(F.xxhash64("component"), _chunk("kin_rows", "kin_all")))
              .select("component", "rows", "all", "loose", F.when(F.col("loose"), F.concat(
-                 F.lit("f"), F.col("kin.token"), F.lit("-"), "share")).otherwise(F.concat(F.lit("c"), "component")).alias("unit")))
+                 F.lit("f"), F.col("kin.family.token"), F.lit("-"), F.col("kin.band"), F.lit("-"), "share")).otherwise(F.concat(F.lit("c"), "component")).alias("unit")))
     g = F.when(F.col("loose"), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("doc_id"), _chunk("rows", "all")))
     rows = F.when(F.col("loose"), F.lit(1).cast("long")).otherwise(F.col("rows"))
     placed = store(placed.join(units, "component").select("doc_id", "n", "need", "prefix", "unit", rows.alias("rows"), g.alias("g"), "loose"),
@@ -250,12 +256,14 @@ def _across(found: DataFrame, linked: DataFrame, threshold: int) -> DataFrame:
     # tokens of one unit only can't join two
     crossing = (placed.select("unit", F.explode("prefix").alias("token")).groupBy("token")
                 .agg(F.min("unit").alias("x"), F.max("unit").alias("y")).where("x < y").select("token"))
-    cells = placed.select("unit", "rows", "g", F.explode("prefix").alias("token")).distinct()
+    cells = (placed.select("unit", "rows", "g", "n", F.explode("prefix").alias("token")).groupBy("unit", "rows", "g", "token")
+             .agg(F.min("n").alias("least"), F.max("n").alias("most")))
     matrix = cells.join(crossing, "token").select(
-        "token", F.col("unit").alias("to"), F.col("rows").alias("to_rows"), "g")
-    asks = placed.select("doc_id", "need", "unit", "rows", F.explode("prefix").alias("token"))
-    # the smaller unit asks
-    fits = F.struct("rows", "unit") < F.struct("to_rows", "to")
+        "token", F.col("unit").alias("to"), F.col("rows").alias("to_rows"), "g", "least", "most")
+    asks = placed.select("doc_id", "n", "need", "unit", "rows", F.explode("prefix").alias("token"))
+    # the smaller unit asks; sizes of linked sets differ by the threshold at most
+    fits = (F.struct("rows", "unit") < F.struct("to_rows", "to")) & (100 * F.col("n") >= threshold * F.col("least")) \
+        & (100 * F.col("most") >= threshold * F.col("n"))
     opened = (asks.join(matrix, "token").where(fits).groupBy("doc_id", "need", "to", "g").agg(F.count("*").alias("bound"))
               .where("bound >= need").select("doc_id", "to", "g"))
     opened = store(opened, "jaccard-asked")
