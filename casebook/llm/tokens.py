@@ -26,12 +26,14 @@ from casebook.llm.common import drop_folder, pick, scratch, shuffle_width, text_
 
 #: Ids in a block at least, but for a shard's last; a block holds whole documents.
 BLOCK_IDS = 1 << 16
-#: New entries after which a worker's word tables lose their older half.
-CACHE_WORDS, CACHE_PIECES = 150_000, 200_000
+#: New entries after which a worker's table of pre-tokens loses its older half.
+CACHE_PIECES = 250_000
+#: Code points below are cut by a pattern of their own; all are in NFC, and but for
+#: these letters their lower case is among them.
+LATIN, LEAVES_LATIN = 0x250, "\u0130\u023a\u023e"
 
 #: FIXED VALUES: the pre-token rule of the tokenizer file's Split step.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-ASCII_PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: FIXED VALUES (end)
 
@@ -76,14 +78,13 @@ class _Recent(dict):
 
 
 class WordEncoder:
-    """Ids of whole texts, the same as the tokenizer's own, with each distinct word
-    encoded once.
+    """Ids of whole texts, the same as the tokenizer's own, with each distinct
+    pre-token encoded once.
 
-    A text is cut at white space (no pre-token of this kind of tokenizer holds
-    any); a word is normalised and cut into pre-tokens, and pre-tokens not met
-    before go to the tokenizer's model in one call; a word-end piece closes each.
-    For tokenizers that don't have this form (a word end, white space dropped) and
-    for texts with their special tokens, whole texts go to the tokenizer."""
+    A text is normalised and cut into pre-tokens; those not met before go to the
+    tokenizer's model in one call, where a word-end piece closes each.  For
+    tokenizers that don't have this form (a word end, white space dropped) and for
+    texts with their special tokens, whole texts go to the tokenizer."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -102,26 +103,22 @@ class WordEncoder:
         self.model = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"},
                                                            "added_tokens": []}))
         self.letters = _byte_letters()
-        self.words, self.pieces = _Recent(CACHE_WORDS), _Recent(CACHE_PIECES)
-        self.ascii, self.any = (f.compile(x.replace(r"\s", WHITE)) for f, x in ((re, ASCII_PIECE), (regex, PIECE)))
-        self.word = re.compile(f"[^{WHITE}]+")
-        self.odd = re.compile("[\x1c-\x1f]")  # str.split() takes these for white space
-
-    def _cut(self, word: str) -> list[str]:
-        if word.isascii():
-            return self.ascii.findall(word.lower())
-        if max(word) < "ɐ":  # composed Latin letters: no rule of their own for case
-            return self.any.findall(unicodedata.normalize("NFC", word).lower())
-        return self.any.findall(self.tk.normalizer.normalize_str(word))
+        self.pieces = _Recent(CACHE_PIECES)
+        kinds = {k: "".join(chr(c) for c in range(128, LATIN) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
+        self.latin = re.compile(PIECE.replace(r"\p{L}", "a-z" + kinds["L"]).replace(r"\p{N}", "0-9" + kinds["N"]).replace(r"\s", WHITE))
+        self.any = regex.compile(PIECE.replace(r"\s", WHITE))
+
+    def _cut(self, text: str) -> list[str]:
+        if text.isascii() or max(text) < chr(LATIN) and not any(c in text for c in LEAVES_LATIN):
+            return self.latin.findall(text.lower())
+        return self.any.findall(self.tk.normalizer.normalize_str(text))
 
     def _spell(self, piece: str) -> str:
         if piece.isascii() and piece.isprintable():
             return piece
         return "".join([self.letters[b] for b in piece.encode("utf-8", "surrogatepass")])
 
-    def _learn(self, words: list[str]) -> None:
-        cut = [self._cut(w) for w in words]
-        new = self.pieces.lacks(dict.fromkeys(p for ps in cut for p in ps))
+    def _learn(self, new: list[str]) -> None:
         for i in range(0, len(new), 2048):
             part = new[i:i + 2048]
             spelt = " ".join([self._spell(p) for p in part])
@@ -133,22 +130,17 @@ class WordEncoder:
             for p, to in zip(part, stops.tolist()):
                 self.pieces[p] = raw[at:to]
                 at = to
-        for w, ps in zip(words, cut):
-            self.words[w] = b"".join([self.pieces[p] for p in ps])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [self.wordwise and not any(s in t for s in self.special) for t in texts]
-        cut = [(self.word.findall(t) if self.odd.search(t) else t.split()) if ok else [] for t, ok in zip(texts, plain)]
-        known = self.words
-        new = known.lacks({w for ws in cut for w in ws if w not in known})
-        if new:
-            self._learn(new)
-        out = [b"".join([known[w] for w in ws]) for ws in cut]
+        cut = [self._cut(t) if ok else [] for t, ok in zip(texts, plain)]
+        known = self.pieces
+        self._learn(known.lacks({p for ps in cut for p in ps if p not in known}))
+        out = [b"".join([known[p] for p in ps]) for ps in cut]
         for i, ok in enumerate(plain):
             if not ok:
                 out[i] = np.array(self.tk.encode(texts[i], add_special_tokens=False).ids, dtype=self.dtype).tobytes()
         known.age()
-        self.pieces.age()
         return out
 
 

@@ -55,7 +55,8 @@ def test_pack_round_trip():
 
 
 ODD = ["", "I'll don't we're x's", "A\x1fB\x1cC \x85 \xa0x y", "ΣΑΣ ΟΔΟΣ. İstanbul ǅ ŉ", "é ́x ÅB ﬁ",
-       "a <|endoftext|> b", "日本語テキスト ①②½ ٣ x²", "tabs\tand\nnew\r\nlines", "mañana!!! ***&&& $$$ 12,345.67", "\U0001f600\U0001f601 ok"]
+       "a <|endoftext|> b", "日本語テキスト ①②½ ٣ x²", "tabs\tand\nnew\r\nlines", "ȺȾ İX ªµº ²³¹ ¼½¾ ÀÖ×Ø÷ÿ ǆǅ ɏ ſ",
+       "".join(map(chr, range(0x250))), "mañana!!! ***&&& $$$ 12,345.67", "\U0001f600\U0001f601 ok"]
 
 
 def test_word_encoder_equals_tokenizer(documents):
