@@ -5,6 +5,12 @@ one segment, and that stands in the other line near its own place.  A line of n
 characters indexes its k + 1 segments by (n, segment, content); each line probes,
 for every partner length from n - k to n, the substrings that could be such a
 segment.  What meets is verified by a banded bit-parallel edit distance.
+
+Without a given ``k`` the threshold grows with the shorter of two lines
+(``allowed``).  The number of probes grows with the cube of k, so lines from
+``LONG_EDITS`` edits on meet otherwise: k edits leave a run of at least
+(n - k) / (k + 1) equal characters, and two equal runs of WINDOW + GRAM - 1
+characters select the same GRAM of the smallest hash.
 """
 
 from __future__ import annotations
@@ -14,10 +20,18 @@ from pyspark.sql import functions as F
 
 from casebook.llm.common import components, likely, pick, store
 
-#: Lines of fewer characters are compared for equality only: within a few
-#: characters almost any two short lines are alike.
+#: With a given k, lines of fewer characters are compared for equality only: within
+#: a few characters almost any two short lines are alike.
 LEAST_CHARS = 20
 
+#: Without a given k: one edit from SHORT_CHARS characters on (shorter lines only if
+#: equal), and for each PER characters of a longer line one, without an upper limit.
+SHORT_CHARS = 8
+PER = 100
+#: Lines of so many edits or more meet at selected grams instead of segments.
+LONG_EDITS = 8
+POSITION_BITS = 26  # of the packed (hash, position): lines of up to 2**26 characters
+
 
 def _segments(k: int, n: str) -> list[tuple[str, str]]:
     """(start from 0, length) of each of k + 1 segments of a line of ``n`` characters;
@@ -90,11 +104,40 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             .withColumn("n", F.char_length("line")).withColumn("key", F.xxhash64("line")))
 
 
+def allowed(n: str, per: int = PER) -> str:
+    """SQL: edits by which a line of ``n`` characters and one as long or longer may differ."""
+    return f"if({n} < {SHORT_CHARS}, 0, greatest(1, cast({n} div {per} as int)))"
+
+
 def links(docs: DataFrame, k: int, least_chars: int, id_col: str, text_col: str) -> DataFrame:
     """(a, b): keys of different lines within ``k`` edits."""
-    own, probes = _keys(k)
     lines = lines_of(docs, id_col, text_col).where(F.col("n") >= least_chars)
-    entries = (lines.select("key", F.explode(F.expr(f"concat({own}, {probes})")).alias("e")).select("key", "e.sig", "e.less"))
+    own, probes = _keys(k)
+    entries = lines.select("key", F.explode(F.expr(f"concat({own}, {probes})")).alias("e")).select("key", "e.sig", "e.less")
+    both = _with_texts(lines, _meet(entries))
+    return both.where(within("la", "lb", k)).select("a", "b")
+
+
+def grown_links(docs: DataFrame, per: int, id_col: str, text_col: str) -> DataFrame:
+    """(a, b): keys of different lines within the edits that the shorter is allowed."""
+    lines = lines_of(docs, id_col, text_col).where(F.col("n") >= SHORT_CHARS)
+    long, classes = LONG_EDITS * per, []
+    for k in range(1, LONG_EDITS):
+        # the shorter of two lines has lo to hi characters; keys of segments hold its length
+        lo, hi = SHORT_CHARS if k == 1 else k * per, (k + 1) * per - 1
+        own, probes = _keys(k)
+        classes.append(f"if(n between {lo} and {hi + k}, filter(concat({own}, {probes}), e -> n - greatest(e.less, 0) between {lo} and {hi}), "
+                       "cast(array() as array<struct<sig: bigint, less: int>>))")
+    low = lines.where(F.col("n") < long + LONG_EDITS)
+    entries = low.select("key", F.explode(F.expr(f"concat({', '.join(classes)})")).alias("e")).select("key", "e.sig", "e.less")
+    tall = lines.where(F.col("n") >= long)
+    pairs = store(_meet(entries).unionAll(_meet_long(tall, per)).distinct(), "lines-all")
+    shorter = allowed("least(char_length(la), char_length(lb))", per)
+    return _with_texts(lines, pairs).where(F.expr(f"levenshtein(la, lb, {shorter}) >= 0")).select("a", "b")
+
+
+def _meet(entries: DataFrame) -> DataFrame:
+    """(a, b): keys of lines of which one's probe is the other's segment."""
     # signatures at which two different lines meet
     met = (entries.groupBy("sig").agg(F.min("key").alias("x"), F.max("key").alias("y"), F.max("less").alias("o"), F.min("less").alias("p"))
            .where("x < y and p = -1 and o >= 0").select("sig"))
@@ -103,24 +146,67 @@ def links(docs: DataFrame, k: int, least_chars: int, id_col: str, text_col: str)
     pairs = (left.where("less = -1").select("sig", F.col("key").alias("a"))
              .join(left.where("less >= 0").select("sig", "less", F.col("key").alias("b")), "sig")
              .where("a <> b and (less > 0 or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    pairs = store(pairs, "lines-pairs")
+    return store(pairs, "lines-pairs")
+
+
+def _grams(lines: DataFrame, per: int) -> DataFrame:
+    """(key, n, sig, at): of each window of grams the one of the smallest hash (the
+    first of equal ones) and its place.
+
+    The shortest equal run, that of the shortest line, holds one window of grams."""
+    run = -(-(LONG_EDITS * per - LONG_EDITS) // (LONG_EDITS + 1))
+    gram = 16 if run >= 24 else 12 if run >= 14 else 4 * max(1, run // 8)
+    low = (1 << POSITION_BITS) - 1
+    df = lines.dropDuplicates(["key"]).select("key", "n", F.split("line", "").alias("__c"))
+    df = df.select("key", "n", F.expr("transform(__c, (x, i) -> xxhash64(x, get(__c, i + 1), get(__c, i + 2), get(__c, i + 3)))").alias("__h"))
+    parts = ", ".join(["x", *[f"get(__h, i + {j})" for j in range(4, gram, 4)]])
+    df = df.select("key", "n", F.expr(f"transform(slice(__h, 1, n - {gram - 1}), (x, i) -> (xxhash64({parts}) & {~low}L) | i)").alias("__g"))
+    # smallest of a window: of few neighbours, then of few such
+    width, steps = run - gram + 1, []
+    part = max(1, round(width ** 0.5))
+    steps.append([*range(part)])
+    steps.append([*range(0, width - part, part), width - part])
+    for step in steps:
+        near = ", ".join(["x", *[f"get(__g, i + {j})" for j in step if j]])
+        if "," in near:
+            df = df.select("key", "n", F.expr(f"transform(__g, (x, i) -> least({near}))").alias("__g"))
+    return (df.select("key", "n", F.explode(F.expr(f"array_distinct(slice(__g, 1, n - {run - 1}))")).alias("__x"))
+            .select("key", "n", F.shiftright("__x", POSITION_BITS).alias("sig"), F.col("__x").bitwiseAND(F.lit(low)).cast("int").alias("at")))
+
+
+def _meet_long(lines: DataFrame, per: int) -> DataFrame:
+    """(a, b): keys of lines that select one gram at about the same place."""
+    entries = store(_grams(lines, per), "lines-grams")
+    met = entries.groupBy("sig").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x < y").select("sig")
+    left = store(likely(entries, met, "sig").join(met, "sig"), "lines-met")
+    one, two = (left.select("sig", F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at{x}")) for x in "ab")
+    near = allowed("least(na, nb)", per)
+    pairs = one.join(two, "sig").where(f"a < b and abs(na - nb) <= {near} and abs(ata - atb) <= {near}")
+    return store(pairs.select("a", "b").distinct(), "lines-pairs")
+
+
+def _with_texts(lines: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, la, lb): ``pairs`` with their lines."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     texts = store(likely(lines, wanted, "key").join(wanted, "key").groupBy("key").agg(F.min("line").alias("line")), "lines-texts")
-    both = (pairs.join(texts.select(F.col("key").alias("a"), F.col("line").alias("la")), "a")
+    return (pairs.join(texts.select(F.col("key").alias("a"), F.col("line").alias("la")), "a")
             .join(texts.select(F.col("key").alias("b"), F.col("line").alias("lb")), "b"))
-    return both.where(within("la", "lb", k)).select("a", "b")
 
 
-def dedup_lines(docs: DataFrame, k: int = 1, least_chars: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, k: int | None = None, least_chars: int = LEAST_CHARS, per: int = PER, id_col: str = "doc_id",
+                text_col: str = "text") -> DataFrame:
     """One row per line of ``docs`` that isn't blank: doc_id, line_no, class_doc,
     class_line (where the first line of its class stands), kept (it is that line).
 
     Lines are trimmed of blanks.  Equal lines are of one class, and so are lines
-    joined by a chain of links of at most ``k`` edits; lines of fewer than
-    ``least_chars`` characters have no links.  NULL and empty texts have no lines;
+    joined by a chain of links.  Without ``k``, a link is of at most so many edits
+    as ``allowed`` says for the shorter line and ``per``.  With ``k``, it is of at
+    most ``k`` edits, and lines of fewer than ``least_chars`` characters have no
+    links.  NULL and empty texts have no lines;
     a NULL doc_id stands before all; a row that repeats a doc_id repeats its line
     numbers, and of equal places one is kept."""
-    near = store(links(docs, k, least_chars, id_col, text_col), "lines-links")
+    near = grown_links(docs, per, id_col, text_col) if k is None else links(docs, k, least_chars, id_col, text_col)
+    near = store(near, "lines-links")
     group = components(near, "lines")
     places = store(lines_of(docs, id_col, text_col).select("doc_id", "line_no", "key"), "lines-places")
     first = F.min(F.struct("doc_id", "line_no"))
