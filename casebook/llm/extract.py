@@ -25,7 +25,7 @@ from casebook.llm.common import pick
 TRAIN_PAGES = 2_000
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|title)(?=[\s/>])[^>]*?(?:/>|(?<!/)>.*?(?:</\1\s*>|\Z))"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 NAME_WORD = re.compile(r"[a-z]+")
@@ -43,6 +43,8 @@ MARKS = frozenset("""ad ads advert adverts advertisement advertising alert banne
     newsletter notice notices pagination popup promo promotion related replies reply respond search share sharing sidebar
     signup social sponsor sponsored subscribe toolbar widget""".split())
 CONTENT = frozenset(("article", "main"))
+#: Of NEVER, what may hold a whole page: a form around it, a head that isn't closed.
+WRAPPERS = frozenset(("form", "head"))
 
 
 @dataclass
@@ -93,11 +95,43 @@ class Piece:
     heading: bool = False
 
 
+def wrappers(seen: list) -> set[int]:
+    """Numbers of the events that open an element with most of the page's words and,
+    if the page has any <article>, <main> or <h1>, with one of them inside."""
+    at, stack, words, heads = {}, [], 0, 0
+    spans = []  # event, words and heads in it
+
+    def close():
+        i = stack.pop()[1]
+        spans.append((i, words - at[i][0], heads - at[i][1]))
+
+    for i, (kind, name, _, text) in enumerate(seen):
+        if kind == "text":
+            words += len(text.split())
+        elif kind == "open":
+            if name == "p" or name in BLOCKS:
+                while stack and stack[-1][0] == "p":
+                    close()
+            if name not in VOID:
+                stack.append((name, i))
+                at[i] = (words, heads)
+            heads += name in CONTENT or name == "h1"
+        elif any(x[0] == name for x in stack):
+            while stack[-1][0] != name:
+                close()
+            close()
+    while stack:
+        close()
+    return {i for i, w, h in spans if 2 * w > words and (h or not heads)}
+
+
 def pieces(html: str, weights: Weights) -> list[Piece]:
     out: list[Piece] = []
     stack: list[tuple[str, int, bool]] = []  # name, content, never
     block, contents = 0, 0
-    for kind, name, marks, text in events(html):
+    seen = list(events(html))
+    whole = wrappers(seen)
+    for i, (kind, name, marks, text) in enumerate(seen):
         content, never = (stack[-1][1], stack[-1][2]) if stack else (0, False)
         if kind == "text":
             n = len(text.split())
@@ -112,8 +146,10 @@ def pieces(html: str, weights: Weights) -> list[Piece]:
                 while stack and stack[-1][0] == "p":
                     stack.pop()
                 content, never = (stack[-1][1], stack[-1][2]) if stack else (0, False)
-            own = name in NEVER or (name == "header" and not content) or (bool(marks) and name not in ("html", "body")
-                                                                          and name not in CONTENT and not MARKS.isdisjoint(marks))
+            # what holds most of the page is no part of it that could be left out, whatever its class
+            own = ((name in NEVER and not (name in WRAPPERS and i in whole)) or (name == "header" and not content)
+                   or (bool(marks) and name not in ("html", "body") and name not in CONTENT and i not in whole
+                       and not MARKS.isdisjoint(marks)))
             if name in CONTENT:
                 contents += 1
                 content = content or contents
@@ -158,28 +194,23 @@ def blocks_text(parts: list[Piece]) -> str:
 
 
 def main_text(html: str, weights: Weights) -> str:
-    """The main text of a page; a region that lies in one <article> or <main> is
-    widened to all of it, else to whole blocks and the headings right before it."""
+    """The main text of a page: the best region, widened to whole blocks and the
+    headings right before it, and to all of each <article> or <main> with words in it."""
     parts = pieces(html, weights)
     lo, hi = best_region([p.score for p in parts])
     if lo == hi:
         return ""
-    inside = Counter()
-    for p in parts[lo:hi]:
-        if p.text and not p.never:
-            inside[p.content] += p.score
-    content = inside.most_common(1)[0][0] if inside else 0
-    if content:
-        return blocks_text([p for p in parts if p.content == content])
-    while lo and parts[lo - 1].block == parts[lo].block:
-        lo -= 1
-    for i in range(lo - 1, -1, -1):
-        if parts[i].text.strip() and not parts[i].never:
-            if not parts[i].heading:
-                break
-            lo = i
+    inside = {p.content for p in parts[lo:hi] if p.text.strip() and not p.never} - {0}
+    if not parts[lo].content:
+        while lo and parts[lo - 1].block == parts[lo].block:
+            lo -= 1
+        for i in range(lo - 1, -1, -1):
+            if parts[i].text.strip() and not parts[i].never:
+                if not parts[i].heading:
+                    break
+                lo = i
     first, last = parts[lo].block, parts[hi - 1].block
-    return blocks_text([p for p in parts if first <= p.block <= last])
+    return blocks_text([p for p in parts if first <= p.block <= last or p.content in inside])
 
 
 def plain_text(html: str) -> str:

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from casebook.llm import linededup
+from casebook.llm import extract, linededup
 from test_llm_operators import edit_distance, mutate
 
 
@@ -37,3 +37,24 @@ def test_notices_and_short_lines_are_near_copies(spark):
     docs = [(1, notice + "\nRead more >"), (2, notice.replace("10", "47", 1) + "\nRead more >>"), (3, "Read less")]
     got = linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).where("kept").collect()
     assert sorted((r["doc_id"], r["line_no"]) for r in got) == [(1, 0), (1, 1), (3, 0)]
+
+
+# -- operator 5: whole articles -----------------------------------------------------
+
+FIRST = "<h1>Head</h1><p>" + "first part of a long enough text " * 6 + "</p>"
+SECOND = "<p>" + "second part that goes on with more words " * 4 + "</p>"
+COMMENTS = "<div class='comments'><p>" + "I do not agree with any of that " * 40 + "</p></div>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<article>{FIRST}</article><article>{SECOND}</article>",
+    f"<article>{FIRST}</article><div>{SECOND}</div>",
+    f"<div class='layout with-sidebar'>{FIRST}{SECOND}<div class='sidebar'>left out</div></div>",
+    f"<form action='/x'><div class='has-banner'><div id='no-comments'>{FIRST}{SECOND}</div></div></form>",
+    f"<head><title>t</title><body>{FIRST}{SECOND}",
+    f"{FIRST}{SECOND}{COMMENTS}",
+    f"<svg class='x'/><title-bar></title-bar>{FIRST}<svg viewBox='0'/>{SECOND}",
+])
+def test_main_text_is_whole(page):
+    text = extract.main_text(f"<html><body><nav><a>menu</a></nav>{page}</body></html>", extract.Weights())
+    assert text.split() == ("Head " + "first part of a long enough text " * 6 + "second part that goes on with more words " * 4).split()
