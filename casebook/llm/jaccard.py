@@ -337,13 +337,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest id; of
-    rows that repeat its id, one.  Rows of NULL id stay."""
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each component, that of the smallest id.  A
+    document is an id with a text: rows that repeat both are one, texts that share an
+    id are documents of their own.  Rows of NULL id stay."""
     from pyspark.sql import Window
-    comps = jaccard_components(docs, id_col=id_col, **options)
-    keep = comps.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    order = Window.partitionBy(f"`{id_col}`").orderBy(*[F.col(f"`{c}`") for c in docs.columns])
-    first = (docs.join(keep, F.col(f"`{id_col}`") == F.col("__keep")).drop("__keep")
-             .withColumn("__nth", F.row_number().over(order)).where("__nth = 1").drop("__nth"))
+    keyed = docs.where(F.col(f"`{id_col}`").isNotNull()).withColumn(
+        "__row", F.xxhash64(F.col(f"`{id_col}`"), text_or_empty(f"`{text_col}`")))
+    comps = jaccard_components(keyed, id_col="__row", text_col=text_col, **options).select(F.col("doc_id").alias("__row"), "component_id")
+    ids = keyed.select(F.col(f"`{id_col}`").alias("__id"), "__row").distinct()
+    keep = (comps.distinct().join(ids, "__row").groupBy("component_id").agg(F.min(F.struct("__id", "__row")).alias("__first"))
+            .select("__first.__row").distinct())
+    order = Window.partitionBy("__row").orderBy(*[F.col(f"`{c}`") for c in docs.columns])
+    first = keyed.join(keep, "__row").withColumn("__nth", F.row_number().over(order)).where("__nth = 1").drop("__nth", "__row")
     return first.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))

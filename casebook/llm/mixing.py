@@ -23,8 +23,8 @@ STEP = 2654435769
 
 @dataclass
 class Mix:
-    """documents: one row per input row (doc_id, source, size, source_size, target,
-    taken).  schedule: (slot, source, epoch, block, words), the mix itself.
+    """documents: one row per input row (doc_id, source, size, digest, source_size,
+    target, taken).  schedule: (slot, source, epoch, block, words), the mix itself.
     pieces: (source, block, doc_id, at, doc_at, words), what each block holds."""
 
     documents: DataFrame
@@ -112,12 +112,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     NULL text has size 0; a document without words is in no block and its taken
     is 0; NULL sources are one source, the last.  Rows that repeat a doc_id are
     rows of their own.  An empty table gives empty results.  Reruns agree: the
-    order in a source is md5(doc_id), then doc_id, then size.
+    order in a source is md5(doc_id), then doc_id, then size, then the text's hash.
     """
     sizes = store(pick(docs, doc_id=id_col, text=text_col, source=source_col).select(
         "doc_id", F.col("source").cast("string").alias("source"),
         F.expr(f"cast(regexp_count(coalesce(text, ''), r'{SPACE_WORD}') as long)").alias("size"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key")), "mix-sizes")
+        F.xxhash64(text_or_empty()).alias("digest"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key")), "mix-sizes")
     sources = store(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats),
                     "mix-sources")
     # 256 md5 buckets per source, and 16 times as many for each 16-fold of 12 million rows
@@ -126,7 +126,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     while rows > 12_000_000 * 16 ** (digits - 2):
         digits += 1
     spread = sizes.withColumn("bucket", F.substring("key", 1, digits))
-    placed = store(rank_within(spread, ["source"], "bucket", [F.col("key"), F.col("doc_id"), F.col("size")],
+    placed = store(rank_within(spread, ["source"], "bucket", [F.col("key"), F.col("doc_id"), F.col("size"), F.col("digest")],
                                F.col("size"), "at")
                    .withColumn("row", F.monotonically_increasing_id()), "mix-placed")
     b = block_words
@@ -146,18 +146,26 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
              .groupBy("row").agg(F.sum(part).alias("got")))
     info = sources.select(F.col("source").alias("s"), "source_size", "target")
     documents = (placed.join(taken, "row", "left").join(info, F.col("source").eqNullSafe(F.col("s")))
-                 .select("doc_id", "source", "size", "source_size", "target",
+                 .select("doc_id", "source", "size", "digest", "source_size", "target",
                          F.coalesce("got", F.lit(0)).cast("long").alias("taken")))
     return Mix(documents, plan, pieces.drop("row"), sources)
 
 
-def copies(documents: DataFrame, per_doc: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def copies(documents: DataFrame, per_doc: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+           source_col: str = "source") -> DataFrame:
     """The rows of ``documents`` as often as the mix takes them: taken / size,
-    rounded to whole documents."""
-    times = F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int")
-    # rows that repeat a doc_id share what was taken of them
-    often = (per_doc.groupBy(F.col("doc_id").alias("__id"))
-             .agg((F.sum(times) / F.count("*")).cast("int").alias("__times")).where("__times > 0"))
-    return (documents.join(often, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")))
+    rounded to whole documents.  Rows are known by id, source and text; rows alike in
+    all three share their sum, the first of them in column order the rest of it."""
+    times = F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("long")
+    often = (per_doc.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("digest").alias("__digest"))
+             .agg(F.sum(times).alias("__sum"), F.count("*").alias("__rows")).where("__sum > 0"))
+    found = (documents.join(often, F.col(f"`{id_col}`").eqNullSafe(F.col("__id"))
+                            & F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("__source"))
+                            & (F.xxhash64(text_or_empty(f"`{text_col}`")) == F.col("__digest")))
+             .withColumn("__times", F.expr("cast(__sum div __rows as int)")))
+    order = Window.partitionBy("__id", "__source", "__digest").orderBy(*[F.col(f"`{c}`") for c in documents.columns])
+    uneven = (found.where("__sum % __rows > 0").withColumn("__nth", F.row_number().over(order))
+              .withColumn("__times", F.expr("__times + if(__nth <= __sum % __rows, 1, 0)")).drop("__nth"))
+    return (found.where("__sum % __rows = 0").unionByName(uneven).where("__times > 0")
             .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-            .drop("__id", "__times", "__copy"))
+            .drop("__id", "__source", "__digest", "__sum", "__rows", "__times", "__copy"))

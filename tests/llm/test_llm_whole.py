@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from casebook.llm import extract, linededup
+from casebook.llm import extract, jaccard, linededup, mixing
 from test_llm_operators import edit_distance, mutate
 
 
@@ -58,3 +58,25 @@ COMMENTS = "<div class='comments'><p>" + "I do not agree with any of that " * 40
 def test_main_text_is_whole(page):
     text = extract.main_text(f"<html><body><nav><a>menu</a></nav>{page}</body></html>", extract.Weights())
     assert text.split() == ("Head " + "first part of a long enough text " * 6 + "second part that goes on with more words " * 4).split()
+
+
+# -- pipeline: rows of a NULL or repeated id ------------------------------------------
+
+def test_copies_of_rows_without_an_id(spark):
+    rows = ([(None, f"w{i} " * 50, "a") for i in range(30)] + [(7, f"v{i} " * 50, "b") for i in range(20)] + [(8, "same text " * 25, "c")] * 3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    per_doc = mixing.mix(docs, block_words=8).documents
+    want = sum(round(r["taken"] / max(r["size"], 1)) for r in per_doc.collect())
+    got = mixing.copies(docs, per_doc)
+    assert got.columns == docs.columns and got.count() == want
+    # all but one row are taken once: none may take the others with it
+    taken = per_doc.selectExpr("doc_id", "source", "digest", "size", "if(row_number() over (order by digest) = 1, 0, size) as taken")
+    assert mixing.copies(docs, taken).count() == len(rows) - 1
+
+
+def test_one_of_each_keeps_other_texts_of_an_id(spark):
+    near = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, near), (2, near), (2, "a clean text of its own that nobody else has at all"), (2, near), (3, "something else again, also with an own text"),
+            (3, "and a second text under the same id, unlike all others")]
+    got = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted([rows[0], rows[2], rows[4], rows[5]])
