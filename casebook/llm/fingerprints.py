@@ -1,6 +1,8 @@
 """Operator 10: document fingerprints by Order MinHash, in SQL functions only.
 
-The words of a text (split at blanks) give k-mers; the n-th occurrence of a
+The words of a text (split at each white space) give k-mers; a word of more than
+``LONG_WORD`` characters, or of characters of three bytes or more alone (Chinese,
+Japanese, Thai), stands as its characters.  The n-th occurrence of a
 k-mer in a text counts as an element of its own.  Each of 64 sketches orders all
 elements by one hash, read from another starting point of its circle, selects the
 ``l`` first, puts them back into text order and hashes that tuple.  The share of
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from casebook.llm.common import pick, shuffle_width
 
 SKETCHES = 64      # the top 6 bits of a hash name the arc of its circle
+LONG_WORD = 32     # longer words are no words: text without blanks
 POSITION_BITS = 26  # of the packed (hash, position): texts of up to 2**26 words
 
 
@@ -30,7 +33,10 @@ def _sketches(df: DataFrame, text: str, out: str) -> DataFrame:
     keep = [c for c in df.columns]
     steps = "array(64,32,16,8,4,2,1)"
     wide = "array(" + ",".join(str(1 << i) for i in range(POSITION_BITS, -1, -1)) + ")"
-    df = df.select(*keep, F.expr(f"transform(split({text}, ' '), x -> xxhash64(x))").alias("__w"))
+    df = df.select(*keep, F.expr(rf"""
+        transform(flatten(transform(split({text}, r'[\s\u0085\u2028\u2029\u3000]'), x ->
+          if(char_length(x) > {LONG_WORD} or octet_length(x) >= 3 * char_length(x), split(x, ''), array(x)))), x -> xxhash64(x))
+        """).alias("__w"))
     df = df.select(*keep, F.expr(f"""
         sort_array(if(size(__w) < 2, transform(__w, x -> x & {~low}L),
            transform(slice(__w, 1, greatest(size(__w) - 1, 1)), (x, i) -> (xxhash64(x, get(__w, i + 1)) & {~low}L) | i)))

@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from casebook.llm import extract, jaccard, linededup, mixing
+from casebook.llm import extract, fingerprints, jaccard, linededup, mixing
 from test_llm_operators import edit_distance, mutate
 
 
@@ -80,3 +81,18 @@ def test_one_of_each_keeps_other_texts_of_an_id(spark):
             (3, "and a second text under the same id, unlike all others")]
     got = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, got)) == sorted([rows[0], rows[2], rows[4], rows[5]])
+
+
+# -- operator 10: texts without blanks ------------------------------------------------
+
+def test_fingerprints_of_texts_without_blanks(spark):
+    rng = random.Random(10)
+    han = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(600))
+    texts = [han, "。 ".join(han[i:i + 20] for i in range(0, 600, 20)), "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(600)),
+             "\t".join(f"w{i}" for i in range(300)), "\n".join(f"w{i}" for i in range(300))]
+    df = spark.createDataFrame([(t, t[:-30] + t[:30], han[::-1]) for t in texts], "a string, b string, c string")
+    for c in "abc":
+        df = fingerprints.fingerprints(df, c, f"f{c}")
+    for r in df.select(fingerprints.likeness("fa", "fb").alias("near"), fingerprints.likeness("fa", "fc").alias("far"),
+                       F.size(F.array_distinct("fa")).alias("n")).collect():
+        assert r["near"] > 0.5 and r["far"] < 0.2 and r["n"] > 40
