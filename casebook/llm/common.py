@@ -3,6 +3,7 @@ ASCII word rules and connected components."""
 
 from __future__ import annotations
 
+import bisect
 import math
 import uuid
 
@@ -46,6 +47,28 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of rows that Spark sends to a Python worker at once.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session's Python passes by bytes as well as by
+    rows, so that a worker's memory doesn't follow the length of the texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def slices(pdf, chars: int, column: str = "text"):
+    """``pdf`` in runs of consecutive rows whose texts have up to ``chars`` characters
+    together; a longer text stands alone."""
+    upto = pdf[column].str.len().cumsum().tolist()
+    start = 0
+    while start < len(upto):
+        stop = bisect.bisect_right(upto, (upto[start - 1] if start else 0) + chars, start)
+        stop = max(stop, start + 1)
+        yield pdf.iloc[start:stop]
+        start = stop
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

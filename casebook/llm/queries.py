@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casebook.llm import decontamination, extract, fingerprints, jaccard, linededup, mixing, tokens, toxicity, unigram, warc
+from casebook.llm import (decontamination, extract, fingerprints, jaccard, linededup, mixing, periods, tokens,
+                          toxicity, unigram, warc)
 from casebook.llm.common import scratch, table
 
 
@@ -72,5 +73,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_pairs(table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of all documents, a tenth of which repeat a passage."""
+    return periods.digests(periods.periodic_runs(periods.looped(table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {f.__name__: f for f in (op1_token_ids, op2_warc_derivatives, op3_jaccard_join, op4_source_mix, op5_main_text,
-                                   op6_decontaminate, op7_token_counts, op8_line_dedup, op9_toxicity, op10_fingerprints)}
+                                   op6_decontaminate, op7_token_counts, op8_line_dedup, op9_toxicity, op10_fingerprints, op12_periodic_runs)}
