@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casebook.llm import (decontamination, extract, fingerprints, jaccard, linededup, mixing, periods, tokens,
+from casebook.llm import (decontamination, extract, fingerprints, jaccard, licenses, linededup, mixing, periods, tokens,
                           toxicity, unigram, warc)
 from casebook.llm.common import scratch, table
 
@@ -78,5 +78,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.digests(periods.periodic_runs(periods.looped(table(spark, sf_dir, "documents"))))
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License detections of all documents."""
+    return licenses.detect(table(spark, sf_dir, "documents")).drop("detections")
+
+
 QUERIES = {f.__name__: f for f in (op1_token_ids, op2_warc_derivatives, op3_jaccard_join, op4_source_mix, op5_main_text,
-                                   op6_decontaminate, op7_token_counts, op8_line_dedup, op9_toxicity, op10_fingerprints, op12_periodic_runs)}
+                                   op6_decontaminate, op7_token_counts, op8_line_dedup, op9_toxicity, op10_fingerprints, op12_periodic_runs, op13_license_scan)}
