@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casebook.llm import (decontamination, extract, fingerprints, jaccard, licenses, linededup, mixing, periods, tokens,
+from casebook.llm import (alignment, decontamination, extract, fingerprints, jaccard, licenses, linededup, mixing, periods, tokens,
                           toxicity, unigram, warc)
 from casebook.llm.common import scratch, table
 
@@ -73,6 +73,11 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_pairs(table(spark, sf_dir, "documents"))
 
 
+def op11_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of two tokenizers' tokens of all documents."""
+    return alignment.scored(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of all documents, a tenth of which repeat a passage."""
     return periods.digests(periods.periodic_runs(periods.looped(table(spark, sf_dir, "documents"))))
@@ -84,4 +89,5 @@ def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_ids, op2_warc_derivatives, op3_jaccard_join, op4_source_mix, op5_main_text,
-                                   op6_decontaminate, op7_token_counts, op8_line_dedup, op9_toxicity, op10_fingerprints, op12_periodic_runs, op13_license_scan)}
+                                   op6_decontaminate, op7_token_counts, op8_line_dedup, op9_toxicity, op10_fingerprints, op11_align_tokens,
+                                   op12_periodic_runs, op13_license_scan)}
