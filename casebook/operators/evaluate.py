@@ -157,23 +157,17 @@ def roc_curve(df: DataFrame, label: str, score: str, drop_intermediate: bool = T
     origin prepended at threshold +inf.  ``drop_intermediate`` removes points
     where both running counts are collinear with their neighbours."""
     g = _by_score(df, label, score, [])
-    c = value_prefix_sums(g, score, ["pos", "neg"])
+    c = value_prefix_sums(g, score, ["pos", "neg"], before=drop_intermediate)
     tot = g.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.count(F.lit(1)).alias("m")).first()
     P_, N_, m = tot["P"], tot["N"], tot["m"]
+    if drop_intermediate and m > 2:
+        # a point is on the line through its neighbours if the next lower score adds what this one adds
+        c = c.where((F.col("position") == 1) | (F.col("position") == m)
+                    | (F.col("pos") != F.col("prev_pos")) | (F.col("neg") != F.col("prev_neg")))
     pts = c.select(
         (F.lit(m) - F.col("position") + 1).alias("j"), F.col(score).alias("threshold"),
         (F.lit(P_) - F.col("cum_pos") + F.col("pos")).alias("tps"),
         (F.lit(N_) - F.col("cum_neg") + F.col("neg")).alias("fps"))
-    if drop_intermediate and m > 2:
-        prev = pts.select((F.col("j") + 1).alias("j"), F.col("tps").alias("tp_prev"),
-                          F.col("fps").alias("fp_prev"))
-        nxt = pts.select((F.col("j") - 1).alias("j"), F.col("tps").alias("tp_next"),
-                         F.col("fps").alias("fp_next"))
-        k = pts.join(prev, "j", "left").join(nxt, "j", "left")
-        keep = ((F.col("j") == 1) | (F.col("j") == m)
-                | (F.col("fp_prev") - 2 * F.col("fps") + F.col("fp_next") != 0)
-                | (F.col("tp_prev") - 2 * F.col("tps") + F.col("tp_next") != 0))
-        pts = k.where(keep).select("j", "threshold", "tps", "fps")
     origin = df.sparkSession.createDataFrame(
         [(0, float("inf"), 0, 0)], "j long, threshold double, tps long, fps long")
     allp = origin.unionByName(pts.select(F.col("j").cast("long"), "threshold",

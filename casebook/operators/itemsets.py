@@ -16,7 +16,7 @@ Size bound used for broadcasts: each row supports at most
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb
+from math import ceil, comb
 from typing import Sequence
 
 from pyspark.sql import DataFrame
@@ -116,25 +116,69 @@ def rules_for_csv(rules: DataFrame) -> DataFrame:
                  .withColumn("consequents", F.array_join("consequents", ", ")))
 
 
+#: Baskets whose items share a bitmap: 16 words of 64 bits.
+BLOCK_BITS, WORDS = 10, 16
+
+
+def _bitmaps(baskets: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(block, item, bits): which of a block's baskets hold a frequent item.  An item that
+    is in none of them has no row."""
+    bit = (F.col("_id") % (1 << BLOCK_BITS)).cast("int")
+    long = (baskets.select(F.shiftright("_id", BLOCK_BITS).alias("block"), bit.alias("bit"), F.explode("items").alias("item"))
+            .join(frequent, "item"))
+    one = F.expr("shiftleft(1L, bit % 64)")
+    words = [F.bit_or(F.when(F.floor(F.col("bit") / 64) == w, one).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(WORDS)]
+    return long.groupBy("block", "item").agg(*words).select("block", "item", F.array(*[f"w{w}" for w in range(WORDS)]).alias("bits"))
+
+
+def _candidates(level: DataFrame, size: int) -> DataFrame:
+    """(items, head, item): sets of ``size`` items whose subsets are all frequent, from two
+    frequent sets that differ in the last item."""
+    a = level.select(F.slice("items", 1, size - 2).alias("prefix"), F.col("items").alias("head"), F.element_at("items", -1).alias("last"))
+    b = a.select(F.col("prefix").alias("prefix_b"), F.col("last").alias("item"))
+    pairs = a.join(b, (F.col("prefix") == F.col("prefix_b")) & (F.col("last") < F.col("item"))).select(
+        F.concat("head", F.array("item")).alias("items"), "head", "item")
+    if size == 2:
+        return pairs
+    parts = pairs.select("items", F.explode(F.transform(F.sequence(F.lit(1), F.lit(size)), lambda k: F.filter(
+        "items", lambda x, i: i + 1 != k))).alias("part"))
+    whole = (parts.join(level.select(F.col("items").alias("part")), "part", "left_semi")
+             .groupBy("items").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == size).select("items"))
+    return pairs.join(whole, "items", "left_semi")
+
+
 def basket_itemsets(baskets: DataFrame, items_col: str = "items",
                     min_support: float = P.ITEMSET_MIN_SUPPORT,
-                    max_len: int | None = P.ITEMSET_MAX_LEN, num_partitions: int | None = None) -> DataFrame:
-    """D12 for generic baskets (an array column of any length): Spark ML's
-    parallel FP-growth, then the length cap.  Items are de-duplicated per
-    basket; support is ``n / number of baskets`` (inclusive threshold, as
-    FP-growth's ``ceil(minSupport * count)``)."""
-    from pyspark.ml.fpm import FPGrowth
-    # empty baskets stay in: they count in N for FP-growth's threshold too
-    b = baskets.select(F.array_distinct(F.coalesce(
-        F.col(items_col), F.array().cast("array<string>"))).alias("items"))
+                    max_len: int | None = P.ITEMSET_MAX_LEN, broadcast_rows: int = 100_000) -> DataFrame:
+    """D12 for generic baskets (an array column of any length), level by level.
+
+    Frequent items get a bitmap per block of 1024 baskets.  The sets of the next level
+    are joined from two frequent ones that share all items but the last, those with an
+    infrequent subset are left out, and a set's bitmap in a block is the AND of its
+    head's and its last item's; its support is the bits of all blocks.  No set longer
+    than ``max_len`` is ever made.  Items are de-duplicated per basket and NULL items
+    left out; NULL and empty baskets count in the number of baskets; the threshold is
+    inclusive, ``ceil(min_support * baskets)``."""
+    items = F.array_sort(F.array_distinct(F.array_compact(F.coalesce(F.col(items_col).cast("array<string>"), F.array().cast("array<string>")))))
+    b = cut_lineage(baskets.select(items.alias("items")).withColumn("_id", F.monotonically_increasing_id()))
     total = b.count()
-    fp = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=1.0)
-    if num_partitions:
-        fp = fp.setNumPartitions(num_partitions)
-    f = fp.fit(b).freqItemsets
-    if max_len:
-        f = f.where(F.size("items") <= max_len)
-    items = F.sort_array("items")
-    return f.select(items.alias("items"), F.col("freq").cast("long").alias("n")).select(
-        "items", F.array_join("items", ", ").alias("items_text"), F.size("items").alias("size"),
-        "n", (F.col("n") / F.lit(float(total))).alias("support"))
+    least = max(1, ceil(min_support * total))
+    ones = b.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    level = cut_lineage(ones.select(F.array("item").alias("items"), F.col("n").cast("long").alias("n")))
+    out, size = level, 1
+    if max_len is None or max_len > 1:
+        single = cut_lineage(_bitmaps(b, broadcast_if_small(level.select(F.col("items")[0].alias("item")), broadcast_rows)))
+        maps = single.select("block", F.array("item").alias("items"), "bits")
+    while (max_len is None or size < max_len) and not level.isEmpty():
+        size += 1
+        cand = _candidates(level, size)
+        both = (maps.withColumnRenamed("items", "head").join(broadcast_if_small(cand, broadcast_rows), "head")
+                .join(single.select("block", "item", F.col("bits").alias("more")), ["block", "item"])
+                .select("block", "items", F.zip_with("bits", "more", lambda x, y: x.bitwiseAND(y)).alias("bits")))
+        maps = cut_lineage(both.where(F.exists("bits", lambda x: x != 0)))
+        count = F.aggregate("bits", F.lit(0), lambda acc, x: acc + F.bit_count(x))
+        level = cut_lineage(maps.groupBy("items").agg(F.sum(count).cast("long").alias("n")).where(F.col("n") >= least))
+        maps = maps.join(broadcast_if_small(level.select("items"), broadcast_rows), "items", "left_semi")
+        out = out.unionByName(level)
+    return out.select("items", F.array_join("items", ", ").alias("items_text"), F.size("items").alias("size"), "n",
+                      (F.col("n") / F.lit(float(total or 1))).alias("support"))

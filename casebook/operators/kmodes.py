@@ -154,11 +154,49 @@ class KModesModel:
         return assign(df, self.cols, self.modes, keep)
 
 
+def init_huang(tuples: DataFrame, cols: Sequence[str], k: int, runs: int, seed: int) -> list[list[list[str]]]:
+    """Huang's starts for ``runs`` runs of ``k`` clusters.
+
+    Each value of each mode is drawn by its frequency in its column: of all values the
+    one with the smallest -ln(u) / n wins, u being read from md5(column | value | draw |
+    seed), which is an aggregate over the columns' value counts.  Then the modes become
+    tuples of the data, one cluster after the other and all runs together: the nearest
+    tuple that isn't a mode of the run yet (ties: the smallest tuple; if all are modes,
+    the nearest).  At most runs x k x columns rows reach the driver."""
+    cols = list(cols)
+    counts = tuples.unpivot(["w"], cols, "column", "value").groupBy("column", "value").agg(F.sum("w").alias("n"))
+    draw = F.explode(F.sequence(F.lit(0), F.lit(runs * k - 1))).alias("draw")
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", "column", "value", "draw", F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
+    key = -F.log((h + 0.5) / float(1 << 32)) / F.col("n")
+    drawn = (counts.select("column", "value", "n", draw).groupBy("column", "draw")
+             .agg(F.min(F.struct(key.alias("key"), F.col("value"))).alias("b")).select("column", "draw", "b.value"))
+    starts = [[[None] * len(cols) for _ in range(k)] for _ in range(runs)]
+    for r in drawn.collect():
+        starts[r["draw"] // k][r["draw"] % k][cols.index(r["column"])] = r["value"]
+    if any(v is None for modes in starts for m in modes for v in m):  # no rows
+        return [[] for _ in range(runs)]
+    row = F.array(*[F.col(c) for c in cols])
+    for i in range(k):
+        per_run = F.transform(_modes_literal(starts), lambda ms: F.struct(
+            F.aggregate(F.zip_with(F.get(ms, F.lit(i)), row, lambda a, b: (a != b).cast("int")), F.lit(0), lambda acc, x: acc + x).alias("distance"),
+            F.exists(ms, lambda m: m == row).alias("taken")))
+        near = (tuples.select(*cols, F.posexplode(per_run).alias("run", "_d"))
+                .groupBy("run").agg(F.min(F.struct("_d.taken", "_d.distance", *cols)).alias("b")))
+        for r in near.collect():  # one row per run
+            starts[r["run"]][i] = [r["b"][c] for c in cols]
+    return starts
+
+
 def _initial_many(tuples: DataFrame, cols: Sequence[str], k: int, n_init: int,
-                  seed: int) -> list[list]:
+                  seed: int, init: str = "frequent") -> list[list]:
     """Start modes for runs 0..n_init-1 in two jobs: run 0 takes the k most
     frequent tuples, run r >= 1 the first k tuples in md5(tuple | seed + r)
-    order.  At most n_init x k rows reach the driver."""
+    order; with ``init="Huang"`` all come from ``init_huang``.  At most n_init x k
+    rows reach the driver."""
+    if init == "Huang":
+        return [_filled(modes, k, cols) for modes in init_huang(tuples, cols, k, n_init, seed)]
+    if init != "frequent":
+        raise ValueError(f"unknown init {init!r}: 'frequent' or 'Huang'")
     runs = [init_frequent(tuples, cols, k)]
     if n_init > 1:
         arms = [F.struct(F.lit(r).alias("run"), F.md5(F.concat_ws(
@@ -172,12 +210,13 @@ def _initial_many(tuples: DataFrame, cols: Sequence[str], k: int, n_init: int,
         for r in picked.orderBy("run", "rn").collect():
             by_run[r["run"]].append([r[c] for c in cols])
         runs += [by_run[r] for r in range(1, n_init)]
-    out = []
-    for modes in runs:
-        if len(modes) < k:  # fewer distinct tuples than clusters
-            modes = modes + [modes[-1]] * (k - len(modes))
-        out.append(modes)
-    return out
+    return [_filled(modes, k, cols) for modes in runs]
+
+
+def _filled(modes: list, k: int, cols: Sequence[str]) -> list:
+    """``k`` modes, the last repeated where there are fewer distinct tuples than clusters."""
+    last = modes[-1] if modes else [NULL_TEXT] * len(cols)
+    return modes + [last] * (k - len(modes))
 
 
 class NotConverged(RuntimeError):
@@ -185,7 +224,7 @@ class NotConverged(RuntimeError):
 
 
 def fit_many(tuples: DataFrame, cols: Sequence[str], ks: Sequence[int], n_init: int,
-             max_iter: int = 100, seed: int = 42, allow_unconverged: bool = False) -> dict:
+             max_iter: int = 100, seed: int = 42, allow_unconverged: bool = False, init: str = "frequent") -> dict:
     """Fit every (k, start) pair together: one job per iteration for all
     starts still moving.  Returns {k: best KModesModel}.  Steps go on until no
     mode moves; a fit that hasn't ended after ``max_iter`` steps raises, or is
@@ -193,7 +232,7 @@ def fit_many(tuples: DataFrame, cols: Sequence[str], ks: Sequence[int], n_init:
     cols = list(cols)
     starts = {}
     kmax = max(ks)
-    pool = _initial_many(tuples, cols, kmax, n_init, seed)
+    pool = _initial_many(tuples, cols, kmax, n_init, seed, init)
     for k in ks:
         for run in range(n_init):
             modes = [list(m) for m in pool[run][:k]]
@@ -227,13 +266,14 @@ def fit_many(tuples: DataFrame, cols: Sequence[str], ks: Sequence[int], n_init:
 
 
 def fit(df: DataFrame, cols: Sequence[str], k: int, n_init: int = 5, max_iter: int = 100,
-        seed: int = 42, tuples: DataFrame | None = None) -> KModesModel:
+        seed: int = 42, tuples: DataFrame | None = None, init: str = "frequent") -> KModesModel:
+    """The best of ``n_init`` starts by cost; ``init``: "frequent" or "Huang"."""
     cols = list(cols)
     own = tuples is None
     if own:
         tuples = collapse(df, cols).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return fit_many(tuples, cols, [k], n_init, max_iter, seed)[k]
+        return fit_many(tuples, cols, [k], n_init, max_iter, seed, init=init)[k]
     finally:
         if own:
             tuples.unpersist()

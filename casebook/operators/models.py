@@ -8,9 +8,10 @@ library only sets parameters to match the analysis:
   ``C * sum(w * loss) + ||b||^2 / 2`` while Spark minimises
   ``sum(w * loss) / sum(w) + reg/2 * ||b||^2``, hence ``reg = 1 / (C * sum(w))``;
   no standardisation, intercept not penalised (as in both libraries);
-* forests: ``minInstancesPerNode`` carries the min-leaf size (the min-split
-  size of the analysis is implied by it); Spark bins numeric features
-  (``maxBins``), so splits can differ from an exact-threshold learner.
+* forests: ``minInstancesPerNode`` carries the min-leaf size, ``forests.cut_back``
+  the min-split size (in the analysis's two forests it is twice the min-leaf size,
+  which implies it); Spark bins numeric features (``maxBins``), so splits can differ
+  from an exact-threshold learner.
 
 Cross-validation is done by hand on a fold column so that the fold AUC is
 the exact rank-sum AUC of ``evaluate.auc`` (Spark's evaluator bins scores).
@@ -24,11 +25,13 @@ from typing import Callable
 from pyspark.ml.classification import (DecisionTreeClassifier, LogisticRegression,
                                         RandomForestClassifier)
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casebook import presets as P
 from casebook.operators import evaluate as EV
+from casebook.operators import forests as FO
 from casebook.operators.features import Vocab
 
 
@@ -41,13 +44,14 @@ class ForestParams:
     weighted: bool
     bootstrap: bool = True
     seed: int = 42
+    min_split: int = 2
 
 
 # FIXED VALUES: the two forests of the analysis.
 FOREST_A = ForestParams(num_trees=100, max_depth=15, min_leaf=10, feature_subset="sqrt",
-                        weighted=True)
+                        weighted=True, min_split=20)
 FOREST_B = ForestParams(num_trees=50, max_depth=8, min_leaf=50, feature_subset="0.3",
-                        weighted=False)
+                        weighted=False, min_split=100)
 
 
 def logistic_regression(train: DataFrame, label: str = "label", features: str = "features",
@@ -63,12 +67,13 @@ def logistic_regression(train: DataFrame, label: str = "label", features: str =
 
 
 def decision_tree(train: DataFrame, label: str = "label", features: str = "features",
-                  weight: str | None = "weight", max_depth: int = 4, seed: int = 42):
+                  weight: str | None = "weight", max_depth: int = 4, seed: int = 42, min_split: int = 2):
     dt = DecisionTreeClassifier(featuresCol=features, labelCol=label, maxDepth=max_depth,
                                 impurity="gini", seed=seed)
     if weight:
         dt = dt.setWeightCol(weight)
-    return dt.fit(train)
+    model = dt.fit(train)
+    return FO.cut_back(model, min_split) if min_split > 2 else model
 
 
 def random_forest(train: DataFrame, params: ForestParams = FOREST_B, label: str = "label",
@@ -82,7 +87,9 @@ def random_forest(train: DataFrame, params: ForestParams = FOREST_B, label: str
                                 checkpointInterval=10)
     if params.weighted:
         rf = rf.setWeightCol(weight)
-    return rf.fit(train)
+    model = rf.fit(train)
+    # both children of a split hold min_leaf rows: a smaller limit is kept anyway
+    return FO.cut_back(model, params.min_split) if params.min_split > 2 * params.min_leaf else model
 
 
 @dataclass
@@ -102,6 +109,18 @@ class LinearScorer:
         return df.withColumn("_p1", 1 / (1 + F.exp(-z)))
 
 
+@dataclass
+class GivenLogistic:
+    """Coefficients in the vocabulary's order, read as a fitted model's are."""
+
+    values: object
+    intercept: float
+
+    @property
+    def coefficients(self):
+        return Vectors.dense(self.values)
+
+
 def score(model, df: DataFrame, out: str = "probability_1", cut: float = P.OUTCOME_CUT) -> DataFrame:
     """Positive-class probability and the class at ``>= cut`` (B19);
     Spark's own ``prediction`` column (``>``) is dropped."""
@@ -176,7 +195,7 @@ def cv_auc(oof: DataFrame, label: str = "label", score_col: str = "probability_1
 
 
 def oof_accuracy(oof: DataFrame, label: str = "label") -> DataFrame:
-    """I15 (re-aimed out-of-bag accuracy): accuracy of out-of-fold
-    predictions."""
+    """Accuracy of out-of-fold predictions (``forests.oob_accuracy`` is that of
+    out-of-bag ones, I15)."""
     return oof.agg(F.avg((F.col(label) == F.col("predicted")).cast("double"))
                    .alias("oof_accuracy"))

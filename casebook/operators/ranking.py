@@ -69,7 +69,7 @@ def hash_rank(df: DataFrame, key_cols: Sequence[str], seed, strata: Sequence[str
 
 def value_prefix_sums(df: DataFrame, value: str, sums: Sequence[str],
                       groups: Sequence[str] = (), buckets: int | None = None,
-                      position: str = "position") -> DataFrame:
+                      position: str = "position", before: bool = False) -> DataFrame:
     """Inclusive running sums of ``sums`` in ascending ``value`` order inside
     each group, plus the 1-based ``position``.
 
@@ -78,6 +78,8 @@ def value_prefix_sums(df: DataFrame, value: str, sums: Sequence[str],
     (one sketch aggregate; ``buckets`` of them, four per shuffle partition by
     default), so that crowded values spread over the buckets; offsets come
     from the real bucket totals, so the result is exact for any cut.
+    ``before`` adds ``prev_<s>``, the ``s`` of the row before (NULL for a group's first):
+    the last row of each bucket is carried to the next bucket with its offset.
     """
     from pyspark.ml.feature import Bucketizer
     groups = list(groups)
@@ -90,12 +92,15 @@ def value_prefix_sums(df: DataFrame, value: str, sums: Sequence[str],
         d = Bucketizer(splits=splits, inputCol=value, outputCol="_bd", handleInvalid="keep").transform(df)
         d = d.withColumn("_b", F.col("_bd").cast("int")).drop("_bd")
     tot = d.groupBy(*groups, "_b").agg(
-        F.count(F.lit(1)).alias("_n"), *[F.sum(s).alias(f"_t_{s}") for s in sums])
+        F.count(F.lit(1)).alias("_n"), *[F.sum(s).alias(f"_t_{s}") for s in sums],
+        *[F.max_by(s, value).alias(f"_l_{s}") for s in sums if before])
     wcum = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy(*groups).orderBy("_b")
     offs = tot.select(*groups, "_b",
                       F.coalesce(F.sum("_n").over(wcum), F.lit(0)).alias("_o_n"),
                       *[F.coalesce(F.sum(f"_t_{s}").over(wcum), F.lit(0)).alias(f"_o_{s}")
-                        for s in sums])
+                        for s in sums],
+                      *[F.lag(f"_l_{s}").over(order).alias(f"_e_{s}") for s in sums if before])
     # bound: n_groups * buckets rows
     j = _join_offsets(d, offs, groups, "_b")
     w = (Window.partitionBy(*groups, "_b").orderBy(value)
@@ -104,7 +109,10 @@ def value_prefix_sums(df: DataFrame, value: str, sums: Sequence[str],
         Window.partitionBy(*groups, "_b").orderBy(value)) + F.col("_o_n"))
     for s in sums:
         out = out.withColumn(f"cum_{s}", F.sum(s).over(w) + F.col(f"_o_{s}"))
-    return out.drop("_b", "_o_n", *[f"_o_{s}" for s in sums])
+        if before:
+            here = F.lag(s).over(Window.partitionBy(*groups, "_b").orderBy(value))
+            out = out.withColumn(f"prev_{s}", F.coalesce(here, F.col(f"_e_{s}")))
+    return out.drop("_b", "_o_n", *[f"_{k}_{s}" for s in sums for k in "oe"])
 
 
 def kth_values(df: DataFrame, col: str, ks: Sequence[int], pivots: int = 256) -> dict[int, float]:

@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 from casebook import presets as P
 from casebook.functions import rules as R_
+from casebook.operators import crossfold as CV
+from casebook.operators import dictionary as DI
 from casebook.operators import evaluate as EV
 from casebook.operators import features as FE
+from casebook.operators import forests as FO
 from casebook.operators import itemsets as IS
 from casebook.operators import kmodes as KM
 from casebook.operators import models as MD
@@ -322,6 +325,36 @@ def i3_label_codes(spark, sf):
     return codes.apply(df).select("record_id", *[f"{c}_code" for c in cols])
 
 
+@register("i2_sparse_sums")
+def i2_sparse_sums(spark, sf):
+    """The logistic regression's matrix as sparse vectors over a dictionary table, summed
+    by feature and split."""
+    p = _prepared(spark, sf, "lr")
+    df = SP.split_and_folds(derived_cases(spark, sf).select("record_id", "label", *LR_NUMERIC, *LR_CATEGORICAL), ["record_id"], "label")
+    df = df.fillna(p.features.fill)
+    enc = DI.fit_sparse(df.where(F.col("split") == "train"), LR_NUMERIC, LR_CATEGORICAL)
+    sums = DI.feature_sums(enc.apply(df, keep=["split"]), ["split"])
+    grid = enc.features().select("pos", "feature").crossJoin(F.broadcast(df.select("split").distinct()))  # two splits
+    return grid.join(sums, ["split", "pos"], "left").select("split", "feature", F.round(F.coalesce("total", F.lit(0.0)), 3).alias("total"))
+
+
+@register("i3_dictionary_codes")
+def i3_dictionary_codes(spark, sf):
+    """Label codes from a dictionary table, by join."""
+    cols = ["grp_a", "age_cat", "item_group", "grp_b_simple", "region"]
+    df = open_cases(spark, sf).select("record_id", *cols)
+    d = DI.fit_dictionary(df, cols, null_text="nan")
+    return DI.with_codes(df, d, cols, null_text="nan").select("record_id", *[f"{c}_code" for c in cols])
+
+
+@register("i3_customer_codes")
+def i3_customer_codes(spark, sf):
+    """Codes of a column without bound: the customers' keys as text, in text order."""
+    from casebook.sources.cases import read_table
+    df = read_table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("customer"))
+    return DI.with_codes(df, DI.fit_dictionary(df, ["customer"]), ["customer"]).select("o_orderkey", "customer_code")
+
+
 # ============================================================ step 4: itemsets, rules
 
 ASSOC_COLS = ["item_group", "grp_b_simple", "grp_a", "age_cat", "region"]
@@ -481,6 +514,32 @@ def i10_kmodes_step(spark, sf):
     return spark.createDataFrame(rows, "cluster int, size bigint, " + ", ".join(f"mode_{c} string" for c in CLUSTER_COLS))
 
 
+_HUANG_K, _HUANG_RUNS = 4, 2
+
+
+@register("i10_huang_starts")
+def i10_huang_starts(spark, sf):
+    """Huang's starts on the open cases: modes drawn by value frequency, moved to tuples."""
+    t = KM.collapse(open_cases(spark, sf), CLUSTER_COLS)
+    starts = KM.init_huang(t, CLUSTER_COLS, _HUANG_K, _HUANG_RUNS, seed=P.SPLIT_SEED)
+    rows = [(r, c, *mode) for r, modes in enumerate(starts) for c, mode in enumerate(modes)]
+    return spark.createDataFrame(rows, "run int, cluster int, " + ", ".join(f"{c} string" for c in CLUSTER_COLS))
+
+
+@register("i10_huang_fit_converged")
+def i10_huang_fit_converged(spark, sf):
+    """The fit from Huang's starts: modes that another batch step moves (none), rows, and
+    whether its cost is that of its rows."""
+    df = open_cases(spark, sf)
+    m = KM.fit(df, CLUSTER_COLS, 5, n_init=5, init="Huang")
+    t = KM.collapse(df, CLUSTER_COLS)
+    again, sizes = KM._update_many(t, CLUSTER_COLS, {0: m.modes})[0]
+    moved = sum(a != b for a, b, n in zip(m.modes, again, sizes) if n)
+    a = m.assign(df)
+    return a.agg(F.lit(len(m.modes)).alias("n_modes"), F.lit(moved).alias("n_moved"), F.count(F.lit(1)).alias("n_rows"),
+                 (F.sum("distance") - F.lit(int(m.cost))).cast("long").alias("cost_difference"))
+
+
 @register("i10_kmodes_fit_converged")
 def i10_kmodes_fit_converged(spark, sf):
     """A fit's modes are those of its own assignment: modes, modes that another
@@ -660,14 +719,35 @@ def i19_high_potential(spark, sf):
     return rates.head(hp, 5, "probability_1", "record_id")
 
 
+def _fold_models(spark, sf):
+    """The logistic regressions of the cross-validation, fitted together."""
+    key = input_key(spark, sf, "lr_folds")
+    if key not in _PREP:
+        _PREP[key] = CV.fit_folds(_prepared(spark, sf, "lr").frame)
+    return _PREP[key]
+
+
 @register("i5_cv_auc")
 def i5_cv_auc(spark, sf):
     """5-fold stratified CV of the logistic regression, exact fold AUCs."""
-    p = _prepared(spark, sf, "lr")
     # balanced weights recomputed on each fit's own training folds
-    oof = MD.out_of_fold(p.frame, lambda d: MD.logistic_regression(
-        SP.with_class_weights(d.drop("weight"), "label")))
-    return MD.cv_auc(oof)
+    oof = _fold_models(spark, sf).score(_prepared(spark, sf, "lr").frame)
+    return MD.cv_auc(oof.select("label", "fold", "probability_1"))
+
+
+@register("i5_optimality")
+def i5_optimality(spark, sf):
+    """The gradient of each fold's weighted, regularised loss at its coefficients, from
+    the rows the fold leaves: its greatest entry, and the features it has."""
+    p, m = _prepared(spark, sf, "lr"), _fold_models(spark, sf)
+    out = None
+    for f, beta in enumerate(m.coefficients):
+        given = MD.GivenLogistic(beta[:-1], float(beta[-1]))
+        train = SP.with_class_weights(p.frame.where(F.col("fold") != f).drop("weight"), "label")
+        g = MD.logistic_gradient(given, train, p.features.vocab).agg(
+            F.lit(f).alias("fold"), F.count(F.lit(1)).alias("n_features"), F.abs(F.round(F.max(F.abs("gradient")), 4)).alias("gradient"))
+        out = g if out is None else out.unionByName(g)
+    return out
 
 
 def _oof_forest(spark, sf):
@@ -866,6 +946,19 @@ def k1_stream_requests_fixed(spark, sf):
     return _flat(_streamed(spark, sf, *_fixed(spark, sf)))
 
 
+@register("k1_stream_answers_fixed")
+def k1_stream_answers_fixed(spark, sf):
+    """Where the exactly-once stream put each request, and what it said."""
+    from casebook.streaming.requests import start_answers
+    src, out = scratch_path(spark, "requests"), scratch_path(spark, "answers")
+    SC.requests_from_cases(all_cases(spark, sf)).write.text(src)
+    start_answers(spark, src, f"{out}/answers", f"{out}/rejects", *_fixed(spark, sf), f"{out}/checkpoint").awaitTermination()
+    good = spark.read.parquet(f"{out}/answers").select("request_id", F.lit("answers").alias("place"), r6("response.probability").alias("probability"),
+                                                       F.lit(None).cast("string").alias("error"))
+    bad = spark.read.parquet(f"{out}/rejects").select("request_id", F.lit("rejects").alias("place"), F.lit(None).cast("double").alias("probability"), "error")
+    return good.unionByName(bad)
+
+
 @register("i20_cases_fixed")
 def i20_cases_fixed(spark, sf):
     r = SC.score_cases(_raw_cases(spark, sf), *_fixed(spark, sf), timestamp="2024-01-01T00:00:00")
@@ -950,6 +1043,83 @@ def i9_i16_importance_sums(spark, sf):
     return out
 
 
+# ------------------------------------------------------------ trees as tables
+
+#: A given tree over (age, units, year): node, left, right, feature, threshold.
+FIXED_TREE = [(0, 1, 6, 0, 49.0), (1, 2, 5, 1, 3.0), (2, 3, 4, 2, 1994.0), (3, -1, -1, -1, 0.0), (4, -1, -1, -1, 0.0),
+              (5, -1, -1, -1, 0.0), (6, 7, 10, 2, 1997.0), (7, 8, 9, 0, 93.0), (8, -1, -1, -1, 0.0), (9, -1, -1, -1, 0.0),
+              (10, -1, -1, -1, 0.0)]
+FIXED_MIN_SPLIT = 2500
+
+#: Given stumps: feature, threshold, share of positives up to it and above it.
+FIXED_STUMPS = [(0, 39.0, 0.625, 0.375), (1, 4.0, 0.25, 0.5), (2, 1995.0, 0.875, 0.125)]
+OOB_SEED = 42
+
+
+def _number_rows(spark, sf):
+    """Labelled rows with their numbers as an array."""
+    x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in RF_NUMERIC])
+    return derived_cases(spark, sf).where("label is not null").select("record_id", "label", x.alias("x"))
+
+
+@register("i13_min_split_nodes")
+def i13_min_split_nodes(spark, sf):
+    """Rows that reach each node of a given tree, and whether it is a leaf, after nodes
+    of fewer rows than the minimum split size were made leaves."""
+    rows = _number_rows(spark, sf)
+    nodes = spark.createDataFrame([(0, *n) for n in FIXED_TREE], "tree int, node int, left int, right int, feature int, threshold double")
+    counted = nodes.join(FO.reach_counts(rows, nodes), ["tree", "node"], "left").fillna(0, ["n"])
+    kept = FO.reachable(counted, FIXED_MIN_SPLIT)
+    return kept.select("node", "n", F.coalesce(F.col("positives").cast("long"), F.lit(0)).alias("positives"),
+                       ((F.col("left") < 0) | (F.col("n") < FIXED_MIN_SPLIT)).alias("leaf"))
+
+
+@register("i14_min_split_tree")
+def i14_min_split_tree(spark, sf):
+    """A trained tree cut back to a minimum split size: training rows at the root, split
+    nodes with fewer rows than that, and nodes whose row count isn't that of the training
+    rows routed through the tree."""
+    p = _prepared(spark, sf, "rf")
+    train = p.frame.where(F.col("split") == "train")
+    tree = MD.decision_tree(train, weight=None, max_depth=8, min_split=FIXED_MIN_SPLIT // 10)
+    nodes = FO.node_table(tree)
+    from pyspark.ml.functions import vector_to_array
+    seen = FO.reach_counts(train.select("label", vector_to_array("features").alias("x")), nodes).select(
+        "tree", "node", F.col("n").alias("seen"))
+    return nodes.join(seen, ["tree", "node"], "full").agg(
+        F.max(F.when(F.col("node") == 0, F.col("n"))).alias("n_root"),
+        F.count_if((F.col("left") >= 0) & (F.col("n") < FIXED_MIN_SPLIT // 10)).alias("n_small_splits"),
+        F.count_if(~F.col("n").eqNullSafe(F.col("seen"))).alias("n_different"))
+
+
+@register("i15_bags")
+def i15_bags(spark, sf):
+    """How often each of the forest's bags holds the labelled rows."""
+    return FO.bags(_number_rows(spark, sf), ["record_id"], MD.FOREST_B.num_trees, OOB_SEED)
+
+
+@register("i15_oob_votes_fixed")
+def i15_oob_votes_fixed(spark, sf):
+    """Out-of-bag accuracy of given stumps, by number of free trees."""
+    rows = _number_rows(spark, sf)
+    says = F.array(*[F.when(F.get("x", F.lit(f)) <= t, lo).otherwise(hi) for f, t, lo, hi in FIXED_STUMPS])
+    votes = rows.select("record_id", "label", F.posexplode(says).alias("tree", "p1"))
+    oob = FO.out_of_bag(votes, ["record_id"], "label", OOB_SEED)
+    return oob.groupBy("trees").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("predicted").cast("long").alias("n_predicted"),
+                                    r6(F.avg((F.col("label") == F.col("predicted")).cast("double"))).alias("accuracy"))
+
+
+@register("i15_oob_accuracy")
+def i15_oob_accuracy(spark, sf):
+    """The forest fitted to explicit bags of the training rows, and its accuracy on the
+    rows that each tree's bag leaves out."""
+    p = _prepared(spark, sf, "rf")
+    train = p.frame.where(F.col("split") == "train")
+    model = FO.bagged_forest(train, MD.FOREST_B, ["record_id"])
+    votes = FO.leaf_votes(model, train.select("record_id", "label", "features"), ["record_id", "label"])
+    return FO.oob_accuracy(FO.out_of_bag(votes, ["record_id"], "label", MD.FOREST_B.seed))
+
+
 # ============================================================ sources, sinks, set ops
 
 _CSV_NAMES = {"record_id": "Record ID", "outcome": "Crime Solved", "item": "Item", "age": "Victim Age", "grp_a": "Group A",
@@ -973,6 +1143,25 @@ def a1_csv_load(spark, sf):
     return load_cases(spark, path, schema=src.schema)
 
 
+@register("a1_csv_inferred")
+def a1_csv_inferred(spark, sf):
+    """Types found for the columns of a CSV without a schema: the case table's, one that
+    turns to text in its last row, one of truth values, one without values."""
+    src = all_cases(spark, sf).select(*[F.col(c).alias(n) for c, n in _CSV_NAMES.items()])
+    top = src.agg(F.max("Record ID")).first()[0]
+    rid = F.col("Record ID")
+    texts = src.withColumns({
+        "Victim Age": F.when(rid % 9 == 0, "NaN").otherwise(F.col("Victim Age").cast("string")),
+        "Weapon": F.when(rid % 8 == 0, "NA").when(rid % 8 == 1, "None").otherwise(F.col("Weapon")),
+        "Late Text": F.when(rid == top, "12x").otherwise(rid.cast("string")),
+        "Late Number": F.when(rid == top, "0.5").when(rid % 3 == 0, "N/A").otherwise(rid.cast("string")),
+        "Flag": F.when(rid % 2 == 0, "True").otherwise("False"), "Nothing": F.lit("NaN")})
+    path = scratch_path(spark, "cases-csv")
+    SK.write_csv(texts, path)
+    back = load_cases(spark, path)
+    return spark.createDataFrame([(c, t) for c, t in back.dtypes], "column string, type string")
+
+
 @register("a5_rules_csv")
 def a5_rules_csv(spark, sf):
     """The rules table as written, with each row's place in the files."""

@@ -45,12 +45,14 @@ _REAL = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)\s*$"
 _WHOLE = r"^\s*[+-]?\d+\s*$"
 
 
-def parse_requests(lines: DataFrame, json_col: str = "value", id_field: str = "request_id") -> DataFrame:
-    """JSON documents (one a row) as (request_id, body VARIANT).  Text that
-    isn't a JSON document has a NULL body."""
+def parse_requests(lines: DataFrame, json_col: str = "value", id_field: str = "request_id", keep_text: str | None = None) -> DataFrame:
+    """JSON documents (one a row) as (request_id, body VARIANT), with the text
+    itself as the column ``keep_text``, if given.  Text that isn't a JSON document has a
+    NULL body."""
     body = F.try_parse_json(F.col(json_col))
-    return lines.select(body.alias("body")).select(
-        F.expr(f"try_variant_get(body, '$.{id_field}', 'string')").alias("request_id"), "body")
+    text = [] if keep_text is None else [F.col(json_col).alias(keep_text)]
+    return lines.select(body.alias("body"), *text).select(
+        F.expr(f"try_variant_get(body, '$.{id_field}', 'string')").alias("request_id"), "body", *([] if keep_text is None else [keep_text]))
 
 
 class _Field:

@@ -40,16 +40,46 @@ def _is_missing_path(e: AnalysisException) -> bool:
     return "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e)
 
 
+#: Cell patterns of the types that ``infer_types`` finds, the narrowest first.
+CELL_TYPES = [("boolean", r"(?i)^(?:true|false)$"), ("bigint", r"^\s*[+-]?[0-9]+\s*$"),
+              ("double", r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*$|^\s*[+-]?(?i:inf|infinity)\s*$")]
+
+
+def infer_types(df: DataFrame, na_texts=tuple(P.NA_TEXTS)) -> dict[str, str]:
+    """The narrowest type that every cell of each text column has: boolean, bigint,
+    double, else string.  Cells that hold one of ``na_texts`` or NULL say nothing; a
+    column of nothing else is double.  Whole numbers beyond 64 bits are double.  One
+    aggregate over the table, one row to the driver."""
+    bad = []
+    for i, c in enumerate(df.columns):
+        cell = F.col(f"`{c}`")
+        said = cell.isNotNull() & ~cell.isin(*na_texts)
+        bad.append(F.count_if(said).alias(f"n{i}"))
+        for kind, pattern in CELL_TYPES:
+            fits = cell.rlike(pattern)
+            if kind == "bigint":
+                fits = fits & F.trim(cell).try_cast("bigint").isNotNull()
+            bad.append(F.count_if(said & ~fits).alias(f"{kind}{i}"))
+    r = df.agg(*bad).first()
+    return {c: "double" if not r[f"n{i}"] else next((kind for kind, _ in CELL_TYPES if not r[f"{kind}{i}"]), "string")
+            for i, c in enumerate(df.columns)}
+
+
+def _parsed(cell, kind):
+    return F.trim(cell).try_cast(kind) if isinstance(kind, str) else cell.try_cast(kind)
+
+
 def load_cases(spark: SparkSession, path: str, fmt: str = "csv",
                schema: T.StructType | None = None, normalise: bool = True,
                outcome_col: str = "Crime_Solved", label_col: str = "Solved",
-               na_texts=tuple(P.NA_TEXTS)) -> DataFrame:
+               na_texts=tuple(P.NA_TEXTS), infer: bool = True) -> DataFrame:
     """A1-A3 + B1: read a case table, normalise names and add the 0/1 label.
 
     CSV cells are read as text (header, doubled quotes), a cell that holds one of
     ``na_texts`` is NULL, and the rest is cast to the type that ``schema`` gives
     its column; text that doesn't parse is NULL, and no cell becomes NaN.  Without
-    a schema all columns stay text.  A missing path raises ``MissingSourceError``.
+    a schema the types are those of ``infer_types`` (another pass over the file), or all
+    text with ``infer=False``.  A missing path raises ``MissingSourceError``.
     """
     try:
         if fmt == "csv":
@@ -57,9 +87,10 @@ def load_cases(spark: SparkSession, path: str, fmt: str = "csv",
             if schema is not None:
                 reader = reader.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields]))
             df = reader.csv(path)
-            kinds = {f.name: f.dataType for f in schema.fields} if schema is not None else {}
+            kinds = ({f.name: f.dataType for f in schema.fields} if schema is not None
+                     else {c: t for c, t in infer_types(df, na_texts).items() if t != "string"} if infer else {})
             cell = lambda c: F.when(~F.col(f"`{c}`").isin(*na_texts), F.col(f"`{c}`"))
-            df = df.select(*[(cell(c).try_cast(kinds[c]) if c in kinds else cell(c)).alias(c) for c in df.columns])
+            df = df.select(*[(_parsed(cell(c), kinds[c]) if c in kinds else cell(c)).alias(c) for c in df.columns])
         else:
             reader = spark.read if schema is None else spark.read.schema(schema)
             df = reader.format(fmt).load(path)

@@ -5,13 +5,19 @@ arriving in a folder (one JSON document a line) are parsed, scored with the same
 ``score_requests`` plan as the batch job, and appended to a sink.  The
 checkpoint location lives in the shared checkpoint folder, so a restarted
 driver resumes where it stopped.
+
+``start_answers`` writes answers and rejected requests to two tables, each batch into a
+folder of its own number: a batch that is run again, because the job ended between the
+two writes or before the batch was noted as done, replaces what it had written.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casebook.plans.scoring import parse_requests, score_requests
+from pyspark.sql import functions as F
+
+from casebook.plans.scoring import coerce_requests, parse_requests, score_requests
 from casebook.session import scratch_path
 
 
@@ -44,3 +50,30 @@ def score_folder(spark: SparkSession, source_dir: str, fm, model) -> DataFrame:
     sink = scratch_path(spark, "stream-out")
     start_scoring(spark, source_dir, sink, fm, model).awaitTermination()
     return spark.read.parquet(sink)
+
+
+def _write_batch(fm, model, answers_dir: str, rejects_dir: str):
+    def write(lines: DataFrame, batch: int) -> None:
+        requests = parse_requests(lines, keep_text="request")
+        # the model runs for good rows only; bad ones are known before it
+        scored = score_requests(requests, fm, model).where(F.col("error").isNull())
+        scored.select("request_id", "response").write.mode("overwrite").parquet(f"{answers_dir}/batch={batch}")
+        bad = coerce_requests(requests).where(F.col("error").isNotNull())
+        bad.select("request_id", "error", "request").write.mode("overwrite").parquet(f"{rejects_dir}/batch={batch}")
+    return write
+
+
+def start_answers(spark: SparkSession, source_dir: str, answers_dir: str, rejects_dir: str, fm, model, checkpoint_dir: str,
+                  max_files_per_trigger: int | None = None, processing_time: str | None = None):
+    """Start the scorer with a place for each outcome: ``answers_dir`` (batch, request_id,
+    response) and ``rejects_dir`` (batch, request_id, error, request: its text).  Every
+    request is in one of them, once, however often the job is ended and started again
+    with its ``checkpoint_dir``.  Without ``processing_time`` the query ends when all
+    that is there has been answered."""
+    r = spark.readStream
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    w = (r.text(source_dir).writeStream.foreachBatch(_write_batch(fm, model, answers_dir, rejects_dir))
+         .option("checkpointLocation", checkpoint_dir))
+    w = w.trigger(processingTime=processing_time) if processing_time else w.trigger(availableNow=True)
+    return w.start()

@@ -806,3 +806,111 @@ ORACLES.update({
         SELECT round(avg(auc), 6) AS mean_auc, round(stddev_pop(auc), 6) AS std_auc, count(*) AS folds,
                (SELECT round(avg(CASE WHEN label = CAST(p >= 0.5 AS INTEGER) THEN 1.0 ELSE 0.0 END), 6) FROM fo) AS accuracy FROM fa"""),
 })
+
+
+# ------------------------------------------------------------ trees as tables, bags, folds, starts, inferred types
+def _held(tree: str) -> str:
+    """How often the bag holds the row: Poisson(1) from 32 bits of a hash."""
+    cuts = [1580030168, 3160060337, 3950075421, 4213413783, 4279248373, 4292415291, 4294609777, 4294923276, 4294962463, 4294966817,
+            4294967252, 4294967292, 4294967295]
+    h = f"('0x' || substr(md5(CAST(record_id AS VARCHAR) || '|42|' || CAST({tree} AS VARCHAR)), 1, 8))::BIGINT"
+    return f"CAST(len([c FOR c IN {cuts}::BIGINT[] IF c <= {h}]) AS INTEGER)"
+
+
+_NUMBERS = """
+    nr AS (SELECT record_id, label, coalesce(age, 0) AS age, coalesce(CAST(units AS DOUBLE), 0) AS units, coalesce(CAST(year AS DOUBLE), 0) AS year
+           FROM cases WHERE label IS NOT NULL)"""
+
+#: (node, parent, condition on the rows that go from the parent to it)
+_TREE = [(0, None, "TRUE"), (1, 0, "age <= 49"), (6, 0, "age > 49"), (2, 1, "units <= 3"), (5, 1, "units > 3"), (3, 2, "year <= 1994"),
+         (4, 2, "year > 1994"), (7, 6, "year <= 1997"), (10, 6, "year > 1997"), (8, 7, "age <= 93"), (9, 7, "age > 93")]
+
+
+def _tree_sql() -> str:
+    way, up = {}, {n: p for n, p, _ in _TREE}
+    for n, p, cond in _TREE:
+        way[n] = ([] if p is None else way[p]) + [cond]
+    counted = " UNION ALL ".join(
+        f"SELECT {n} AS node, count(*) AS n, coalesce(sum(label), 0) AS positives, {str(n not in up.values()).upper()} AS last FROM nr WHERE {' AND '.join(w)}"
+        for n, w in way.items())
+    above = " UNION ALL ".join(f"SELECT {n} AS node, {a} AS above" for n in way for a in _line(n, up))
+    return f"""{_NUMBERS}, c AS ({counted}), above AS ({above})
+        SELECT CAST(node AS INTEGER) AS node, n, CAST(positives AS BIGINT) AS positives, last OR n < 2500 AS leaf FROM c
+        WHERE NOT EXISTS (SELECT 1 FROM above a JOIN c p ON p.node = a.above WHERE a.node = c.node AND p.n < 2500)"""
+
+
+def _line(node: int, up: dict) -> list:
+    return [] if up[node] is None else [up[node], *_line(up[node], up)]
+
+
+def _huang_sql(k: int = 4, runs: int = 2) -> str:
+    """Starts by frequency, then cluster by cluster moved to the nearest tuple."""
+    cols = _CL
+    counts = " UNION ALL ".join(f"SELECT '{c}' AS col, {c} AS value, sum(w) AS n FROM t GROUP BY {c}" for c in cols)
+    same = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in cols)
+    sql = _CL_SEED + f""",
+    hc AS ({counts}),
+    hd AS (SELECT *, -ln((('0x' || substr(md5(col || '|' || value || '|' || CAST(draw AS VARCHAR) || '|42'), 1, 8))::BIGINT + 0.5::DOUBLE)
+                         / 4294967296.0::DOUBLE) / n AS key FROM hc, (SELECT unnest(range({k * runs})) AS draw)),
+    hw AS (SELECT col, draw, value FROM (SELECT *, row_number() OVER (PARTITION BY col, draw ORDER BY key, value) AS rn FROM hd) WHERE rn = 1),
+    h0 AS (SELECT CAST(draw // {k} AS INTEGER) AS run, CAST(draw % {k} AS INTEGER) AS cluster,
+                  {', '.join(f"max(CASE WHEN col = '{c}' THEN value END) AS {c}" for c in cols)} FROM hw GROUP BY draw)"""
+    for i in range(k):
+        sql += f""",
+    n{i} AS (SELECT run, {', '.join(cols)} FROM (
+        SELECT m.run, {', '.join('t.' + c for c in cols)}, row_number() OVER (PARTITION BY m.run ORDER BY
+               EXISTS (SELECT 1 FROM h{i} x WHERE x.run = m.run AND {same('x', 't')}),
+               {' + '.join(f"CAST(t.{c} <> m.{c} AS INTEGER)" for c in cols)}, {', '.join('t.' + c for c in cols)}) AS rn
+        FROM t, h{i} m WHERE m.cluster = {i}) WHERE rn = 1),
+    h{i + 1} AS (SELECT * FROM h{i} WHERE cluster <> {i} UNION ALL SELECT run, {i}, {', '.join(cols)} FROM n{i})"""
+    return sql + f" SELECT * FROM h{k}"
+
+
+def _types_sql() -> str:
+    """The narrowest of boolean, bigint, double and text that all values of a column have."""
+    cells = {"Record_ID": "CAST(record_id AS VARCHAR)", "Crime_Solved": "outcome", "Item": "item",
+             "Victim_Age": "CASE WHEN record_id % 9 = 0 THEN NULL ELSE CAST(age AS VARCHAR) END", "Group_A": "grp_a", "Group_B": "grp_b",
+             "State": "region", "Victim_Count": "CAST(units AS VARCHAR)", "Year": "CAST(year AS VARCHAR)", "Month": "month",
+             "Price": "CAST(price AS VARCHAR)", "Weapon": "CASE WHEN record_id % 8 > 1 THEN weapon END", "Relationship": "relation",
+             "Victim_Sex": "sex", "Late_Text": "CASE WHEN record_id = top THEN '12x' ELSE CAST(record_id AS VARCHAR) END",
+             "Late_Number": "CASE WHEN record_id = top THEN '0.5' WHEN record_id % 3 = 0 THEN NULL ELSE CAST(record_id AS VARCHAR) END",
+             "Flag": "CASE WHEN record_id % 2 = 0 THEN 'True' ELSE 'False' END", "Nothing": "CAST(NULL AS VARCHAR)"}
+    rows = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {x} AS v FROM r" for c, x in cells.items())
+    return f""", r AS (SELECT *, max(record_id) OVER () AS top FROM cases), v AS ({rows})
+        SELECT "column", CASE WHEN count(v) = 0 THEN 'double' WHEN bool_and(v IS NULL OR lower(v) IN ('true', 'false')) THEN 'boolean'
+               WHEN bool_and(v IS NULL OR TRY_CAST(v AS BIGINT) IS NOT NULL AND NOT contains(v, '.')) THEN 'bigint'
+               WHEN bool_and(v IS NULL OR TRY_CAST(v AS DOUBLE) IS NOT NULL) THEN 'double' ELSE 'string' END AS type
+        FROM v GROUP BY "column" UNION ALL SELECT 'Solved', 'int'"""
+
+
+ORACLES.update({
+    "i13_min_split_nodes": with_cases("," + _tree_sql()),
+    "i14_min_split_tree": with_cases(f""",{_SPLIT}
+        SELECT count(*) AS n_root, CAST(0 AS BIGINT) AS n_small_splits, CAST(0 AS BIGINT) AS n_different FROM split WHERE split = 'train'"""),
+    "i15_bags": with_cases(f""",{_NUMBERS},
+        b AS (SELECT record_id, CAST(tree AS INTEGER) AS tree FROM nr, (SELECT unnest(range(50)) AS tree))
+        SELECT tree, {_held('tree')} AS times, count(*) AS n FROM b GROUP BY ALL"""),
+    "i15_oob_votes_fixed": with_cases(f""",{_NUMBERS},
+        says AS (SELECT record_id, label, 0 AS tree, CASE WHEN age <= 39 THEN 0.625 ELSE 0.375 END::DOUBLE AS p FROM nr
+                 UNION ALL SELECT record_id, label, 1, CASE WHEN units <= 4 THEN 0.25 ELSE 0.5 END FROM nr
+                 UNION ALL SELECT record_id, label, 2, CASE WHEN year <= 1995 THEN 0.875 ELSE 0.125 END FROM nr),
+        oob AS (SELECT record_id, label, count(*) AS trees, CAST(avg(p) >= 0.5 AS INTEGER) AS predicted FROM says
+                WHERE {_held('tree')} = 0 GROUP BY record_id, label)
+        SELECT trees, count(*) AS n_rows, CAST(sum(predicted) AS BIGINT) AS n_predicted,
+               round(avg(CASE WHEN label = predicted THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM oob GROUP BY trees"""),
+    "i5_optimality": with_cases(f""",{_LR_VOCAB}
+        SELECT CAST(f.fold AS INTEGER) AS fold, count(DISTINCT feature) AS n_features, 0.0::DOUBLE AS gradient
+        FROM lr_rows, (SELECT unnest(range(5)) AS fold) f GROUP BY f.fold"""),
+    "i10_huang_starts": with_cases(_huang_sql()),
+    "i10_huang_fit_converged": with_cases("""
+        SELECT 5 AS n_modes, 0 AS n_moved, count(*) AS n_rows, CAST(0 AS BIGINT) AS cost_difference FROM cases WHERE label = 0"""),
+    "a1_csv_inferred": with_cases(_types_sql()),
+    "i2_sparse_sums": with_cases(f""",{_LR_VOCAB}
+        SELECT split, feature, round(sum(x), 3) AS total FROM lr_rows GROUP BY split, feature"""),
+    "i3_dictionary_codes": ORACLES["i3_label_codes"],
+    "i3_customer_codes": """
+        SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY CAST(o_custkey AS VARCHAR)) - 1 AS INTEGER) AS customer_code FROM orders""",
+    "k1_stream_answers_fixed": f"""
+        SELECT request_id, CASE WHEN error IS NULL THEN 'answers' ELSE 'rejects' END AS place, probability, error
+        FROM ({with_cases(_responses_sql())})""",
+})

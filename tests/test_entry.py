@@ -71,10 +71,11 @@ def test_changed_input_is_read_anew(spark):
     import shutil
     from casebook.plans import catalog
     sf = scratch_path(spark, "sf")
-    shutil.copytree(SF, sf)
+    shutil.copytree(SF, sf, copy_function=shutil.copyfile)
+    os.chmod(sf, 0o755)  # the given folder may be read-only
     n = catalog.cases(spark, sf).count()
     half = spark.read.parquet(f"{SF}/orders.parquet").limit(100)
-    half.coalesce(1).write.parquet(f"{sf}/orders-new")
-    part = [f for f in os.listdir(f"{sf}/orders-new") if f.endswith(".parquet")][0]
-    shutil.copy(f"{sf}/orders-new/{part}", f"{sf}/orders.parquet")
+    half.coalesce(1).write.parquet(f"{sf}-new")
+    part = [f for f in os.listdir(f"{sf}-new") if f.endswith(".parquet")][0]
+    shutil.copyfile(f"{sf}-new/{part}", f"{sf}/orders.parquet")
     assert catalog.cases(spark, sf).count() == 100 < n

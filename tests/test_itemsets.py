@@ -78,3 +78,35 @@ def test_basket_itemsets_equal_column_itemsets(spark):
     a = {r["items_text"]: (r["n"], r["support"]) for r in IS.frequent_itemsets(df, COLS, 0.25).collect()}
     b = {r["items_text"]: (r["n"], r["support"]) for r in IS.basket_itemsets(baskets, "items", 0.25).collect()}
     assert a == b
+
+
+def brute_baskets(baskets, least, max_len):
+    from itertools import combinations
+    from collections import Counter
+    out, items = Counter(), sorted({x for b in baskets for x in b})
+    for size in range(1, (max_len or len(items)) + 1):
+        for b in baskets:
+            for c in combinations(sorted(set(b)), size):
+                out[c] += 1
+    return {c: n for c, n in out.items() if n >= least}
+
+
+def test_basket_itemsets_level_by_level(spark):
+    """Blocks of baskets, items in few of them, levels that end early, NULLs and repeats."""
+    import random
+    rng = random.Random(4)
+    rows = [[rng.choice("abcdefgh") for _ in range(rng.randint(0, 6))] for _ in range(3000)] + [["z", "y", "x"]] * 40
+    df = spark.createDataFrame([(b,) for b in rows] + [(None,)] * 10 + [([None, "a", "a"],)], "items array<string>").repartition(3)
+    rows = rows + [[]] * 10 + [["a"]]
+    for max_len, support in ((1, 0.05), (2, 0.05), (3, 0.01), (None, 0.03)):
+        least = -(-support * len(rows) // 1)
+        got = {tuple(r["items"]): (r["n"], r["support"]) for r in IS.basket_itemsets(df, min_support=support, max_len=max_len).collect()}
+        want = brute_baskets(rows, least, max_len)
+        assert {c: n for c, (n, _) in got.items()} == want
+        assert all(abs(s - n / len(rows)) < 1e-12 for n, s in got.values())
+    assert IS.basket_itemsets(df.limit(0)).collect() == []
+
+
+def test_candidates_are_pruned(spark):
+    level = spark.createDataFrame([(["a", "b"], 5), (["a", "c"], 5), (["b", "c"], 5), (["b", "d"], 5)], "items array<string>, n long")
+    assert [r["items"] for r in IS._candidates(level, 3).collect()] == [["a", "b", "c"]]
