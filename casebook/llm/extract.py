@@ -19,10 +19,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casebook.llm.common import pick
+from casebook.llm.common import bounded_batches, pick
 
-#: Labelled pages the weights are learnt from, at most (the first in md5 order).
-TRAIN_PAGES = 2_000
+#: Labelled pages the weights are learnt from, at most (the first in md5 order), and
+#: characters of them together: a page that doesn't fit any more is left out.
+TRAIN_PAGES, TRAIN_CHARS = 2_000, 20_000_000
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|title)(?=[\s/>])[^>]*?(?:/>|(?<!/)>.*?(?:</\1\s*>|\Z))"
@@ -42,6 +43,11 @@ MARKS = frozenset("""ad ads advert adverts advertisement advertising alert banne
     complementary consent contentinfo cookie cookies disqus feedback footer login masthead menu modal nav navbar navigation
     newsletter notice notices pagination popup promo promotion related replies reply respond search share sharing sidebar
     signup social sponsor sponsored subscribe toolbar widget""".split())
+#: Words of places and shapes: a name made of marks and of these marks such a part too
+#: ("comments-area"), any other name with a mark in it doesn't ("social-proof").
+PLACES = frozenset("""area bar block body bottom box button buttons container entry form global group holder icons id inner item
+    items label left link links list message outer panel primary right row secondary section site slot text top unit wrap
+    wrapper""".split())
 CONTENT = frozenset(("article", "main"))
 #: Of NEVER, what may hold a whole page: a form around it, a head that isn't closed.
 WRAPPERS = frozenset(("form", "head"))
@@ -61,26 +67,36 @@ class Weights:
         return min([self.tags.get(f"{name}.{m}", 0.0) for m in marks] + [self.tags.get(name, other)])
 
 
+def marked(name: str) -> bool:
+    """Whether a class, id or role, taken whole, names a part that is no article text."""
+    words = NAME_WORD.findall(name)
+    return not MARKS.isdisjoint(words) and all(w in MARKS or w in PLACES for w in words)
+
+
 def events(html: str):
-    """(kind, name, marks, text) in page order; kind: 'open', 'close' or 'text'."""
+    """(kind, name, marks, marked, text) in page order; kind: 'open', 'close' or 'text'.
+    marks: the words of the tag's class, id and role; marked: one of those, taken whole,
+    names a part that is no article text."""
     at = 0
     for m in TOKEN.finditer(html):
         if m.start() > at:
-            yield "text", "", (), html[at:m.start()]
+            yield "text", "", (), False, html[at:m.start()]
         at = m.end()
         if m[3]:
             name = m[3].lower()
             if m[2]:
-                yield "close", name, (), ""
+                yield "close", name, (), False, ""
             else:
-                marks = ()
+                marks, out = (), False
                 if "=" in m[4]:
-                    marks = tuple(w for x in NAMES.findall(m[4]) for w in NAME_WORD.findall(x.lower()))
-                yield "open", name, marks, ""
+                    names = " ".join(NAMES.findall(m[4])).lower()
+                    marks = tuple(NAME_WORD.findall(names))
+                    out = not MARKS.isdisjoint(marks) and any(marked(x) for x in names.split())
+                yield "open", name, marks, out, ""
                 if m[4].endswith("/") and name not in VOID:
-                    yield "close", name, (), ""
+                    yield "close", name, (), False, ""
     if at < len(html):
-        yield "text", "", (), html[at:]
+        yield "text", "", (), False, html[at:]
 
 
 @dataclass
@@ -105,7 +121,7 @@ def wrappers(seen: list) -> set[int]:
         i = stack.pop()[1]
         spans.append((i, words - at[i][0], heads - at[i][1]))
 
-    for i, (kind, name, _, text) in enumerate(seen):
+    for i, (kind, name, _, _, text) in enumerate(seen):
         if kind == "text":
             words += len(text.split())
         elif kind == "open":
@@ -125,13 +141,14 @@ def wrappers(seen: list) -> set[int]:
     return {i for i, w, h in spans if 2 * w > words and (h or not heads)}
 
 
-def pieces(html: str, weights: Weights) -> list[Piece]:
+def pieces(html: str, weights: Weights, leave_out: bool = True) -> list[Piece]:
+    """The page as scored pieces; without ``leave_out`` no part is marked as never text."""
     out: list[Piece] = []
     stack: list[tuple[str, int, bool]] = []  # name, content, never
     block, contents = 0, 0
     seen = list(events(html))
-    whole = wrappers(seen)
-    for i, (kind, name, marks, text) in enumerate(seen):
+    whole = wrappers(seen) if leave_out else set()
+    for i, (kind, name, marks, out_mark, text) in enumerate(seen):
         content, never = (stack[-1][1], stack[-1][2]) if stack else (0, False)
         if kind == "text":
             n = len(text.split())
@@ -147,9 +164,8 @@ def pieces(html: str, weights: Weights) -> list[Piece]:
                     stack.pop()
                 content, never = (stack[-1][1], stack[-1][2]) if stack else (0, False)
             # what holds most of the page is no part of it that could be left out, whatever its class
-            own = ((name in NEVER and not (name in WRAPPERS and i in whole)) or (name == "header" and not content)
-                   or (bool(marks) and name not in ("html", "body") and name not in CONTENT and i not in whole
-                       and not MARKS.isdisjoint(marks)))
+            own = leave_out and ((name in NEVER and not (name in WRAPPERS and i in whole)) or (name == "header" and not content)
+                                 or (out_mark and name not in ("html", "body") and name not in CONTENT and i not in whole))
             if name in CONTENT:
                 contents += 1
                 content = content or contents
@@ -180,7 +196,7 @@ def best_region(scores) -> tuple[int, int]:
     return lo, hi
 
 
-def blocks_text(parts: list[Piece]) -> str:
+def blocks_text(parts: list[Piece], between: str) -> str:
     out, last, held = [], None, []
     for p in parts:
         if p.block != last:
@@ -190,12 +206,13 @@ def blocks_text(parts: list[Piece]) -> str:
             held.append(p.text)
     out.append("".join(held))
     done = (" ".join(entities.unescape(x).split()) for x in out)
-    return "\n".join(x for x in done if x)
+    return between.join(x for x in done if x)
 
 
 def main_text(html: str, weights: Weights) -> str:
     """The main text of a page: the best region, widened to whole blocks and the
-    headings right before it, and to all of each <article> or <main> with words in it."""
+    headings right before it, and to all of each <article> or <main> with words in it;
+    blocks are joined by an empty line."""
     parts = pieces(html, weights)
     lo, hi = best_region([p.score for p in parts])
     if lo == hi:
@@ -210,15 +227,12 @@ def main_text(html: str, weights: Weights) -> str:
                     break
                 lo = i
     first, last = parts[lo].block, parts[hi - 1].block
-    return blocks_text([p for p in parts if first <= p.block <= last or p.content in inside])
+    return blocks_text([p for p in parts if first <= p.block <= last or p.content in inside], "\n\n")
 
 
 def plain_text(html: str) -> str:
     """All visible text of a page, a line for each block."""
-    parts = pieces(html, Weights())
-    for p in parts:
-        p.never = False
-    return blocks_text(parts)
+    return blocks_text(pieces(html, Weights(), leave_out=False), "\n")
 
 
 def learn(pages: list[str]) -> Weights:
@@ -229,7 +243,7 @@ def learn(pages: list[str]) -> Weights:
     n_in = n_out = 0
     for html in pages:
         depth = 0
-        for kind, name, marks, text in events(html):
+        for kind, name, marks, _, text in events(html):
             if name in CONTENT and kind == "close":
                 depth = max(0, depth - 1)
             keys = ["#word"] * len(text.split()) if kind == "text" else [name, *(f"{name}.{m}" for m in set(marks))]
@@ -247,17 +261,34 @@ def learn(pages: list[str]) -> Weights:
     return Weights(max(0.1, odds.pop("#word", 1.0)), {k: min(-0.1, v) for k, v in odds.items()}, -2.0)
 
 
-def fit(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", train_pages: int = TRAIN_PAGES) -> Weights:
-    """Learn from a bounded sample of the pages that mark their content."""
+def fit(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", train_pages: int = TRAIN_PAGES,
+        train_chars: int = TRAIN_CHARS) -> Weights:
+    """Learn from a bounded sample of the pages that mark their content: the first
+    ``train_pages`` rows in md5 order of the id, chosen by id and length before any page
+    is fetched, less those whose characters no longer fit and repeated pages."""
+    html = F.coalesce("html", F.lit(""))
     some = (pick(pages, id=id_col, html=html_col).where(F.col("html").rlike("(?i)<(article|main)\\b"))
-            .orderBy(F.md5(F.col("id").cast("string")), "id").limit(train_pages))
-    return learn([r[0] for r in some.select("html").collect()])
+            .select("id", F.xxhash64(html).alias("hash"), F.length("html").alias("chars"))
+            .orderBy(F.md5(F.col("id").cast("string")), "id", "hash").limit(train_pages).collect())
+    chosen, left = [], train_chars
+    for r in dict.fromkeys((r["id"], r["hash"], r["chars"]) for r in some):
+        if r[2] <= left:
+            chosen.append((r[0], r[1], len(chosen)))
+            left -= r[2]
+    if not chosen:
+        return Weights()
+    ids = pages.sparkSession.createDataFrame(chosen, f"__id {dict(pages.dtypes)[id_col]}, __hash long, __place int")
+    got = (pick(pages, id=id_col, html=html_col).join(F.broadcast(ids), F.col("id").eqNullSafe(F.col("__id")) & (F.xxhash64(html) == F.col("__hash")))
+           .groupBy("__place").agg(F.first("html").alias("html")))
+    return learn([r["html"] for r in sorted(got.collect(), key=lambda r: r["__place"])])
 
 
 def extract(pages: DataFrame, weights: Weights, id_col: str = "page_id", url_col: str = "url",
             html_col: str = "html") -> DataFrame:
     """One row per row of ``pages``: page_id, url, text, n_chars.  NULL html is an
-    empty page; a page without a region has an empty text."""
+    empty page; a page without a region has an empty text; a page is read whole,
+    whatever its length."""
+    bounded_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):

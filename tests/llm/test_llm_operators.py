@@ -232,7 +232,7 @@ text</b> of   the&nbsp;article, with <i>many</i> words in it to be sure.<br>Next
 buy it all today</div><!-- a > b --><p>Second paragraph with some more words of its own, and yet more.</p><form><input>send</form>
 </%s><section id="comments"><p>Reader: I don't agree with any of that at all, not one bit of it.</p></section>
 <aside>side bar words</aside><footer>&copy; me</footer></body></html>"""
-TEXT = ("Head & line\nFirst bold text of the article, with many words in it to be sure. Next <line>\n"
+TEXT = ("Head & line\n\nFirst bold text of the article, with many words in it to be sure. Next <line>\n\n"
         "Second paragraph with some more words of its own, and yet more.")
 
 
@@ -259,7 +259,7 @@ def test_main_text_of_the_given_pages(spark):
         import html
         want = [" ".join(html.unescape(re.sub("<[^>]*>", " " if False else "", re.sub("<br>", " ", x))).split())
                 for x in re.split(r"</?(?:p|h1)>", body)]
-        assert got[r["page_id"]]["text"] == "\n".join(x for x in want if x)
+        assert got[r["page_id"]]["text"] == "\n\n".join(x for x in want if x)
         assert got[r["page_id"]]["n_chars"] == len(got[r["page_id"]]["text"])
 
 

@@ -61,6 +61,31 @@ def test_main_text_is_whole(page):
     assert text.split() == ("Head " + "first part of a long enough text " * 6 + "second part that goes on with more words " * 4).split()
 
 
+@pytest.mark.parametrize("name,kept", [("social-proof", True), ("related-work", True), ("notice-board", True), ("search-results", True),
+                                       ("social", False), ("comments-area", False), ("cookie-notice", False), ("ad", False),
+                                       ("box ad", False), ("sidebar-left", False), ("site-footer", False)])
+def test_class_names_count_whole(name, kept):
+    inside = f"<blockquote class='{name}'>a quoted passage of some words here</blockquote>"
+    page = f"<html><body><article>{FIRST}{inside}{SECOND}</article></body></html>"
+    assert ("quoted passage" in extract.main_text(page, extract.Weights())) == kept
+
+
+def test_weights_are_learnt_within_bounds(spark):
+    page = "<html><body><nav><a>menu</a></nav><article><p>" + "words in it " * 50 + "</p></article></body></html>"
+    rows = [(i, page) for i in range(5)] + [(None, page)] + [(9, page + "<!-- " + "x" * 50_000 + " -->")] + [(7, page)] * 400
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    whole = extract.fit(pages)
+    assert whole.tags and extract.fit(pages, train_chars=2 * len(page)).tags == extract.learn([page] * 2).tags
+    assert extract.fit(pages, train_chars=10) == extract.Weights()
+    assert extract.fit(pages.repartition(7)) == whole
+
+
+def test_very_long_page(spark):
+    page = f"<html><body><nav>menu</nav><article>{FIRST * 5000}</article></body></html>"
+    got = extract.extract(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string"), extract.Weights()).first()
+    assert got["text"].count("Head") == 5000 and got["text"].count("\n\n") == 9999
+
+
 # -- pipeline: rows of a NULL or repeated id ------------------------------------------
 
 def test_copies_of_rows_without_an_id(spark):
