@@ -16,13 +16,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casebook.llm.common import LOWER_ALNUM, pick, text_or_empty
+from casebook.llm.common import LOWER_ALNUM, bounded_batches, pick, text_or_empty
 
 WINDOW = 13
 #: Symbols of a shard's text; a longer run makes a larger shard.
 SHARD_SYMBOLS = 1 << 20
 #: Benchmark words searched in one pass over the documents.
 PASS_WORDS = 2_000_000
+#: Stands for a missing item id while the search runs.
+NO_ID = -(1 << 63)
 
 
 def words(text: str) -> list[bytes]:
@@ -234,14 +236,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     An item's windows are its runs of ``window`` words; an item of fewer words is
     one window; items and documents without words have none.  NULL texts are
-    empty; a NULL doc_id is kept; repeated rows are rows of their own.  The
-    benchmark is searched in passes of about ``pass_words`` words, each small enough
+    empty; a NULL doc_id is kept; repeated rows are rows of their own.  Items without
+    an id are one item: it counts in n_hit and n_items, is NULL in items and has no
+    name in items_sha256.  The benchmark is searched in passes of about ``pass_words`` words, each small enough
     to send to every task, so it may be of any size; an empty one hits nothing.
     """
     items = pick(benchmark, item_id="item_id", text="text").select(
-        F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text")).where("item_id is not null")
+        F.coalesce(F.col("item_id").cast("long"), F.lit(NO_ID)).alias("item_id"), text_or_empty().alias("text"))
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     passes = max(1, -(-int(size) // (5 * pass_words)))
+    bounded_batches(docs.sparkSession)
     base = pick(docs, doc_id=id_col, text=text_col).select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"),
         (F.xxhash64(text_or_empty()) if keep_hash else F.lit(0).cast("long")).alias("text_hash"))
@@ -262,8 +266,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     'ends', greatest(s.ends, get(acc, size(acc) - 1).ends)))),
                 concat(acc, array(s))))""")
         found = found.withColumn("spans", spans).withColumn("starts", F.col("spans.starts")).withColumn("ends", F.col("spans.ends"))
+    found = found.withColumn("items", F.transform("items", lambda x: F.when(x != NO_ID, x)))
     hit = F.expr("aggregate(arrays_zip(starts, ends), 0L, (n, s) -> n + s.ends - s.starts)")
-    names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    names = F.array_join(F.array_sort(F.transform(F.array_compact("items"), lambda x: x.cast("string"))), ",")
     return (found.withColumn("n_hit", hit)
             .select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                     F.sha2(names, 256).alias("items_sha256"),

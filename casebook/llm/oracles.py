@@ -46,7 +46,7 @@ WITH words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 items AS (
   SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
-sized AS (SELECT item_id, ws, least(13, len(ws)) AS size FROM items WHERE len(ws) > 0 AND item_id IS NOT NULL),
+sized AS (SELECT item_id, ws, least(13, len(ws)) AS size FROM items WHERE len(ws) > 0),
 windows AS (
   SELECT DISTINCT item_id, size, array_to_string(ws[i:i+size-1], ' ') AS phrase
   FROM (SELECT item_id, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM sized)),
@@ -55,7 +55,7 @@ spots AS (
   FROM (SELECT doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM words, (SELECT DISTINCT size FROM windows) WHERE len(ws) >= size)),
 hits AS (SELECT doc_id, item_id, spots.size, i FROM spots JOIN windows USING (size, phrase)),
 hit AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS k FROM hits) GROUP BY doc_id),
-who AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+who AS (SELECT doc_id, count(*) AS n_items, coalesce(string_agg(id, ',' ORDER BY id), '') AS ids
         FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,

@@ -1,6 +1,9 @@
 """Every operator on nulls, empty and very long texts, ties, repeated rows, empty
 tables and extra columns whose names an operator uses itself."""
 
+import hashlib
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,7 +77,9 @@ def test_filters_keep_rows_and_columns(spark, docs, bench, labels):
     assert sorted((r["doc_id"] or 0) for r in one.collect()) == [0, 1, 2, 3, 4, 7, 8, 9]
     clean = decontamination.drop_contaminated(docs, bench)
     assert clean.columns == docs.columns
-    assert sorted((r["doc_id"] or 0) for r in clean.collect()) == [0, 2, 3, 4, 7, 8, 9]
+    assert sorted((r["doc_id"] or 0) for r in clean.collect()) == [0, 2, 3, 4, 7, 9]  # 8 is an item without an id
+    hit = {r["doc_id"]: r for r in decontamination.contamination(docs, bench).collect()}[8]
+    assert (hit["n_items"], hit["items"], hit["items_sha256"]) == (1, [None], hashlib.sha256(b"").hexdigest())
     model = toxicity.Model(-6.0, {"six": 12.0})
     kept = toxicity.drop_toxic(docs, model)
     assert kept.columns == docs.columns
@@ -88,3 +93,31 @@ def test_pages_with_nulls(spark):
     assert sorted((r["text"], r["n_chars"]) for r in got) == [("", 0), ("", 0), ("", 0), ("a", 1)]
     records = warc.derive(warc.responses(pages)).collect()
     assert len(records) == 8 and all("\n" not in r["uri"] for r in records)
+
+
+def test_quiet_sentences_say_nothing(spark):
+    """A clean text stays clean however long it is, and the score is the noisy-or of the
+    sentences with a weighted word."""
+    model = toxicity.Model(-3.0, {"bad": 2.0, "wors*": 1.5})
+    long = "Nothing to see in this sentence. " * 20_000
+    texts = [(1, long), (2, long + "Bad worse thing."), (3, "Bad. Worse? Bad worse!\nquiet"), (4, None)]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    p = lambda z: 1 / (1 + math.exp(-(z - 3)))
+    assert got[1] == 0 and got[4] == 0
+    assert abs(got[2] - p(3.5)) < 1e-12
+    assert abs(got[3] - (1 - (1 - p(2)) * (1 - p(1.5)) * (1 - p(3.5)))) < 1e-12
+    rest = toxicity.Model(-3.0, {"bad": 2.0}, 0.1)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(texts, "doc_id long, text string"), rest).collect()}
+    assert 0.09 < got[1] < 0.1 and got[4] == 0
+    assert abs(got[3] - (1 - (1 - p(2)) ** 2 * (1 - 0.1 * 2 / 22))) < 1e-12
+
+
+def test_training_leaves_out_what_does_not_fit(spark):
+    rows = [(i, ("you are an awful idiot. " if i % 2 else "a fine day for a walk. ") + f"word{i} ") for i in range(60)]
+    rows += [(100, "endless " * 40_000)] + [(1, "you are an awful idiot. again " * 9)] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(100, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, train_chars=10_000)
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, model).where("doc_id < 60").collect()}
+    assert all(got[i] == i % 2 for i in range(60))
+    assert toxicity.fit(docs, labels, train_chars=3).weights == {}

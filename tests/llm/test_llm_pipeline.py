@@ -16,7 +16,7 @@ def test_registry():
     q = E.queries()
     assert [n for n in q if re.match(r"op\d+_", n)] == [n for n in sorted(q, key=lambda n: int((re.findall(r"^op(\d+)_", n) or [0])[0]))
                                                         if re.match(r"op\d+_", n)]
-    assert len([n for n in q if re.match(r"op\d+_", n)]) == 10 and q["pipeline"] is corpus_pipeline.run
+    assert len([n for n in q if re.match(r"op\d+_", n)]) == 13 and q["pipeline"] is corpus_pipeline.run
 
 
 @pytest.mark.parametrize("name", ["op3_jaccard_join", "op4_source_mix", "op6_decontaminate"])
