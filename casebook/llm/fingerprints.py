@@ -37,6 +37,8 @@ def _sketches(df: DataFrame, text: str, out: str) -> DataFrame:
         transform(flatten(transform(split({text}, r'[\s\u0085\u2028\u2029\u3000]'), x ->
           if(char_length(x) > {LONG_WORD} or octet_length(x) >= 3 * char_length(x), split(x, ''), array(x)))), x -> xxhash64(x))
         """).alias("__w"))
+    df = df.select(*keep, F.expr(f"""
+        if(size(__w) > {low}, raise_error('a text of more than {low} k-mers: raise POSITION_BITS'), __w)""").alias("__w"))
     df = df.select(*keep, F.expr(f"""
         sort_array(if(size(__w) < 2, transform(__w, x -> x & {~low}L),
            transform(slice(__w, 1, greatest(size(__w) - 1, 1)), (x, i) -> (xxhash64(x, get(__w, i + 1)) & {~low}L) | i)))
