@@ -26,7 +26,7 @@ from casebook.plans import scoring as SC
 from casebook.plans import training as TR
 from casebook.plans.catalog import cases as all_cases
 from casebook.plans.catalog import derived_cases, documents, input_key, open_cases, stored
-from casebook.session import scratch_path
+from casebook.session import cut_lineage, scratch_path
 from casebook.sources import sinks as SK
 from casebook.sources.cases import load_cases
 
@@ -707,7 +707,8 @@ def i18_rank_open(spark, sf):
     analysis did."""
     p = _prepared(spark, sf, "rf")
     df = derived_cases(spark, sf).where(F.col("label") == 0)
-    s = _score_keeping(p.features, _forest(spark, sf), df).drop("predicted")
+    # stored once: the sort's range bounds are drawn from the scores, not from a second scoring
+    s = cut_lineage(_score_keeping(p.features, _forest(spark, sf), df).drop("predicted"))
     return s.orderBy(F.col("probability_1").desc(), F.col("record_id"))
 
 
@@ -735,6 +736,14 @@ def i5_cv_auc(spark, sf):
     return MD.cv_auc(oof.select("label", "fold", "probability_1"))
 
 
+@register("i5_cv_auc_forest")
+def i5_cv_auc_forest(spark, sf):
+    """5-fold stratified CV of forest A, exact fold AUCs."""
+    oof = MD.out_of_fold(_prepared(spark, sf, "rf").frame, lambda d: MD.random_forest(
+        SP.with_class_weights(d.drop("weight"), "label"), MD.FOREST_A))
+    return MD.cv_auc(oof.select("label", "fold", "probability_1"))
+
+
 @register("i5_optimality")
 def i5_optimality(spark, sf):
     """The gradient of each fold's weighted, regularised loss at its coefficients, from
@@ -790,6 +799,13 @@ def b16_b17_request_coercion(spark, sf):
                     "v_sex", "v_race", "v_weapon", "v_state", "state_text", "error")
 
 
+@register("b27_documented_ranges")
+def b27_documented_ranges(spark, sf):
+    """Requests whose numbers lie outside of the documented ranges are errors too."""
+    c = SC.coerce_requests(_requests(spark, sf), check_ranges=True)
+    return c.select("request_id", "error")
+
+
 def _standin(spark, sf):
     """Request rows with the stand-in probability (price / max price)."""
     df = derived_cases(spark, sf)
@@ -1043,6 +1059,51 @@ def i9_i16_importance_sums(spark, sf):
     return out
 
 
+@register("i8_coefficient_ends_fixed")
+def i8_coefficient_ends_fixed(spark, sf):
+    """The ends of a given model's coefficient table, with odds ratios."""
+    vocab = _prepared(spark, sf, "rf").features.vocab
+    given = MD.GivenLogistic([FIXED_COEFFICIENTS.get(f, 0.0) for f in vocab.features], FIXED_INTERCEPT)
+    return MD.coefficient_ends(given, vocab, 4).select("feature", "coef", r6("odds_ratio").alias("odds_ratio"))
+
+
+@register("i9_stump_split")
+def i9_stump_split(spark, sf):
+    """The split that a one-level tree finds among 0/1 columns (the categories of the
+    model's columns), and the training rows and positives on either side."""
+    from pyspark.ml.feature import VectorAssembler
+    df = SP.stratified_split(derived_cases(spark, sf).where("label is not null").select("record_id", "label", *LR_CATEGORICAL), ["record_id"], "label")
+    train = df.where(F.col("split") == "train")
+    vocab = FE.fit_vocab(train, [], LR_CATEGORICAL)
+    names = [f"_f{i}" for i in range(len(vocab.features))]
+    flags = vocab.apply(train, keep=["label"]).toDF("label", *names).withColumn("label", F.col("label").cast("double"))
+    tree = MD.decision_tree(VectorAssembler(inputCols=names, outputCol="features").transform(flags), weight=None, max_depth=1)
+    nodes = FO.node_table(tree)
+    feature = F.element_at(F.array(*[F.lit(f) for f in vocab.features]), F.col("feature") + 1)
+    root = nodes.where("node = 0").select("tree", feature.alias("split_on"))
+    leaf = nodes.where("node > 0").select("tree", (F.col("node") == 2).cast("int").alias("value"), "n",
+                                          F.element_at("stats", 2).cast("long").alias("positives"))
+    return leaf.join(root, "tree").select("split_on", "value", "n", "positives")
+
+
+@register("i11_elbow_recomputed")
+def i11_elbow_recomputed(spark, sf):
+    """The elbow's costs less those of the rows assigned anew to the modes (none), and
+    whether another batch step moves a mode."""
+    df = open_cases(spark, sf)
+    t = KM.collapse(df, CLUSTER_COLS)
+    ks = list(range(2, 6))
+    best = KM.fit_many(t, CLUSTER_COLS, ks, 2)
+    out = None
+    for k in ks:
+        again, sizes = KM._update_many(t, CLUSTER_COLS, {0: best[k].modes})[0]
+        moved = sum(a != b for a, b, n in zip(best[k].modes, again, sizes) if n)
+        one = best[k].assign(df).agg(F.lit(k).alias("k"), F.count(F.lit(1)).alias("n_rows"), F.lit(moved).alias("n_moved"),
+                                     (F.sum("distance") - F.lit(int(best[k].cost))).cast("long").alias("cost_difference"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # ------------------------------------------------------------ trees as tables
 
 #: A given tree over (age, units, year): node, left, right, feature, threshold.

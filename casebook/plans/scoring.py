@@ -56,12 +56,12 @@ def parse_requests(lines: DataFrame, json_col: str = "value", id_field: str = "r
 
 
 class _Field:
-    """A field of the VARIANT column ``body``: absent (SQL NULL), null (type VOID) or a value."""
+    """A field of the VARIANT column ``body``: absent (SQL NULL), null (type VOID) or a
+    value.  ``read`` gives its columns, which later steps use instead of the VARIANT."""
 
     def __init__(self, name: str):
-        get = lambda kind: F.expr(f"try_variant_get(body, '$.{name}', '{kind}')")
-        self.kind = F.expr(f"schema_of_variant(variant_get(body, '$.{name}', 'variant'))")
-        self.text, self.number = get("string"), get("double")
+        self.name = name
+        self.kind, self.text, self.number = (F.col(f"_{x}_{name}") for x in ("kind", "text", "number"))
         self.absent = self.kind.isNull()
         self.null = self.kind == "VOID"
         self.is_text = self.kind == "STRING"
@@ -70,6 +70,14 @@ class _Field:
         self.falsy = F.coalesce(self.absent | self.null | (self.is_text & (self.text == "")) | (self.is_truth & (self.text == "false"))
                                 | (~self.is_text & (self.number == 0)) | self.text.isin("[]", "{}") & ~self.is_text, F.lit(False))
 
+    def value(self) -> Column:
+        return F.expr(f"variant_get(body, '$.{self.name}', 'variant')").alias(f"_v_{self.name}")
+
+    def read(self) -> list[Column]:
+        v = f"_v_{self.name}"
+        return [F.expr(f"schema_of_variant({v})").alias(f"_kind_{self.name}"), F.expr(f"try_variant_get({v}, '$', 'string')").alias(f"_text_{self.name}"),
+                F.expr(f"try_variant_get({v}, '$', 'double')").alias(f"_number_{self.name}")]
+
     def real(self) -> Column:
         return (F.when(self.is_text, F.when(self.text.rlike(_REAL), F.btrim(self.text, F.lit(" \t\n\r\f\v")).try_cast("double")))
                 .when(self.is_truth, (self.text == "true").cast("double")).otherwise(self.number))
@@ -100,11 +108,15 @@ def coerce_requests(requests: DataFrame, defaults: dict = P.REQUEST_DEFAULTS,
       age 0-100, year 1980-2025, victims >= 1.
 
     Number columns of error rows hold the defaults, so later steps can run."""
-    not_object = ~F.coalesce(F.expr("schema_of_variant(body)").startswith("OBJECT"), F.lit(False))
-    bad, values = not_object, {}
+    fields = {name: _Field(name) for name in REQUEST_FIELDS}
+    kept = [c for c in requests.columns if c != "body"]
+    requests = requests.select("*", *[f.value() for f in fields.values()])
+    requests = requests.select(*requests.columns[:len(kept) + 1], F.coalesce(F.expr("schema_of_variant(body)").startswith("OBJECT"), F.lit(False)).alias("_object"),
+                               *[c for f in fields.values() for c in f.read()])
+    bad, values = ~F.col("_object"), {}
     for name, out, kind in (("age", "v_age", "double"), ("victims", "v_victims", "int"), ("year", "v_year", "int"),
                             ("historicalRate", "v_rate", "double")):
-        f = _Field(name)
+        f = fields[name]
         parsed = f.real() if kind == "double" else f.whole()
         if name == "historicalRate":
             missing = F.coalesce(f.absent | f.null, F.lit(True))
@@ -119,10 +131,10 @@ def coerce_requests(requests: DataFrame, defaults: dict = P.REQUEST_DEFAULTS,
         bad = bad | F.coalesce(wrong, F.lit(False))
         values[out] = F.coalesce(F.when(~missing, parsed), F.lit(defaults[name])).cast(kind)
     for name in ("sex", "race", "weapon", "state"):
-        f = _Field(name)
+        f = fields[name]
         values[f"v_{name}"] = F.when(f.absent, F.lit(defaults[name])).otherwise(f.text)
-    values["state_text"] = _Field("state").text
-    return requests.select("*", *[c.alias(n) for n, c in values.items()],
+    values["state_text"] = fields["state"].text
+    return requests.select(*kept, "body", *[c.alias(n) for n, c in values.items()],
                            F.when(bad, F.lit(P.ERROR_BAD_NUMBER)).alias("error"))
 
 

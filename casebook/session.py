@@ -110,12 +110,9 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder (never machine-local
-    on a cluster)."""
-    base = ensure_checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    path = os.path.join(base, f"casebook-{name}-{uuid.uuid4().hex[:12]}")
-    return path
+    on a cluster), with the scheme that folder has."""
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/casebook-{name}-{uuid.uuid4().hex[:12]}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

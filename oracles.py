@@ -913,4 +913,25 @@ ORACLES.update({
     "k1_stream_answers_fixed": f"""
         SELECT request_id, CASE WHEN error IS NULL THEN 'answers' ELSE 'rejects' END AS place, probability, error
         FROM ({with_cases(_responses_sql())})""",
+    "i8_coefficient_ends_fixed": """
+        SELECT feature, coef, round(exp(coef), 6) AS odds_ratio FROM (VALUES ('region_rate', 2.0::DOUBLE), ('weapon_service_Firearm', 0.8),
+            ('age_category_Child', 0.6), ('sex_Male', 0.4), ('weapon_service_Strangulation', -0.9), ('weapon_service_Knife', -0.5),
+            ('age_category_Senior', -0.4), ('sex_Unknown', -0.3)) t(feature, coef)""",
+    "i9_stump_split": with_cases(f""",{_LR_VOCAB},
+        tr AS (SELECT * FROM split WHERE split = 'train'),
+        side AS ({' UNION ALL '.join(f"SELECT k.col || '_' || k.category AS f, coalesce(CAST(tr.{c} = k.category AS INTEGER), 0) AS v, label FROM tr, lr_kept k WHERE k.col = '{c}'" for c in _LR_CAT)}),
+        cut AS (SELECT f, v, count(*) AS n, CAST(sum(label) AS BIGINT) AS pos FROM side GROUP BY f, v),
+        gain AS (SELECT f, sum(2.0 * pos * (n - pos) / n) AS impurity, count(*) AS sides FROM cut GROUP BY f)
+        SELECT f AS split_on, v AS value, n, pos AS positives FROM cut
+        WHERE f = (SELECT f FROM gain WHERE sides = 2 ORDER BY impurity, f LIMIT 1)"""),
+    "i11_elbow_recomputed": with_cases("""
+        SELECT CAST(k AS INTEGER) AS k, (SELECT count(*) FROM cases WHERE label = 0) AS n_rows, 0 AS n_moved, CAST(0 AS BIGINT) AS cost_difference
+        FROM (SELECT unnest(range(2, 6)) AS k)"""),
+    "b27_documented_ranges": with_cases(_REQ + """
+        , forms AS (SELECT *, CASE WHEN ca = 4 THEN 0.0 WHEN ca IN (6, 7) THEN 2.5 WHEN ca IN (9, 10) AND trunc(age) <> 0 THEN trunc(age) END AS a,
+            CASE WHEN cv = 4 THEN 0 WHEN cv = 6 THEN 2 WHEN cv = 10 OR (cv = 9 AND units <> 0) THEN units END AS v,
+            CASE WHEN cy = 4 THEN 0 WHEN cy = 6 THEN 2 WHEN cy IN (9, 10) THEN year END AS y FROM codes)
+        SELECT f.request_id, CASE WHEN rq.error IS NOT NULL OR a < 0 OR a > 100 OR v < 1 OR y < 1980 OR y > 2025
+               THEN 'Données numériques invalides' END AS error
+        FROM forms f JOIN rq ON f.request_id = rq.request_id"""),
 })

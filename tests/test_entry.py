@@ -70,7 +70,7 @@ def test_changed_input_is_read_anew(spark):
     """A stored table is keyed by the files it was made from."""
     import shutil
     from casebook.plans import catalog
-    sf = scratch_path(spark, "sf")
+    sf = scratch_path(spark, "sf").removeprefix("file:")
     shutil.copytree(SF, sf, copy_function=shutil.copyfile)
     os.chmod(sf, 0o755)  # the given folder may be read-only
     n = catalog.cases(spark, sf).count()
