@@ -24,7 +24,7 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata and conversion records of all pages, written as WARC files and read back."""
     path = scratch(spark, "warc")
-    warc.write(warc.derive(warc.responses(table(spark, sf_dir, "pages"))), path)
+    warc.write(warc.derive_pages(table(spark, sf_dir, "pages")), path)
     return warc.read(spark, path).selectExpr("type", "record_id", "refers_to", "uri", "date", "content_type", "block_digest",
                                              "n_bytes", "intact", "char_length(block) as n_chars")
 
