@@ -46,7 +46,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``.
+
+    NULL and empty texts pass the filters and end as the end id alone, as often as the
+    mix takes them (0 times, as they have no words); rows of NULL or repeated ids are
+    known by their text as well; columns beyond those of ``documents``, whatever their
+    names, go along to the last stage; an empty table gives no rows; without labels or
+    benchmark items nothing is toxic or contaminated."""
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
