@@ -33,10 +33,25 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{src}`").alias(dst) for dst, src in columns.items()])
 
 
+#: Folders that operators made in this session, for ``clear_scratch``.
+_MADE: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder in the checkpoint folder that all executors share (a URI:
     the scheme of ``spark.checkpoint.dir`` is kept)."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex[:12]}"
+    _MADE.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the folders that operators made so far, when their results have been
+    written or are no longer wanted; how many there were."""
+    n = len(_MADE)
+    while _MADE:
+        drop_folder(spark, _MADE.pop())
+    return n
 
 
 def store(df: DataFrame, name: str) -> DataFrame:

@@ -126,3 +126,13 @@ def test_pipeline_on_empty_tables(spark, odd):
     docs, labels, bench = odd
     assert corpus_pipeline.run(spark, tables(spark, docs.limit(0), labels.limit(0), bench.limit(0))).collect() == []
     assert corpus_pipeline.run(spark, tables(spark, docs, labels.limit(0), bench.limit(0))).count() > 0
+
+
+def test_scratch_can_be_cleared(spark, monkeypatch):
+    from casebook.llm import common
+    monkeypatch.setattr(common, "_MADE", [])
+    df = common.store(spark.range(3), "to-clear")
+    path = common._MADE[0]
+    assert df.count() == 3 and common.clear_scratch(spark) == 1 and common.clear_scratch(spark) == 0
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
