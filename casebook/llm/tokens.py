@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from casebook.llm.common import drop_folder, pick, scratch, shuffle_width, text_or_empty
+from casebook.llm.common import bounded_batches, drop_folder, pick, scratch, shuffle_width, text_or_empty
 
 #: Ids in a block at least, but for a shard's last; a block holds whole documents.
 BLOCK_IDS = 1 << 16
@@ -135,8 +135,8 @@ class WordEncoder:
         plain = [self.wordwise and not any(s in t for s in self.special) for t in texts]
         cut = [self._cut(t) if ok else [] for t, ok in zip(texts, plain)]
         known = self.pieces
-        self._learn(known.lacks({p for ps in cut for p in ps if p not in known}))
-        out = [b"".join([known[p] for p in ps]) for ps in cut]
+        self._learn(known.lacks(set().union(*cut).difference(known)))
+        out = [b"".join(map(known.__getitem__, ps)) for ps in cut]
         for i, ok in enumerate(plain):
             if not ok:
                 out[i] = np.array(self.tk.encode(texts[i], add_special_tokens=False).ids, dtype=self.dtype).tobytes()
@@ -230,6 +230,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2,
     order of their ids' bytes).  NULL text is the empty text, whose only id is
     ``end_id``; an empty table gives an empty set of blocks."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     dtype = _width(tokenizer)
     raw = scratch(spark, "tokens")
     token_ids(pick(docs, doc_id=id_col, text=text_col), tokenizer, end_id).write.option("compression", "zstd").parquet(raw)
@@ -269,24 +270,34 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2,
     drop_folder(spark, raw)
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """The files under ``path`` as (shard, block, nth, doc_id, ids): ``ids`` are a
-    document's ids as little-endian unsigned 32-bit integers."""
+def _decoded(spark: SparkSession, path: str):
+    """The rows of a frame of blocks, decoded: r -> (doc ids, ids of each document as
+    little-endian unsigned 32-bit integers)."""
     # one row for each id of the vocabulary at most
     ranks = spark.read.schema("rank long, id long, n long").parquet(f"{path}/ranks").toPandas()
     id_of = np.zeros(max(1, len(ranks)), "<u4")
     id_of[ranks["rank"].to_numpy(dtype=np.int64)] = ranks["id"].to_numpy()
     table = spark.sparkContext.broadcast(id_of)
 
+    def decode(r):
+        ids = table.value[unpack(r.control, r.data, r.n_ids)]
+        parts = np.split(ids, np.cumsum(np.asarray(r.doc_ids, dtype=np.int64))[:-1])
+        return pd.array([None if d is None or d != d else int(d) for d in r.doc_id], dtype="Int64"), parts
+
+    return decode
+
+
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """The files under ``path`` as (shard, block, nth, doc_id, ids): ``ids`` are a
+    document's ids as little-endian unsigned 32-bit integers."""
+    decode = _decoded(spark, path)
+
     def run(batches):
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                ids = table.value[unpack(r.control, r.data, r.n_ids)]
-                stops = np.cumsum(np.asarray(r.doc_ids, dtype=np.int64))
-                parts = np.split(ids, stops[:-1])
-                docs = [None if d is None or d != d else int(d) for d in r.doc_id]
+                docs, parts = decode(r)
                 yield pd.DataFrame({"shard": r.shard, "block": r.block, "nth": np.arange(len(parts)),
-                                    "doc_id": pd.array(docs, dtype="Int64"), "ids": [p.tobytes() for p in parts]})
+                                    "doc_id": docs, "ids": [p.tobytes() for p in parts]})
 
     return (spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
             .mapInPandas(run, "shard long, block long, nth long, doc_id long, ids binary"))
@@ -303,15 +314,16 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
         "ahead", F.coalesce(F.sum("all").over(before(Window.orderBy("shard"))), F.lit(0))).drop("all"))
     at = inside.join(shards, "shard").select("shard", "block", (F.col("in_shard") + F.col("ahead")).alias("block_start"))
 
+    decode = _decoded(spark, path)
+
     def crc(batches):
         for pdf in batches:
-            n = pdf["ids"].map(len).to_numpy() // 4
-            # the documents of a block come together and in order
-            key = pdf["shard"].to_numpy(), pdf["block"].to_numpy()
-            yield pd.DataFrame({"shard": key[0], "block": key[1], "nth": pdf["nth"], "doc_id": pdf["doc_id"].astype("Int64"),
-                                "n_tokens": n.astype(np.int64), "ids_crc32": [zlib.crc32(x) for x in pdf["ids"]]})
+            for r in pdf.itertuples(index=False):
+                ids, parts = decode(r)
+                yield pd.DataFrame({"shard": r.shard, "block": r.block, "nth": np.arange(len(parts)), "doc_id": ids,
+                                    "n_tokens": np.array([len(p) for p in parts], np.int64), "ids_crc32": [zlib.crc32(p) for p in parts]})
 
-    docs = read_ids(spark, path).mapInPandas(
+    docs = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks").mapInPandas(
         crc, "shard long, block long, nth long, doc_id long, n_tokens long, ids_crc32 long")
     here = Window.partitionBy("shard", "block").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
     return (docs.join(at, ["shard", "block"])
