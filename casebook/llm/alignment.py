@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -181,18 +182,21 @@ class Aligner:
         is_anchor[end_a[anchor_a]] = True
         stop_a, stop_b = np.flatnonzero(anchor_a) + 1, np.flatnonzero(is_anchor[end_b]) + 1
         of_doc = np.searchsorted(np.cumsum(n_a[ok]), stop_a)  # the place in ok of each window's text
-        wall = b"\xff" * (2 if self.small == "<u2" else 4)
-        raw_a, raw_b, w = a.astype(self.small).tobytes(), b.astype(self.small).tobytes(), len(wall)
-        keys, from_a, from_b = [], 0, 0
-        for to_a, to_b in zip((stop_a * w).tolist(), (stop_b * w).tolist()):
-            keys.append(raw_a[from_a:to_a] + wall + raw_b[from_b:to_b])
-            from_a, from_b = to_a, to_b
+        # a window's key: its ids of A, an id that no token has, its ids of B
+        windows = len(stop_a)
+        start_b = np.concatenate([[0], stop_b[:-1]])
+        of_a, of_b = np.repeat(np.arange(windows), np.diff(stop_a, prepend=0)), np.repeat(np.arange(windows), stop_b - start_b)
+        ids = np.full(len(a) + len(b) + windows, -1, np.int64).astype(self.small)
+        ids[np.arange(len(a)) + start_b[of_a] + of_a] = a
+        ids[np.arange(len(b)) + stop_a[of_b] + of_b + 1] = b
+        stops = ((stop_a + stop_b + np.arange(1, windows + 1)) * ids.itemsize).tolist()
+        keys = list(map(ids.tobytes().__getitem__, map(slice, [0, *stops[:-1]], stops)))
         found = list(map(self.new.get, keys))
         self._fill(found, keys, a, stop_a, b, stop_b)
-        links = b"".join([f[2] for f in found])
-        text_of = [f[1] for f in found]
-        size = np.array([len(f[2]) for f in found], np.int64) // 8
-        for name, values in ((n_groups, np.array([f[0] for f in found], np.int64)), (n_links, size)):
+        parts = list(map(itemgetter(2), found))
+        links, text_of = b"".join(parts), list(map(itemgetter(1), found))
+        size = np.fromiter(map(len, parts), np.int64, windows) // 8
+        for name, values in ((n_groups, np.fromiter(map(itemgetter(0), found), np.int64, windows)), (n_links, size)):
             name[ok] = np.bincount(of_doc, values, len(ok)).astype(np.int64)
         stops = np.searchsorted(of_doc, np.arange(len(ok)), "right").tolist()
         at = 0
