@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casebook.llm.common import LOWER_AZ, bits_for, components, drop_folder, likely, pick, scratch, store, text_or_empty
+from casebook.llm.common import LOWER_AZ, bits_for, bounded_batches, components, drop_folder, likely, pick, scratch, store, text_or_empty
 
 GROUP_ROWS, GROUP_TOKENS = 128, 400_000
 MIN_HASHES = 2
@@ -136,9 +136,10 @@ def sets(docs: DataFrame, size: int, threshold: int) -> DataFrame:
 
 
 def _alive(found: DataFrame) -> DataFrame:
-    """(doc_id, d1, d2, family) of the sets that may link with a set of another
-    document: their prefixes hold enough tokens that others' prefixes hold.  The
-    family is the one of those tokens that most documents have, with their number.
+    """(doc_id, d1, d2, family, even, odd) of the sets that may link with a set of
+    another document: their prefixes hold enough tokens that others' prefixes hold.  The
+    family is the one of those tokens that most documents have, with their number; even
+    and odd are the same among the tokens of either parity.
 
     Tokens are compared by as many bits as keep chance meetings rare among so many
     (12 bits more than the count has); a chance meeting only keeps a set."""
@@ -148,10 +149,12 @@ def _alive(found: DataFrame) -> DataFrame:
         "doc_id", F.shiftrightunsigned("token", 64 - min(64, bits_for(int(total)) + 12)).alias("token"))
     shared = (entries.groupBy("token").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("docs"))
               .where("a < b").select("token", "docs"))
+    each = F.struct("docs", "token")
     met = entries.join(shared, "token").groupBy("doc_id").agg(
-        F.count("*").alias("met"), F.max(F.struct("docs", "token")).alias("family"))
+        F.count("*").alias("met"), F.max(each).alias("family"), F.max(F.when(F.col("token") % 2 == 0, each)).alias("even"),
+        F.max(F.when(F.col("token") % 2 != 0, each)).alias("odd"))
     return (prefixes.select("doc_id", "d1", "d2", "need").join(met, "doc_id").where("met >= need")
-            .select("doc_id", "d1", "d2", "family"))
+            .select("doc_id", "d1", "d2", "family", "even", "odd"))
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -236,11 +239,13 @@ def _across(found: DataFrame, linked: DataFrame, threshold: int) -> DataFrame:
 
     The matrix holds, for each group of a unit, the union of the members' prefixes;
     a query whose prefix meets a group's in fewer tokens than a linked set's would
-    is through with it.  The others are bounded by the union of all the members'
-    tokens, and the members of a group are compared only with queries that pass.
-    The rows of a family's group are compared with one another as well."""
+    is through with it.  Queries and groups that have one of the two tokens that most
+    documents have (of even and of odd ones) in common share most tokens: they meet by
+    blocks of the matrix, the others by their tokens.  What is left is bounded by the union of all the members' tokens, and the members of a group are
+    compared only with queries that pass.  The rows of a family's group are compared
+    with one another as well."""
     comp = components(linked, "jaccard-a")
-    placed = (found.select("doc_id", "n", "need", "prefix", "family").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    placed = (found.select("doc_id", "n", "need", "prefix", "family", "even", "odd").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
               .withColumn("component", F.coalesce("component", "doc_id")))
     sizes = placed.groupBy("component").agg(F.count("*").alias("rows"), F.sum("n").alias("all"),
                                               F.struct(F.max("family").alias("family"), _band(F.max("n")).alias("band")).alias("kin"))
@@ -251,22 +256,28 @@ def _across(found: DataFrame, linked: DataFrame, threshold: int) -> DataFrame:
                  F.lit("f"), F.col("kin.family.token"), F.lit("-"), F.col("kin.band"), F.lit("-"), "share")).otherwise(F.concat(F.lit("c"), "component")).alias("unit")))
     g = F.when(F.col("loose"), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("doc_id"), _chunk("rows", "all")))
     rows = F.when(F.col("loose"), F.lit(1).cast("long")).otherwise(F.col("rows"))
-    placed = store(placed.join(units, "component").select("doc_id", "n", "need", "prefix", "unit", rows.alias("rows"), g.alias("g"), "loose"),
-                   "jaccard-placed")
+    placed = store(placed.join(units, "component").select(
+        "doc_id", "n", "need", "prefix", "unit", "even", "odd", rows.alias("rows"), g.alias("g"), "loose"), "jaccard-placed")
+    # a group's two tokens: of its members' the ones that most documents have
+    heads = placed.groupBy("unit", "g").agg(F.max("even").alias("even"), F.max("odd").alias("odd")).select(
+        F.col("unit").alias("to"), "g", F.col("even.token").alias("to_even"), F.col("odd.token").alias("to_odd"))
+    heads = store(heads, "jaccard-heads")
     # tokens of one unit only can't join two
     crossing = (placed.select("unit", F.explode("prefix").alias("token")).groupBy("token")
                 .agg(F.min("unit").alias("x"), F.max("unit").alias("y")).where("x < y").select("token"))
     cells = (placed.select("unit", "rows", "g", "n", F.explode("prefix").alias("token")).groupBy("unit", "rows", "g", "token")
              .agg(F.min("n").alias("least"), F.max("n").alias("most")))
-    matrix = cells.join(crossing, "token").select(
-        "token", F.col("unit").alias("to"), F.col("rows").alias("to_rows"), "g", "least", "most")
-    asks = placed.select("doc_id", "n", "need", "unit", "rows", F.explode("prefix").alias("token"))
+    matrix = cells.join(crossing, "token").select("token", F.col("unit").alias("to"), F.col("rows").alias("to_rows"), "g", "least", "most")
+    matrix = matrix.join(heads, ["to", "g"])
+    asks = placed.select("doc_id", "n", "need", F.col("even.token").alias("even"), F.col("odd.token").alias("odd"), "unit", "rows",
+                         F.explode("prefix").alias("token"))
     # the smaller unit asks; sizes of linked sets differ by the threshold at most
-    fits = (F.struct("rows", "unit") < F.struct("to_rows", "to")) & (100 * F.col("n") >= threshold * F.col("least")) \
+    apart = ~F.coalesce(F.col("even") == F.col("to_even"), F.lit(False)) & ~F.coalesce(F.col("odd") == F.col("to_odd"), F.lit(False))
+    fits = apart & (F.struct("rows", "unit") < F.struct("to_rows", "to")) & (100 * F.col("n") >= threshold * F.col("least")) \
         & (100 * F.col("most") >= threshold * F.col("n"))
     opened = (asks.join(matrix, "token").where(fits).groupBy("doc_id", "need", "to", "g").agg(F.count("*").alias("bound"))
               .where("bound >= need").select("doc_id", "to", "g"))
-    opened = store(opened, "jaccard-asked")
+    opened = store(opened.unionAll(_within_families(placed, heads, threshold)), "jaccard-asked")
     per_group = opened.groupBy("to", "g").agg(F.count("*").alias("asked"))
     opened = store(opened.join(per_group, ["to", "g"]).withColumn("parts", F.ceil(F.col("asked") / GROUP_ROWS).cast("long"))
                    .withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).drop("asked"), "jaccard-opened")
@@ -295,6 +306,56 @@ def _across(found: DataFrame, linked: DataFrame, threshold: int) -> DataFrame:
     return inside.unionAll(across)
 
 
+#: Queries and groups of one family in a block of the matrix.
+BLOCK_QUERIES, BLOCK_GROUPS = 512, 64
+
+
+def _within_families(placed: DataFrame, heads: DataFrame, threshold: int) -> DataFrame:
+    """(doc_id, to, g): for each query the groups of other units that share one of its two
+    family tokens and hold enough of its prefix, in blocks of queries and groups."""
+    unions = (placed.groupBy(F.col("unit").alias("to"), F.col("rows").alias("to_rows"), "g").agg(
+        F.array_distinct(F.flatten(F.collect_list("prefix"))).alias("tokens"), F.min("n").alias("least"), F.max("n").alias("most"))
+        .join(heads, ["to", "g"]))
+    both = lambda even, odd: F.explode(F.array(F.struct(F.lit(0).alias("p"), F.col(even).alias("token")),
+                                               F.struct(F.lit(1).alias("p"), F.col(odd).alias("token")))).alias("f")
+    docs = placed.select("doc_id", "n", "need", "unit", "rows", "prefix", F.coalesce("even.token", F.lit(-1).cast("long")).alias("even"),
+                         both("even.token", "odd.token")).where(
+        "f.token is not null")
+    groups = unions.select("to", "to_rows", "g", "least", "most", "tokens", F.coalesce("to_even", F.lit(-1).cast("long")).alias("m_even"),
+                           both("to_even", "to_odd")).where("f.token is not null")
+    fams = (docs.groupBy("f").agg(F.count("*").alias("docs"), F.min("unit").alias("x"))
+            .join(groups.groupBy("f").agg(F.count("*").alias("groups"), F.max("to").alias("y")), "f").where("groups > 1 or x <> y")
+            .select("f", F.ceil(F.col("docs") / BLOCK_QUERIES).cast("long").alias("db"), F.ceil(F.col("groups") / BLOCK_GROUPS).cast("long").alias("gb")))
+    fams = store(fams, "jaccard-families")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    queries = docs.join(fams, "f").select(F.col("f.p").alias("p"), F.col("f.token").alias("fam"), F.pmod(F.xxhash64("doc_id"), F.col("db")).alias("i"),
+                                          every("gb").alias("j"), "doc_id", "n", "need", "unit", "rows", "prefix", "even")
+    groups = groups.join(fams, "f").select(
+        F.col("f.p").alias("m_p"), F.col("f.token").alias("m_fam"), every("db").alias("m_i"), F.pmod(F.xxhash64("to", "g"), F.col("gb")).alias("m_j"),
+        "to", "to_rows", "g", "least", "most", "tokens", "m_even")
+
+    def run(left, right):
+        out = []
+        if len(left) and len(right):
+            prefixes = list(left["prefix"])
+            tokens, owner = np.concatenate(prefixes), np.repeat(np.arange(len(left)), [len(x) for x in prefixes])
+            n, need = left["n"].to_numpy(), left["need"].to_numpy()
+            asker = list(zip(left["rows"], left["unit"]))
+            ids = left["doc_id"].to_numpy()
+            even = left["even"].to_numpy()  # -1: none
+            for r in right.itertuples(index=False):
+                union = np.sort(np.asarray(r.tokens))
+                at = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
+                bound = np.bincount(owner[union[at] == tokens], minlength=len(left))
+                passed = (bound >= need) & (100 * n >= threshold * r.least) & (100 * r.most >= threshold * n)
+                if r.m_p and r.m_even >= 0:
+                    passed &= even != r.m_even  # met by the even token already
+                out += [(int(ids[k]), r.to, int(r.g)) for k in np.flatnonzero(passed).tolist() if asker[k] < (r.to_rows, r.to)]
+        return pd.DataFrame(out, columns=["doc_id", "to", "g"]).astype({"doc_id": "int64", "g": "int64"})
+
+    return queries.groupBy("p", "fam", "i", "j").cogroup(groups.groupBy("m_p", "m_fam", "m_i", "m_j")).applyInPandas(run, "doc_id long, to string, g long")
+
+
 def _count_in(tokens: np.ndarray, union: np.ndarray) -> int:
     """How many of ``tokens`` are in the sorted ``union``."""
     at = np.searchsorted(union, tokens)
@@ -313,6 +374,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     base = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     spark = docs.sparkSession
+    bounded_batches(spark)
     path = scratch(spark, "jaccard-sets")
     sets(base, size, threshold).write.option("compression", "zstd").parquet(path)
     found = spark.read.schema(SETS).parquet(path)
@@ -327,7 +389,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = (likely(base, alive.select("doc_id"), "doc_id").join(alive, "doc_id").dropDuplicates())
     whole = store(sets(texts.select("doc_id", "text", "d1", "d2"), size, threshold), "jaccard-whole")
     # once more, by longer prefixes
-    whole = store(whole.join(_alive(whole).select("doc_id", "family").distinct(), "doc_id"), "jaccard-kept")
+    whole = store(whole.join(_alive(whole).select("doc_id", "family", "even", "odd").distinct(), "doc_id"), "jaccard-kept")
     near = store(_in_groups(whole, threshold), "jaccard-near")
     far = store(_across(whole, near, threshold), "jaccard-far")
     comp = components(near.unionAll(far), "jaccard-all")
@@ -338,16 +400,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest id.  A
-    document is an id with a text: rows that repeat both are one, texts that share an
-    id are documents of their own.  Rows of NULL id stay."""
+    """``docs`` with one document of each component, that of the smallest id (NULL after
+    all others).  A document is an id with a text: rows that repeat both are one, texts
+    that share an id, or have none, are documents of their own."""
     from pyspark.sql import Window
-    keyed = docs.where(F.col(f"`{id_col}`").isNotNull()).withColumn(
-        "__row", F.xxhash64(F.col(f"`{id_col}`"), text_or_empty(f"`{text_col}`")))
+    keyed = docs.withColumn("__row", F.xxhash64(F.col(f"`{id_col}`"), text_or_empty(f"`{text_col}`")))
     comps = jaccard_components(keyed, id_col="__row", text_col=text_col, **options).select(F.col("doc_id").alias("__row"), "component_id")
-    ids = keyed.select(F.col(f"`{id_col}`").alias("__id"), "__row").distinct()
-    keep = (comps.distinct().join(ids, "__row").groupBy("component_id").agg(F.min(F.struct("__id", "__row")).alias("__first"))
+    ids = keyed.select(F.col(f"`{id_col}`").isNull().alias("__none"), F.col(f"`{id_col}`").alias("__id"), "__row").distinct()
+    keep = (comps.distinct().join(ids, "__row").groupBy("component_id").agg(F.min(F.struct("__none", "__id", "__row")).alias("__first"))
             .select("__first.__row").distinct())
     order = Window.partitionBy("__row").orderBy(*[F.col(f"`{c}`") for c in docs.columns])
-    first = keyed.join(keep, "__row").withColumn("__nth", F.row_number().over(order)).where("__nth = 1").drop("__nth", "__row")
-    return first.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+    return keyed.join(keep, "__row").withColumn("__nth", F.row_number().over(order)).where("__nth = 1").drop("__nth", "__row")
