@@ -2,15 +2,18 @@
 
 Two lines within ``k`` edits share, if one is cut into k + 1 segments, at least
 one segment, and that stands in the other line near its own place.  A line of n
-characters indexes its k + 1 segments by (n, segment, content); each line probes,
-for every partner length from n - k to n, the substrings that could be such a
-segment.  What meets is verified by a banded bit-parallel edit distance.
+characters indexes its k + 1 segments by (n, segment, content); each distinct line
+probes, for every partner length from n - k to n, the substrings that could be such a
+segment.  What meets is verified by a banded bit-parallel edit distance: first each
+line with the smallest line of its signature, then, of what that left in different
+components, the lines that lengths and letter counts allow to link.
 
 Without a given ``k`` the threshold grows with the shorter of two lines
-(``allowed``).  The number of probes grows with the cube of k, so lines from
-``LONG_EDITS`` edits on meet otherwise: k edits leave a run of at least
-(n - k) / (k + 1) equal characters, and two equal runs of WINDOW + GRAM - 1
-characters select the same GRAM of the smallest hash.
+(``allowed``): one edit from 8 characters on, k from k * ``PER`` on.  Lines of k >= 2
+edits are cut at places that their class fixes, so that a probe serves partners of all
+lengths.  The probes grow with the square of k, so lines of ``LONG_EDITS`` edits or more
+meet otherwise: k edits leave a run of at least (n - k) / (k + 1) equal characters, and
+two equal runs of WINDOW + GRAM - 1 characters select the same GRAM of the smallest hash.
 """
 
 from __future__ import annotations
@@ -28,50 +31,57 @@ LEAST_CHARS = 20
 #: equal), and for each PER characters of a longer line one, without an upper limit.
 SHORT_CHARS = 8
 PER = 100
-#: Lines of so many edits or more meet at selected grams instead of segments.
-LONG_EDITS = 8
+#: Lines of so many edits or more meet at selected grams instead of segments: the band
+#: of fewer fits into the bits of a long.
+LONG_EDITS = 31
 POSITION_BITS = 26  # of the packed (hash, position): lines of up to 2**26 characters
 
 
-def _segments(k: int, n: str) -> list[tuple[str, str]]:
-    """(start from 0, length) of each of k + 1 segments of a line of ``n`` characters;
-    the last ones are longer by one where n isn't divisible."""
-    out = []
-    for s in range(k + 1):
-        short = f"({n} div {k + 1})"
-        extra = f"greatest(0, {n} % {k + 1} - {k + 1 - s})"  # longer segments before this one
-        longer = f"if({s} >= {k + 1} - {n} % {k + 1}, 1, 0)"
-        out.append((f"({s} * {short} + {extra})", f"({short} + {longer})"))
-    return out
-
-
-def _keys(k: int) -> tuple[str, str]:
-    """SQL arrays of (hash, how much shorter the partner is): a line's own segments,
-    for which that is -1, and its probes."""
-    own, probes = [], []
-    for s, (at, size) in enumerate(_segments(k, "n")):
-        own.append(f"struct(xxhash64(n, {s}, substring(line, {at} + 1, {size})) as sig, -1 as less)")
-    for less in range(k + 1):  # the partner's length is n - less
-        for s, (at, size) in enumerate(_segments(k, f"(n - {less})")):
+def _places(k: int) -> list[tuple[int, int, int]]:
+    """(segment, how much shorter the partner is, shift) of a line's own segments, for
+    which the second is -1, and of its probes.  A probe of the own length without a shift
+    is an own segment."""
+    out = [(s, -1, 0) for s in range(k + 1)]
+    for less in range(k + 1):
+        for s in range(k + 1):
             for shift in range(-k, k + 1):
                 # what stands before and behind the segment differs in length by shift and less - shift:
                 # so many edits at least; of the first equal segment, s edits at most stand before it
-                if abs(shift) + abs(less - shift) <= k and abs(shift) <= s and abs(less - shift) <= k - s:
-                    probes.append(f"if({at} + {shift} >= 0 and {at} + {shift} + {size} <= n, "
-                                  f"struct(xxhash64(n - {less}, {s}, substring(line, {at} + {shift} + 1, {size})) as sig, "
-                                  f"{less} as less), null)")
-    return f"array({', '.join(own)})", f"array_compact(array({', '.join(probes)}))"
+                if (abs(shift) + abs(less - shift) <= k and abs(shift) <= s and abs(less - shift) <= k - s) and (less or shift):
+                    out.append((s, less, shift))
+    return out
+
+
+def _entries(lines: DataFrame, edits, most: int) -> DataFrame:
+    """(key, sig, less) of lines(key, line, n): signatures of their segments and probes.
+    ``edits(n)`` is SQL for the edits a shorter line of n characters allows, ``most`` at
+    the most; a line may be the longer one of a pair with one edit fewer.  The segments
+    are computed by one expression over a table of places, whatever the threshold."""
+    table = "array(" + ", ".join("array(" + ", ".join(f"named_struct('s', {a}, 'less', {b}, 'shift', {c})" for a, b, c in _places(k)) + ")"
+                                 for k in range(1, most + 1)) + ")"
+    df = lines.withColumn("k", F.expr(edits("n"))).where(f"k between 1 and {most + 1}")
+    df = df.select("key", "line", "n", F.explode(F.array("k", F.col("k") - 1)).alias("k")).where(f"k between 1 and {most}")
+    m, parts = "(n - greatest(p.less, 0))", "(k + 1)"
+    long = f"(p.s - {parts} + {m} % {parts})"  # the last segments are longer by one
+    start = f"(p.s * ({m} div {parts}) + greatest(0, {long}) + p.shift)"
+    size = f"({m} div {parts} + if({long} >= 0, 1, 0))"
+    places = f"""filter(element_at({table}, k), p -> {edits(m)} = k and {start} >= 0 and {start} + {size} <= n)"""
+    sigs = f"transform({places}, p -> named_struct('sig', xxhash64({m}, p.s, substring(line, cast({start} + 1 as int), cast({size} as int))), 'less', p.less))"
+    return df.select("key", F.explode(F.expr(sigs)).alias("e")).select("key", "e.sig", "e.less")
+
+
+#: Greatest threshold whose band fits into the bits of a long.
+BAND_EDITS = LONG_EDITS - 1
 
 
-def within(a: str, b: str, k: int) -> Column:
-    """Whether the edit distance of columns ``a`` and ``b`` is at most ``k``.
+def within(a: str, b: str, k: int | str) -> Column:
+    """Whether the edit distance of columns ``a`` and ``b`` is at most ``k`` (a number or
+    an int column, up to BAND_EDITS).
 
     What the texts share at both ends is cut off by bisection.  Of the rest, each
     character of b is a column of 2k + 1 cells around the diagonal, kept as bits of
     vertical differences; the distance is followed down the lower edge of the
     band, then along the last row."""
-    w = 2 * k + 1
-    full = (1 << w) - 1
     steps = "array(" + ",".join(str(1 << i) for i in range(24, -1, -1)) + ")"
     least = "least(char_length(a), char_length(b))"
     head = (f"aggregate({steps}, 0, (p, s) -> if(p + s <= {least} and "
@@ -79,22 +89,21 @@ def within(a: str, b: str, k: int) -> Column:
     tail = (f"aggregate({steps}, 0, (p, s) -> if(p + s <= {least} - h and "
             "right(left(a, char_length(a) - p), s) = right(left(b, char_length(b) - p), s), p + s, p))")
     strip = lambda x: f"substring({x}, h + 1, char_length({x}) - h - t)"
-    step = f"""if(z.d > {2 * k} + n - m, z, named_struct(
-        'vp', (y.hn | (~(shiftright(y.d0, 1) | y.hp))) & {full}L, 'vn', shiftright(y.d0, 1) & y.hp, 'd',
-        z.d + if(j <= m - {k}, if(y.d0 & {1 << (w - 1)}L = 0, 1, 0),
-              if(y.hp & shiftleft(1L, m - j + {k}) <> 0, 1, 0) - if(y.hn & shiftleft(1L, m - j + {k}) <> 0, 1, 0))))"""
-    match = f"aggregate(sequence(0, {w - 1}), 0L, (x, i) -> if(coalesce(get(p, j - {k} + i - 1) = get(q, j - 1), false), x | shiftleft(1L, i), x))"
+    step = """if(z.d > 2 * k + n - m, z, named_struct(
+        'vp', (y.hn | (~(shiftright(y.d0, 1) | y.hp))) & f, 'vn', shiftright(y.d0, 1) & y.hp, 'd',
+        z.d + if(j <= m - k, if(y.d0 & shiftleft(1L, 2 * k) = 0, 1, 0),
+              if(y.hp & shiftleft(1L, m - j + k) <> 0, 1, 0) - if(y.hn & shiftleft(1L, m - j + k) <> 0, 1, 0))))"""
+    match = "aggregate(sequence(0, 2 * k), 0L, (x, i) -> if(coalesce(get(p, j - k + i - 1) = get(q, j - 1), false), x | shiftleft(1L, i), x))"
     let = lambda name, value, body: f"element_at(transform(array({value}), {name} -> {body}), 1)"
-    d0 = f"((((x & z.vp) + z.vp) ^ z.vp) | x | z.vn) & {full}L"
-    inner = let("x", match, let("d", d0, let(
-        "y", "named_struct('d0', d, 'hp', (z.vn | ~(d | z.vp)) & " + f"{full}L, 'hn', d & z.vp)", step)))
-    start = f"named_struct('vp', {full}L & ~{(1 << k) - 1}L, 'vn', 0L, 'd', {k})"
+    d0 = "((((x & z.vp) + z.vp) ^ z.vp) | x | z.vn) & f"
+    inner = let("x", match, let("d", d0, let("y", "named_struct('d0', d, 'hp', (z.vn | ~(d | z.vp)) & f, 'hn', d & z.vp)", step)))
+    start = "named_struct('vp', f & ~(shiftleft(1L, k) - 1), 'vn', 0L, 'd', k)"
     walk = f"aggregate(if(n > 0, sequence(1, n), cast(array() as array<int>)), {start}, (z, j) -> {inner}).d"
-    value = (f"case when abs(m - n) > {k} then {k + 1} when m <= {k} or n <= {k} then least({k + 1}, levenshtein(c, e)) else {walk} end")
+    value = f"case when abs(m - n) > k then k + 1 when m <= k or n <= k then least(k + 1, levenshtein(c, e)) else {walk} end"
     sql = let("h", head, let("t", tail, let("c", strip("a"), let("e", strip("b"), let(
         "m", "char_length(c)", let("n", "char_length(e)", let("p", "split(c, '')", let("q", "split(e, '')", value))))))))
-    sql = let("a", a, let("b", b, sql))
-    return F.expr(f"{sql} <= {k}")
+    sql = let("f", "shiftleft(1L, 2 * k + 1) - 1", let("a", a, let("b", b, f"{sql} <= k")))
+    return F.expr(let("k", f"cast({k} as int)", sql))
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -109,44 +118,143 @@ def allowed(n: str, per: int = PER) -> str:
     return f"if({n} < {SHORT_CHARS}, 0, greatest(1, cast({n} div {per} as int)))"
 
 
-def links(docs: DataFrame, k: int, least_chars: int, id_col: str, text_col: str) -> DataFrame:
-    """(a, b): keys of different lines within ``k`` edits."""
-    lines = lines_of(docs, id_col, text_col).where(F.col("n") >= least_chars)
-    own, probes = _keys(k)
-    entries = lines.select("key", F.explode(F.expr(f"concat({own}, {probes})")).alias("e")).select("key", "e.sig", "e.less")
-    both = _with_texts(lines, _meet(entries))
-    return both.where(within("la", "lb", k)).select("a", "b")
-
-
-def grown_links(docs: DataFrame, per: int, id_col: str, text_col: str) -> DataFrame:
-    """(a, b): keys of different lines within the edits that the shorter is allowed."""
-    lines = lines_of(docs, id_col, text_col).where(F.col("n") >= SHORT_CHARS)
-    long, classes = LONG_EDITS * per, []
-    for k in range(1, LONG_EDITS):
-        # the shorter of two lines has lo to hi characters; keys of segments hold its length
-        lo, hi = SHORT_CHARS if k == 1 else k * per, (k + 1) * per - 1
-        own, probes = _keys(k)
-        classes.append(f"if(n between {lo} and {hi + k}, filter(concat({own}, {probes}), e -> n - greatest(e.less, 0) between {lo} and {hi}), "
-                       "cast(array() as array<struct<sig: bigint, less: int>>))")
-    low = lines.where(F.col("n") < long + LONG_EDITS)
-    entries = low.select("key", F.explode(F.expr(f"concat({', '.join(classes)})")).alias("e")).select("key", "e.sig", "e.less")
-    tall = lines.where(F.col("n") >= long)
-    pairs = store(_meet(entries).unionAll(_meet_long(tall, per)).distinct(), "lines-all")
-    shorter = allowed("least(char_length(la), char_length(lb))", per)
-    return _with_texts(lines, pairs).where(F.expr(f"levenshtein(la, lb, {shorter}) >= 0")).select("a", "b")
-
-
-def _meet(entries: DataFrame) -> DataFrame:
-    """(a, b): keys of lines of which one's probe is the other's segment."""
-    # signatures at which two different lines meet
-    met = (entries.groupBy("sig").agg(F.min("key").alias("x"), F.max("key").alias("y"), F.max("less").alias("o"), F.min("less").alias("p"))
-           .where("x < y and p = -1 and o >= 0").select("sig"))
-    left = store(entries.join(met, "sig").distinct(), "lines-met")
-    # lines of one length meet both ways: once is enough
-    pairs = (left.where("less = -1").select("sig", F.col("key").alias("a"))
-             .join(left.where("less >= 0").select("sig", "less", F.col("key").alias("b")), "sig")
-             .where("a <> b and (less > 0 or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    return store(pairs, "lines-pairs")
+def links(docs: DataFrame, k: int, least_chars: int, id_col: str, text_col: str, complete: bool = True) -> DataFrame:
+    """(a, b): keys of different lines within ``k`` edits; without ``complete`` only as
+    many as their components need."""
+    if not 1 <= k <= BAND_EDITS:
+        raise ValueError(f"k: 1 to {BAND_EDITS}")
+    lines, edits = _distinct(docs, least_chars, id_col, text_col), lambda n: str(k)
+    return _linked(lines, [(_met(_entries(lines, edits, k)), None)], edits, complete)
+
+
+def grown_links(docs: DataFrame, per: int, id_col: str, text_col: str, complete: bool = True) -> DataFrame:
+    """(a, b): keys of different lines within the edits that the shorter is allowed;
+    without ``complete`` only as many as their components need."""
+    lines = _distinct(docs, SHORT_CHARS, id_col, text_col)
+    edits = lambda n: allowed(n, per)
+    low = lines.where(F.col("n") < LONG_EDITS * per + LONG_EDITS)
+    # one edit: segments by the partner's length; more: by class
+    entries = _entries(low.where(F.col("n") <= 2 * per), lambda n: f"least({edits(n)}, 2)", 1).unionAll(_class_entries(low, per, BAND_EDITS))
+    grams = _grams(lines.where(F.col("n") >= LONG_EDITS * per), per).select("key", "sig", F.lit(-1).alias("less"), "at")
+    return _linked(lines, [(_met(entries), None), (_met(grams), "at")], edits, complete)
+
+
+def _distinct(docs: DataFrame, least: int, id_col: str, text_col: str) -> DataFrame:
+    """(line, n, key) of the different lines of at least so many characters."""
+    lines = lines_of(docs, id_col, text_col).where(F.col("n") >= least).select("line").distinct()
+    return store(lines.select("line", F.char_length("line").alias("n"), F.xxhash64("line").alias("key")), "lines-distinct")
+
+
+def _class_places(k: int) -> list[tuple[int, int, int]]:
+    """(segment, role, shift) of lines of one class, whose first k segments have one size
+    and whose last reaches to the end: role -1 for the shorter line's own, 0 for the
+    longer line's probes.  Of the first equal segment that has no more edits before it
+    than its number, and none too many behind it, a partner longer by d stands shifted
+    by t with |t| + |d - t| edits at least."""
+    out = [(s, -1, 0) for s in range(k + 1)]
+    for s in range(k + 1):
+        for shift in range(-k, k + 1):
+            if shift and any(abs(shift) <= s and abs(d - shift) <= k - s and abs(shift) + abs(d - shift) <= k for d in range(k + 1)):
+                out.append((s, 0, shift))
+    return out
+
+
+def _class_entries(lines: DataFrame, per: int, most: int) -> DataFrame:
+    """(key, sig, less) of lines(key, line, n) of 2 to ``most`` allowed edits.
+
+    The lines of a class, k, have k * per characters at least, of which each of the first
+    k segments takes (k * per) div (k + 1), whatever the line's length: a probe serves
+    partners of all lengths, but for the last segment's, which hold the partner's length
+    (as they end with the line, their shift is what the lengths differ by)."""
+    table = "array(" + ", ".join("array(" + ", ".join(f"named_struct('s', {a}, 'less', {b}, 'shift', {c})" for a, b, c in _class_places(k)) + ")"
+                                 for k in range(1, most + 1)) + ")"
+    df = lines.withColumn("k", F.expr(f"cast(n div {per} as int)")).where(f"k between 2 and {most + 1}")
+    # a line may also be the longer one of a pair of the class below
+    border = F.when(F.expr(f"n - (k - 1) < k * {per}"), F.array("k", F.col("k") - 1)).otherwise(F.array("k"))
+    df = (df.select("key", "line", "n", F.explode(border).alias("k")).where(f"k between 2 and {most}")
+          .select("key", "line", "n", "k", F.expr(f"cast((k * {per}) div (k + 1) as int)").alias("size"),
+                  F.expr(f"cast(n div {per} as int) = k").alias("own")))
+    # of the last segment, the partner's length is n - shift: it must be of the class
+    fits = f"""if(p.s = k, p.shift >= 0 and (n - p.shift) div {per} = k, p.s * size + p.shift >= 0 and p.s * size + p.shift + size <= n)
+               and (own or p.less = 0)"""
+    sig = """if(p.s = k, xxhash64(k, k, n - p.shift, substring(line, k * size + p.shift + 1)),
+                xxhash64(k, p.s, substring(line, p.s * size + p.shift + 1, size)))"""
+    # without an own entry the unshifted places are probes as well
+    places = f"""if(own, element_at({table}, k), transform(element_at({table}, k), p -> named_struct('s', p.s, 'less', 0, 'shift', p.shift)))"""
+    sigs = f"transform(filter({places}, p -> {fits}), p -> named_struct('sig', {sig}, 'less', p.less))"
+    return df.select("key", F.explode(F.expr(sigs)).alias("e")).select("key", "e.sig", "e.less")
+
+
+def _met(entries: DataFrame) -> DataFrame:
+    """The entries (key, sig, less, ...) of signatures at which two lines meet, one of
+    them by a segment of its own; and the smallest such line (leader)."""
+    entries = store(entries, "lines-entries")
+    own = F.when(F.col("less") == -1, F.col("key"))
+    met = (entries.groupBy("sig").agg(F.min("key").alias("x"), F.max("key").alias("y"), F.min(own).alias("leader"))
+           .where("x < y and leader is not null").select("sig", "leader"))
+    met = store(met, "lines-signatures")
+    return store(likely(entries, met.select("sig"), "sig").join(met, "sig"), "lines-met")
+
+
+#: Letters that are counted: an edit changes two of the counts by one at most.
+COUNTED = ("e", "a", "[io]", "[tn]", "[rs]", "[lduc]", "[0-9]")
+
+
+def _linked(lines: DataFrame, ways: list[tuple[DataFrame, str | None]], edits, complete: bool) -> DataFrame:
+    """(a, b): links among the lines that meet in any of ``ways`` (entries, and the name of
+    the place that two entries may differ in by the allowed edits, if they have one).
+
+    Lines of one signature are compared if their lengths and counts of some letters differ
+    by no more than the edits explain.  Without ``complete``, each line is compared with
+    the leader of each of its signatures first, and then only lines whose components
+    differ are."""
+    keys = None
+    for met, _ in ways:
+        one = met.select("key")
+        keys = one if keys is None else keys.unionAll(one)
+    wanted = keys.distinct()
+    counts = [F.regexp_count("line", F.lit(x)).alias(f"h{i}") for i, x in enumerate(COUNTED)]
+    texts = store(likely(lines, wanted, "key").join(wanted, "key").select("key", "line", "n", *counts), "lines-texts")
+    short = texts.drop("line")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        both = (pairs.join(texts.select(F.col("key").alias("a"), F.col("line").alias("la"), F.col("n").alias("na")), "a")
+                .join(texts.select(F.col("key").alias("b"), F.col("line").alias("lb"), F.col("n").alias("nb")), "b")
+                .withColumn("k", F.expr(edits("least(na, nb)"))))
+        near = F.when(F.col("k") <= BAND_EDITS, within("la", "lb", "k")).otherwise(F.expr("levenshtein(la, lb, k) >= 0"))
+        return store(both.where(F.col("k") > 0).where(near).select("a", "b"), name)
+
+    def side(x: str) -> DataFrame:
+        return short.select(*[F.col(c).alias(f"{c}_{x}") for c in short.columns])
+
+    explained = F.expr(f"abs(n_a - n_b) <= {edits('least(n_a, n_b)')} and "
+                       + " + ".join(f"abs(h{i}_a - h{i}_b)" for i in range(len(COUNTED))) + f" <= 2 * {edits('least(n_a, n_b)')}")
+    one = comp = None
+    if not complete:
+        first = None
+        for met, _ in ways:
+            pairs = met.where("key <> leader").select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b"))
+            first = pairs if first is None else first.unionAll(pairs)
+        first = first.distinct().join(side("a"), F.col("a") == F.col("key_a")).join(side("b"), F.col("b") == F.col("key_b")).where(explained)
+        one = verified(first.select("a", "b"), "lines-leaders")
+        comp = components(one, "lines-first")
+    rest = None
+    for met, place in ways:
+        placed = met.withColumn("component", F.col("key"))
+        if comp is not None:
+            placed = met.join(comp, met["key"] == comp["node"], "left").withColumn("component", F.coalesce("component", "key")).drop("node")
+            # signatures whose lines are in one component by now are done
+            open_ = placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sig")
+            placed = placed.join(open_, "sig")
+        placed = store(placed.join(short, "key"), "lines-open")
+        a, b = (placed.select("sig", *[F.col(c).alias(f"{c}_{x}") for c in placed.columns if c not in ("sig", "leader")]) for x in "ab")
+        fits = (F.col("component_a") != F.col("component_b")) & (F.col("less_a") == -1) & ((F.col("less_b") >= 0) | (F.col("key_a") < F.col("key_b"))) & explained
+        if place:
+            fits = fits & F.expr(f"abs({place}_a - {place}_b) <= {edits('least(n_a, n_b)')}")
+        pairs = a.join(b, (a["sig"] == b["sig"]) & fits).select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"))
+        rest = pairs if rest is None else rest.unionAll(pairs)
+    last = verified(rest.distinct(), "lines-rest")
+    return last if one is None else one.unionAll(last)
 
 
 def _grams(lines: DataFrame, per: int) -> DataFrame:
@@ -157,7 +265,7 @@ def _grams(lines: DataFrame, per: int) -> DataFrame:
     run = -(-(LONG_EDITS * per - LONG_EDITS) // (LONG_EDITS + 1))
     gram = 16 if run >= 24 else 12 if run >= 14 else 4 * max(1, run // 8)
     low = (1 << POSITION_BITS) - 1
-    df = lines.dropDuplicates(["key"]).select("key", "n", F.split("line", "").alias("__c"))
+    df = lines.select("key", "n", F.split("line", "").alias("__c"))
     df = df.select("key", "n", F.expr("transform(__c, (x, i) -> xxhash64(x, get(__c, i + 1), get(__c, i + 2), get(__c, i + 3)))").alias("__h"))
     parts = ", ".join(["x", *[f"get(__h, i + {j})" for j in range(4, gram, 4)]])
     df = df.select("key", "n", F.expr(f"transform(slice(__h, 1, n - {gram - 1}), (x, i) -> (xxhash64({parts}) & {~low}L) | i)").alias("__g"))
@@ -174,25 +282,6 @@ def _grams(lines: DataFrame, per: int) -> DataFrame:
             .select("key", "n", F.shiftright("__x", POSITION_BITS).alias("sig"), F.col("__x").bitwiseAND(F.lit(low)).cast("int").alias("at")))
 
 
-def _meet_long(lines: DataFrame, per: int) -> DataFrame:
-    """(a, b): keys of lines that select one gram at about the same place."""
-    entries = store(_grams(lines, per), "lines-grams")
-    met = entries.groupBy("sig").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x < y").select("sig")
-    left = store(likely(entries, met, "sig").join(met, "sig"), "lines-met")
-    one, two = (left.select("sig", F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at{x}")) for x in "ab")
-    near = allowed("least(na, nb)", per)
-    pairs = one.join(two, "sig").where(f"a < b and abs(na - nb) <= {near} and abs(ata - atb) <= {near}")
-    return store(pairs.select("a", "b").distinct(), "lines-pairs")
-
-
-def _with_texts(lines: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, la, lb): ``pairs`` with their lines."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    texts = store(likely(lines, wanted, "key").join(wanted, "key").groupBy("key").agg(F.min("line").alias("line")), "lines-texts")
-    return (pairs.join(texts.select(F.col("key").alias("a"), F.col("line").alias("la")), "a")
-            .join(texts.select(F.col("key").alias("b"), F.col("line").alias("lb")), "b"))
-
-
 def dedup_lines(docs: DataFrame, k: int | None = None, least_chars: int = LEAST_CHARS, per: int = PER, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
     """One row per line of ``docs`` that isn't blank: doc_id, line_no, class_doc,
@@ -205,7 +294,7 @@ def dedup_lines(docs: DataFrame, k: int | None = None, least_chars: int = LEAST_
     links.  NULL and empty texts have no lines;
     a NULL doc_id stands before all; a row that repeats a doc_id repeats its line
     numbers, and of equal places one is kept."""
-    near = grown_links(docs, per, id_col, text_col) if k is None else links(docs, k, least_chars, id_col, text_col)
+    near = grown_links(docs, per, id_col, text_col, False) if k is None else links(docs, k, least_chars, id_col, text_col, False)
     near = store(near, "lines-links")
     group = components(near, "lines")
     places = store(lines_of(docs, id_col, text_col).select("doc_id", "line_no", "key"), "lines-places")

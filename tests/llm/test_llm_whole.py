@@ -33,6 +33,78 @@ def test_line_threshold_grows(spark, per):
     assert got == want and {len(a) >= 4 * per for a, _ in want} == {True, False}
 
 
+def line_families(rng, per):
+    """Lines in families of variants: chains of edits, words changed, several lengths."""
+    out = []
+    for n in (9, 30, 150, 210, 330, 540, 820):
+        words = [("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))) for _ in range(n // 6)]
+        base = " ".join(words)[:n].strip()
+        for _ in range(6):
+            base = mutate(rng, base, rng.randint(1, max(1, len(base) // per)), "abcdefgh ").strip() or "z"
+            out.append(base)
+        for _ in range(4):
+            other = list(words)
+            for _ in range(rng.randint(1, 3)):
+                other[rng.randrange(len(other))] = "zz" + str(rng.randint(0, 99))
+            out.append(" ".join(other)[:n].strip())
+    return out
+
+
+@pytest.mark.parametrize("per", [100, 20])
+def test_line_classes_of_families(spark, per):
+    """The registered setting and a closer one, with all links and with those that the
+    components need, against the edit distance of all pairs."""
+    rng = random.Random(per + 1)
+    texts = [x for _ in range(3) for x in line_families(rng, per)] + ["same line here"] * 5 + ["", "a", "b"]
+    some = sorted({x for x in texts if x})
+    root = {x: x for x in some}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    linked = 0
+    for i, a in enumerate(some):
+        for b in some[i + 1:]:
+            n = min(len(a), len(b))
+            k = 0 if n < 8 else max(1, n // per)
+            if k and abs(len(a) - len(b)) <= k and edit_distance(a, b) <= k:
+                root[find(b)] = find(a)
+                linked += 1
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string").repartition(3)
+    first = {}
+    for i, x in enumerate(texts):
+        if x:
+            first.setdefault(find(x), i)
+    got = {r["doc_id"]: r["class_doc"] for r in linededup.dedup_lines(docs, per=per).collect()}
+    assert linked > 20 and got == {i: first[find(x)] for i, x in enumerate(texts) if x}
+    assert linededup.grown_links(docs, per, "doc_id", "text").count() == linked
+
+
+def test_line_edges(spark):
+    long = "a very long line of words that goes on " * 3000
+    rows = [(1, None), (2, ""), (3, " \n\n \t"), (4, long + "\nshort"), (5, long[:-7] + "x" + long[-6:]), (6, "Read more of it >\nRead more of it >>"),
+            (6, "Read more of it >\nRead more of it >>"), (None, "no id at all here now"), (7, "no id at all here no"), (8, "ünïcode ß Σας 中文 \U0001f600 end"),
+            (9, "ünïcode ß Σας 中文 \U0001f600 enb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select(
+        "*", *[F.lit("x").alias(c) for c in ("line", "n", "key", "k", "sig", "less", "class", "h0")])
+    got = sorted((r["doc_id"] or 0, r["line_no"], r["class_doc"] or 0, r["class_line"], r["kept"]) for r in linededup.dedup_lines(docs.repartition(3)).collect())
+    assert got == [(0, 0, 0, 0, True), (3, 2, 3, 2, True), (4, 0, 4, 0, True), (4, 1, 4, 1, True), (5, 0, 4, 0, False), (6, 0, 6, 0, True), (6, 0, 6, 0, True),
+                   (6, 1, 6, 0, False), (6, 1, 6, 0, False), (7, 0, 0, 0, False), (8, 0, 8, 0, True), (9, 0, 8, 0, False)]
+
+
+def test_band_of_a_column_threshold(spark):
+    rng = random.Random(2)
+    pairs = []
+    for _ in range(200):
+        a = "".join(rng.choice("abcd") for _ in range(rng.randint(0, 60)))
+        pairs.append((a, mutate(rng, a, rng.randint(0, 14), "abcd") if rng.random() < 0.8 else a[::-1], rng.choice([1, 2, 5, 12, 30])))
+    got = spark.createDataFrame(pairs, "x string, y string, k int").select("x", "y", "k", linededup.within("x", "y", "k").alias("near")).collect()
+    for r in got:
+        assert r["near"] == (edit_distance(r["x"], r["y"]) <= r["k"]), r
+
+
 def test_notices_and_short_lines_are_near_copies(spark):
     notice = "Published on day 10 of the month, all rights reserved, see the terms on page 20. " * 3 + "Sold at a price of 30 only here"
     docs = [(1, notice + "\nRead more >"), (2, notice.replace("10", "47", 1) + "\nRead more >>"), (3, "Read less")]
@@ -121,3 +193,12 @@ def test_fingerprints_of_texts_without_blanks(spark):
     for r in df.select(fingerprints.likeness("fa", "fb").alias("near"), fingerprints.likeness("fa", "fc").alias("far"),
                        F.size(F.array_distinct("fa")).alias("n")).collect():
         assert r["near"] > 0.5 and r["far"] < 0.2 and r["n"] > 40
+
+
+# -- pipeline: near copies among rows without an id ------------------------------------
+
+def test_one_of_each_compares_rows_without_an_id(spark):
+    near = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
+    rows = [(None, near), (None, near), (None, near + " seventeen"), (3, near + " eighteen"), (None, "a text of its own that nobody else has at all"), (None, None)]
+    got = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([rows[3], rows[4], rows[5]], key=str)
