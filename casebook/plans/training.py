@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from casebook import presets as P
 from casebook.operators import features as FE
 from casebook.operators import split as SP
+from casebook.session import cut_lineage
 
 
 @dataclass
@@ -101,7 +102,8 @@ def fit_features(train: DataFrame, numeric: Sequence[str], categorical: Sequence
     nums = list(numeric)
     if rate_key:
         te = FE.fit_target_encoder(train, rate_key, label)
-        rates, gm, rate_out = te.rates.cache(), te.global_mean, te.out
+        te.rates = cut_lineage(te.rates)  # read by every encoding
+        rates, gm, rate_out = te.rates, te.global_mean, te.out
         d = te.apply(d)
         nums = nums + [rate_out]
     topk = FE.fit_topk(d, categorical, k) if k is not None else None
