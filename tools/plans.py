@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 KEY = ["d1_rate_by_item_group", "d3_mean_by_year", "d4_summary", "d5_value_counts", "d2_rate_top5_long", "d6_mode_by_region", "b15_topk_bucket",
        "c1_target_encode", "i4_stratified_split", "d12_itemsets", "d13_rules", "d19_auc",
-       "e2_roc", "i10_kmodes_assign", "i21_score_requests"]
+       "e2_roc", "i10_kmodes_assign", "i21_score_requests", "d12_basket_itemsets", "i3_customer_codes", "i18_rank_open"]
 
 
 def tree(df) -> str:
