@@ -26,6 +26,7 @@ from pyspark.ml.classification import (DecisionTreeClassifier, LogisticRegressio
                                         RandomForestClassifier)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,6 +77,14 @@ def decision_tree(train: DataFrame, label: str = "label", features: str = "featu
     return FO.cut_back(model, min_split) if min_split > 2 else model
 
 
+def split_tree(train: DataFrame, label: str = "label", features: str = "features", max_depth: int = 1, seed: int = 42):
+    """A tree whose splits all stay.  Spark's classifiers merge two leaves of one class,
+    though their shares of positives differ; a regression tree of the 0/1 label finds the
+    same splits (its variance is half of the Gini impurity) and merges equal shares only.
+    A node's stats are its rows, its positives and again its positives."""
+    return DecisionTreeRegressor(featuresCol=features, labelCol=label, maxDepth=max_depth, impurity="variance", seed=seed).fit(train)
+
+
 def random_forest(train: DataFrame, params: ForestParams = FOREST_B, label: str = "label",
                   features: str = "features", weight: str = "weight"):
     rf = RandomForestClassifier(featuresCol=features, labelCol=label,

@@ -1077,9 +1077,10 @@ def i9_stump_split(spark, sf):
     vocab = FE.fit_vocab(train, [], LR_CATEGORICAL)
     names = [f"_f{i}" for i in range(len(vocab.features))]
     flags = vocab.apply(train, keep=["label"]).toDF("label", *names).withColumn("label", F.col("label").cast("double"))
-    tree = MD.decision_tree(VectorAssembler(inputCols=names, outputCol="features").transform(flags), weight=None, max_depth=1)
+    # stored once: the fit reads its rows three times
+    tree = MD.split_tree(cut_lineage(VectorAssembler(inputCols=names, outputCol="features").transform(flags).select("label", "features")))
     nodes = FO.node_table(tree)
-    feature = F.element_at(F.array(*[F.lit(f) for f in vocab.features]), F.col("feature") + 1)
+    feature = F.get(F.array(*[F.lit(f) for f in vocab.features]), F.col("feature"))  # -1: rows alike in all columns
     root = nodes.where("node = 0").select("tree", feature.alias("split_on"))
     leaf = nodes.where("node > 0").select("tree", (F.col("node") == 2).cast("int").alias("value"), "n",
                                           F.element_at("stats", 2).cast("long").alias("positives"))

@@ -117,3 +117,14 @@ def test_out_of_bag_against_plain(rows):
         assert nodes[0]["n"] == sum(held(r["id"], 7, t) > 0 for r in data)
         assert nodes[0]["stats"][0] + nodes[0]["stats"][1] == sum(held(r["id"], 7, t) for r in data)
         assert all(n["left"] < 0 or n["n"] >= 40 for n in nodes.values())
+
+
+def test_split_stays_where_both_sides_are_of_one_class(spark):
+    from pyspark.ml.functions import array_to_vector
+    # positives: 10 of 100 where x is 0, 30 of 100 where it is 1 - class 0 leads on both sides
+    rows = [(float(i % 10 < 1 + 2 * x), float(x)) for x in (0, 1) for i in range(100)]
+    df = spark.createDataFrame(rows, "label double, x double").select("label", array_to_vector(F.array("x", F.lit(0.0))).alias("features"))
+    n = {r["node"]: r for r in FO.node_table(MD.split_tree(df)).collect()}
+    assert sorted(n) == [0, 1, 2] and n[0]["feature"] == 0
+    assert [(n[i]["n"], n[i]["stats"][1]) for i in (1, 2)] == [(100, 10.0), (100, 30.0)]
+    assert len(FO.node_table(MD.decision_tree(df, weight=None, max_depth=1)).collect()) == 1  # the classifier merges them
