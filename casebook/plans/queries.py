@@ -26,7 +26,7 @@ from casebook.plans import scoring as SC
 from casebook.plans import training as TR
 from casebook.plans.catalog import cases as all_cases
 from casebook.plans.catalog import derived_cases, documents, input_key, open_cases, stored
-from casebook.session import cut_lineage, scratch_path
+from casebook.session import cut_lineage, drop_path, scratch_path
 from casebook.sources import sinks as SK
 from casebook.sources.cases import load_cases
 
@@ -596,11 +596,11 @@ def _forest(spark, sf):
 
 
 def release() -> None:
-    """Free what the model queries keep cached."""
-    for v in _PREP.values():
-        frame = v.frame if isinstance(v, TR.Prepared) else v
-        if isinstance(frame, DataFrame):
-            frame.unpersist()
+    """Delete what the model queries keep stored."""
+    for key, v in _PREP.items():
+        spark = SparkSession.getActiveSession()
+        if isinstance(v, TR.Prepared) and spark is not None and key[0] == spark.sparkContext.applicationId:
+            drop_path(spark, v.path)
     _PREP.clear()
 
 
@@ -760,14 +760,12 @@ def i5_optimality(spark, sf):
 
 
 def _oof_forest(spark, sf):
-    """Out-of-fold forest predictions of every labelled row (5 fits), cached
+    """Out-of-fold forest predictions of every labelled row (5 fits), stored
     once per session and shared by I15 and the out-of-fold ranking."""
-    key = input_key(spark, sf, "rf_oof")
-    if key not in _PREP:
-        p = _prepared(spark, sf, "rf")
-        oof = MD.out_of_fold(p.frame, lambda d: MD.random_forest(d, MD.FOREST_B))
-        _PREP[key] = oof.select("record_id", "label", "fold", "probability_1", "predicted").cache()
-    return _PREP[key]
+    def build():
+        oof = MD.out_of_fold(_prepared(spark, sf, "rf").frame, lambda d: MD.random_forest(d, MD.FOREST_B))
+        return oof.select("record_id", "label", "fold", "probability_1", "predicted")
+    return stored(spark, sf, "rf_oof", build)
 
 
 @register("i15_oof_accuracy")

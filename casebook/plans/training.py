@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from casebook import presets as P
 from casebook.operators import features as FE
 from casebook.operators import split as SP
-from casebook.session import cut_lineage
+from casebook.session import cut_lineage, drop_path, scratch_path
 
 
 @dataclass
@@ -122,21 +122,25 @@ def fit_features(train: DataFrame, numeric: Sequence[str], categorical: Sequence
 class Prepared:
     features: FeatureModel
     frame: DataFrame              # record_id, label, split, fold, weight, features
+    path: str                     # where it is stored
 
 
 def prepare(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
             label: str = "label", key: str = "record_id", rate_key: str | None = None,
             seed: int = P.SPLIT_SEED, k: int | None = P.TOP_K_CATEGORIES) -> Prepared:
     """Labelled rows -> exact stratified split + folds -> feature model fitted
-    on train -> encoded frame with balanced weights, cached once."""
-    from pyspark import StorageLevel
+    on train -> encoded frame with balanced weights, stored once: read back, it has
+    partitions by its size and the cores, as tree learning sends one set of node sums
+    per partition."""
     kept = [key, label, *numeric, *categorical, *([rate_key] if rate_key else [])]
-    s = SP.split_and_folds(df.select(*dict.fromkeys(kept)), [key], label, seed=seed).persist(StorageLevel.MEMORY_AND_DISK)
+    spark = df.sparkSession
+    rows = scratch_path(spark, "split")
+    SP.split_and_folds(df.select(*dict.fromkeys(kept)), [key], label, seed=seed).write.parquet(rows)
+    s = spark.read.parquet(rows)
     train = s.where(F.col("split") == "train")
     fm = fit_features(train, numeric, categorical, label, rate_key, k)
     enc = fm.encode(s, keep=[key, label, "split", "fold"])
-    enc = SP.with_class_weights(enc, label, basis=train).withColumn(
-        label, F.col(label).cast("double")).persist(StorageLevel.MEMORY_AND_DISK)
-    enc.count()          # materialise, then release the split frame
-    s.unpersist()
-    return Prepared(fm, enc)
+    path = scratch_path(spark, "frame")
+    SP.with_class_weights(enc, label, basis=train).withColumn(label, F.col(label).cast("double")).write.parquet(path)
+    drop_path(spark, rows)
+    return Prepared(fm, spark.read.parquet(path), path)

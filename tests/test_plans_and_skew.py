@@ -115,3 +115,19 @@ def test_auc_with_crowded_scores(spark):
     pos, neg = s[y == 1], s[y == 0]
     want = (np.sum(pos[:, None] > neg[None, :]) + 0.5 * np.sum(pos[:, None] == neg[None, :])) / (len(pos) * len(neg))
     assert abs(EV.auc(df, "y", "s").first()["auc"] - want) < 1e-12
+
+
+def test_training_frame_has_partitions_by_size(spark):
+    """Tree learning sends node sums per partition: the frame isn't dealt by the shuffle
+    setting, and a second query reads the stored one."""
+    from casebook.plans import queries as Q
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        Q._PREP.clear()
+        p = Q._prepared(spark, "/root/testdata/sf0.001", "rf")
+        assert p.frame.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+        assert {"record_id", "label", "split", "fold", "weight", "features"} == set(p.frame.columns)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        Q.release()
