@@ -779,8 +779,8 @@ def i18_rank_open_oof(spark, sf):
     trained on the folds that do not contain it."""
     oof = _oof_forest(spark, sf).where(F.col("label") == 0).select("record_id", "probability_1")
     df = derived_cases(spark, sf).where(F.col("label") == 0)
-    return (df.join(oof, "record_id", "inner")
-              .orderBy(F.col("probability_1").desc(), F.col("record_id")))
+    # stored once: the sort's range bounds are drawn from the joined rows, not from a second join
+    return cut_lineage(df.join(oof, "record_id", "inner")).orderBy(F.col("probability_1").desc(), F.col("record_id"))
 
 
 # ============================================================ step 8: scoring
