@@ -176,11 +176,15 @@ def bagged_forest(train: DataFrame, params, key: Sequence[str], label: str = "la
     out.  ``parallelism`` fits run at a time, as in Spark ML's own tuning; the trees
     are put together from their node tables, cut back to ``params.min_split``."""
     spark = train.sparkSession
+    base = F.col(weight) if params.weighted else F.lit(1.0)
+    # every bag's counts hashed once, a small column per tree: a fit reads its own three times
+    path_of_bags = scratch_path(spark, "bags")
+    counts = [bag_count(key, F.lit(t), params.seed).cast("byte").alias(f"_bag{t}") for t in range(params.num_trees)]
+    train.select(label, features, base.cast("double").alias("_base"), *counts).write.parquet(path_of_bags)
+    bagged = spark.read.parquet(path_of_bags)
 
     def fit(t: int) -> str:
-        times = bag_count(key, F.lit(t), params.seed)
-        rows = train.withColumn("_times", times).where("_times > 0")
-        rows = rows.withColumn("_times", F.col("_times") * (F.col(weight) if params.weighted else F.lit(1.0)))
+        rows = bagged.where(F.col(f"_bag{t}") > 0).withColumn("_times", F.col(f"_bag{t}") * F.col("_base"))
         tree = RandomForestClassifier(
             featuresCol=features, labelCol=label, weightCol="_times", numTrees=1, bootstrap=False, maxDepth=params.max_depth,
             minInstancesPerNode=params.min_leaf, featureSubsetStrategy=params.feature_subset, seed=params.seed + t, impurity="gini")
@@ -198,7 +202,7 @@ def bagged_forest(train: DataFrame, params, key: Sequence[str], label: str = "la
         raw = _cut(raw, params.min_split)
     _write_model(spark, paths[0], new, raw, forest=True, trees=params.num_trees)
     model = RandomForestClassificationModel.load(new)
-    for path in [*paths, new]:
+    for path in [*paths, new, path_of_bags]:
         drop_path(spark, path)
     return model
 
