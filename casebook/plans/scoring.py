@@ -57,12 +57,12 @@ def parse_requests(lines: DataFrame, json_col: str = "value", id_field: str = "r
 
 class _Field:
     """A field of the VARIANT column ``body``: absent (SQL NULL), null (type VOID) or a
-    value.  ``read`` gives its columns, which later steps use instead of the VARIANT."""
+    value.  ``read`` gives its columns, which later steps use instead of the VARIANT;
+    those of them that no step uses are never computed."""
 
     def __init__(self, name: str):
         self.name = name
-        self.kind, self.text, self.number = (F.col(f"_{x}_{name}") for x in ("kind", "text", "number"))
-        self.absent = self.kind.isNull()
+        self.absent, self.kind, self.text, self.number = (F.col(f"_{x}_{name}") for x in ("absent", "kind", "text", "number"))
         self.null = self.kind == "VOID"
         self.is_text = self.kind == "STRING"
         self.is_truth = self.kind == "BOOLEAN"
@@ -75,7 +75,8 @@ class _Field:
 
     def read(self) -> list[Column]:
         v = f"_v_{self.name}"
-        return [F.expr(f"schema_of_variant({v})").alias(f"_kind_{self.name}"), F.expr(f"try_variant_get({v}, '$', 'string')").alias(f"_text_{self.name}"),
+        return [F.col(v).isNull().alias(f"_absent_{self.name}"), F.expr(f"schema_of_variant({v})").alias(f"_kind_{self.name}"),
+                F.expr(f"try_variant_get({v}, '$', 'string')").alias(f"_text_{self.name}"),
                 F.expr(f"try_variant_get({v}, '$', 'double')").alias(f"_number_{self.name}")]
 
     def real(self) -> Column:
@@ -110,31 +111,35 @@ def coerce_requests(requests: DataFrame, defaults: dict = P.REQUEST_DEFAULTS,
     Number columns of error rows hold the defaults, so later steps can run."""
     fields = {name: _Field(name) for name in REQUEST_FIELDS}
     kept = [c for c in requests.columns if c != "body"]
+    # only an object is a map; its schema would be put together field by field
+    whole = F.expr("try_variant_get(body, '$', 'map<string, variant>')").isNotNull()
     requests = requests.select("*", *[f.value() for f in fields.values()])
-    requests = requests.select(*requests.columns[:len(kept) + 1], F.coalesce(F.expr("schema_of_variant(body)").startswith("OBJECT"), F.lit(False)).alias("_object"),
-                               *[c for f in fields.values() for c in f.read()])
-    bad, values = ~F.col("_object"), {}
-    for name, out, kind in (("age", "v_age", "double"), ("victims", "v_victims", "int"), ("year", "v_year", "int"),
-                            ("historicalRate", "v_rate", "double")):
+    requests = requests.select(*requests.columns[:len(kept) + 1], whole.alias("_object"), *[c for f in fields.values() for c in f.read()])
+    parsed, missing, kinds = {}, {}, {"age": "double", "victims": "int", "year": "int", "historicalRate": "double"}
+    for name, kind in kinds.items():
         f = fields[name]
-        parsed = f.real() if kind == "double" else f.whole()
+        parsed[name] = (f.real() if kind == "double" else f.whole()).alias(f"_parsed_{name}")
         if name == "historicalRate":
-            missing = F.coalesce(f.absent | f.null, F.lit(True))
+            lack = F.coalesce(f.absent | f.null, F.lit(True))
         elif falsy_as_missing:
-            missing = f.falsy
+            lack = f.falsy
         else:
-            missing = f.falsy & ~F.coalesce(~f.is_text & (f.number == 0), F.lit(False))
-        wrong = ~missing & parsed.isNull()
+            lack = f.falsy & ~F.coalesce(~f.is_text & (f.number == 0), F.lit(False))
+        missing[name] = lack.alias(f"_missing_{name}")
+    texts = {f"v_{name}": F.when(fields[name].absent, F.lit(defaults[name])).otherwise(fields[name].text) for name in ("sex", "race", "weapon", "state")}
+    texts["state_text"] = fields["state"].text
+    # each number is parsed once, as a column that its value and the error read
+    requests = requests.select(*kept, "body", "_object", *parsed.values(), *missing.values(), *[c.alias(n) for n, c in texts.items()])
+    bad, values = ~F.col("_object"), {}
+    for name, kind in kinds.items():
+        number, given = F.col(f"_parsed_{name}"), ~F.col(f"_missing_{name}")
+        wrong = given & number.isNull()
         if check_ranges and name != "historicalRate":
             lo, hi = {"age": (0, 100), "year": (1980, 2025), "victims": (1, None)}[name]
-            wrong = wrong | (~missing & (parsed < lo)) | ((~missing & (parsed > hi)) if hi is not None else F.lit(False))
+            wrong = wrong | (given & (number < lo)) | ((given & (number > hi)) if hi is not None else F.lit(False))
         bad = bad | F.coalesce(wrong, F.lit(False))
-        values[out] = F.coalesce(F.when(~missing, parsed), F.lit(defaults[name])).cast(kind)
-    for name in ("sex", "race", "weapon", "state"):
-        f = fields[name]
-        values[f"v_{name}"] = F.when(f.absent, F.lit(defaults[name])).otherwise(f.text)
-    values["state_text"] = fields["state"].text
-    return requests.select(*kept, "body", *[c.alias(n) for n, c in values.items()],
+        values[{"historicalRate": "v_rate"}.get(name, f"v_{name}")] = F.coalesce(F.when(given, number), F.lit(defaults[name])).cast(kind)
+    return requests.select(*kept, "body", *[c.alias(n) for n, c in values.items()], *texts,
                            F.when(bad, F.lit(P.ERROR_BAD_NUMBER)).alias("error"))
 
 
@@ -217,9 +222,14 @@ def score_requests(requests: DataFrame, fm: FeatureModel, model,
     """Requests (request_id, body) -> (request_id, error, response struct),
     in one pass: every row is scored, and the response of a row with an error is
     NULL.  The request's own rate replaces the stored rate lookup."""
-    c = coerce_requests(requests, falsy_as_missing=falsy_as_missing)
+    return score_coerced(coerce_requests(requests, falsy_as_missing=falsy_as_missing), fm, model, binding, model_note)
+
+
+def score_coerced(coerced: DataFrame, fm: FeatureModel, model, binding: RequestBinding = RequestBinding(),
+                  model_note: str = P.MODEL_NOTE) -> DataFrame:
+    """``score_requests`` of rows that ``coerce_requests`` gave."""
     b = binding
-    case = c.select(
+    case = coerced.select(
         "request_id", "error", "state_text", "v_age", "v_rate",
         F.col("v_sex").alias(b.sex), F.col("v_age").alias(b.age),
         F.col("v_weapon").alias(b.weapon), F.col("v_state").alias(b.state),
@@ -315,24 +325,25 @@ def requests_from_cases(cases: DataFrame) -> DataFrame:
     d = cases.select("record_id", "sex", "weapon", "region", F.col("age").cast("int").alias("age"), "year", "units",
                      F.format_string("%.2f", F.lit(0.54) + (rid % 30) / 100).alias("rate"))
 
-    def number(field: str, column: str, code: Column) -> Column:
-        name = f'"{field}":'
-        forms = [None, "null", '""', '" "', '"0"', "0", "2.5", '"2.5"', '"abc"']
-        out = F.lit(None).cast("string")
-        for i, form in enumerate(forms):
-            if form is not None:
-                out = F.when(code == i, F.lit(name + form)).otherwise(out)
-        out = F.when(code == 9, F.concat(F.lit(name), _json_value(column, False))).otherwise(out)
-        return F.when(code == 10, F.concat(F.lit(name), _json_value(column, True))).otherwise(out)
-
-    def text(field: str, column: str, code: Column) -> Column:
-        name = f'"{field}":'
+    step = lambda by, n: F.floor(rid / by).cast("long") % n
+    # the form that a field takes, as a column first
+    forms = {"age": step(1, 11), "victims": step(11, 11), "year": step(3, 11), "historicalRate": step(5, 11),
+             "sex": step(1, 4), "state": step(2, 4), "weapon": step(4, 4)}
+    d = d.select("*", *[code.cast("int").alias(f"_form_{name}") for name, code in forms.items()])
+
+    def number(field: str, column: str) -> Column:
+        name, code = f'"{field}":', F.col(f"_form_{field}")
+        fixed = F.array(*[F.lit(None if x is None else name + x).cast("string")
+                          for x in (None, "null", '""', '" "', '"0"', "0", "2.5", '"2.5"', '"abc"')])
+        return (F.when(code == 9, F.concat(F.lit(name), _json_value(column, False)))
+                .when(code == 10, F.concat(F.lit(name), _json_value(column, True))).otherwise(F.get(fixed, code)))
+
+    def text(field: str, column: str) -> Column:
+        name, code = f'"{field}":', F.col(f"_form_{field}")
         return (F.when(code == 0, F.lit(None)).when(code == 1, F.lit(name + "null"))
                 .otherwise(F.concat(F.lit(name), _json_value(column, True))))
 
-    step = lambda by, n: F.floor(rid / by).cast("long") % n
     parts = [F.concat(F.lit('"request_id":"'), rid.cast("string"), F.lit('"')),
-             number("age", "age", step(1, 11)), number("victims", "units", step(11, 11)), number("year", "year", step(3, 11)),
-             number("historicalRate", "rate", step(5, 11)),
-             text("sex", "sex", step(1, 4)), text("state", "region", step(2, 4)), text("weapon", "weapon", step(4, 4))]
+             number("age", "age"), number("victims", "units"), number("year", "year"), number("historicalRate", "rate"),
+             text("sex", "sex"), text("state", "region"), text("weapon", "weapon")]
     return d.select(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("value"))

@@ -173,3 +173,12 @@ def test_stream_waits_for_the_end(spark):
     import inspect
     from casebook.streaming.requests import score_folder
     assert "timeout" not in " ".join(inspect.signature(score_folder).parameters)
+
+
+def test_each_request_is_parsed_once_in_a_batch(spark):
+    """The number texts of a request are matched once for its value and its error, and the
+    answers and rejects of a batch come from one parse."""
+    c = SC.coerce_requests(_requests(spark))
+    plan = c._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 4 or plan.count("rlike") == 4
+    assert "schema_of_variant(body" not in plan
