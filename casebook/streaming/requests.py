@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from casebook.plans.scoring import coerce_requests, parse_requests, score_requests
-from casebook.session import scratch_path
+from casebook.plans.scoring import coerce_requests, parse_requests, score_coerced, score_requests
+from casebook.session import drop_path, scratch_path
 
 
 def request_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -54,12 +54,18 @@ def score_folder(spark: SparkSession, source_dir: str, fm, model) -> DataFrame:
 
 def _write_batch(fm, model, answers_dir: str, rejects_dir: str):
     def write(lines: DataFrame, batch: int) -> None:
-        requests = parse_requests(lines, keep_text="request")
+        spark = lines.sparkSession
+        # each request is parsed once: stored coerced, as both tables are made from it
+        path = scratch_path(spark, "requests-coerced")
+        c = coerce_requests(parse_requests(lines, keep_text="request")).drop("body")
+        c.withColumn("request", F.when(F.col("error").isNotNull(), F.col("request"))).write.parquet(path)
+        coerced = spark.read.parquet(path)
         # the model runs for good rows only; bad ones are known before it
-        scored = score_requests(requests, fm, model).where(F.col("error").isNull())
+        scored = score_coerced(coerced.where(F.col("error").isNull()), fm, model)
         scored.select("request_id", "response").write.mode("overwrite").parquet(f"{answers_dir}/batch={batch}")
-        bad = coerce_requests(requests).where(F.col("error").isNotNull())
+        bad = coerced.where(F.col("error").isNotNull())
         bad.select("request_id", "error", "request").write.mode("overwrite").parquet(f"{rejects_dir}/batch={batch}")
+        drop_path(spark, path)
     return write
 
 
