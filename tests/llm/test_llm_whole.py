@@ -105,6 +105,51 @@ def test_band_of_a_column_threshold(spark):
         assert r["near"] == (edit_distance(r["x"], r["y"]) <= r["k"]), r
 
 
+def spread(text, k, mark):
+    """``text`` with k characters replaced by ``mark``, at equal distances: k edits away."""
+    out = list(text)
+    for i in range(1, k + 1):
+        out[i * len(out) // (k + 1)] = mark
+    return "".join(out)
+
+
+def test_long_lines_at_the_threshold(spark):
+    """Lines of 31 to 64 allowed edits, at a power of two as well, moved by their edits or
+    with runs as short as edits can leave them."""
+    rng = random.Random(8)
+    docs, want = [], {}
+    for n in (3100, 3199, 6399, 6400):
+        base, k = "".join(rng.choice("abcdefgh \u00e9") for _ in range(n - 1)) + "z", n // 100
+        base = "y" + base[1:]
+        first = len(docs)
+        near = [base, "\U0001f600" * k + base, spread(base, k, "\u4e2d")]
+        far = ["\u00df" * (k + 3) + base, spread(base, 2 * k + 3, "\u00f1")]
+        for i, x in enumerate(near + far):
+            want[len(docs)] = first if i < len(near) else len(docs)
+            docs.append((len(docs), x))
+    got = linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert {r["doc_id"]: r["class_doc"] for r in got} == want
+
+
+def test_long_lines_of_a_common_phrase_do_not_meet(spark, monkeypatch):
+    """A phrase that stands in all long lines makes no pairs of them."""
+    rng = random.Random(9)
+    lines = []
+    for _ in range(12):
+        words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(400)]
+        lines.append(" ".join(w + (" the terms of use apply" if i % 10 == 0 else "") for i, w in enumerate(words)))
+    met, put = [], linededup.store
+
+    def counted(df, name):
+        out = put(df, name)
+        met.append(out.count() if name == "lines-met" else 0)
+        return out
+
+    monkeypatch.setattr(linededup, "store", counted)
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    assert linededup.grown_links(docs, linededup.PER, "doc_id", "text", False).count() == 0 and sum(met) == 0
+
+
 def test_notices_and_short_lines_are_near_copies(spark):
     notice = "Published on day 10 of the month, all rights reserved, see the terms on page 20. " * 3 + "Sold at a price of 30 only here"
     docs = [(1, notice + "\nRead more >"), (2, notice.replace("10", "47", 1) + "\nRead more >>"), (3, "Read less")]
