@@ -120,22 +120,25 @@ def score_histogram(df: DataFrame, label: str, score: str, bins: int = 50) -> Da
 
 
 # ------------------------------------------------------------- D19 / D20
-def _by_score(df: DataFrame, label: str, score: str, groups: Sequence[str]) -> DataFrame:
-    """Positives and negatives per distinct score, checkpointed to the shared
+def _by_score(df: DataFrame, label: str, score: str, groups: Sequence[str], count: str | None = None) -> DataFrame:
+    """Positives and negatives per distinct score (of the rows that a row stands for,
+    by its ``count``), checkpointed to the shared
     checkpoint folder: the prefix-sum plan reads it three times (range,
     bucket totals, main pass), and the upstream scoring is not recomputed."""
     y = F.col(label)
+    n = F.col(count) if count else F.lit(1)
     g = (df.where(y.isNotNull() & F.col(score).isNotNull())
            .groupBy(*groups, score)
-           .agg(F.sum(y).cast("long").alias("pos"),
-                F.sum(1 - y).cast("long").alias("neg")))
+           .agg(F.sum(y * n).cast("long").alias("pos"),
+                F.sum((1 - y) * n).cast("long").alias("neg")))
     return cut_lineage(g)
 
 
-def auc(df: DataFrame, label: str, score: str, groups: Sequence[str] = ()) -> DataFrame:
+def auc(df: DataFrame, label: str, score: str, groups: Sequence[str] = (), count: str | None = None) -> DataFrame:
     """Exact ROC AUC (ties count one half), by rank sums:
-    ``sum_s pos(s) * (neg_below(s) + neg(s) / 2) / (P * N)``."""
-    g = _by_score(df, label, score, groups)
+    ``sum_s pos(s) * (neg_below(s) + neg(s) / 2) / (P * N)``.  ``count``: how many rows a
+    row stands for."""
+    g = _by_score(df, label, score, groups, count)
     c = value_prefix_sums(g, score, ["neg"], groups)
     return c.groupBy(*groups).agg(
         (F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") + F.col("neg") / 2))

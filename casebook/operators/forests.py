@@ -30,6 +30,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casebook.operators import growth as GR
 from casebook.session import cut_lineage, drop_path, scratch_path
 
 
@@ -143,6 +144,30 @@ def _write_model(spark: SparkSession, old: str, new: str, raw: DataFrame, forest
     about.write.parquet(f"{new}/treesMetadata")
 
 
+def forest_of_nodes(nodes: DataFrame, params, d: int, label: str = "label", features: str = "features") -> RandomForestClassificationModel:
+    """The model that ``growth``'s node rows are, of ``d`` features: saved as the learner
+    saves, beside what it writes of a fit to two rows."""
+    from pyspark.ml.linalg import Vectors
+    spark = nodes.sparkSession
+    two = spark.createDataFrame([(float(y), Vectors.dense([float(y)] * d)) for y in (0, 1)], [label, features])
+    old = _saved(spark, RandomForestClassifier(
+        featuresCol=features, labelCol=label, numTrees=1, bootstrap=params.bootstrap, maxDepth=params.max_depth,
+        minInstancesPerNode=params.min_leaf, featureSubsetStrategy=params.feature_subset, seed=params.seed, impurity="gini").fit(two))
+    kind = spark.read.parquet(f"{old}/data").schema
+    split = F.struct(F.col("feature").alias("featureIndex"),
+                     F.when(F.col("left") >= 0, F.array("threshold")).otherwise(F.array().cast("array<double>")).alias("leftCategoriesOrThreshold"),
+                     F.lit(-1).alias("numCategories"))
+    node = F.struct("id", "prediction", "impurity", F.array("s0", "s1").alias("impurityStats"), F.col("n").alias("rawCount"), "gain",
+                    F.col("left").alias("leftChild"), F.col("right").alias("rightChild"), split.alias("split"))
+    raw = nodes.select(F.col("tree").alias("treeID"), node.cast(kind["nodeData"].dataType).alias("nodeData"))
+    new = scratch_path(spark, "forest")
+    _write_model(spark, old, new, raw, forest=True, trees=params.num_trees)
+    model = RandomForestClassificationModel.load(new)
+    drop_path(spark, old)
+    drop_path(spark, new)
+    return model
+
+
 # ---------------------------------------------------------------------- bags
 def _poisson_cuts() -> list[int]:
     """2**32 * P(X <= k) for a Poisson(1) X, as far as 32 bits tell them apart."""

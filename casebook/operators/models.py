@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from casebook import presets as P
 from casebook.operators import evaluate as EV
 from casebook.operators import forests as FO
+from casebook.operators import growth as GR
 from casebook.operators.features import Vocab
 
 
@@ -86,7 +87,15 @@ def split_tree(train: DataFrame, label: str = "label", features: str = "features
 
 
 def random_forest(train: DataFrame, params: ForestParams = FOREST_B, label: str = "label",
-                  features: str = "features", weight: str = "weight"):
+                  features: str = "features", weight: str = "weight", count: str | None = None):
+    """``count``: the column that tells how many rows a row stands for; the trees are
+    grown from such counts then (``growth``), or by Spark's learner from the rows
+    themselves if too many of them differ."""
+    if count is not None:
+        table = GR.counted(train, label, features, weight if params.weighted else None, count)
+        if table is not None:
+            return GR.GrownForest(GR.bootstrap_trees(table, params), table.cuts)
+        train = train.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col(count)))).drop("_copy")
     rf = RandomForestClassifier(featuresCol=features, labelCol=label,
                                 numTrees=params.num_trees, maxDepth=params.max_depth,
                                 minInstancesPerNode=params.min_leaf,
@@ -134,7 +143,7 @@ def score(model, df: DataFrame, out: str = "probability_1", cut: float = P.OUTCO
     """Positive-class probability and the class at ``>= cut`` (B19);
     Spark's own ``prediction`` column (``>``) is dropped."""
     s = model.transform(df)
-    s = s.withColumn(out, F.col("_p1") if isinstance(model, LinearScorer) else vector_to_array("probability")[1])
+    s = s.withColumn(out, F.col("_p1") if "_p1" in s.columns else vector_to_array("probability")[1])
     drop = [c for c in ("rawPrediction", "probability", "prediction", "_p1") if c in s.columns]
     return s.drop(*drop).withColumn("predicted", (F.col(out) >= cut).cast("int"))
 
@@ -182,12 +191,13 @@ def _spark():
 
 
 def out_of_fold(df: DataFrame, fit: Callable[[DataFrame], object], fold: str = "fold",
-                k: int = P.CV_FOLDS, score_col: str = "probability_1") -> DataFrame:
+                k: int = P.CV_FOLDS, score_col: str = "probability_1", train: DataFrame | None = None) -> DataFrame:
     """Predictions of every row by the model trained on the other folds
-    (union of k held-out scorings)."""
+    (union of k held-out scorings).  ``train``: the rows of ``df`` in the form that
+    ``fit`` takes (counted), if another."""
     parts = []
     for f in range(k):
-        m = fit(df.where(F.col(fold) != f))
+        m = fit((df if train is None else train).where(F.col(fold) != f))
         parts.append(score(m, df.where(F.col(fold) == f), score_col))
     out = parts[0]
     for p in parts[1:]:
@@ -196,9 +206,9 @@ def out_of_fold(df: DataFrame, fit: Callable[[DataFrame], object], fold: str = "
 
 
 def cv_auc(oof: DataFrame, label: str = "label", score_col: str = "probability_1",
-           fold: str = "fold") -> DataFrame:
+           fold: str = "fold", count: str | None = None) -> DataFrame:
     """Exact AUC per fold; mean and population std over folds."""
-    per = EV.auc(oof, label, score_col, [fold])
+    per = EV.auc(oof, label, score_col, [fold], count)
     return per.agg(F.avg("auc").alias("mean_auc"), F.stddev_pop("auc").alias("std_auc"),
                    F.count(F.lit(1)).alias("folds"))
 

@@ -67,18 +67,19 @@ def split_and_folds(df: DataFrame, key: Sequence[str], label: str,
              .drop("rank", "stratum_size"))
 
 
-def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """Balanced weights ``n / (n_classes * n_c)`` (one small aggregate)."""
+def class_weights(df: DataFrame, label: str, out: str = "weight", count: str | None = None) -> DataFrame:
+    """Balanced weights ``n / (n_classes * n_c)`` (one small aggregate).  ``count``:
+    how many rows a row stands for."""
     counts = (df.where(F.col(label).isNotNull()).groupBy(label)
-                .agg(F.count(F.lit(1)).alias("n")))
+                .agg((F.sum(count) if count else F.count(F.lit(1))).alias("n")))
     n, n_classes = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     return counts.withColumn(out, F.lit(float(n or 0)) / (F.lit(n_classes) * F.col("n")))
 
 
 def with_class_weights(df: DataFrame, label: str, out: str = "weight",
-                       basis: DataFrame | None = None) -> DataFrame:
+                       basis: DataFrame | None = None, count: str | None = None) -> DataFrame:
     """Attach balanced weights computed on ``basis`` (default: ``df``), e.g.
     the training rows only."""
-    w = class_weights(basis if basis is not None else df, label, out).select(label, out)
+    w = class_weights(basis if basis is not None else df, label, out, count).select(label, out)
     # bound: one row per class
     return df.join(F.broadcast(w), label, "left")

@@ -17,6 +17,7 @@ from casebook.operators import dictionary as DI
 from casebook.operators import evaluate as EV
 from casebook.operators import features as FE
 from casebook.operators import forests as FO
+from casebook.operators import growth as GR
 from casebook.operators import itemsets as IS
 from casebook.operators import kmodes as KM
 from casebook.operators import models as MD
@@ -587,6 +588,13 @@ def _prepared(spark, sf, kind: str) -> TR.Prepared:
     return _PREP[key]
 
 
+def _counted_rows(spark, sf):
+    """The forest's encoded rows, those alike counted: stored once, read by every fit of a
+    cross-validation and by what is evaluated on it."""
+    return stored(spark, sf, "rf_counted", lambda: GR.distinct_rows(
+        _prepared(spark, sf, "rf").frame, ["label", "split", "fold", "weight"]))
+
+
 def _forest(spark, sf):
     key = input_key(spark, sf, "rf_model")
     if key not in _PREP:
@@ -739,9 +747,10 @@ def i5_cv_auc(spark, sf):
 @register("i5_cv_auc_forest")
 def i5_cv_auc_forest(spark, sf):
     """5-fold stratified CV of forest A, exact fold AUCs."""
-    oof = MD.out_of_fold(_prepared(spark, sf, "rf").frame, lambda d: MD.random_forest(
-        SP.with_class_weights(d.drop("weight"), "label"), MD.FOREST_A))
-    return MD.cv_auc(oof.select("label", "fold", "probability_1"))
+    # rows alike have one score: scored and counted once
+    oof = MD.out_of_fold(_counted_rows(spark, sf), lambda d: MD.random_forest(
+        SP.with_class_weights(d.drop("weight"), "label", count="n"), MD.FOREST_A, count="n"))
+    return MD.cv_auc(oof.select("label", "fold", "n", "probability_1"), count="n")
 
 
 @register("i5_optimality")
