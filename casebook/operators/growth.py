@@ -33,6 +33,8 @@ MAX_CELLS = 1 << 26
 #: Distinct values of all features together, as the driver cuts them into bins.
 MAX_VALUES = 100_000
 MAX_BINS = 32
+#: Features that a node's number has room for.
+MAX_FEATURES = 1 << 16
 #: Distinct rows that are sent as one row.
 BLOCK = 1 << 15
 
@@ -94,7 +96,7 @@ def counted(train: DataFrame, label: str = "label", features: str = "features",
     # values other than 0; what they leave of the total is the 0
     values = (rows.select(weighed.alias("w"), F.posexplode(vector_to_array("features")).alias("pos", "value")).where("value != 0")
               .groupBy("pos", "value").agg(F.sum("w").alias("w")).limit(MAX_VALUES + 1).collect())
-    if len(values) > MAX_VALUES:
+    if len(values) > MAX_VALUES or about["d"] > MAX_FEATURES:
         return None
     total = sum(about[f"n{y}"] * weights[y] for y in (0, 1))
     per: list = [[] for _ in range(about["d"])]
@@ -246,7 +248,7 @@ def grow(code: np.ndarray, times: np.ndarray, held: np.ndarray | None, cuts: lis
     are merged.  Nodes of fewer than ``min_split`` rows stay leaves."""
     d = len(cuts)
     some = times.sum(axis=0) > 0
-    code = code[:, some]
+    code = code.compress(some, axis=1)                    # a feature's bytes stay side by side
     numbers = (times if held is None else np.vstack([times, held]))[:, some].astype(float)
     sums, total = _Sums(numbers), numbers.sum(axis=1)[:, None]
     w = np.array([weights[0], weights[1]])
@@ -261,6 +263,7 @@ def grow(code: np.ndarray, times: np.ndarray, held: np.ndarray | None, cuts: lis
         for at, j in enumerate(of):
             packed[i] += code[j] * np.uint8(at + 1)
     chosen = min(subset_size(params.feature_subset, d), d)
+    # node of each row; rows that have reached a leaf are at k, until enough of them are there to be left out
     at, k, levels = np.zeros(code.shape[1], np.int64), 1, []
     while True:
         stats, n = total[:2] * w[:, None], total[2] if held is not None else total.sum(axis=0)
@@ -273,10 +276,10 @@ def grow(code: np.ndarray, times: np.ndarray, held: np.ndarray | None, cuts: lis
         for j in wide:
             bins = sizes[j] + 1
             left[:, :, starts[j]:starts[j] + sizes[j]] = np.cumsum(
-                sums.by(at * bins + code[j], k * bins).reshape(-1, k, bins), axis=2)[:, :, :-1]
+                sums.by(at * bins + code[j], (k + 1) * bins).reshape(-1, k + 1, bins)[:, :k], axis=2)[:, :, :-1]
         for of, c in zip(sets, packed):
             bins = len(of) + 1
-            left[:, :, starts[of]] = total[:, :, None] - sums.by(at * bins + c, k * bins).reshape(-1, k, bins)[:, :, 1:]
+            left[:, :, starts[of]] = total[:, :, None] - sums.by(at * bins + c, (k + 1) * bins).reshape(-1, k + 1, bins)[:, :k, 1:]
         gain = _gains(left, total, w, here["impurity"], params.min_leaf)
         gain[n < params.min_split] = -np.inf
         if chosen < d:
@@ -291,13 +294,16 @@ def grow(code: np.ndarray, times: np.ndarray, held: np.ndarray | None, cuts: lis
         here["gain"][ok], here["feature"][ok], here["split"][ok] = most[ok], of_split[best[ok]], place[best[ok]]
         got = left[:, np.flatnonzero(ok), best[ok]]
         total = np.stack([got, total[:, ok] - got], axis=2).reshape(len(total), -1)
-        k = total.shape[1]
         # the rows of split nodes go on
-        keep = ok[at]
-        if not keep.all():
-            code, packed, at = code[:, keep], packed[:, keep], at[keep]
+        on = np.append(ok, False)
+        keep = on.take(at)
+        if keep.sum() < 0.6 * len(at):
+            code, packed, at = code.compress(keep, axis=1), packed.compress(keep, axis=1), at[keep]
             sums.keep(keep)
-        at = 2 * (np.cumsum(ok) - 1)[at] + (code[here["feature"][at], np.arange(len(at))] > here["split"][at])
+        # each node's feature, its bin and its first child in one number
+        k, first = total.shape[1], 2 * (np.cumsum(on) - 1)
+        to = np.where(on, (first << 24) | (np.append(here["feature"], 0) << 8) | np.append(here["split"], 0), (k << 24) | 255).take(at)
+        at = (to >> 24) + (code.ravel().take(((to >> 8) & 0xFFFF) * len(at) + np.arange(len(at))) > (to & 255))
     return _numbered(levels, cuts)
 
 
@@ -371,9 +377,9 @@ class GrownForest:
         leaf, own = table["left"] < 0, table["id"] + start
         # a leaf leads to itself
         below = np.stack([np.where(leaf, own, table["left"] + start), np.where(leaf, own, table["right"] + start)], axis=1).astype(np.int32)
-        self._sent = self.nodes.sparkSession.sparkContext.broadcast(
-            (first.astype(np.int32), below.ravel(), np.where(leaf, 0, table["feature"]).astype(np.int16),
-             np.where(leaf, 255, table["split"]).astype(np.uint8), table["share"]))
+        # a node's feature and bin in one number
+        test = np.where(leaf, 255, (table["feature"] << 8) | table["split"]).astype(np.int32)
+        self._sent = self.nodes.sparkSession.sparkContext.broadcast((first, below.ravel(), test, table["share"]))
         self.getNumTrees, self.totalNumNodes = len(first), len(own)
 
     @property
@@ -396,17 +402,18 @@ class GrownForest:
 
         @F.arrow_udf("double")
         def share(x: pa.Array) -> pa.Array:
-            first, below, feature, split, value = sent.value
-            code, rows = _binned(x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1), cuts), np.arange(len(x))
-            total = np.zeros(len(x))
+            first, below, test, value = sent.value
+            code = _binned(x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1), cuts)
+            rows, total = np.arange(len(x)) * len(cuts), np.zeros(len(x))
             for root in first:
-                at = np.full(len(x), root)
+                at = np.full(len(x), root, np.int64)
                 while True:
-                    to = below[2 * at + (code[rows, feature[at]] > split[at])]
+                    q = test.take(at)
+                    to = below.take(2 * at + (code.take(rows + (q >> 8)) > (q & 255)))
                     if (to == at).all():
                         break
-                    at = to
-                total += value[at]
+                    at = to.astype(np.int64)
+                total += value.take(at)
             return pa.array(total / len(first))
 
         return df.withColumn("_p1", share(vector_to_array(features)))

@@ -772,7 +772,8 @@ def _oof_forest(spark, sf):
     """Out-of-fold forest predictions of every labelled row (5 fits), stored
     once per session and shared by I15 and the out-of-fold ranking."""
     def build():
-        oof = MD.out_of_fold(_prepared(spark, sf, "rf").frame, lambda d: MD.random_forest(d, MD.FOREST_B))
+        oof = MD.out_of_fold(_prepared(spark, sf, "rf").frame, lambda d: MD.random_forest(d, MD.FOREST_B, count="n"),
+                             train=_counted_rows(spark, sf))
         return oof.select("record_id", "label", "fold", "probability_1", "predicted")
     return stored(spark, sf, "rf_oof", build)
 

@@ -117,3 +117,15 @@ def test_cross_validation_fits_counted_rows(spark, monkeypatch):
     assert r["folds"] == 5 and 0 <= r["mean_auc"] <= 1
     n = Q._prepared(spark, SF, "rf").frame.count()
     assert Q._counted_rows(spark, SF).agg(F.sum("n")).first()[0] == n
+
+
+def test_out_of_fold_scores_fit_counted_rows(spark, monkeypatch):
+    _no_row_fits(monkeypatch)
+    frame = Q._prepared(spark, SF, "rf").frame
+    oof = Q._oof_forest(spark, SF)
+    assert oof.count() == frame.count() and oof.where("probability_1 is null").count() == 0
+    right = oof.agg(F.avg((F.col("label") == F.col("predicted")).cast("double"))).first()[0]
+    assert abs(Q.QUERIES["i15_oof_accuracy"](spark, SF).first()["oof_accuracy"] - right) < 1e-12
+    ranked = Q.QUERIES["i18_rank_open_oof"](spark, SF).collect()
+    assert {r["record_id"]: r["probability_1"] for r in ranked} == {r["record_id"]: r["probability_1"] for r in oof.where("label = 0").collect()}
+    assert [(-r["probability_1"], r["record_id"]) for r in ranked] == sorted((-r["probability_1"], r["record_id"]) for r in ranked)
