@@ -1295,10 +1295,11 @@ def g1_vocab_drift(spark, sf):
 def i13_forest_a_importance(spark, sf):
     """The first forest of the analysis (100 trees, depth 15, min leaf
     10, sqrt features, balanced weights), importance table and test AUC."""
-    p = _prepared(spark, sf, "rf")
-    m = MD.random_forest(p.frame.where(F.col("split") == "train"), MD.FOREST_A)
+    p, rows = _prepared(spark, sf, "rf"), _counted_rows(spark, sf)
+    m = MD.random_forest(rows.where(F.col("split") == "train"), MD.FOREST_A, count="n")
     imp = MD.importance_table(m, p.features.vocab)
-    a = EV.auc(MD.score(m, p.frame.where(F.col("split") == "test")), "label", "probability_1")
+    # rows alike have one score: scored and counted once
+    a = EV.auc(MD.score(m, rows.where(F.col("split") == "test")), "label", "probability_1", count="n")
     return rates.head(imp, 10, "importance", "feature").withColumn(
         "test_auc", F.lit(a.first()["auc"]))
 

@@ -129,3 +129,10 @@ def test_out_of_fold_scores_fit_counted_rows(spark, monkeypatch):
     ranked = Q.QUERIES["i18_rank_open_oof"](spark, SF).collect()
     assert {r["record_id"]: r["probability_1"] for r in ranked} == {r["record_id"]: r["probability_1"] for r in oof.where("label = 0").collect()}
     assert [(-r["probability_1"], r["record_id"]) for r in ranked] == sorted((-r["probability_1"], r["record_id"]) for r in ranked)
+
+
+def test_forest_a_fits_counted_rows(spark, monkeypatch):
+    _no_row_fits(monkeypatch)
+    top = Q.QUERIES["i13_forest_a_importance"](spark, SF).collect()
+    assert len(top) == 10 and [r["rank"] for r in top] == list(range(1, 11))
+    assert 0 <= top[0]["test_auc"] <= 1 and sum(r["importance"] for r in top) <= 1 + 1e-9
