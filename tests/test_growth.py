@@ -131,6 +131,15 @@ def test_out_of_fold_scores_fit_counted_rows(spark, monkeypatch):
     assert [(-r["probability_1"], r["record_id"]) for r in ranked] == sorted((-r["probability_1"], r["record_id"]) for r in ranked)
 
 
+def test_out_of_fold_models_have_not_seen_the_row(rows, counted):
+    params = MD.ForestParams(num_trees=3, max_depth=4, min_leaf=5, feature_subset="all", weighted=False, bootstrap=False)
+    got = MD.out_of_fold(rows, lambda d: MD.random_forest(d, params, count="n"), train=counted)
+    for f in (0, 3):
+        model = MD.random_forest(counted.where(F.col("fold") != f), params, count="n")
+        want = {r["id"]: r["probability_1"] for r in MD.score(model, rows.where(F.col("fold") == f)).collect()}
+        assert want == {r["id"]: r["probability_1"] for r in got.where(F.col("fold") == f).collect()}
+
+
 def test_forest_a_fits_counted_rows(spark, monkeypatch):
     _no_row_fits(monkeypatch)
     top = Q.QUERIES["i13_forest_a_importance"](spark, SF).collect()
