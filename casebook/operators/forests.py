@@ -9,7 +9,7 @@ and the learner's loader turns into a model again, so scoring stays Spark's own:
   Trees grow from the root and a node's split doesn't look at its children, so this is
   the tree that a learner with that limit would have grown.  A limit of up to twice the
   minimum leaf size changes nothing: both children of a split hold that many rows.
-* ``bagged_forest`` fits one tree per bag; how often a bag holds a row is a Poisson(1)
+* ``bagged_forest`` grows one tree per bag; how often a bag holds a row is a Poisson(1)
   number read from a hash of the row's key, so any job can tell it again.
 * ``votes`` averages the trees whose bag doesn't hold the row: the out-of-bag score.
 
@@ -23,6 +23,8 @@ import math
 from multiprocessing.pool import ThreadPool
 from typing import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (DecisionTreeClassificationModel, RandomForestClassificationModel,
                                         RandomForestClassifier)
@@ -31,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casebook.operators import growth as GR
+from casebook.operators.hashing import first_words
 from casebook.session import cut_lineage, drop_path, scratch_path
 
 
@@ -194,12 +197,46 @@ def bags(df: DataFrame, key: Sequence[str], trees: int, seed: int = 42) -> DataF
     return one.select("tree", bag_count(key, F.col("tree"), seed).alias("times")).groupBy("tree", "times").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _bag_text(key: Sequence[str], seed: int) -> Column:
+    return F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed)))
+
+
+def _held(texts: pa.Array, trees: int) -> np.ndarray:
+    """``bag_count`` of each row (by its ``_bag_text``) and each of the first ``trees``
+    bags: rows x trees."""
+    hashes = first_words([f"{t}|".encode() for t in texts.to_pylist()], [str(t).encode() for t in range(trees)])
+    return np.searchsorted(_poisson_cuts(), hashes, side="right")
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], pa.array(x.ravel()))
+
+
+def bag_counts(key: Sequence[str], trees: int, seed: int) -> Column:
+    """``bag_count`` of all bags as an array, each hashed once."""
+    @F.arrow_udf("array<tinyint>")
+    def counts(texts: pa.Array) -> pa.Array:
+        return _lists(_held(texts, trees).astype(np.int8))
+
+    return counts(_bag_text(key, seed))
+
+
 def bagged_forest(train: DataFrame, params, key: Sequence[str], label: str = "label", features: str = "features",
                   weight: str = "weight", parallelism: int = 4) -> RandomForestClassificationModel:
     """A forest of trees fitted to explicit bags: tree t weighs each row with its bag
     count (times its class weight, if ``params.weighted``); rows of count 0 are left
-    out.  ``parallelism`` fits run at a time, as in Spark ML's own tuning; the trees
-    are put together from their node tables, cut back to ``params.min_split``."""
+    out.  The bags are summed per distinct row, of which ``growth`` grows the trees.  If
+    too many rows differ, Spark's learner fits each tree to its rows, ``parallelism`` at a
+    time, as in Spark ML's own tuning; these trees are put together from their node
+    tables, cut back to ``params.min_split``."""
+    table = GR.counted(train, label, features, weight if params.weighted else None)
+    if table is not None:
+        # all rows of a code in one task before their bags are drawn: sums leave it, not rows
+        rows = GR.coded(train.where(F.col(label).isNotNull()), table.cuts, [label, *key], features).repartition("code")
+        drawn = rows.select("code", label, F.posexplode(bag_counts(key, params.num_trees, params.seed)).alias("tree", "times")).where("times > 0")
+        bagged = drawn.groupBy("code", "tree").agg(
+            *[F.sum(F.when(F.col(label) == y, F.col("times")).otherwise(0)).alias(f"times{y}") for y in (0, 1)], F.count(F.lit(1)).alias("held"))
+        return forest_of_nodes(GR.bag_trees(bagged, table, params), params, len(table.cuts), label, features)
     spark = train.sparkSession
     base = F.col(weight) if params.weighted else F.lit(1.0)
     # every bag's counts hashed once, a small column per tree: a fit reads its own three times
@@ -267,25 +304,44 @@ def reach_counts(df: DataFrame, nodes: DataFrame, label: str = "label", x: str =
 
 
 def leaf_votes(model: RandomForestClassificationModel, df: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """(``keep``, tree, p1): what each tree says of each row, through the leaf numbers
-    that Spark's scoring gives (left to right)."""
-    from pyspark.sql import Window
-    leaves = node_table(model).where("left < 0")
-    leaves = leaves.select("tree", (F.row_number().over(Window.partitionBy("tree").orderBy("node")) - 1).cast("double").alias("leaf"),
-                           (F.get("stats", F.lit(1)) / F.aggregate("stats", F.lit(0.0), lambda a, b: a + b)).alias("p1"))
-    scored = model.copy().setLeafCol("_leaf").transform(df)
-    long = scored.select(*keep, F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"))
+    """(``keep``, votes): what each tree says of each row, in the trees' order, through the
+    leaf numbers that Spark's scoring gives (left to right)."""
+    leaves = node_table(model).where("left < 0").select(
+        "tree", "node", (F.get("stats", F.lit(1)) / F.aggregate("stats", F.lit(0.0), lambda a, b: a + b)).alias("p1"))
     # bound: one row per leaf of the model
-    return long.join(F.broadcast(leaves), ["tree", "leaf"]).select(*keep, "tree", "p1")
+    found = leaves.orderBy("tree", "node").toArrow()
+    tree, p1 = found["tree"].to_numpy(), found["p1"].to_numpy()
+    first = np.searchsorted(tree, np.arange(model.getNumTrees))
+
+    @F.arrow_udf("array<double>")
+    def says(leaf: pa.Array) -> pa.Array:
+        at = leaf.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(leaf), len(first))
+        return _lists(p1[first + at])
+
+    scored = model.copy().setLeafCol("_leaf").transform(df)
+    return scored.select(*keep, says(vector_to_array("_leaf")).alias("votes"))
 
 
 def out_of_bag(votes: DataFrame, key: Sequence[str], label: str, seed: int, cut: float = 0.5) -> DataFrame:
-    """(``key``, label, trees, probability_1, predicted) from votes (key, label, tree, p1):
-    the mean over the trees whose bag doesn't hold the row.  Rows in every bag have no
-    such tree and no row here."""
-    free = votes.where(bag_count(key, F.col("tree"), seed) == 0)
-    return (free.groupBy(*key, label).agg(F.count(F.lit(1)).alias("trees"), F.avg("p1").alias("probability_1"))
-            .withColumn("predicted", (F.col("probability_1") >= cut).cast("int")))
+    """(``key``, label, trees, probability_1, predicted) from votes (key, label, votes: one
+    per tree), or a row per vote (key, label, tree, p1): the mean over the trees whose bag
+    doesn't hold the row.  Rows in every bag have no such tree and no row here."""
+    if "votes" in votes.columns:
+        @F.arrow_udf("struct<trees: bigint, p1: double>")
+        def free_mean(texts: pa.Array, p1: pa.Array) -> pa.Array:
+            p1 = p1.flatten().to_numpy(zero_copy_only=False).reshape(len(texts), -1)
+            free = _held(texts, p1.shape[1]) == 0
+            trees = free.sum(axis=1)
+            return pa.StructArray.from_arrays([pa.array(trees), pa.array((p1 * free).sum(axis=1) / np.maximum(trees, 1))], names=["trees", "p1"])
+
+        # as if by chance: the filter must not hash a second time
+        mean = free_mean.asNondeterministic()(_bag_text(key, seed), F.col("votes"))
+        scored = (votes.select(*key, label, mean.alias("_m")).where("_m.trees > 0")
+                  .select(*key, label, F.col("_m.trees").alias("trees"), F.col("_m.p1").alias("probability_1")))
+    else:
+        free = votes.where(bag_count(key, F.col("tree"), seed) == 0)
+        scored = free.groupBy(*key, label).agg(F.count(F.lit(1)).alias("trees"), F.avg("p1").alias("probability_1"))
+    return scored.withColumn("predicted", (F.col("probability_1") >= cut).cast("int"))
 
 
 def oob_accuracy(oob: DataFrame, label: str = "label") -> DataFrame:

@@ -156,6 +156,8 @@ def bootstrap_trees(table: Counted, params) -> DataFrame:
             n = np.concatenate([_numbers(columns[1:]) for columns in found], axis=1)
             rng = np.random.default_rng([params.seed, t])
             times = rng.poisson(n) if params.bootstrap else n
+            while not times.any():                        # a bag of nothing, of a few rows
+                times = rng.poisson(n)
             code = np.concatenate([_codes(columns[0], len(cuts)) for columns in found], axis=1)
             yield _batch(t, grow(code, times, None, cuts, weights, params, rng))
 

@@ -145,3 +145,46 @@ def test_forest_a_fits_counted_rows(spark, monkeypatch):
     top = Q.QUERIES["i13_forest_a_importance"](spark, SF).collect()
     assert len(top) == 10 and [r["rank"] for r in top] == list(range(1, 11))
     assert 0 <= top[0]["test_auc"] <= 1 and sum(r["importance"] for r in top) <= 1 + 1e-9
+
+
+def test_all_bags_hashed_once(spark):
+    keys = spark.createDataFrame([(i, f"k|{i}") for i in range(300)] + [(300, None)], "i int, k string")
+    want = [FO.bag_count(["i", "k"], F.lit(t), 9).alias(f"b{t}") for t in range(12)]
+    for r in keys.select(FO.bag_counts(["i", "k"], 12, 9).alias("got"), *want).collect():
+        assert r["got"] == [r[f"b{t}"] for t in range(12)]
+
+
+def test_bagged_trees_are_those_of_sparks_learner(rows, monkeypatch):
+    params = MD.ForestParams(num_trees=3, max_depth=5, min_leaf=12, feature_subset="all", weighted=True, seed=3)
+    votes = FO.leaf_votes(FO.bagged_forest(rows, params, ["id"]), rows, ["id", "label"])
+    monkeypatch.setattr(GR, "MAX_CELLS", 1)
+    fitted = FO.bagged_forest(rows, params, ["id"])
+    theirs = FO.leaf_votes(fitted, rows, ["id", "label"])
+    a, b = ({r["id"]: r["votes"] for r in v.collect()} for v in (votes, theirs))
+    assert len(a) == 1500 and fitted.totalNumNodes > 20
+    assert max(abs(x - y) for i in a for x, y in zip(a[i], b[i], strict=True)) < 1e-12
+    # a row per vote gives the same scores
+    long = votes.select("id", "label", F.posexplode("votes").alias("tree", "p1"))
+    one, two = ({r["id"]: r for r in FO.out_of_bag(v, ["id"], "label", 3).collect()} for v in (votes, long))
+    assert set(one) == set(two) and len(one) < 1500
+    for i in one:
+        assert one[i]["trees"] == two[i]["trees"] and abs(one[i]["probability_1"] - two[i]["probability_1"]) < 1e-12
+
+
+def test_out_of_bag_query_fits_no_tree_to_rows(spark, monkeypatch):
+    def fail(*a, **k):
+        raise AssertionError("Spark's learner is given the rows of a bag")
+    monkeypatch.setattr(FO, "inheritable_thread_target", fail)
+    r = Q.QUERIES["i15_oob_accuracy"](spark, SF).first()
+    assert 0 < r["n_rows"] <= Q._prepared(spark, SF, "rf").frame.where("split = 'train'").count() and 0 <= r["oob_accuracy"] <= 1
+
+
+def test_hashes_of_many_texts():
+    import hashlib
+
+    from casebook.operators.hashing import first_words
+    rng = random.Random(1)
+    heads = [bytes(rng.randrange(256) for _ in range(size)) for size in [*range(70), *range(70)]]
+    tails = [b"", b"0", b"123456"]
+    got = first_words(heads, tails)
+    assert got.tolist() == [[int(hashlib.md5(h + t).hexdigest()[:8], 16) for t in tails] for h in heads]
